@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
+from marginalia.scale import settle
 
 BLANK = "[ \\t　]*"
 NUMBER = (
@@ -107,7 +108,7 @@ def with_headings(docs: DataFrame, text_col: str, name: str = "_heads") -> DataF
                         section.alias("section"), source.alias("source"), confidence(title, section, source).alias("confidence"))
 
     heads = F.array_sort(F.filter(F.transform("_hits", finish), lambda h: plausible(h["title"], h["source"])))
-    return staged.withColumn(name, heads).drop("_lines", "_likely", "_hits")
+    return settle(staged.withColumn(name, heads).drop("_lines", "_likely", "_hits"))
 
 
 _spaced = sorted({w for t in (K.ZH_ALIASES, K.EN_ALIASES) for ws in t.values() for w in ws if " " in w})
@@ -175,7 +176,7 @@ def with_sections(docs: DataFrame, text_col: str, name: str = "_parts") -> DataF
         "content", "title", "source", "start_char", "end_char", "confidence", "warning")])
     pieces = F.transform(kept, noted)
     parts = F.when(inline.isNotNull(), F.concat(F.array(first), pieces)).otherwise(pieces)
-    return staged.withColumn(name, parts).drop("_heads", "_inline", "_pieces")
+    return settle(staged.withColumn(name, parts).drop("_heads", "_inline", "_pieces"))
 
 
 def extract_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", keep: list[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
-from marginalia.scale import first_rows
+from marginalia.scale import first_rows, settle
 
 HAN = "[\\u4e00-\\u9fff]"
 
@@ -80,14 +80,15 @@ def title_candidates(lines: DataFrame, id_col: str = "doc_id", script: str = HAN
             fits = looks_like_title(text, script) & (F.greatest(*centers) - F.least(*centers) <= F.col("page_width") * 0.2) & (top >= F.col("body") + 2)
             for gap in gaps:
                 fits = fits & (gap >= -2) & (gap <= top * 1.9)
-            g = g.where(fits)
+            g = settle(g.withColumn("_fits", fits)).where("_fits")
         flat = F.regexp_replace(text, T.WS + "+", "")
         g = g.select(*base, flat.alias("text"), low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1"),
                      top.alias("font_size"))
         score = line_score(F.col("text"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("font_size"), F.col("body"),
                            F.col("page_width"), F.col("page_height"), script)
-        return g.select(id_col, F.left("text", F.lit(120)).alias("text"), F.when(score.isNotNull(), F.least(F.lit(100), score + boost)).cast("bigint").alias("score"),
-                        F.lit(len(cols)).cast("bigint").alias("lines_merged"), "line_no").where(F.col("score").isNotNull())
+        g = settle(g)
+        return settle(g.select(id_col, F.left("text", F.lit(120)).alias("text"), F.when(score.isNotNull(), F.least(F.lit(100), score + boost)).cast("bigint").alias("score"),
+                        F.lit(len(cols)).cast("bigint").alias("lines_merged"), "line_no")).where(F.col("score").isNotNull())
 
     scored = group(["_a"], 0).unionByName(group(["_a", "_b"], 8)).unionByName(group(["_a", "_b", "_c"], 14))
     best = scored.groupBy(id_col, "text").agg(

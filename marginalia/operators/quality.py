@@ -9,6 +9,7 @@ from marginalia import constants as K
 from marginalia.functions import text as T
 from marginalia.functions.similarity import similarity
 from marginalia.operators import headings as H
+from marginalia.scale import settle
 
 REFERENCE_CUT = T.java(r"参考文献|\bReferences\b|\bBibliography\b")
 
@@ -63,10 +64,10 @@ def score_sections(sections: DataFrame, id_col: str = "doc_id", language_col: st
     warnings = F.array_sort(F.array_compact(F.array(
         word(mixed_m, "possible_experiment_content"), word(mixed_e, "possible_method_content"),
         word(F.col("_multi"), "contains_multiple_section_headings"))))
-    return s.select(
+    return settle(s.select(
         *[x for x in sections.columns],
         F.greatest(F.lit(0), F.least(F.lit(100), capped)).cast("bigint").alias("score"),
-        F.length("_c").cast("bigint").alias("clean_length"), issues.alias("issues"), warnings.alias("warnings"))
+        F.length("_c").cast("bigint").alias("clean_length"), issues.alias("issues"), warnings.alias("warnings")))
 
 
 def evaluate(scored: DataFrame, plan: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -200,11 +201,11 @@ def pivot_sections(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sections.groupBy(id_col).agg(*picks)
 
 
-def wide_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", keep: list[str] = ()) -> DataFrame:
+def wide_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", keep: list[str] = (), keep_text: bool = False) -> DataFrame:
     """SK-1 without an exchange: the pivot is taken inside the row before any explode."""
     parts = H.with_sections(docs.select(id_col, text_col, *keep), text_col)
     col = lambda k: F.array_join(F.transform(F.filter("_parts", lambda p: p["section"] == k), lambda p: p["content"]), "\n\n").alias(k)
-    return parts.select(id_col, *keep, *[col(k) for k in K.SECTION_KEYS])
+    return settle(parts.select(id_col, *keep, *([text_col] if keep_text else []), *[col(k) for k in K.SECTION_KEYS]))
 
 
 def analysis_input(wide: DataFrame, id_col: str = "doc_id", cap: int = 20000) -> DataFrame:

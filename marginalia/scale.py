@@ -28,6 +28,7 @@ def session(app: str = "marginalia", cores: str = "*", shuffle: int = 8) -> Spar
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -124,3 +125,13 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name
     map task before the exchange (WindowGroupLimit), so hot keys arrive already cut."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= F.lit(k)).withColumn(name, F.col(name).cast("bigint"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute all columns here, once per row.
+
+    Filters on computed columns are normally moved below the projection by repeating its expressions; for
+    chains of costly array expressions that multiplies the work.  Columns that come out of a generator are
+    not repeated, so one single-row generator keeps the chain in place.  No exchange, no Python.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
