@@ -213,17 +213,16 @@ def _(spark, d):
 
 
 def _rungs_sql(cap: int) -> str:
-    size = lambda i, c: f"400 + 120 * count(DISTINCT doc_id) + sum(CASE WHEN item_no <= {i} THEN 260 + least(length(txt), {c}) ELSE 0 END)"
-    cases = " ".join(f"WHEN {size(i, c)} <= {cap} THEN {n + 1}" for n, (i, c) in enumerate(E.LADDER))
-    rung = " ".join(f"WHEN {n + 1} THEN {{}}" for n in range(len(E.LADDER)))
-    items = rung.format(*[i for i, _ in E.LADDER])
-    chars = rung.format(*[c for _, c in E.LADDER])
-    return f"""rung AS (SELECT request_id, CASE {cases} ELSE 0 END AS rung FROM items GROUP BY request_id),
-      caps AS (SELECT request_id, rung, CASE rung {items} ELSE 0 END AS items, CASE rung {chars} ELSE 0 END AS chars FROM rung)"""
+    rows = ", ".join(f"({n + 1}, {i}, {c})" for n, (i, c) in enumerate(E.LADDER))
+    return f"""ladder(rung, items, chars) AS (VALUES {rows}),
+      sized AS MATERIALIZED (SELECT request_id, l.rung, 400 + 120 * count(DISTINCT doc_id) + sum(CASE WHEN item_no <= l.items THEN 260 + least(length(txt), l.chars) ELSE 0 END) AS size
+          FROM items, ladder l GROUP BY 1, 2),
+      pick AS (SELECT request_id, coalesce(min(rung) FILTER (size <= {cap}), 0) AS rung FROM sized GROUP BY 1),
+      caps AS (SELECT request_id, rung, coalesce(l.items, 0) AS items, coalesce(l.chars, 0) AS chars FROM pick LEFT JOIN ladder l USING (rung))"""
 
 
 # A bundle per group of six neighbouring documents: their first eight chunks each.
-ITEMS = f"""{with_views(extra=DOC_CHUNKS)}, items AS (SELECT CAST(floor(doc_id / 6) AS BIGINT) AS request_id, doc_id, idx + 1 AS item_no, txt FROM chunk WHERE idx < 8), """
+ITEMS = f"""{with_views(extra=DOC_CHUNKS)}, items AS MATERIALIZED (SELECT CAST(floor(doc_id / 6) AS BIGINT) AS request_id, doc_id, idx + 1 AS item_no, txt FROM chunk WHERE idx < 8), """
 
 
 def _items(spark, d):
@@ -231,7 +230,7 @@ def _items(spark, d):
     return c.where("idx < 8").select(F.floor(F.col("doc_id") / 6).cast("bigint").alias("request_id"), "doc_id", (F.col("idx") + 1).alias("item_no"), "text")
 
 
-@query("rt10_capped_bundles", ITEMS + _rungs_sql(12000) + """ SELECT k.request_id, k.rung, i.doc_id, CAST(sum(CASE WHEN i.item_no <= k.items THEN 1 ELSE 0 END) AS BIGINT) AS shown,
+@query("rt10_capped_bundles", ITEMS + _rungs_sql(12000) + """ SELECT k.request_id, CAST(k.rung AS BIGINT) AS rung, i.doc_id, CAST(sum(CASE WHEN i.item_no <= k.items THEN 1 ELSE 0 END) AS BIGINT) AS shown,
       count(*) AS chunks, CAST(sum(CASE WHEN i.item_no <= k.items THEN least(length(txt), k.chars) ELSE 0 END) AS BIGINT) AS shown_chars FROM items i JOIN caps k USING (request_id) GROUP BY 1, 2, 3""")
 def _(spark, d):
     rows = materialize(_items(spark, d), "bundle-items")
