@@ -317,3 +317,14 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, keys: list[str], order:
     cols = [c for c in rows.columns if c not in keys]
     one = rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("r")).select(*keys, "r.*")
     return one.join(table.select(*keys), keys, "left_anti")
+
+
+def single_source(docs: DataFrame, parses: DataFrame) -> DataFrame:
+    """AG-13: a document's title shows only when exactly one parser result exists; the parsers present always do.
+
+    ``parses``: doc_id, parser, title; there are two parsers, so a group holds two rows.
+    """
+    g = parses.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("title").alias("_t"), F.array_join(F.array_sort(F.collect_set("parser")), ",").alias("parsers"))
+    j = docs.join(g, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    return j.select("doc_id", "n", F.when(F.col("n") == 1, F.col("_t")).alias("title"), F.coalesce("parsers", F.lit("")).alias("parsers"),
+                    F.when(F.col("n") == 0, "No cached parser result; call a parser Tool first.").otherwise("").alias("warning"))
