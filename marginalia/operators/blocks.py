@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
-from marginalia.scale import block_of, running
+from marginalia.scale import block_of, materialize, running
 
 PREFIX = (
     r"(?U)^(?:\s*(?:第[一二三四五六七八九十百\d]+章\s*|[一二三四五六七八九十]+[、.．]\s*|[（(][一二三四五六七八九十\d]+[)）]\s*"
@@ -45,7 +45,7 @@ def segment_blocks(blocks: DataFrame, id_col: str = "doc_id", pos_col: str = "po
     b = b.withColumn("_h", is_block_heading(F.col("text")))
     b = b.withColumn("_ref", F.col("_h") & (bare_heading(F.col("text")) == "参考文献"))
     b = running(b, [id_col], ["pos"], block_of("pos"), {"_refs_before": ("max", F.col("_ref").cast("int"), False)})
-    b = b.withColumn("_h", F.col("_h") & (F.coalesce("_refs_before", F.lit(0)) == 0))
+    b = materialize(b.withColumn("_h", F.col("_h") & (F.coalesce("_refs_before", F.lit(0)) == 0)), "block-heads")
     b = running(b, [id_col], ["pos"], block_of("pos"), {"island": ("sum", F.col("_h").cast("bigint"), True)})
     # One section of one document is one output value; blocks meet per (document, section).
     s = b.groupBy(id_col, "island").agg(

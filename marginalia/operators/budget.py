@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.operators.sessions import compressible_prefix, recent_turns
-from marginalia.scale import block_of, running
+from marginalia.scale import block_of, materialize, running
 
 ENVELOPE_BYTES, ITEM_OVERHEAD = 29, 16
 
@@ -80,8 +80,8 @@ def turns_to_fold(turns: DataFrame, keep: Column) -> DataFrame:
 
     ``turns``: session_id, ord (1-based), size, compressible.
     """
-    t = compressible_prefix(turns).where("eligible")
-    t = recent_turns(t, keep)
+    t = materialize(compressible_prefix(turns).where("eligible"), "eligible-turns")
+    t = materialize(recent_turns(t, keep), "retained-turns")
     oldest = t.groupBy("session_id").agg(F.min("ord").alias("_oldest"))
     t = t.join(oldest, "session_id")
     return t.withColumn("fold", ~F.col("retained") | (F.col("ord") == F.col("_oldest"))).drop("_oldest", "eligible")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as K
 from marginalia.functions import text as T
 from marginalia.operators.sessions import TURN, first_user_message
-from marginalia.scale import block_of, number_rows, running
+from marginalia.scale import block_of, materialize, number_rows, running
 
 FAILED_PREFIX = "失败旧轮次曾输出的文本（不是成功完成的回答）：\n"
 UNCONFIRMED_PREFIX = "旧轮次中以下工具调用没有已保存的结果，执行状态未确认："
@@ -32,6 +32,8 @@ def turn_messages(events: DataFrame) -> DataFrame:
     flush = F.col("event_type").isin("user/message", "assistant/message", "step/end", "tool/result")
     last = F.lit(1 << 60).cast("bigint")
     e = running(e, TURN, ["seq"], block_of("seq"), {"_flush": ("last", F.when(flush, F.col("seq")), False)}, descending=True)
+    # Five kinds of rows are made from these events.
+    e = materialize(e, "turn-events")
     base = [*TURN, "turn_status"]
     said = e.where(F.col("event_type").isin("user/message", "assistant/message") & F.col("content").isNotNull())
     failed = (F.col("event_type") == "assistant/message") & (F.col("turn_status") != "success")
@@ -112,7 +114,7 @@ def page_fields(requests: DataFrame, fields: DataFrame, overhead: int = 32) -> D
     room = F.col("max_chars") - F.col("_before")
     fits = F.col("_cost") <= room
     shown = F.when(fits, F.length("value")).otherwise(F.greatest(F.lit(0), room - F.length("path") - F.lit(overhead)))
-    j = j.withColumn("whole", fits).withColumn("shown_chars", shown.cast("bigint"))
+    j = materialize(j.withColumn("whole", fits).withColumn("shown_chars", shown.cast("bigint")), "field-pages")
     j = running(j, ["request_id"], ["_o"], F.floor(F.col("_o") / F.lit(1 << 24)), {"_cut_before": ("max", (~F.col("whole")).cast("int"), False)})
     return j.where((F.coalesce("_cut_before", F.lit(0)) == 0)).select(
         "request_id", "session_id", "seq", "field_index", "path", "whole", "shown_chars",

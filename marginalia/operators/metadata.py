@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from marginalia import constants as K
 from marginalia.functions import text as T
 from marginalia.functions.similarity import similarity
-from marginalia.scale import block_of, first_rows, number_rows, running
+from marginalia.scale import block_of, first_rows, materialize, number_rows, settle
 
 TOOLS = ["arxiv", "crossref", "openalex"]
 
@@ -124,7 +124,7 @@ def venue_score(ours: Column, theirs: Column) -> Column:
 
 def arrival_ranks(candidates: DataFrame, id_col: str = "doc_id", pos: str = "pos") -> DataFrame:
     """WN-4: rank within the provider and over all providers, in arrival order."""
-    c = number_rows(candidates, [id_col, "provider"], [pos], block_of(pos), "provider_rank")
+    c = materialize(number_rows(candidates, [id_col, "provider"], [pos], block_of(pos), "provider_rank"), "provider-ranks")
     return number_rows(c, [id_col], [pos], block_of(pos), "provider_global_rank")
 
 
@@ -161,7 +161,9 @@ def rerank(candidates: DataFrame, docs: DataFrame, id_col: str = "doc_id", pos:
     c = c.withColumn("rerank_reason", F.when(reason == "", "weak local match").otherwise(reason))
     # Scores have four decimals, so ten-thousandths are exact order keys and blocks.
     key = lambda x: -F.round(F.col(x) * 10000).cast("bigint")
+    # Scores cost Python work; they are written before the ranking reads them twice.
     c = c.withColumn("_s", key("local_match_score")).withColumn("_t", key("title_similarity")).withColumn("_a", key("author_match_score"))
+    c = materialize(c, "match-scores")
     c = number_rows(c, [id_col], ["_s", "_t", "_a", "provider_rank", "provider_global_rank"], F.col("_s"), "local_rank")
     return c.drop("_s", "_t", "_a", "our_title", "our_authors", "our_year", "our_venue", "our_doi", "our_arxiv")
 
@@ -264,7 +266,7 @@ def match_corpus(docs: DataFrame, candidates: DataFrame, k: int = 1, rare: int =
         return first_rows(words(df).join(freq, "w"), ["t"], [F.col("df"), F.col("w")], rare, "_r").select("t", "w")
 
     pairs = rarest(dt).withColumnRenamed("t", "our").join(rarest(ct).withColumnRenamed("t", "their"), "w").select("our", "their").distinct()
-    scored = pairs.withColumn("similarity", similarity(F.col("our"), F.col("their"))).where("similarity > 0")
+    scored = settle(pairs.withColumn("similarity", similarity(F.col("our"), F.col("their")))).where("similarity > 0")
     best = first_rows(scored, ["our"], [F.col("similarity").desc(), F.col("their")], k, "_rk").select("our", "their", "similarity")
     by_title = d.join(best, d["t"] == best["our"]).join(reps, F.col("their") == reps["t"]).select(
         "doc_id", "cand_id", "similarity", F.lit(False).alias("by_doi"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
-from marginalia.scale import BLOCK_ROWS, block_of, first_rows, number_rows, running
+from marginalia.scale import BLOCK_ROWS, block_of, first_rows, materialize, number_rows, running
 
 TURN = ["session_id", "turn_id"]
 
@@ -62,12 +62,13 @@ def pair_model_calls(trace: DataFrame, keys: list[str]) -> DataFrame:
     blk = block_of("trace_seq")
     t = running(t, keys, ["trace_seq"], blk, {
         "inputs": ("sum", is_in.cast("bigint"), True), "ends": ("sum", (~is_in).cast("bigint"), True)})
-    t = t.withColumn("_walk", F.col("inputs") - F.col("ends"))
+    t = materialize(t.withColumn("_walk", F.col("inputs") - F.col("ends")), "call-walk")
     t = running(t, keys, ["trace_seq"], blk, {"_low": ("min", "_walk", False)})
     orphans_before = F.greatest(F.lit(0), -F.coalesce("_low", F.lit(0)))
     orphan = ~is_in & (F.col("_walk") < -orphans_before)
     t = t.withColumn("orphan", orphan).withColumn("ordinal", F.when(is_in, F.col("inputs")).when(
         ~orphan, F.col("ends") - orphans_before))
+    t = materialize(t.drop("_walk", "_low"), "call-ordinals")
     ins = t.where(is_in).select(*keys, "ordinal", F.col("trace_seq").alias("input_seq"))
     ends = t.where(~is_in & ~F.col("orphan")).select(*keys, "ordinal", F.col("trace_seq").alias("end_seq"), F.col("event_type").alias("end_type"))
     lost = t.where(F.col("orphan")).select(*keys, F.lit(None).cast("bigint").alias("ordinal"), F.lit(None).cast("bigint").alias("input_seq"),
@@ -238,7 +239,7 @@ def safe_boundaries(events: DataFrame) -> DataFrame:
     e = running(e, TURN, ["seq"], block_of("seq"), {"_prev": ("last", F.col("event_type"), False)})
     is_end = F.col("event_type") == "turn/end"
     opens = F.col("_prev").isNull() | (F.col("_prev") == "turn/end")
-    e = e.withColumn("_step", opens.cast("bigint") - is_end.cast("bigint"))
+    e = materialize(e.withColumn("_step", opens.cast("bigint") - is_end.cast("bigint")), "turn-steps")
     e = running(e, ["session_id"], ["seq"], block_of("seq"), {"open_turns": ("sum", "_step", True)})
     return e.where(is_end).select("session_id", "turn_id", "seq", (F.col("open_turns") == 0).alias("safe"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.scale import block_of, number_rows, running, time_block
+from marginalia.scale import block_of, materialize, number_rows, running, time_block
 from marginalia.sources.files import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,10 +67,12 @@ def session_events(spark: SparkSession, d: str) -> DataFrame:
     c = number_rows(c, ["conv_id"], ["_o"], block_of("_o", 32768), "seq")
     sub = F.col("sub")
     kinds = F.create_map(*[F.lit(x) for kv in {1: "user/message", 2: "turn/start", 3: "tool/call", 4: "tool/result", 5: "assistant/message", 6: "turn/end"}.items() for x in kv])
-    return c.select(
+    log = c.select(
         F.col("conv_id").alias("session_id"), "seq", F.concat(F.lit("t"), F.col("turn_no").cast("string")).alias("turn_id"), kinds[sub].alias("event_type"),
         F.when(sub.isin(3, 4), F.concat(F.lit("c"), F.col("turn").cast("string"))).alias("tool_call_id"),
         F.when(sub == 6, F.when(F.col("conv_id") % 11 == 0, "error").otherwise("success")).alias("status"), F.when(sub.isin(1, 5), F.col("text")).alias("content"))
+    # A log is a stored table; it is written once and read by every branch of a query.
+    return materialize(log, "session-events")
 
 
 def trace_events(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +81,9 @@ def trace_events(spark: SparkSession, d: str) -> DataFrame:
     e = number_rows(e, ["user_id", "_day"], ["ts", "event_id"], time_block("ts"), "trace_seq")
     t = F.col("event_type")
     kind = F.when(t == "view", "llm/input").when(t == "click", "llm/output").when(t == "signup", "tool/call_debug").when(t == "purchase", "tool/result_debug").otherwise("llm/error")
-    return e.select(F.col("user_id").alias("session_id"), F.col("_day").alias("turn_id"), "trace_seq", kind.alias("event_type"),
+    log = e.select(F.col("user_id").alias("session_id"), F.col("_day").alias("turn_id"), "trace_seq", kind.alias("event_type"),
                     F.floor(F.col("value") * 100).cast("bigint").alias("size_chars"), "props")
+    return materialize(log, "trace-events")
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from marginalia.operators import budget as B
 from marginalia.operators import sessions as S
 from marginalia.plans.base import query, session_events, table, with_views
 from marginalia.plans.logs import ORIG, SAFE, _origins
-from marginalia.scale import block_of, number_rows
+from marginalia.scale import block_of, materialize, number_rows
 
 MB = "strlen(CAST(to_json({'role': role, 'content': text}) AS VARCHAR)) + 3"
 SIZE = lambda b, n: f"CAST({b} + greatest(2 * ({n} - 1), 0) + 29 + 16 * ({n} + 1) AS BIGINT)"
@@ -65,7 +65,8 @@ def _turns(spark, d):
     t = e.groupBy(*S.TURN).agg(F.min("seq").alias("start_seq"), F.min(end).alias("end_seq"), (F.sum(F.length(F.coalesce("content", F.lit(""))).cast("bigint")) + 100).alias("size"))
     t = t.join(safe, ["session_id", "end_seq"])
     t = number_rows(t, ["session_id"], ["start_seq"], block_of("start_seq"), "ord")
-    return t.select("session_id", "ord", "size", (F.col("safe") & (F.col("turn_id") != "t4")).alias("compressible"))
+    t = t.select("session_id", "ord", "size", (F.col("safe") & (F.col("turn_id") != "t4")).alias("compressible"))
+    return materialize(t, "turns")
 
 
 TW = with_views("session_events_v", extra=TURNS)

@@ -103,10 +103,10 @@ def _cands(spark, d):
     return candidates(spark, d).select("*", authors.alias("authors"), F.when(p < 3, F.concat(F.lit("src"), _s(i % 20))).otherwise("").alias("venue"), F.lit("").alias("url"), F.col("title").alias("abstract"))
 
 
-@query("md5_author_scores", with_views("candidates_v") + "SELECT doc_id, pos AS cand_pos, CASE WHEN pos = 1 THEN CAST(1.0 AS DOUBLE) WHEN pos = 3 THEN 0.0 ELSE 0.8 END AS author_score FROM candidates_v")
+@query("md5_author_scores", with_views("candidates_v") + "SELECT doc_id, CAST(pos AS BIGINT) AS cand_pos, CASE WHEN pos = 1 THEN CAST(1.0 AS DOUBLE) WHEN pos = 3 THEN 0.0 ELSE 0.8 END AS author_score FROM candidates_v")
 def _(spark, d):
     j = _cands(spark, d).join(_our(spark, d), "doc_id")
-    return j.select("doc_id", F.col("pos").alias("cand_pos"), M.author_score(F.col("our_authors"), F.col("authors")).alias("author_score"))
+    return j.select("doc_id", F.col("pos").cast("bigint").alias("cand_pos"), M.author_score(F.col("our_authors"), F.col("authors")).alias("author_score"))
 
 
 @query("md6_venue_scores", """WITH v AS (SELECT doc_id, source AS a, CASE doc_id % 4 WHEN 0 THEN upper(source) WHEN 1 THEN concat('Journal of ', source) WHEN 2 THEN '' ELSE NULL END AS b FROM documents)
@@ -123,10 +123,10 @@ def _(spark, d):
     return r.select("doc_id", "provider", "pos", "local_rank", "local_match_score", "title_similarity", "author_match_score", "year_match", "venue_match_score", "doi_match", "rerank_reason")
 
 
-@query("md7_identifier_matches", with_views("candidates_v") + "SELECT doc_id, pos AS cand_pos, pos = 1 AND doc_id % 4 = 0 AS doi_match, pos <> 2 AS year_match FROM candidates_v")
+@query("md7_identifier_matches", with_views("candidates_v") + "SELECT doc_id, CAST(pos AS BIGINT) AS cand_pos, pos = 1 AND doc_id % 4 = 0 AS doi_match, pos <> 2 AS year_match FROM candidates_v")
 def _(spark, d):
     r = M.rerank(_cands(spark, d), _our(spark, d))
-    return r.select("doc_id", F.col("pos").alias("cand_pos"), "doi_match", "year_match")
+    return r.select("doc_id", F.col("pos").cast("bigint").alias("cand_pos"), "doi_match", "year_match")
 
 
 @query("md8_best_candidates")
@@ -183,18 +183,18 @@ def _(spark, d):
     return M.accept_picks(picks, cand)
 
 
-@query("wn4_arrival_ranks", with_views("candidates_v") + "SELECT doc_id, provider, pos AS cand_pos, row_number() OVER (PARTITION BY doc_id, provider ORDER BY pos) AS provider_rank, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS provider_global_rank FROM candidates_v")
+@query("wn4_arrival_ranks", with_views("candidates_v") + "SELECT doc_id, provider, CAST(pos AS BIGINT) AS cand_pos, row_number() OVER (PARTITION BY doc_id, provider ORDER BY pos) AS provider_rank, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS provider_global_rank FROM candidates_v")
 def _(spark, d):
-    return M.arrival_ranks(candidates(spark, d)).select("doc_id", "provider", F.col("pos").alias("cand_pos"), "provider_rank", "provider_global_rank")
+    return M.arrival_ranks(candidates(spark, d)).select("doc_id", "provider", F.col("pos").cast("bigint").alias("cand_pos"), "provider_rank", "provider_global_rank")
 
 
 @query("tk6_slim_candidates", """WITH c AS (SELECT source, CASE doc_id % 2 WHEN 0 THEN 'crossref' ELSE 'openalex' END AS provider, doc_id AS pos, text AS abstract FROM documents)
-   SELECT source AS doc_id, provider, pos AS cand_pos, rn AS slim_rank, CASE WHEN source IN ('src0', 'src7') THEN substring(abstract, 1, 500) END AS abstract FROM (SELECT *, row_number() OVER (PARTITION BY source, provider ORDER BY pos) AS rn FROM c) WHERE rn <= 3""")
+   SELECT source AS doc_id, provider, CAST(pos AS BIGINT) AS cand_pos, rn AS slim_rank, CASE WHEN source IN ('src0', 'src7') THEN substring(abstract, 1, 500) END AS abstract FROM (SELECT *, row_number() OVER (PARTITION BY source, provider ORDER BY pos) AS rn FROM c) WHERE rn <= 3""")
 def _(spark, d):
     i = F.col("doc_id")
     c = documents(spark, d).select(F.col("source").alias("doc_id"), F.when(i % 2 == 0, "crossref").otherwise("openalex").alias("provider"), i.alias("pos"), F.col("text").alias("abstract"))
     need = c.where(F.col("doc_id").isin("src0", "src7")).select("doc_id")
-    return M.slim_candidates(c, need).select("doc_id", "provider", F.col("pos").alias("cand_pos"), "slim_rank", "abstract")
+    return M.slim_candidates(c, need).select("doc_id", "provider", F.col("pos").cast("bigint").alias("cand_pos"), "slim_rank", "abstract")
 
 
 @query("jn11_corpus_matches")

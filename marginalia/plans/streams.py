@@ -36,7 +36,7 @@ def _(spark, d):
     k = F.get_json_object("props", "$.k")
     kind = F.when(t == "view", "final_delta").when(t == "click", "tool_call").when(t == "signup", "tool_result").when(t == "purchase", "step_end").otherwise("final_end")
     call = F.when(t.isin("click", "signup"), F.concat(F.lit("c"), (k.cast("bigint") % 3).cast("string")))
-    e = _events(spark, d).select(F.col("user_id").alias("session_id"), F.date_format("ts", "yyyy-MM-dd").alias("turn_id"), F.col("event_id").alias("pos"), kind.alias("kind"), call.alias("tool_call_id"), k.alias("content"))
+    e = _events(spark, d).select(F.col("user_id").alias("session_id"), F.date_format("ts", "yyyy-MM-dd").alias("turn_id"), F.col("event_id").alias("pos"), kind.alias("kind"), call.alias("tool_call_id"), k.alias("content"), "ts")
     return J.run_to_table(J.fold_stream(e), "folded")
 
 

@@ -71,7 +71,8 @@ FOLD_TYPE = StructType([
 
 class FoldTurn(StatefulProcessor):
     """Runtime events of one turn to log events: text deltas become one message, tool results wait for the
-    step end and leave in call order, the turn closes once.  A turn that falls silent is closed by a timer."""
+    step end and leave in call order, the turn closes once.  A turn that stays silent for IDLE_MS of event
+    time is closed by a timer."""
 
     IDLE_MS = 600_000
 
@@ -80,7 +81,7 @@ class FoldTurn(StatefulProcessor):
         self.state = handle.getValueState("turn", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"n": 0, "text": [], "said": False, "order": [], "results": {}, "closed": False}
+        s = json.loads(self.state.get()[0]) if self.state.exists() else {"n": 0, "text": [], "said": False, "order": [], "results": {}, "closed": False, "last": 0}
         out: list[tuple] = []
 
         def emit(kind: str, call: str | None = None, content: str | None = None) -> None:
@@ -96,6 +97,7 @@ class FoldTurn(StatefulProcessor):
         for r in pd.concat(list(rows)).sort_values("pos").itertuples():
             if s["closed"]:
                 break
+            s["last"] = max(s["last"], int(r.ts_ms))
             if r.kind == "final_delta":
                 s["text"].append(r.content or "")
             elif r.kind == "final_end" and not s["said"]:
@@ -116,12 +118,13 @@ class FoldTurn(StatefulProcessor):
                 s["closed"] = True
         self.state.update((json.dumps(s),))
         if not s["closed"]:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.IDLE_MS)
+            self.handle.registerTimer(s["last"] + self.IDLE_MS)
         yield pd.DataFrame(out, columns=[f.name for f in FOLD_TYPE])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = json.loads(self.state.get()[0]) if self.state.exists() else {"closed": True}
-        if not s["closed"]:
+        # A later event moved the end of silence and has its own timer.
+        if not s["closed"] and s["last"] + self.IDLE_MS <= expiredTimerInfo.getExpiryTimeInMs():
             s["closed"] = True
             self.state.update((json.dumps(s),))
             yield pd.DataFrame([(key[0], key[1], s["n"] + 1, "turn/end", None, "error")], columns=[f.name for f in FOLD_TYPE])
@@ -130,10 +133,11 @@ class FoldTurn(StatefulProcessor):
         pass
 
 
-def fold_stream(runtime: DataFrame) -> DataFrame:
-    """ST-2: runtime events (session_id, turn_id, pos, kind, tool_call_id, content) -> log events."""
-    return runtime.groupBy("session_id", "turn_id").transformWithStateInPandas(
-        statefulProcessor=FoldTurn(), outputStructType=FOLD_TYPE, outputMode="Append", timeMode="ProcessingTime")
+def fold_stream(runtime: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """ST-2: runtime events (session_id, turn_id, pos, kind, tool_call_id, content, ts) -> log events."""
+    timed = runtime.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
+    return timed.groupBy("session_id", "turn_id").transformWithStateInPandas(
+        statefulProcessor=FoldTurn(), outputStructType=FOLD_TYPE, outputMode="Append", timeMode="EventTime")
 
 
 # ---- ST-3 -----------------------------------------------------------------------------------
