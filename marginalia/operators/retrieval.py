@@ -9,7 +9,8 @@ exactly with less work:
 3. A text can reach that bound only if it holds one of the query's rarer tokens (the rest together are too
    light), so only postings of those tokens are joined.  Texts that contain the whole query also contain
    its rarest inner token, which gives the candidates for the phrase bonus.
-4. Candidates get their exact score from the postings.
+4. A candidate whose score so far plus everything its query has left cannot reach the bound is dropped;
+   only the others get their exact score from the postings.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
-from marginalia.scale import first_rows, materialize
+from marginalia.scale import first_rows, materialize, settle
 
-SEED_TOKENS = 4
+SEED_POSTINGS = 5_000  # per query, how many postings of its rarest tokens the first bound may read
 
 
 def distinct_texts(chunks: DataFrame) -> DataFrame:
@@ -36,9 +37,13 @@ def text_owners(chunks: DataFrame, keys: list[str], k: int = K.MAX_TOP_K) -> Dat
     return first_rows(ids, ["text_id", *keys], [F.col("chunk_id")], k, "_copy").drop("_copy")
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """RT-1: text_id, token, n.  Tokens of a text sit in one row, so counting combines before the exchange."""
-    return texts.select("text_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("text_id", "token").agg(F.count("*").alias("n"))
+def postings(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """RT-1: text_id, token, n; of ``asked`` tokens only when given, which then leave out the others before
+    the count.  Tokens of a text sit in one row, so counting combines before the exchange."""
+    bag = texts.select("text_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    if asked is not None:
+        bag = bag.join(asked, "token", "left_semi")
+    return bag.groupBy("text_id", "token").agg(F.count("*").alias("n"))
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -64,29 +69,37 @@ def candidates(queries: DataFrame, texts: DataFrame, k: int, phrase: bool = True
     """query_id, text_id, overlap, total, phrase: a set that surely holds the k best texts of every query."""
     bags = query_bags(queries)
     # Only postings of asked tokens matter; they are written once because four joins read them.
-    asked = bags.select("token").distinct()
-    index = materialize(postings(texts).join(asked, "token", "left_semi"), "postings")
+    index = materialize(postings(texts, bags.select("token").distinct()), "postings")
     freq = index.groupBy("token").agg(F.count("*").alias("df"))
     w = Window.partitionBy("query_id").orderBy("df", "token")
     ranked = bags.join(freq, "token").select(
-        "*", F.row_number().over(w).alias("rk"),
+        "*", F.row_number().over(w).alias("rk"), F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("read"),
         F.sum("qn").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"))
     ranked = materialize(ranked, "query-tokens")
 
-    seeds = ranked.where(F.col("rk") <= SEED_TOKENS).join(index, "token").groupBy("query_id", "text_id").agg(F.sum(F.least("qn", "n")).alias("part"))
+    def partial(tokens: DataFrame) -> DataFrame:
+        return tokens.join(index, "token").groupBy("query_id", "text_id").agg(F.sum(F.least("qn", "n")).alias("part"))
+
+    seeds = partial(ranked.where((F.col("rk") == 1) | (F.col("read") <= SEED_POSTINGS)).select("query_id", "token", "qn"))
     seeds = first_rows(seeds, ["query_id"], [F.col("part").desc(), F.col("text_id")], k, "_s").select("query_id", "text_id")
     bound = _exact(seeds, ranked, index).groupBy("query_id").agg(F.count("*").alias("c"), F.min("overlap").alias("low"))
     bound = bound.select("query_id", F.when(F.col("c") >= k, F.col("low")).otherwise(1).alias("bound"))
 
-    needed = ranked.join(bound, "query_id", "left").where(F.col("rest") >= F.coalesce("bound", F.lit(1)))
-    pairs = needed.join(index, "token").select("query_id", "text_id")
-    if phrase:
-        pairs = pairs.unionByName(_phrase_pairs(queries, ranked, index).select("query_id", "text_id"))
-    scored = _exact(pairs.distinct(), ranked, index)
+    cut = ranked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
+    # Reading tokens until two thirds of the bound are left makes every unread text miss it, and asks a read
+    # text to have shown the other third already: few texts stay for the exact count.
+    limit = F.col("bound") - F.floor(F.col("bound") / 3)
+    needed = cut.where(F.col("rest") >= limit)
+    # What the tokens that were not read could still add to any text of the query.
+    slack = cut.groupBy("query_id").agg(F.first("bound").alias("bound"),
+                                        F.coalesce(F.max(F.when(F.col("rest") < limit, F.col("rest"))), F.lit(0)).alias("slack"))
+    alive = partial(needed.select("query_id", "token", "qn")).join(slack, "query_id").where(F.col("part") + F.col("slack") >= F.col("bound"))
+    pairs = alive.select("query_id", "text_id")
     if not phrase:
-        return scored.withColumn("phrase", F.lit(False))
-    hits = phrase_hits(queries, texts, ranked, index).withColumn("phrase", F.lit(True))
-    return scored.join(hits, ["query_id", "text_id"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+        return _exact(pairs, ranked, index).withColumn("phrase", F.lit(False))
+    hits = materialize(phrase_hits(queries, texts, ranked, index), "phrase-hits")
+    scored = _exact(pairs.unionByName(hits).distinct(), ranked, index)
+    return scored.join(hits.withColumn("phrase", F.lit(True)), ["query_id", "text_id"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
 
 
 def _phrase_pairs(queries: DataFrame, ranked: DataFrame, index: DataFrame) -> DataFrame:
@@ -115,7 +128,7 @@ def phrase_hits(queries: DataFrame, texts: DataFrame, ranked: DataFrame, index:
 def phrase_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """RT-3 on its own."""
     bags = query_bags(queries)
-    index = materialize(postings(texts).join(bags.select("token").distinct(), "token", "left_semi"), "postings")
+    index = materialize(postings(texts, bags.select("token").distinct()), "postings")
     ranked = bags.join(index.groupBy("token").agg(F.count("*").alias("df")), "token")
     return phrase_hits(queries, texts, ranked, index)
 
@@ -146,13 +159,15 @@ def retrieve_scoped(requests: DataFrame, chunks: DataFrame, k: int = K.TOP_K) ->
     key = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), T.strip(F.col("query"))), 256)
     asked = requests.withColumn("query_id", key)
     q = asked.groupBy("query_id", "doc_id").agg(F.first(T.strip(F.col("query"))).alias("query"))
-    bags = query_bags(q.select("query_id", "query"))
-    pairs = q.join(chunks, "doc_id").select("query_id", "doc_id", "parser", "chunk_id", "text", F.lower("query").alias("needle"))
-    toks = pairs.select("query_id", "doc_id", "parser", "chunk_id", F.contains(F.lower("text"), F.col("needle")).alias("phrase"),
-                        F.explode(T.tokens(F.col("text"))).alias("token"))
-    # Tokens the query lacks leave before the count.
-    keep = toks.join(bags, ["query_id", "token"]).groupBy("query_id", "doc_id", "parser", "chunk_id", "phrase", "total", "token", "qn").agg(F.count("*").alias("n"))
-    scored = keep.groupBy("query_id", "doc_id", "parser", "chunk_id", "phrase", "total").agg(F.sum(F.least("qn", "n")).alias("overlap"))
+    bag = query_bags(q.select("query_id", "query")).groupBy("query_id", "total").agg(F.map_from_entries(F.collect_list(F.struct("token", "qn"))).alias("bag"))
+    # A query's bag is small (2000 characters at most), so overlap is counted inside the row: no token leaves it.
+    pairs = q.join(bag, "query_id").join(chunks.select("doc_id", "parser", "chunk_id", "text"), "doc_id")
+    pairs = settle(pairs.withColumn("_toks", T.tokens(F.col("text"))).withColumn("_keys", F.map_keys("bag")))
+    pairs = settle(pairs.withColumn("_hits", F.filter("_toks", lambda t: F.array_contains(F.col("_keys"), t))).drop("_toks", "_keys"))
+    overlap = F.aggregate(F.map_entries("bag"), F.lit(0).cast("bigint"), lambda acc, e: acc + F.least(
+        e["value"], F.size(F.filter("_hits", lambda t: t == e["key"])).cast("bigint")))
+    scored = settle(pairs.select("query_id", "doc_id", "parser", "chunk_id", "total", overlap.alias("overlap"),
+                                 F.contains(F.lower("text"), F.lower("query")).alias("phrase"))).where("overlap > 0")
     best = first_rows(scored, ["query_id", "doc_id", "parser"], [F.col("phrase").desc(), F.col("overlap").desc(), F.col("chunk_id")], k)
     return asked.select("request_id", "query_id").join(best, "query_id").drop("query_id")
 

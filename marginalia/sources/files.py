@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators.sessions import insert_or_ignore
+from marginalia.scale import settle
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
@@ -112,9 +113,9 @@ def requested_pages(docs: DataFrame, pages: Column, id_col: str = "doc_id", text
     """
     nums = F.regexp_extract_all(text_col, F.lit(PAGE_MARK), F.lit(1))
     parts = F.split(text_col, PAGE_MARK, -1)
-    d = docs.select(id_col, F.array_distinct(pages).alias("_want"), nums.alias("_nums"), parts.alias("_parts"))
+    d = settle(docs.select(id_col, F.array_distinct(pages).alias("_want"), nums.alias("_nums"), parts.alias("_parts")))
     d = d.withColumn("_pages", F.transform("_nums", lambda n, i: F.struct(n.cast("int").alias("page"), T.strip(F.get("_parts", i + 1)).alias("text"))))
-    d = d.select(id_col, "_pages", F.explode("_want").alias("page"))
+    d = settle(d.select(id_col, "_pages", "_want")).select(id_col, "_pages", F.explode("_want").alias("page"))
     hit = F.try_element_at(F.filter("_pages", lambda p: p["page"] == F.col("page")), F.lit(-1))
     d = d.withColumn("_hit", hit)
     return d.select(id_col, F.col("page").cast("bigint").alias("page"), F.coalesce("_hit.text", F.lit("")).alias("text"),
