@@ -85,6 +85,8 @@ def candidates(queries: DataFrame, texts: DataFrame, k: int, phrase: bool = True
     bound = _exact(seeds, ranked, index).groupBy("query_id").agg(F.count("*").alias("c"), F.min("overlap").alias("low"))
     bound = bound.select("query_id", F.when(F.col("c") >= k, F.col("low")).otherwise(1).alias("bound"))
 
+    # One row per query; three branches read it.
+    bound = materialize(bound, "bounds")
     cut = ranked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
     # Reading tokens until two thirds of the bound are left makes every unread text miss it, and asks a read
     # text to have shown the other third already: few texts stay for the exact count.
@@ -140,7 +142,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K, phrase: bo
     """
     if not 1 <= k <= K.MAX_TOP_K:
         raise ValueError(f"k must be between 1 and {K.MAX_TOP_K}")
-    texts = distinct_texts(chunks)
+    texts = materialize(distinct_texts(chunks), "texts")
     scored = candidates(queries, texts, k, phrase)
     # More than k texts are never shown, and of each text its first k chunks; ties need whole score groups,
     # so texts are cut by score rank only after the owners' ids have joined.
