@@ -50,7 +50,8 @@ def read_back(requests: DataFrame, chunks: DataFrame, limit: int = K.READ_CAP) -
     """
     key = ["doc_id", "parser", "cache_version", "chunk_id"]
     now = chunks.groupBy("doc_id", "parser").agg(F.first("cache_version").alias("_now"))
-    hit = chunks.groupBy(*key).agg(F.first(F.struct("section", "start_char", "end_char", "text")).alias("_c"))
+    # Chunks nobody asked for leave first; the texts of the others are exchanged at most once.
+    hit = chunks.join(requests.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.first(F.struct("section", "start_char", "end_char", "text")).alias("_c"))
     j = requests.join(now, ["doc_id", "parser"], "left").join(hit, key, "left")
     n = F.length("_c.text")
     error = (

@@ -141,12 +141,13 @@ def admit_checkpoints(proposals: DataFrame, sessions: DataFrame, events: DataFra
     bounds = events.where("event_type = 'turn/end'").select("session_id", F.col("seq").alias("covered_seq"), F.lit(True).alias("_end"))
     p = proposals.join(sessions.select("session_id", F.lit(True).alias("_known")), "session_id", "left") \
         .join(last, "session_id", "left").join(now, TURN, "left").join(bounds, ["session_id", "covered_seq"], "left")
-    # A turn is left open by a proposal when it starts at or before the boundary and has no end there.
+    # Turns open at a boundary: starts minus ends up to it, a running sum in which proposals are marks.
     spans = log.groupBy(*TURN).agg(F.min("seq").alias("s"), F.min(F.when(F.col("event_type") == "turn/end", F.col("seq"))).alias("e"))
-    cut = proposals.select("session_id", "covered_seq").distinct()
-    open_ = spans.withColumnRenamed("turn_id", "_t").join(cut, "session_id").where(
-        (F.col("s") <= F.col("covered_seq")) & (F.col("e").isNull() | (F.col("e") > F.col("covered_seq")))) \
-        .groupBy("session_id", "covered_seq").agg(F.count("*").alias("_open"))
+    step = lambda df, at, delta: df.select("session_id", at.alias("_o"), F.lit(delta).cast("bigint").alias("_d"))
+    marks = step(spans, F.col("s") * 2, 1).unionByName(step(spans.where("e IS NOT NULL"), F.col("e") * 2, -1)) \
+        .unionByName(step(proposals.distinct(), F.col("covered_seq") * 2 + 1, 0))
+    marks = running(marks, ["session_id"], ["_o"], block_of("_o"), {"_open": ("sum", "_d", True)})
+    open_ = marks.where("_d = 0").select("session_id", F.floor(F.col("_o") / 2).cast("bigint").alias("covered_seq"), "_open").distinct()
     p = p.join(open_, ["session_id", "covered_seq"], "left")
     reason = (
         F.when(F.col("_known").isNull(), "checkpoint_session_deleted")
@@ -256,23 +257,35 @@ def recent_turns(eligible: DataFrame, keep: Column, order: str = "ord", size: st
     return t.withColumn("retained", F.col("suffix_size") <= keep)
 
 
-def fold_checkpoints(checkpoints: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """WN-8: the last accepted checkpoint of each session.
+def accepted_checkpoints(checkpoints: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """WN-8: the last accepted checkpoint of each session and how many were accepted.
 
     ``checkpoints``: session_id, seq, previous_seq, covered (well-formed ones); ``boundaries``: session_id, seq.
-    Acceptance depends on the last accepted one, so each session's ordered array is folded.  Only four
-    small values per checkpoint are gathered, and a turn writes at most two checkpoints.
+    A checkpoint is accepted when it names the last accepted one, so each one has at most one successor: the
+    earliest later one that names it, ends at a boundary and does not move back.  The chain is followed from
+    its root by doubling jumps, so its length costs a logarithm of joins and no session is gathered.
     """
-    ok = boundaries.select("session_id", F.col("seq").alias("covered")).distinct().withColumn("_b", F.lit(True))
-    c = checkpoints.join(ok, ["session_id", "covered"], "left")
-    arr = F.array_sort(F.collect_list(F.struct("seq", "previous_seq", "covered", F.coalesce("_b", F.lit(False)).alias("at_boundary"))))
-    start = F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("covered"), F.lit(0).cast("bigint").alias("accepted"))
-
-    def step(acc: Column, x: Column) -> Column:
-        good = x["at_boundary"] & x["previous_seq"].eqNullSafe(acc["seq"]) & (x["covered"] >= acc["covered"])
-        return F.when(good, F.struct(x["seq"].alias("seq"), x["covered"].alias("covered"), (acc["accepted"] + 1).alias("accepted"))).otherwise(acc)
-
-    return c.groupBy("session_id").agg(F.aggregate(arr, start, step).alias("s")).select("session_id", "s.*")
+    ok = boundaries.select("session_id", F.col("seq").alias("covered")).distinct()
+    c = materialize(checkpoints.join(ok, ["session_id", "covered"], "left_semi").select("session_id", "seq", "previous_seq", "covered"), "checkpoints")
+    before = c.select("session_id", F.col("seq").alias("previous_seq"), F.col("covered").alias("_covered"))
+    step = c.join(before, ["session_id", "previous_seq"]).where("covered >= _covered AND seq > previous_seq")
+    jump = step.groupBy("session_id", F.col("previous_seq").alias("seq")).agg(F.min("seq").alias("next"))
+    jump = materialize(jump.withColumn("hops", F.lit(1).cast("bigint")), "jumps")
+    at = c.where("previous_seq IS NULL").groupBy("session_id").agg(F.min("seq").alias("seq")).withColumn("accepted", F.lit(1).cast("bigint"))
+    at = materialize(at, "chain")
+    while True:
+        on = ["session_id", "seq"]
+        moved = at.join(jump, on, "left")
+        # Only the number of sessions that still moved reaches the driver.
+        at = materialize(moved.select("session_id", F.coalesce("next", "seq").alias("seq"), (F.col("accepted") + F.coalesce("hops", F.lit(0))).alias("accepted"),
+                                      F.col("next").isNotNull().alias("_moved")), "chain")
+        if at.where("_moved").isEmpty():
+            break
+        at = at.drop("_moved")
+        far = jump.select("session_id", F.col("seq").alias("next"), F.col("next").alias("_n"), F.col("hops").alias("_h"))
+        jump = materialize(jump.join(far, ["session_id", "next"], "left").select(
+            "session_id", "seq", F.coalesce("_n", "next").alias("next"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")), "jumps")
+    return at.drop("_moved").join(c.select("session_id", "seq", "covered"), ["session_id", "seq"])
 
 
 # ---- ordering, limits and sets -----------------------------------------------------------

@@ -296,7 +296,14 @@ def _(spark, d):
     return S.safe_boundaries(session_events(spark, d))
 
 
-@query("wn8_accepted_checkpoints")
+CHAIN = with_views("session_events_v", extra="/*recursive*/ " + SAFE + """,
+  en AS (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n, lag(seq) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM session_events_v WHERE event_type = 'turn/end'),
+  ck AS (SELECT e.session_id, e.seq + 100000 AS seq, CASE WHEN n % 3 = 0 THEN 7 ELSE prev + 100000 END AS previous_seq, e.seq AS covered FROM en e JOIN safe s ON s.session_id = e.session_id AND s.seq = e.seq WHERE s.safe),
+  nx AS (SELECT p.session_id, p.seq, min(c.seq) AS nxt FROM ck p JOIN ck c ON c.session_id = p.session_id AND c.previous_seq = p.seq AND c.covered >= p.covered AND c.seq > p.seq GROUP BY 1, 2),
+  ch AS (SELECT session_id, min(seq) AS seq, 1 AS accepted FROM ck WHERE previous_seq IS NULL GROUP BY 1 UNION ALL SELECT ch.session_id, nx.nxt, ch.accepted + 1 FROM ch JOIN nx ON nx.session_id = ch.session_id AND nx.seq = ch.seq)""")
+
+
+@query("wn8_accepted_checkpoints", CHAIN + "SELECT session_id, max(seq) AS seq, max(seq) - 100000 AS covered, CAST(max(accepted) AS BIGINT) AS accepted FROM ch GROUP BY 1")
 def _(spark, d):
     """Each session's ends propose checkpoints that name the one before, some with a wrong name."""
     e = session_events(spark, d)
@@ -304,7 +311,7 @@ def _(spark, d):
     n = number_rows(e.where("event_type = 'turn/end'").select("session_id", "seq"), ["session_id"], ["seq"], block_of("seq"), "n")
     n = running(n, ["session_id"], ["seq"], block_of("seq"), {"prev": ("last", F.col("seq") + 100000, False)})
     c = n.select("session_id", (F.col("seq") + 100000).alias("seq"), F.when(F.col("n") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("prev")).alias("previous_seq"), F.col("seq").alias("covered"))
-    return S.fold_checkpoints(c, b)
+    return S.accepted_checkpoints(c, b)
 
 
 @query("tk3_newest_sessions", f"WITH {SESS} SELECT session_id, updated_at FROM sess ORDER BY updated_at DESC, session_id DESC")

@@ -27,10 +27,20 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     """Drain what is available now into a table in the shared folder and read it back (exactly-once file sink)."""
     spark = stream.sparkSession
     root = f"{shared_folder(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start())
-    q.awaitTermination()
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if spark.sparkContext.master.startswith("local"):
+        # One state store per core; a cluster keeps its own partition count.
+        settings["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 

@@ -68,14 +68,14 @@ def test_checkpoint_fold_against_a_loop(spark):
     rows, bounds = [], {5, 10, 20, 30}
     for n in range(1, 40):
         rows.append((100 + n, rnd.choice([None, *[100 + m for m in range(max(1, n - 3), n)]]), rnd.choice([5, 10, 20, 30, 7])))
-    seq, cov = None, 0
+    seq, cov, n = None, 0, 0
     for s, p, c in rows:
         if p == seq and c in bounds and c >= cov:
-            seq, cov = s, c
+            seq, cov, n = s, c, n + 1
     c = spark.createDataFrame([("s", *r) for r in rows], "session_id string, seq bigint, previous_seq bigint, covered bigint")
     b = spark.createDataFrame([("s", x) for x in bounds], "session_id string, seq bigint")
-    r = S.fold_checkpoints(c, b).first()
-    assert (r.seq, r.covered) == (seq, cov)
+    r = S.accepted_checkpoints(c, b).first()
+    assert (r.seq, r.covered, r.accepted) == (seq, cov, n)
 
 
 def test_recent_messages_and_titles(spark):
