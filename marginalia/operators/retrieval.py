@@ -69,7 +69,9 @@ def candidates(queries: DataFrame, texts: DataFrame, k: int, phrase: bool = True
     """query_id, text_id, overlap, total, phrase: a set that surely holds the k best texts of every query."""
     bags = query_bags(queries)
     # Only postings of asked tokens matter; they are written once because four joins read them.
-    index = materialize(postings(texts, bags.select("token").distinct()), "postings")
+    # Written first, so that its size is known when the join with every token of the corpus is planned.
+    asked = materialize(bags.select("token").distinct(), "asked-tokens")
+    index = materialize(postings(texts, asked), "postings")
     freq = index.groupBy("token").agg(F.count("*").alias("df"))
     w = Window.partitionBy("query_id").orderBy("df", "token")
     ranked = bags.join(freq, "token").select(
@@ -130,7 +132,9 @@ def phrase_hits(queries: DataFrame, texts: DataFrame, ranked: DataFrame, index:
 def phrase_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """RT-3 on its own."""
     bags = query_bags(queries)
-    index = materialize(postings(texts, bags.select("token").distinct()), "postings")
+    # Written first, so that its size is known when the join with every token of the corpus is planned.
+    asked = materialize(bags.select("token").distinct(), "asked-tokens")
+    index = materialize(postings(texts, asked), "postings")
     ranked = bags.join(index.groupBy("token").agg(F.count("*").alias("df")), "token")
     return phrase_hits(queries, texts, ranked, index)
 
