@@ -35,3 +35,30 @@ FROM d WINDOW w AS (PARTITION BY norm)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.dedup import name_documents
     return name_documents(read(spark, folder, "documents"))
+
+
+@query("op8_decontaminate", r"""
+WITH f AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, f),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, f),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+       FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT item, w, least(len(w), 13) AS m FROM b WHERE len(w) > 0))),
+m AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS phrase
+       FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, m WHERE len(w) >= m)),
+h AS (SELECT doc_id, dw.m, i, item FROM dw JOIN bw ON dw.m = bw.m AND dw.phrase = bw.phrase),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.decontaminate import contamination
+    return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op9_secret_ledger")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.secrets import document_secrets
+    return document_secrets(read(spark, folder, "documents"))
