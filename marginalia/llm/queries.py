@@ -62,3 +62,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.secrets import document_secrets
     return document_secrets(read(spark, folder, "documents"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.packing import pack
+    return pack(read(spark, folder, "documents"))
