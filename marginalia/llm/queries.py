@@ -68,3 +68,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.packing import pack
     return pack(read(spark, folder, "documents"))
+
+
+@query("op6_language_bitmasks")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.language import document_languages
+    return document_languages(read(spark, folder, "documents"))
+
+
+@query("op4_factorisation_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.quality import document_quality
+    return document_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
