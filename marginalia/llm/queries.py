@@ -80,3 +80,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.quality import document_quality
     return document_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op5_set_relation_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.jaccard import near_components
+    return near_components(read(spark, folder, "documents"))
