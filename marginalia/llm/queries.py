@@ -86,3 +86,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.jaccard import near_components
     return near_components(read(spark, folder, "documents"))
+
+
+@query("op10_license_dice")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.licences import scan
+    return scan(read(spark, folder, "documents"))
