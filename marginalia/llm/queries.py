@@ -92,3 +92,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.licences import scan
     return scan(read(spark, folder, "documents"))
+
+
+@query("op2_wrapper_extraction")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.wrappers import extract
+    return extract(read(spark, folder, "pages"))
