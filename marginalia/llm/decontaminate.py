@@ -1,8 +1,8 @@
 """Benchmark decontamination: token windows of the test items looked up in the training texts.
 
 The windows of the benchmark form a hash set.  Each text is cut into words, every window of a length that the
-benchmark uses is hashed, the hashes are looked up, and each hit is verified word by word.  Verified hits give the
-covered words, from which documents are judged or spans removed.
+benchmark uses is named by the hash of its first, middle and last word, the names are looked up, and each hit is
+verified over all its words.  Verified hits give the covered words, from which documents are judged or spans removed.
 
 Built from DataFrame functions only.
 """
@@ -15,27 +15,32 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import LOWER, UPPER
 
 WINDOW = 13
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words before lower-casing; afterwards A-Z no longer occur
+# ASCII characters that are not part of words: all but digits and letters.
+BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 BROADCAST_WINDOWS = 500_000  # about 120 bytes each
 
 
-def _words(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+def _words(text: str, fold: bool = True) -> Column:
+    """Words of a text, A to Z as a to z if ``fold``.  Splitting at one character needs no regular expression."""
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), BREAKS + UPPER * fold, " " * len(BREAKS) + LOWER * fold)
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def _phrase(words: Column) -> Column:
-    """Words as one string, A to Z in lower case and nothing else changed."""
-    return F.translate(F.array_join(words, " "), UPPER, LOWER)
+    return F.array_join(words, " ")
 
 
 def _hashes(words: Column) -> Column:
-    # lower() changes more letters than the rule, so equal phrases stay equal; the exact check follows.
-    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(hashes: Column, length: int | Column) -> Column:
+def _name(hashes: Column, at: Column, length: int | Column) -> Column:
+    return F.xxhash64(F.get(hashes, at), F.get(hashes, at + F.floor((F.lit(length) if isinstance(length, int) else length) / 2).cast("int")), F.get(hashes, at + length - 1))
+
+
+def _windows(hashes: Column, length: int) -> Column:
     last = F.size(hashes) - length
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(hashes, i + 1, length))))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _name(hashes, i, length)))
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -47,7 +52,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     sized = words.withColumn("length", F.least(F.size("words"), F.lit(window)))
     at = sized.select("item", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at"))
     cut = at.select("item", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("cut"))
-    return (cut.select("item", "length", F.xxhash64(_hashes(F.col("cut"))).alias("hash"), _phrase(F.col("cut")).alias("phrase"))
+    return (cut.select("item", "length", _name(_hashes(F.col("cut")), F.lit(0), F.col("length")).alias("hash"), _phrase(F.col("cut")).alias("phrase"))
             .groupBy("length", "hash", "phrase").agg(F.collect_set("item").alias("items")))
 
 
@@ -124,7 +129,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = keyed(docs, id_col, text_col)
     out = rows.join(by_document(rows, items, "key", "text", window), "key", "left")
     hit = lambda i: F.exists(F.coalesce("spans", F.array().cast("array<struct<at:int,length:int>>")), lambda s: (i >= s["at"]) & (i < s["at"] + s["length"]))
-    return out.select("doc_id", F.filter(_words("text"), lambda _w, i: ~hit(i)).alias("words"))
+    return out.select("doc_id", F.filter(_words("text", fold=False), lambda _w, i: ~hit(i)).alias("words"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
