@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, one operator after another."""
+"""From raw documents to packed training sequences, one corpus operator after another."""
 
 from __future__ import annotations
 
@@ -6,23 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm import decontaminate, dedup, jaccard, packing, quality
 from marginalia.llm.common import read
-from marginalia.llm.dedup import keep_first
 from marginalia.scale import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, learned from the given documents that have labels."""
+    return quality.keep_good(docs, quality.fitted(docs, read(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
-    return keep_first(docs)
+    """One document of each group of equal texts."""
+    return dedup.keep_first(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of near copies connect."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without more than their share of benchmark windows."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their place in the training sequences."""
+    return packing.pack(docs)
+
 
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_filter),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", packed),
+]
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup)]
+# Scores of a trained machine and token ids are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each is written as Parquet and read again by the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
