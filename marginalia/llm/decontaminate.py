@@ -1,8 +1,8 @@
 """Benchmark decontamination: token windows of the test items looked up in the training texts.
 
-The windows of the benchmark form a hash set.  Each text is cut into words, every window of a length that the
-benchmark uses is named by the hash of its first, middle and last word, the names are looked up, and each hit is
-verified over all its words.  Verified hits give the covered words, from which documents are judged or spans removed.
+The windows of the benchmark form a hash set, each filed under its longest word as an anchor.  Each text is cut into
+words, every word is looked up, and where an anchor stands, the windows around it are verified: first word, last word,
+then all words.  Verified hits give the covered words, from which documents are judged or spans removed.
 
 Built from DataFrame functions only.
 """
@@ -34,17 +34,9 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _name(hashes: Column, at: Column, length: int | Column) -> Column:
-    return F.xxhash64(F.get(hashes, at), F.get(hashes, at + F.floor((F.lit(length) if isinstance(length, int) else length) / 2).cast("int")), F.get(hashes, at + length - 1))
-
-
-def _windows(hashes: Column, length: int) -> Column:
-    last = F.size(hashes) - length
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _name(hashes, i, length)))
-
-
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows: length, hash, phrase and the ids (as strings) of the items that hold it.
+    """Distinct windows: hash of the anchor (the longest word, the first of several) and its offset, length, hashes
+    of the first and last word, phrase, and the ids (as strings) of the items that hold it.
 
     An item shorter than the window is one window; an item without words has none.
     """
@@ -52,33 +44,33 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     sized = words.withColumn("length", F.least(F.size("words"), F.lit(window)))
     at = sized.select("item", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at"))
     cut = at.select("item", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("cut"))
-    return (cut.select("item", "length", _name(_hashes(F.col("cut")), F.lit(0), F.col("length")).alias("hash"), _phrase(F.col("cut")).alias("phrase"))
-            .groupBy("length", "hash", "phrase").agg(F.collect_set("item").alias("items")))
+    phrases = cut.groupBy("length", "cut").agg(F.collect_set("item").alias("items"))
+    longest = F.array_max(F.transform("cut", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("back"))))
+    anchored = phrases.withColumn("offset", -longest["back"])
+    word = lambda i: F.xxhash64(F.get("cut", i))
+    return anchored.select(word(F.col("offset")).alias("hash"), "offset", "length", word(F.lit(0)).alias("first"), word(F.col("length") - 1).alias("last"),
+                           _phrase(F.col("cut")).alias("phrase"), "items")
 
 
 def hits(docs: DataFrame, items: DataFrame, key: str, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Verified hits: key of the text, word position, length, items.
 
-    While the benchmark has at most BROADCAST_WINDOWS windows they are broadcast, and the texts' windows are
-    probed where they are made: no text moves.  Beyond that, hashes are joined by exchange, and the texts that
-    have hits are joined again for the check.
+    While the benchmark has at most BROADCAST_WINDOWS windows they are broadcast, and the words are probed where
+    they are cut: no text moves.  Beyond that, words are joined by exchange, and the texts that meet an anchor are
+    joined again for the check.
     """
     bench = benchmark_windows(items, item_col, window=window)
-    lengths = {r[0]: r[1] for r in bench.groupBy("length").count().collect()}  # at most ``window`` rows
     worded = docs.select(F.col(key), _words(text_col).alias("words")).withColumn("hashes", _hashes(F.col("words")))
-    found = None
-    for length in sorted(lengths) or [window]:
-        here = bench.where(F.col("length") == length).drop("length")
-        probe = worded.select(key, "words", F.posexplode(_windows(F.col("hashes"), length)).alias("at", "hash"))
-        check = _phrase(F.slice("words", F.col("at") + 1, length)) == F.col("phrase")
-        if sum(lengths.values()) <= BROADCAST_WINDOWS:
-            met = probe.join(F.broadcast(here), "hash").where(check)
-        else:
-            places = probe.select(key, "at", "hash").join(here, "hash")
-            met = places.join(worded.select(key, "words"), key).where(check)
-        met = met.select(key, "at", F.lit(length).alias("length"), "items")
-        found = met if found is None else found.unionByName(met)
-    return found
+    start = F.col("at") - F.col("offset")
+    # In this order, so that phrases are built for few.
+    check = ((start >= 0) & (start + F.col("length") <= F.size("hashes")) & (F.get("hashes", start) == F.col("first"))
+             & (F.get("hashes", start + F.col("length") - 1) == F.col("last")) & (_phrase(F.slice("words", start + 1, F.col("length"))) == F.col("phrase")))
+    if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        met = worded.select(key, "words", "hashes", F.posexplode("hashes").alias("at", "hash")).join(F.broadcast(bench), "hash")
+    else:
+        places = worded.select(key, F.posexplode("hashes").alias("at", "hash")).join(bench, "hash")
+        met = places.join(worded, key)
+    return met.where(check).select(key, start.alias("at"), "length", "items")
 
 
 def covered(spans: Column) -> Column:
