@@ -26,9 +26,10 @@ from marginalia.llm.vectors import mix, sequence_hash, word_hashes
 from marginalia.scale import materialize
 
 WIDTH = 5
-HEAVY_IN_SLICE = 3          # a shingle seen so often in one slice of the scan counts as frequent
+HEAVY_IN_RUN = 3            # a shingle in so many sets of one run of the scan counts as frequent
+RUN_TOKENS = 4_000_000      # shingles of a run
 HEAVY_TOKENS = 1_000_000    # frequent shingles put last; any order gives the same links, this bounds the broadcast
-BROADCAST_IDS = 2_000_000   # ids of sets with possible partners that may be broadcast
+BROADCAST_IDS = 2_000_000   # rows of one or a few numbers that may be broadcast; beyond that, tables are joined by exchange
 CLASS_BASE = 1.1            # size ratio of neighbouring blocks
 
 # The threshold 3/4 in integers: sets of a and b shingles link from ceil(3 (a + b) / 7) common ones.
@@ -77,19 +78,28 @@ _SET_SCHEMA = "doc_id bigint, n bigint, high bigint, sid bigint, token bigint, s
 
 
 def _scan_sets(seed: int):
+    names = ["doc_id", "n", "high", "sid", "token", "seen"]
+
+    def often(held):
+        keys, seen = np.unique(np.concatenate(held), return_counts=True)
+        more = seen >= HEAVY_IN_RUN
+        none = pa.nulls(int(more.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys[more].view(np.int64)), pa.array(seen[more].astype(np.int64))], names=names)
+
     def rows(batches):
+        held: list[np.ndarray] = []
         for batch in slices(batches, "text", 1_500_000):
             texts = batch.column(1).to_pylist()
             own, token = shingle_sets(texts, seed)
             size, high, low = _names(own, token, len(texts))
             none = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), none, none],
-                                             names=["doc_id", "n", "high", "sid", "token", "seen"])
-            keys, seen = np.unique(token, return_counts=True)
-            often = seen >= HEAVY_IN_SLICE
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys[often].view(np.int64)), pa.array(seen[often].astype(np.int64))],
-                                             names=["doc_id", "n", "high", "sid", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), none, none], names=names)
+            held.append(token)
+            if sum(map(len, held)) > RUN_TOKENS:
+                yield often(held)
+                held = []
+        if held:
+            yield often(held)
     return rows
 
 
@@ -119,14 +129,18 @@ def _scan_prefixes(seed: int, heavy):
     return rows
 
 
-def _scan_arrays(seed: int):
+def _scan_arrays(seed: int, names: list[str]):
+    """Rows of (doc_id, text, wanted, names...) to (names..., tokens), where the text's set is the wanted one."""
     def rows(batches):
         for batch in slices(batches, "text", 1_500_000):
             texts = batch.column(1).to_pylist()
             own, token = shingle_sets(texts, seed)
             size, _, low = _names(own, token, len(texts))
             ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64)))], names=["sid", "tokens"])
+            tokens = pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64)))
+            right = pa.array(low.view(np.int64) == batch.column(2).to_numpy(zero_copy_only=False))
+            out = pa.RecordBatch.from_arrays([*(batch.column(3 + i) for i in range(len(names))), tokens], names=[*names, "tokens"])
+            yield out.filter(right)
     return rows
 
 
@@ -149,11 +163,29 @@ def _probes(entries: DataFrame) -> DataFrame:
 _SIZES_AND_POSITIONS = "4 * least(a_n, b_n) >= 3 * greatest(a_n, b_n) AND 7 * least(a_n - a_pos, b_n - b_pos) >= 3 * (a_n + b_n)"
 
 
-def overlaps(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with ``common``, the number of shingles both sets hold."""
-    left = arrays.select(F.col("sid").alias("a"), F.col("tokens").alias("_ta"))
-    right = arrays.select(F.col("sid").alias("b"), F.col("tokens").alias("_tb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("_ta", "_tb"))).drop("_ta", "_tb")
+# With so many common tokens up to these positions, and all tokens behind them common too.
+_CAN_REACH = "7 * (hits + least(a_n - a_pos, b_n - b_pos) - 1) >= 3 * (a_n + b_n)"
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b, a_n, b_n) with ``common``, the number of shingles both sets hold.
+
+    The sets are cut again from one text of each class, where the texts lie; then the sets of all ``a`` meet that
+    of their ``b``.  Many pairs with one ``b`` are split by Spark's skew join, since both sides come by exchange.
+    """
+    rep = lambda c: classes.select(F.col("sid").alias(c), F.col("rep").alias("doc_id"))
+    left = materialize(pairs.join(rep("a"), "a").select("doc_id", F.col("a").alias("wanted"), "a", "b", "a_n", "b_n"), "near-left")
+    right = materialize(pairs.select("b").distinct().join(rep("b"), "b").select("doc_id", F.col("b").alias("wanted"), "b"), "near-right")
+
+    def sets(asked: DataFrame, names: list[str], kinds: str) -> DataFrame:
+        few = asked.count() <= BROADCAST_IDS
+        met = texts.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "wanted", *names)
+        return met.mapInArrow(_scan_arrays(seed, names), f"{kinds}, tokens array<bigint>")
+
+    first = sets(left, ["a", "b", "a_n", "b_n"], "a bigint, b bigint, a_n int, b_n int").withColumnRenamed("tokens", "_ta")
+    second = sets(right, ["b"], "b bigint").withColumnRenamed("tokens", "_tb")
+    shared = first.join(second, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("_ta", "_tb")).alias("common"))
+    return shared.groupBy("a", "b", "a_n", "b_n").agg(F.max("common").alias("common"))  # repeated rows give a pair again
 
 
 def components(edges: DataFrame, name: str = "near") -> DataFrame:
@@ -196,25 +228,27 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ranks = np.arange(len(tokens), 0, -1).astype(np.uint64)  # most frequent last
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], ranks[order]))
-    all_entries = materialize(named.mapInArrow(_scan_prefixes(seed, heavy), _ENTRY_SCHEMA), "near-prefixes")
-    shared = materialize(all_entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "near-shared")
+    # One text of each class gives the entries; the copies are taken out by their ids.
+    copies = materialize(rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("sid", "rep"), "sid").where("doc_id <> rep").select("doc_id").distinct(), "near-copies")
+    single = named.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+    ties = rows.where("n > 0").join(copies, "doc_id").join(classes.select("sid", "rep"), "sid").where("doc_id = rep").select("doc_id").distinct()
+    again = named.join(F.broadcast(ties) if copies.count() <= BROADCAST_IDS else ties, "doc_id")  # ids that are a copy in one row and stand for a class in another
+    all_entries = materialize(single.unionByName(again).mapInArrow(_scan_prefixes(seed, heavy), _ENTRY_SCHEMA), "near-prefixes")
+    # A pair meets in the first seventh of its smaller set, so a token that nobody has there joins nothing.
+    shared = materialize(all_entries.groupBy("token").agg(F.count("*").alias("sets"), F.bool_or(F.expr("7 * pos <= n")).alias("early"))
+                         .where("sets > 1 AND early").select("token"), "near-shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
     entries = materialize(all_entries.join(shared, "token").distinct(), "near-entries")
 
-    # The sets that have any chance, with all their shingles.
-    active = materialize(entries.select("sid").distinct().join(classes.select("sid", "rep"), "sid"), "near-active")
-    ids = active.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if active.count() <= BROADCAST_IDS else ids
-    arrays = named.join(ids, "doc_id").mapInArrow(_scan_arrays(seed), "sid bigint, tokens array<bigint>")
-    arrays = materialize(arrays.join(active.select("sid"), "sid").dropDuplicates(["sid"]), "near-arrays")
-
-    # Each set against one leader.
+    # Each set against one leader, if it can be near: this only spares work below, so a miss loses nothing.
     leaders = materialize(entries.groupBy("token", _class(F.col("n")).alias("cls")).agg(F.max(F.struct("core", "n", "sid", "pos")).alias("lead")), "near-leaders")
     met = (_probes(entries).join(leaders, ["token", "cls"])
            .select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("lead.sid").alias("b"), F.col("lead.n").alias("b_n"), F.col("lead.pos").alias("b_pos"))
            .where(f"a <> b AND {_SIZES_AND_POSITIONS}"))
-    best = (met.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("hits"))
+    best = (met.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("hits"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos")).where(_CAN_REACH)
             .groupBy("a", "a_n").agg(F.max(F.struct("hits", "b_n", "b")).alias("to")).select("a", "a_n", F.col("to.b").alias("b"), F.col("to.b_n").alias("b_n")))
-    known = materialize(overlaps(best, arrays), "near-known")
+    best = materialize(best, "near-best")
+    known = materialize(overlaps(best, named, classes, seed), "near-known")
     first = known.where(F.col("common") >= _need("a_n", "b_n")).select("a", "b")
     comp = components(first.toDF("u", "v"), "near-first")
 
@@ -223,7 +257,7 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         # A leader without a leader of its own stands at distance nothing from itself.
         known.select(F.col("b").alias("sid"), F.col("b_n").alias("n")).distinct().join(known.select(F.col("a").alias("sid")), "sid", "left_anti")
         .select("sid", F.col("sid").alias("lead"), F.col("n").alias("lead_n"), F.col("n").alias("lead_common")))
-    facts = materialize(active.select("sid").join(comp.select(F.col("u").alias("sid"), F.col("label").alias("comp")), "sid", "left").join(told, "sid", "left")
+    facts = materialize(entries.select("sid").distinct().join(comp.select(F.col("u").alias("sid"), F.col("label").alias("comp")), "sid", "left").join(told, "sid", "left")
                         .withColumn("comp", F.coalesce("comp", "sid")), "near-facts")
     placed = materialize(entries.drop("core").join(facts, "sid"), "near-placed")
     major = (placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token")
@@ -240,11 +274,11 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                          side("a", "b", "pos").alias("a_pos"), side("b", "a", "pos").alias("b_pos"),
                          F.expr("IF(a_lead = b_lead, a_lead_common + b_lead_common - a_lead_n, 0)").alias("at_least"))
     counted = (pairs.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("hits"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.max("at_least").alias("at_least"))
-               .where(F.col("hits") + F.expr("least(a_n - a_pos, b_n - b_pos)") - 1 >= _need("a_n", "b_n")))
+               .where(_CAN_REACH))
     counted = materialize(counted, "near-pairs")
     sure = counted.where(F.coalesce("at_least", F.lit(0)) >= _need("a_n", "b_n")).select("a", "b")
     asked = counted.where(F.coalesce("at_least", F.lit(0)) < _need("a_n", "b_n")).select("a", "b", "a_n", "b_n")
-    second = overlaps(asked, arrays).where(F.col("common") >= _need("a_n", "b_n")).select("a", "b")
+    second = overlaps(asked, named, classes, seed).where(F.col("common") >= _need("a_n", "b_n")).select("a", "b")
     return rows, classes, materialize(first.unionByName(sure).unionByName(second), "near-links")
 
 
