@@ -110,6 +110,26 @@ SENTENCE_WORDS = ["本文", "本研究", "通过", "采用", "提出", "实现",
 
 # --- fixed values: redaction -----------------------------------------------------
 SENSITIVE_KEY_PARTS = ["api_key", "apikey", "authorization", "secret", "token", "password", "credential"]
+SECRET_NAMES = "(?:api[_ -]?key|authorization|secret|token|password|credential)"
+# (pattern, replacement), applied in order: quoted values, bare values, bearer tokens, key-shaped strings.
+REDACTIONS = [
+    (f"(?i)([\"']?{SECRET_NAMES}[\"']?\\s*[:=]\\s*[\"'])(.*?)([\"'])", "$1<redacted>$3"),
+    (f"(?i)([\"']?{SECRET_NAMES}[\"']?\\s*[:=]\\s*)([^\"'\\s,}}]+)", "$1<redacted>"),
+    ("(?i)\\bbearer\\s+[a-z0-9._-]+", "Bearer <redacted>"),
+    ("\\bsk-[a-zA-Z0-9_-]{8,}\\b", "<redacted-api-key>"),
+]
+
+# --- fixed values: provider errors that mean too long a context ---------------------
+OVERFLOW_PROVIDERS = ["deepseek", "openai_compatible"]
+OVERFLOW_STATUS = [400, 413, 422]
+OVERFLOW_CODES = ["context_length_exceeded", "context_window_exceeded", "input_tokens_exceeded"]
+OVERFLOW_TYPES = ["context_length_exceeded", "context_window_exceeded"]
+OVERFLOW_MESSAGE = (r"(?i)maximum context length.{0,100}(?:exceed|requested|resulted)|"
+                    r"(?:exceed\w*.{0,60}(?:context (?:length|window)|input token limit))|"
+                    r"(?:context (?:length|window)|input token limit).{0,60}exceed")
+
+# --- fixed values: front matter of Chinese papers -----------------------------------
+ZH_FRONT_END = r"Abstract|ABSTRACT|引言|1\s*引言|一[、.．]\s*引言"
 
 # --- fixed values: retrieval and budgets -----------------------------------------
 CHUNK_SIZE, CHUNK_OVERLAP, TOP_K, MAX_TOP_K, MAX_DOCS = 1200, 200, 3, 8, 8

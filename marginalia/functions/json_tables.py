@@ -3,35 +3,117 @@
 from __future__ import annotations
 
 import json
+import re
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
+
+from marginalia import constants as K
 
 LEAF_TYPE = StructType([StructField("path", StringType()), StructField("value", StringType())])
 
 
-def json_leaves(df: DataFrame, keys: list[str], json_col: str, depth: int = 4) -> DataFrame:
-    """keys + (path, value) down to ``depth`` levels, in the JVM; empty containers stay as rows.
+def _children(v: Column, path: Column) -> tuple[Column, Column]:
+    """Children of one value as (path, v) structs, NULL for a leaf or an empty container; and whether there are any."""
+    kind = F.schema_of_variant(v)
+    name = lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k))
+    obj = F.map_entries(v.try_cast("map<string,variant>"))
+    arr = v.try_cast("array<variant>")
+    kids = (
+        F.when(F.startswith(kind, F.lit("OBJECT")) & (F.size(obj) > 0), F.transform(obj, lambda e: F.struct(name(e["key"]).alias("path"), e["value"].alias("v"))))
+        .when(F.startswith(kind, F.lit("ARRAY")) & (F.size(arr) > 0), F.transform(arr, lambda x, i: F.struct(name(i.cast("string")).alias("path"), x.alias("v"))))
+    )
+    return kids, kids.isNotNull()
 
-    Every level is one explode inside the row, so there is no exchange.
-    """
+
+def _opened(df: DataFrame, keys: list[str], json_col: str, depth: int) -> DataFrame:
     root = F.struct(F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
     rows = df.select(*keys, root.alias("n"))
     for _ in range(depth):
         path, v = F.col("n.path"), F.col("n.v")
-        kind = F.schema_of_variant(v)
-        name = lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k))
-        obj = F.map_entries(v.try_cast("map<string,variant>"))
-        arr = v.try_cast("array<variant>")
-        kids = (
-            F.when(F.startswith(kind, F.lit("OBJECT")) & (F.size(obj) > 0), F.transform(obj, lambda e: F.struct(name(e["key"]).alias("path"), e["value"].alias("v"))))
-            .when(F.startswith(kind, F.lit("ARRAY")) & (F.size(arr) > 0), F.transform(arr, lambda x, i: F.struct(name(i.cast("string")).alias("path"), x.alias("v"))))
-            .otherwise(F.array(F.struct(path.alias("path"), v.alias("v"))))
-        )
-        rows = rows.select(*keys, F.explode(kids).alias("n"))
-    return rows.where("n.v IS NOT NULL").select(*keys, "n.path", F.expr("coalesce(try_cast(n.v AS string), to_json(n.v))").alias("value"))
+        kids, _some = _children(v, path)
+        rows = rows.select(*keys, F.explode(F.coalesce(kids, F.array(F.struct(path.alias("path"), v.alias("v"))))).alias("n"))
+    return rows.where("n.v IS NOT NULL")
+
+
+def json_leaves(df: DataFrame, keys: list[str], json_col: str, depth: int = 4) -> DataFrame:
+    """keys + (path, value) of all leaves, in the JVM; empty containers stay as rows.
+
+    Every level is one explode inside the row, so there is no exchange.  ``depth`` is where to begin: as long as
+    some value is still open there, twice as many levels are opened.
+    """
+    rows = _opened(df, keys, json_col, depth)
+    while rows.where(_children(F.col("n.v"), F.col("n.path"))[1]).limit(1).count():
+        depth *= 2
+        rows = _opened(df, keys, json_col, depth)
+    return rows.select(*keys, "n.path", F.expr("coalesce(try_cast(n.v AS string), to_json(n.v))").alias("value"))
+
+
+def _redacted(text: str) -> str:
+    for pattern, put in K.REDACTIONS:
+        text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), text)
+    return text
+
+
+def _walk(value, depth: int, text_limit: int, items: int, most: int):
+    if depth >= most:
+        return "[truncated]"
+    if isinstance(value, str):
+        clean = _redacted(value)
+        return clean if len(clean) <= text_limit else clean[:text_limit] + "…"
+    if isinstance(value, dict):
+        hidden = lambda k: any(part in k.lower() for part in K.SENSITIVE_KEY_PARTS)
+        return {k: "[redacted]" if hidden(k) else _walk(v, depth + 1, text_limit, items, most) for k, v in islice(value.items(), items)}
+    if isinstance(value, list):
+        return [_walk(v, depth + 1, text_limit, items, most) for v in value[:items]]
+    return value
+
+
+def safe_json(text: Column, text_limit: int = 2000, items: int = 100, most: int = 8) -> Column:
+    """PR-9: JSON with secrets hidden at every level, texts redacted and bounded, ``items`` entries per container.
+
+    Values deeper than ``most`` levels read "[truncated]".  What is no JSON is treated as one string.  SQL has no
+    recursion over open depth, so this is a small Arrow-fed function.
+    """
+    @pandas_udf(StringType())
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else json.dumps(_walk(_parsed(t), 0, text_limit, items, most), ensure_ascii=False, separators=(",", ":")))
+    return run(text)
+
+
+def _parsed(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
+def _counters(value, path: str, depth: int, items: int, most: int) -> dict[str, float]:
+    out: dict[str, float] = {}
+    if not isinstance(value, dict) or depth >= most:
+        return out
+    for k, v in islice(value.items(), items):
+        if re.fullmatch("[a-z_]+", k) and k.endswith(("tokens", "tokens_details")):
+            if type(v) in (int, float):
+                out[path + k] = float(v)
+            else:
+                out |= _counters(v, f"{path}{k}.", depth + 1, items, most)
+    return out
+
+
+def usage_counts(text: Column, items: int = 50, most: int = 4) -> Column:
+    """PR-11: numeric '*tokens' and '*tokens_details' counters down to ``most`` levels, nested names joined by dots.
+
+    Numbers in quotes and truth values are no counters; ``items`` entries of a level are looked at.
+    """
+    @pandas_udf(MapType(StringType(), DoubleType()))
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else _counters(_parsed(t), "", 0, items, most))
+    return run(text)
 
 
 @udtf(returnType=LEAF_TYPE)

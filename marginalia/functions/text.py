@@ -136,11 +136,9 @@ def looks_english_title(c: Column) -> Column:
 
 def redact(c: Column) -> Column:
     """PR-8: quoted values, bare values, bearer tokens, key-shaped strings, in that order."""
-    keys = "(?:api[_ -]?key|authorization|secret|token|password|credential)"
-    t = F.regexp_replace(c, f"(?iu)([\"']?{keys}[\"']?\\s*[:=]\\s*[\"'])(.*?)([\"'])", "$1<redacted>$3")
-    t = F.regexp_replace(t, f"(?iu)([\"']?{keys}[\"']?\\s*[:=]\\s*)([^\"'\\s,}}]+)", "$1<redacted>")
-    t = F.regexp_replace(t, "(?i)\\bbearer\\s+[a-z0-9._-]+", "Bearer <redacted>")
-    return F.regexp_replace(t, "\\bsk-[a-zA-Z0-9_-]{8,}\\b", "<redacted-api-key>")
+    for pattern, put in K.REDACTIONS:
+        c = F.regexp_replace(c, pattern.replace("(?i)", "(?iu)") if K.SECRET_NAMES in pattern else pattern, put)
+    return c
 
 
 def bounded(c: Column, limit: int) -> Column:
@@ -148,37 +146,6 @@ def bounded(c: Column, limit: int) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.left(c, F.lit(limit)), F.lit("…")))
 
 
-def sensitive_key(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(False)
-    for part in K.SENSITIVE_KEY_PARTS:
-        out = out | F.contains(low, F.lit(part))
-    return out
-
-
-def preview_map(m: Column, text_limit: int = 2000, items: int = 50) -> Column:
-    """PR-9 for one level of a string map: sensitive keys hidden, values bounded, items capped."""
-    entries = F.slice(F.map_entries(m), 1, items)
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"),
-        F.when(sensitive_key(e["key"]), F.lit("[redacted]")).otherwise(bounded(e["value"], text_limit)).alias("value"))))
-
-
-def usage_counts(usage_json: Column) -> Column:
-    """PR-11: numeric '*tokens' counters, and those nested one level under '*tokens_details'."""
-    top = F.from_json(usage_json, "map<string,string>")
-
-    def keep(k: Column, v: Column) -> Column:
-        return k.rlike("^[a-z_]+$") & F.endswith(k, F.lit("tokens")) & v.try_cast("double").isNotNull()
-
-    flat = F.map_filter(top, keep)
-    nested = F.map_filter(top, lambda k, v: k.rlike("^[a-z_]+$") & F.endswith(k, F.lit("tokens_details")) & F.startswith(v, F.lit("{")))
-    inner = F.flatten(F.transform(F.map_entries(nested), lambda e: F.transform(
-        F.map_entries(F.map_filter(F.from_json(e["value"], "map<string,string>"), keep)),
-        lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))))
-    return F.map_concat(flat, F.coalesce(F.map_from_entries(inner), F.from_json(F.lit("{}"), "map<string,string>")))
-
-
 def rescue_json(c: Column) -> Column:
     """PR-12: strip a code fence, cut to the outermost braces; NULL unless it parses to an object."""
     t = strip(c)
@@ -195,13 +162,9 @@ def overflow_error(provider: Column, status: Column, body: Column) -> Column:
     """PR-13: does a provider error say the context was too long?"""
     def field(name: str) -> Column:
         return F.coalesce(F.get_json_object(body, f"$.error.{name}"), F.get_json_object(body, f"$.{name}"), F.lit(""))
-    coded = field("code").isin("context_length_exceeded", "context_window_exceeded", "input_tokens_exceeded") | \
-        field("type").isin("context_length_exceeded", "context_window_exceeded")
-    said = field("message").rlike(
-        r"(?i)maximum context length.{0,100}(?:exceed|requested|resulted)|"
-        r"(?:exceed\w*.{0,60}(?:context (?:length|window)|input token limit))|"
-        r"(?:context (?:length|window)|input token limit).{0,60}exceed")
-    return provider.isin("deepseek", "openai_compatible") & (status.isNull() | status.isin(400, 413, 422)) & (coded | said)
+    coded = field("code").isin(K.OVERFLOW_CODES) | field("type").isin(K.OVERFLOW_TYPES)
+    said = field("message").rlike(K.OVERFLOW_MESSAGE)
+    return provider.isin(K.OVERFLOW_PROVIDERS) & (status.isNull() | status.isin(K.OVERFLOW_STATUS)) & (coded | said)
 
 
 def result_summary(tool: Column, ok: Column, error: Column, content: Column) -> Column:
@@ -285,19 +248,16 @@ def author_names(line: Column) -> Column:
     return F.filter(F.split(t, "(?U)[\\s,，、;；]+"), lambda x: x.rlike("^[\\u4e00-\\u9fff]{2,5}\\z"))
 
 
-_ZH_END = r"Abstract|ABSTRACT|引言|1\s*引言|一[、.．]\s*引言"
-
-
 def zh_abstract(raw: Column) -> Column:
     t = F.regexp_replace(F.coalesce(raw, F.lit("")), "\\r\\n?", "\n")
-    body = F.regexp_extract(t, rf"(?sU)摘\s*要\s*[:：]?\s*(.*?)(?=\n?\s*(?:关\s*键\s*词|关键词|{_ZH_END}))", 1)
+    body = F.regexp_extract(t, rf"(?sU)摘\s*要\s*[:：]?\s*(.*?)(?=\n?\s*(?:关\s*键\s*词|关键词|{K.ZH_FRONT_END}))", 1)
     a = collapse(body)
     return F.when(F.length(a) < 30, F.lit("")).otherwise(F.left(a, F.lit(1500)))
 
 
 def zh_keywords(raw: Column) -> Column:
     t = F.regexp_replace(F.coalesce(raw, F.lit("")), "\\r\\n?", "\n")
-    body = F.regexp_extract(t, rf"(?sU)关\s*键\s*词\s*[:：;；]?\s*(.*?)(?=\n?\s*(?:{_ZH_END}|中图分类号|文献标识码))", 1)
+    body = F.regexp_extract(t, rf"(?sU)关\s*键\s*词\s*[:：;；]?\s*(.*?)(?=\n?\s*(?:{K.ZH_FRONT_END}|中图分类号|文献标识码))", 1)
     line = strip(F.get(F.split(body, "\n"), F.lit(0)))
     items = F.filter(F.split(line, "(?U)[；;，,\\s]+"), lambda x: (x != "") & (F.length(x) <= 30) & (has_cjk(x) | F.contains(x, F.lit("-"))))
     return F.slice(items, 1, 12)

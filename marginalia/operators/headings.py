@@ -84,20 +84,22 @@ def with_headings(docs: DataFrame, text_col: str, name: str = "_heads") -> DataF
     lines = F.col("_lines")
     staged = docs.withColumn("_lines", F.split(F.col(text_col), "\n"))
 
-    # Only lines that look like a heading, or like the start of a two-line alias, are kept.
+    # Lines that look like a heading, or like the start of an alias that goes on in the next lines, are kept.
+    # Lines of blanks only lie between the words of an alias like any other white space.
     indexed = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("line")))
-    likely = F.filter(indexed, lambda x: (F.length(x["line"]) <= 160) & (
-        x["line"].rlike(ZH_LINE) | x["line"].rlike(EN_LINE) | x["line"].rlike(TWO_LINE)))
+    staged = staged.withColumn("_solid", F.filter(indexed, lambda x: T.strip(x["line"]) != ""))
+    numbered = F.transform("_solid", lambda x, s: F.struct(s.alias("s"), x["i"].alias("i"), x["line"].alias("line")))
+    likely = F.filter(numbered, lambda x: x["line"].rlike(ZH_LINE) | x["line"].rlike(EN_LINE) | x["line"].rlike(OPEN_LINE))
     staged = staged.withColumn("_likely", likely)
 
-    def both(x: Column) -> Column:
-        nxt = F.get(lines, x["i"] + 1)
-        pair = F.when(F.length(nxt) <= 160, F.concat(x["line"], F.lit("\n"), nxt))
+    def spans(x: Column) -> Column:
         def out(t: Column) -> Column:
             return F.struct(x["i"].alias("i"), t.alias("line"), _match(t).alias("m"))
-        return F.array(out(x["line"]), out(pair))
+        tails = [F.get("_solid", x["s"] + k)["i"] for k in range(1, MOST_WORDS)]
+        joined = [F.when(x["line"].rlike(OPEN_LINE) & j.isNotNull(), F.array_join(F.slice(lines, x["i"] + 1, F.coalesce(j, x["i"]) - x["i"] + 1), "\n")) for j in tails]
+        return F.array(out(x["line"]), *[out(t) for t in joined])
 
-    hits = F.filter(F.flatten(F.transform("_likely", both)), lambda h: h["m"].isNotNull())
+    hits = F.filter(F.flatten(F.transform("_likely", spans)), lambda h: h["m"].isNotNull())
     staged = staged.withColumn("_hits", hits)
 
     def finish(h: Column) -> Column:
@@ -108,12 +110,13 @@ def with_headings(docs: DataFrame, text_col: str, name: str = "_heads") -> DataF
                         section.alias("section"), source.alias("source"), confidence(title, section, source).alias("confidence"))
 
     heads = F.array_sort(F.filter(F.transform("_hits", finish), lambda h: plausible(h["title"], h["source"])))
-    return settle(staged.withColumn(name, heads).drop("_lines", "_likely", "_hits"))
+    return settle(staged.withColumn(name, heads).drop("_lines", "_solid", "_likely", "_hits"))
 
 
 _spaced = sorted({w for t in (K.ZH_ALIASES, K.EN_ALIASES) for ws in t.values() for w in ws if " " in w})
 _starts = sorted({" ".join(w.split(" ")[:i]) for w in _spaced for i in range(1, len(w.split(" ")))})
-TWO_LINE = rf"(?iU)^{BLANK}(?:{NUMBER}{BLANK})?(?:{'|'.join(w.replace(' ', chr(92) + 's+') for w in _starts)})\s*\z"
+MOST_WORDS = max(len(w.split(" ")) for w in _spaced)
+OPEN_LINE = rf"(?iU)^{BLANK}(?:{NUMBER}{BLANK})?(?:{'|'.join(w.replace(' ', chr(92) + 's+') for w in _starts)})\s*\z"
 
 
 def find_headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
@@ -186,22 +189,22 @@ def extract_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "r
 
 
 def fold_sections(parts: DataFrame, id_col: str, keep: list[str]) -> DataFrame:
-    rows = parts.select(id_col, *keep, "parts", F.posexplode(F.array(*[F.lit(k) for k in K.SECTION_KEYS])).alias("section_pos", "section"))
-    mine = F.filter("parts", lambda p: p["section"] == F.col("section"))
-    rows = rows.select(id_col, *keep, F.col("section_pos").cast("bigint").alias("section_pos"), "section", mine.alias("mine"))
-    head, tail = F.get("mine", F.lit(0)), F.try_element_at("mine", F.lit(-1))
-    content = F.array_join(F.transform("mine", lambda p: p["content"]), "\n\n")
-    found = F.size("mine") > 0
-    return rows.select(
-        id_col, *keep, "section_pos", "section", content.alias("content"),
-        F.when(found, head["source"]).otherwise("missing").alias("source"),
-        F.when(found, head["title"]).otherwise("").alias("matched_title"),
-        F.length(content).cast("bigint").alias("length"),
-        F.when(found, head["start_char"]).otherwise(F.lit(-1).cast("bigint")).alias("start_char"),
-        F.when(found, tail["end_char"]).otherwise(F.lit(-1).cast("bigint")).alias("end_char"),
-        F.when(found, head["confidence"]).otherwise(F.lit(0).cast("bigint")).alias("confidence"),
-        F.when(found, head["warning"]).otherwise("section not found").alias("warning"),
-    )
+    """Six small structs are built inside the row and exploded, so no output row carries the other sections."""
+    zero, none = F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")
+
+    def one(pos: int, key: str) -> Column:
+        mine = F.filter("parts", lambda p: p["section"] == key)
+        head, tail = F.get(mine, F.lit(0)), F.try_element_at(mine, F.lit(-1))
+        found = F.size(mine) > 0
+        return F.struct(
+            F.lit(pos).cast("bigint").alias("section_pos"), F.lit(key).alias("section"), F.array_join(F.transform(mine, lambda p: p["content"]), "\n\n").alias("content"),
+            F.when(found, head["source"]).otherwise("missing").alias("source"), F.when(found, head["title"]).otherwise("").alias("matched_title"),
+            F.when(found, head["start_char"]).otherwise(none).alias("start_char"), F.when(found, tail["end_char"]).otherwise(none).alias("end_char"),
+            F.when(found, head["confidence"]).otherwise(zero).alias("confidence"), F.when(found, head["warning"]).otherwise("section not found").alias("warning"))
+
+    rows = parts.select(id_col, *keep, F.inline(F.array(*[one(n, k) for n, k in enumerate(K.SECTION_KEYS)])))
+    return rows.select(id_col, *keep, "section_pos", "section", "content", "source", "matched_title", F.length("content").cast("bigint").alias("length"),
+                       "start_char", "end_char", "confidence", "warning")
 
 
 def merge_sections(rule: DataFrame, alternate: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -27,14 +27,10 @@ def _sql_line(tab: dict, flags: str) -> str:
     return rf"{flags}^[ \t　]*(?:{_num}[ \t　]*)?({alts})[ \t　]*(?:[:：.。．\-])?[ \t　]*$"
 
 
-def _pct(x: str, n: str) -> str:
-    return x.replace("$", n)
-
-
 HEADS_SQL = f"""alias(word, section, source) AS (VALUES {_alias_rows}),
   ln0 AS (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS l, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM papers_v),
   ln AS (SELECT doc_id, l, i, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st FROM ln0),
-  cand AS (SELECT *, regexp_extract(l, '{_sql_line(K.ZH_ALIASES, "")}', 1) AS zh, lower(regexp_extract(l, '{_sql_line(K.EN_ALIASES, "(?i)")}', 1)) AS en FROM ln WHERE length(l) <= 160),
+  cand AS (SELECT *, regexp_extract(l, '{_sql_line(K.ZH_ALIASES, "")}', 1) AS zh, lower(regexp_extract(l, '{_sql_line(K.EN_ALIASES, "(?i)")}', 1)) AS en FROM ln),
   hit AS (SELECT c.doc_id, c.st AS start, c.st + length(c.l) AS "end", trim(c.l) AS title, a.section, a.source, regexp_replace(c.l, '\\s+', '', 'g') AS flat
           FROM cand c JOIN alias a ON (a.source = 'rule_zh' AND a.word = c.zh) OR (a.source = 'rule_en' AND a.word = c.en)),
   head AS (SELECT doc_id, start, "end", title, section, source, CAST(greatest(0, least(100,

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
-from marginalia.functions.json_tables import json_leaves
+from marginalia.functions.json_tables import json_leaves, safe_json, usage_counts
 from marginalia.functions.registry import register_all
 from marginalia.functions.similarity import similarity
 from marginalia.plans.base import documents, query, sql_collapse, sql_list, sql_strip, table
 
 # Values of many kinds: unclear marks, short and long texts.
-VALUE_SQL = """CASE doc_id % 9 WHEN 0 THEN '未明确提及' WHEN 1 THEN concat(' ', substring(text, 1, 12), ' ') WHEN 2 THEN 'N/A' WHEN 3 THEN '  ' WHEN 4 THEN 'NULL' WHEN 5 THEN NULL ELSE text END"""
+VALUE_SQL = """CASE doc_id % 9 WHEN 0 THEN '未明确提及' WHEN 1 THEN concat(' ', source, ' ') WHEN 2 THEN 'N/A' WHEN 3 THEN '  ' WHEN 4 THEN 'NULL' WHEN 5 THEN NULL ELSE text END"""
 
 
 def _value():
     i = F.col("doc_id") % 9
-    return F.when(i == 0, "未明确提及").when(i == 1, F.concat(F.lit(" "), F.left("text", F.lit(12)), F.lit(" "))).when(i == 2, "N/A").when(i == 3, "  ") \
+    return F.when(i == 0, "未明确提及").when(i == 1, F.concat(F.lit(" "), "source", F.lit(" "))).when(i == 2, "N/A").when(i == 3, "  ") \
         .when(i == 4, "NULL").when(i == 5, None).otherwise(F.col("text"))
 
 
@@ -41,9 +41,9 @@ def _(spark, d):
 _mt = lambda x: (f"""trim(rtrim(regexp_replace(regexp_replace(regexp_replace(replace(lower({x}), '：', ':'), '\\s+', ' ', 'g'), '\\s*:\\s*', ': ', 'g'), '["''“”‘’`]+', '', 'g'), ' .,;:，。；：!?？！'))""")
 
 
-@query("pr3_match_text", f"SELECT doc_id, {_mt('concat(substring(text, 1, 200), chr(10), $$“x”：y .。!$$)')} AS normalized FROM documents")
+@query("pr3_match_text", f"SELECT doc_id, {_mt('concat(text, chr(10), $$“x”：y .。!$$)')} AS normalized FROM documents")
 def _(spark, d):
-    x = F.concat(F.left("text", F.lit(200)), F.lit("\n“x”：y .。!"))
+    x = F.concat("text", F.lit("\n“x”：y .。!"))
     return documents(spark, d).select("doc_id", T.match_text(x).alias("normalized"))
 
 
@@ -77,12 +77,12 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", T.title_guess(F.concat(F.lit("--- Page 1 ---\n"), "text")).alias("title"))
 
 
-@query("pr7_script_tests", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('论文', substring(text, 1, 40)) ELSE substring(text, 1, 5 + doc_id % 60) END AS t FROM documents)
+@query("pr7_script_tests", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('论文', text) WHEN doc_id % 4 = 1 THEN lang ELSE text END AS t FROM documents)
    SELECT doc_id, regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}]') AS has_cjk, NOT regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}]') AND regexp_matches(t, '[A-Za-z]{{8,}}') AS signal,
      NOT regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}]') AND length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 8 AND length({sql_strip('t')}) >= 12 AS english FROM t""")
 def _(spark, d):
     i = F.col("doc_id")
-    t = documents(spark, d).select("doc_id", F.when(i % 4 == 0, F.concat(F.lit("论文"), F.left("text", F.lit(40)))).otherwise(F.left("text", (5 + i % 60).cast("int"))).alias("t"))
+    t = documents(spark, d).select("doc_id", F.when(i % 4 == 0, F.concat(F.lit("论文"), "text")).when(i % 4 == 1, F.col("lang")).otherwise(F.col("text")).alias("t"))
     return t.select("doc_id", T.has_cjk(F.col("t")).alias("has_cjk"), T.english_title_signal(F.col("t")).alias("signal"), T.looks_english_title(F.col("t")).alias("english"))
 
 
@@ -97,16 +97,20 @@ def _(spark, d):
     return r.select("doc_id", F.sha2("r", 256).alias("text_hash"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query("pr9_bounded_preview", """SELECT doc_id, CASE WHEN length(text) > 2000 THEN concat(substring(text, 1, 2000), '…') ELSE text END AS body, '[redacted]' AS api_key, source AS source FROM documents""")
+@query("pr9_bounded_preview", f"""WITH r AS (SELECT doc_id, source, {REDACT_SQL} AS t FROM documents)
+   SELECT doc_id, CASE WHEN length(t) > 2000 THEN concat(substring(t, 1, 2000), '…') ELSE t END AS body, '[redacted]' AS api_key, '[redacted]' AS deep_key, 'Bearer <redacted> x' AS deep_note, source AS source FROM r""")
 def _(spark, d):
-    m = F.create_map(F.lit("body"), F.col("text"), F.lit("user_API_KEY"), F.lit("sk-12345678"), F.lit("source"), F.col("source"))
-    p = documents(spark, d).select("doc_id", T.preview_map(m).alias("m"))
-    return p.select("doc_id", F.col("m.body").alias("body"), F.col("m.user_API_KEY").alias("api_key"), F.col("m.source").alias("source"))
+    deep = F.struct(F.struct(F.lit("p").alias("Password"), F.lit("bearer abc.def x").alias("note")).alias("b"))
+    j = F.to_json(F.struct(F.col("text").alias("body"), F.lit("sk-12345678").alias("user_API_KEY"), F.array(deep).alias("a"), "source"))
+    p = documents(spark, d).select("doc_id", safe_json(j).alias("j"))
+    at = lambda path, name: F.get_json_object("j", path).alias(name)
+    return p.select("doc_id", at("$.body", "body"), at("$.user_API_KEY", "api_key"), at("$.a[0].b.Password", "deep_key"), at("$.a[0].b.note", "deep_note"), at("$.source", "source"))
 
 
-@query("pr10_json_leaves", "SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")
+@query("pr10_json_leaves", """SELECT event_id, unnest(['a.b.c.d.e', 'props.k', 't.0', 't.1']) AS path, unnest([CAST(user_id AS VARCHAR), CAST(json_extract(props, '$.k') AS VARCHAR), event_type, '{}']) AS value FROM events""")
 def _(spark, d):
-    return json_leaves(table(spark, d, "events"), ["event_id"], "props", depth=1)
+    j = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":'), F.col("user_id").cast("string"), F.lit('}}}},"props":'), "props", F.lit(',"t":["'), "event_type", F.lit('",{}]}'))
+    return json_leaves(table(spark, d, "events").withColumn("j", j), ["event_id"], "j")
 
 
 @query("ud4_nested_leaves", """SELECT event_id, unnest(['props.k', 'tags.0', 'tags.1', 'empty']) AS path, unnest([CAST(json_extract(props, '$.k') AS VARCHAR), event_type, CAST(user_id AS VARCHAR), '{}']) AS value FROM events""")
@@ -117,13 +121,14 @@ def _(spark, d):
     return spark.sql("SELECT event_id, l.path, l.value FROM ud4_events, LATERAL json_leaves(ud4_events.j) l")
 
 
-@query("pr11_usage_counts", """SELECT event_id, user_id AS prompt_tokens, CAST(json_extract(props, '$.k') AS BIGINT) AS cached_tokens, CAST(2 AS BIGINT) AS n_counters FROM events""")
+@query("pr11_usage_counts", """SELECT event_id, user_id AS prompt_tokens, CAST(json_extract(props, '$.k') AS BIGINT) AS cached_tokens, CAST(7 AS BIGINT) AS deep_tokens, CAST(3 AS BIGINT) AS n_counters FROM events""")
 def _(spark, d):
-    u = F.concat(F.lit('{"prompt_tokens":'), F.col("user_id").cast("string"), F.lit(',"api_token":"x","model":"m","prompt_tokens_details":{"cached_tokens":'),
-                 F.get_json_object("props", "$.k"), F.lit(',"note":"y"}}'))
-    c = table(spark, d, "events").select("event_id", T.usage_counts(u).alias("c"))
-    return c.select("event_id", F.try_element_at("c", F.lit("prompt_tokens")).cast("bigint").alias("prompt_tokens"),
-                    F.try_element_at("c", F.lit("prompt_tokens_details.cached_tokens")).cast("bigint").alias("cached_tokens"), F.size("c").cast("bigint").alias("n_counters"))
+    u = F.concat(F.lit('{"prompt_tokens":'), F.col("user_id").cast("string"), F.lit(',"api_token":"x","model":"m","completion_tokens":"12","flag_tokens":true,"prompt_tokens_details":{"cached_tokens":'),
+                 F.get_json_object("props", "$.k"), F.lit(',"note":"y","audio_tokens_details":{"x_tokens":{"y_tokens":7}}}}'))
+    c = table(spark, d, "events").select("event_id", usage_counts(u).alias("c"))
+    n = lambda key, name: F.try_element_at("c", F.lit(key)).cast("bigint").alias(name)
+    return c.select("event_id", n("prompt_tokens", "prompt_tokens"), n("prompt_tokens_details.cached_tokens", "cached_tokens"),
+                    n("prompt_tokens_details.audio_tokens_details.x_tokens.y_tokens", "deep_tokens"), F.size("c").cast("bigint").alias("n_counters"))
 
 
 @query("pr12_rescued_json", """SELECT event_id, CASE event_id % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 5 < 3 AS ok FROM events""")
@@ -193,8 +198,12 @@ def _(spark, d):
     return t.join(n, "doc_id").select("doc_id", similarity(F.col("a"), F.col("b")).alias("next_similarity"), similarity(F.col("a"), F.upper("a")).alias("self_similarity"))
 
 
-@query("ud2_registered_functions", "SELECT doc_id, CAST(1.0 AS DOUBLE) AS same FROM documents WHERE text <> ''")
+# Texts with known answers: a text against itself, against nothing, and with a second half that shares no letter with the first.
+@query("ud2_registered_functions", """SELECT doc_id, CAST(1.0 AS DOUBLE) AS same, CAST(0.0 AS DOUBLE) AS none, CAST(0.5 AS DOUBLE) AS half, length(source) AS n_chunks, 'a.0' AS first_path FROM documents""")
 def _(spark, d):
     register_all(spark)
     documents(spark, d).createOrReplaceTempView("ud2_documents")
-    return spark.sql("SELECT doc_id, text_similarity(left(text, 80), left(text, 80)) AS same FROM ud2_documents WHERE text <> ''")
+    return spark.sql("""SELECT doc_id, any_value(text_similarity(source, source)) AS same, any_value(text_similarity(source, '')) AS none,
+        any_value(text_similarity(concat(source, repeat('#', length(source))), concat(repeat('%', length(source)), source))) AS half,
+        CAST(count(*) AS BIGINT) AS n_chunks, any_value(l.path) AS first_path
+        FROM ud2_documents, LATERAL chunk_text(ud2_documents.source, 1, 0) c, LATERAL json_leaves('{"a":[1]}') l GROUP BY doc_id""")

@@ -21,6 +21,13 @@ def test_headings_numbering_styles_and_two_line_alias(spark):
         assert EN[start:end].strip() == title
 
 
+def test_headings_have_no_raw_length_or_line_limit(spark):
+    text = " " * 200 + "abstract\nx\nbackground\nand\n\n related\nwork\ny\n2. literature\n" + " " * 300 + "review" + " " * 300 + "\nz"
+    df = spark.createDataFrame([(1, text)], "doc_id int, raw_text string")
+    got = [(r.section, " ".join(r.title.split())) for r in H.find_headings(df).orderBy("ordinal").collect()]
+    assert got == [("abstract", "abstract"), ("introduction", "background"), ("related_work", "background and related work"), ("related_work", "related work"), ("related_work", "2. literature review")]
+
+
 def test_sentences_are_no_headings(spark):
     df = spark.createDataFrame([(1, "background and related work。\nMethod, model; results\nIntroduction")], "doc_id int, raw_text string")
     assert [r.section for r in H.find_headings(df).collect()] == ["introduction"]

@@ -1,3 +1,5 @@
+import json
+
 import html
 import re
 from difflib import SequenceMatcher
@@ -5,7 +7,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.functions.json_tables import json_leaves
+from marginalia.functions.json_tables import json_leaves, safe_json, usage_counts
 from marginalia.functions.registry import register_all
 from marginalia.functions.similarity import similarity
 
@@ -86,8 +88,27 @@ def test_json_leaves_native_and_function_agree(spark):
     assert {("a.b.0", "1"), ("a.b.1.c", "{x}"), ("d", "{}"), ("f", "s")} <= native & table
 
 
-def test_key_redaction_and_usage(spark):
-    df = spark.createDataFrame([('{"prompt_tokens":5,"api_token":"x","prompt_tokens_details":{"cached_tokens":3,"n":1}}',)], "u string")
-    assert df.select(T.usage_counts(F.col("u")).alias("m")).first().m == {"prompt_tokens": "5", "prompt_tokens_details.cached_tokens": "3"}
-    m = spark.sql("SELECT map('My_Password','p','text', repeat('x', 30)) AS m").select(T.preview_map(F.col("m"), 10).alias("m")).first().m
-    assert m == {"My_Password": "[redacted]", "text": "x" * 10 + "…"}
+def test_secrets_hide_at_every_level(spark):
+    doc = {"My_Password": "p", "text": "x" * 30, "a": [{"b": {"c": {"api_key": "k", "say": "password=hunter22 ok", "n": 1}}}], "list": list(range(120))}
+    deep: dict = {}
+    at = deep
+    for _ in range(12):
+        at["k"] = {}
+        at = at["k"]
+    df = spark.createDataFrame([(json.dumps(doc),), (json.dumps(deep),), ("no json, token: abc",), (None,)], "j string")
+    got = [r.s and json.loads(r.s) for r in df.select(safe_json(F.col("j"), 10).alias("s")).collect()]
+    assert got[0]["My_Password"] == "[redacted]" and got[0]["text"] == "x" * 10 + "…" and len(got[0]["list"]) == 100
+    assert got[0]["a"][0]["b"]["c"] == {"api_key": "[redacted]", "say": "password=<…", "n": 1}
+    assert json.dumps(got[1]).count("{") == 8 and "[truncated]" in json.dumps(got[1])
+    assert got[2].startswith("no json") and got[3] is None
+
+
+def test_usage_counts_walk_four_levels_and_take_numbers_only(spark):
+    u = {"prompt_tokens": 5, "api_token": "x", "n_tokens": "12", "b_tokens": True, "prompt_tokens_details": {"cached_tokens": 3, "n": 1, "x_tokens": {"y_tokens": {"z_tokens": 2, "d_tokens": {"e_tokens": 1}}}}}
+    m = spark.createDataFrame([(json.dumps(u),)], "u string").select(usage_counts(F.col("u")).alias("m")).first().m
+    assert m == {"prompt_tokens": 5.0, "prompt_tokens_details.cached_tokens": 3.0, "prompt_tokens_details.x_tokens.y_tokens.z_tokens": 2.0}
+
+
+def test_leaves_open_any_depth(spark):
+    df = spark.createDataFrame([(1, '{"a":' * 6 + "1" + "}" * 6), (2, '{"b":[[[[[[7]]]]]]}')], "id int, j string")
+    assert {(r.path, r.value) for r in json_leaves(df, ["id"], "j", depth=1).collect()} == {("a.a.a.a.a.a", "1"), ("b.0.0.0.0.0.0", "7")}
