@@ -134,6 +134,7 @@ ZH_FRONT_END = r"Abstract|ABSTRACT|引言|1\s*引言|一[、.．]\s*引言"
 # --- fixed values: retrieval and budgets -----------------------------------------
 CHUNK_SIZE, CHUNK_OVERLAP, TOP_K, MAX_TOP_K, MAX_DOCS = 1200, 200, 3, 8, 8
 PARSERS = ["grobid", "pymupdf"]
+EVIDENCE_NAMES = ["paper_id", "parser", "cache_version", "chunk_id"]
 RESULT_CAP, READ_CAP = 12000, 2000
 WINDOW, MAX_OUTPUT, SAFETY = 65536, 4096, 1024
 RECENT_RATIO = 0.16

@@ -98,27 +98,54 @@ def checkpoint_reason(version: Column, summary: Column, covered: Column, refs: C
     )
 
 
-def page_fields(requests: DataFrame, fields: DataFrame, overhead: int = 32) -> DataFrame:
+def page_fields(requests: DataFrame, fields: DataFrame, completed: DataFrame | None = None, overhead: int = 32, most_events: int = 100,
+                limits: tuple[int, int] = (512, 4000)) -> DataFrame:
     """HP-4: leaf fields of a requested event range, packed in order until the cap; the first field that
     does not fit whole is cut, and is where the next page starts.
 
-    ``requests``: request_id, session_id, start_seq, end_seq, max_chars; ``fields``: session_id, seq, field_index, path, value.
-    A request spans at most 100 events by rule, which bounds its window.
+    ``requests``: request_id, session_id, start_seq, end_seq, max_chars, and the cursor field_index and offset (0
+    where they are missing) inside the first event; ``fields``: session_id, seq, field_index, path, value;
+    ``completed``: session_id, seq of the events of ended turns, all events where it is missing.
+
+    Every request answers: with its fields, or with one row whose ``error`` says why it is refused (a range of more
+    than ``most_events`` events or out of order, limits outside ``limits``, events that are not all there, a cursor
+    beyond the fields).  Names of evidence are never cut.  A field takes its value, path and ``overhead`` characters.
     """
-    r = requests.where((F.col("start_seq") >= 1) & (F.col("end_seq") >= F.col("start_seq")) & (F.col("end_seq") - F.col("start_seq") < 100))
-    r = r.withColumn("seq", F.explode(F.sequence("start_seq", "end_seq")))
-    j = r.join(fields, ["session_id", "seq"])
-    cost = F.length("value") + F.length("path") + F.lit(overhead)
-    j = j.withColumn("_cost", cost.cast("bigint")).withColumn("_o", F.col("seq") * F.lit(1 << 20) + F.col("field_index"))
-    j = running(j, ["request_id"], ["_o"], F.floor(F.col("_o") / F.lit(1 << 24)), {"_before": ("sum", "_cost", False)})
+    zero = F.lit(0).cast("bigint")
+    r = requests
+    for c in ("field_index", "offset"):
+        r = r.withColumn(c, F.coalesce(F.col(c).cast("bigint"), zero) if c in r.columns else zero)
+    wide = (F.col("start_seq") >= 1) & (F.col("end_seq") >= F.col("start_seq")) & (F.col("end_seq") - F.col("start_seq") < most_events)
+    good = F.coalesce(wide & (F.col("field_index") >= 0) & (F.col("offset") >= 0) & F.col("max_chars").between(*limits), F.lit(False))
+    r = r.withColumn("error", F.when(~good, "history_read_invalid_range_or_limit"))
+    asked = r.where("error IS NULL").withColumn("seq", F.explode(F.sequence("start_seq", "end_seq")))
+    known = (fields if completed is None else completed).select("session_id", "seq").distinct()
+    there = asked.join(known, ["session_id", "seq"]).groupBy("request_id").agg(F.count("*").alias("_there"))
+    j = asked.join(fields.withColumnRenamed("field_index", "_f"), ["session_id", "seq"])
+    first = F.col("seq") == F.col("start_seq")
+    j = j.where(~first | (F.col("_f") >= F.col("field_index")))
+    begin = first & (F.col("_f") == F.col("field_index"))
+    named = F.substring_index("path", ".", -1).isin(K.EVIDENCE_NAMES)
+    j = j.withColumn("_from", F.when(begin, F.col("offset")).otherwise(zero))
+    has = j.groupBy("request_id").agg(F.max(F.when(first, 1)).alias("_begun"), F.max(F.when(begin & (F.col("offset") > 0) & (named | (F.col("offset") > F.length("value"))), 1)).alias("_beyond"))
+    r = r.join(there, "request_id", "left").join(has, "request_id", "left")
+    r = r.withColumn("error", F.coalesce("error", F.when(F.coalesce("_there", zero) < F.col("end_seq") - F.col("start_seq") + 1, "history_reference_unavailable")
+                                         .when(F.col("_begun").isNull(), "history_read_invalid_field_index").when(F.col("_beyond").isNotNull(), "history_read_invalid_offset")))
+    refused = r.where("error IS NOT NULL").select("request_id", "session_id", "error")
+    j = j.join(r.where("error IS NULL").select("request_id"), "request_id", "left_semi")
+    left = F.greatest(F.length("value") - F.col("_from"), zero)
+    j = j.withColumn("_cost", (left + F.length("path") + F.lit(overhead)).cast("bigint"))
+    # One event's fields are one block, so the order needs no packed key.
+    j = running(j, ["request_id"], ["seq", "_f"], F.col("seq"), {"_before": ("sum", "_cost", False)})
     room = F.col("max_chars") - F.col("_before")
     fits = F.col("_cost") <= room
-    shown = F.when(fits, F.length("value")).otherwise(F.greatest(F.lit(0), room - F.length("path") - F.lit(overhead)))
+    shown = F.when(fits, left).when(named, zero).otherwise(F.greatest(zero, room - F.length("path") - F.lit(overhead)))
     j = materialize(j.withColumn("whole", fits).withColumn("shown_chars", shown.cast("bigint")), "field-pages")
-    j = running(j, ["request_id"], ["_o"], F.floor(F.col("_o") / F.lit(1 << 24)), {"_cut_before": ("max", (~F.col("whole")).cast("int"), False)})
-    return j.where((F.coalesce("_cut_before", F.lit(0)) == 0)).select(
-        "request_id", "session_id", "seq", "field_index", "path", "whole", "shown_chars",
-        F.when(~F.col("whole"), F.col("shown_chars")).alias("next_offset"))
+    j = running(j, ["request_id"], ["seq", "_f"], F.col("seq"), {"_cut_before": ("max", (~F.col("whole")).cast("int"), False)})
+    page = j.where(F.coalesce("_cut_before", F.lit(0)) == 0).select(
+        "request_id", "session_id", F.lit(None).cast("string").alias("error"), "seq", F.col("_f").alias("field_index"), "path", "whole", F.col("_from").alias("offset"), "shown_chars",
+        F.when(~F.col("whole"), F.col("_from") + F.col("shown_chars")).alias("next_offset"))
+    return page.unionByName(refused, allowMissingColumns=True)
 
 
 def result_order(events: DataFrame) -> DataFrame:

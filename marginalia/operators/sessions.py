@@ -302,7 +302,16 @@ def recent_messages(messages: DataFrame, n: int = K.HISTORY_MESSAGES, keys: list
 
 
 def active_documents(links: DataFrame) -> DataFrame:
-    """TK-5: documents of each session by (added_at, id); positions as rows, nothing gathered."""
+    """TK-5: documents of each session by (added_at, id); positions as rows, nothing gathered.
+
+    ``added_at`` is a number, a timestamp or ISO text.  Text is ordered by the time it names, then as text; text
+    that names no time comes first.
+    """
+    kind = dict(links.dtypes)["added_at"]
+    if kind in ("string", "timestamp", "timestamp_ntz", "date"):
+        at = F.try_to_timestamp("added_at") if kind == "string" else F.col("added_at").cast("timestamp")
+        timed = links.withColumn("_at", F.coalesce(F.unix_micros(at), F.lit(0).cast("bigint")))
+        return number_rows(timed, ["session_id"], ["_at", "added_at", "doc_id"], block_of("_at", 60_000_000), "position").drop("_at")
     return number_rows(links, ["session_id"], ["added_at", "doc_id"], block_of("added_at"), "position")
 
 

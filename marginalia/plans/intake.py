@@ -123,21 +123,18 @@ def _xml_text(c):
     return c
 
 
-_head = lambda a, n: f"{sql_collapse(f'substring(text, {a}, {n})')}"
-
-
-@query("in8_tei_headers", f"""SELECT doc_id, {_head(1, 60)} AS title, CASE WHEN doc_id % 3 = 0 THEN 'Ann B. Lee|Bo Li' ELSE 'Ann B. Lee' END AS authors, concat('kw', doc_id % 5, '|common') AS keywords,
-   {_head(61, 300)} AS abstract, CAST(2 AS BIGINT) AS n_sections, concat('Ref ', doc_id, '/2001') AS reference FROM documents""")
+@query("in8_tei_headers", f"""SELECT doc_id, {sql_collapse('source')} AS title, CASE WHEN doc_id % 3 = 0 THEN 'Ann B. Lee|Bo Li' ELSE 'Ann B. Lee' END AS authors, concat('kw', doc_id % 5, '|common') AS keywords,
+   {sql_collapse('text')} AS abstract, CAST(2 AS BIGINT) AS n_sections, concat('Ref ', doc_id, '/2001') AS reference FROM documents""")
 def _(spark, d):
     i = F.col("doc_id").cast("string")
     person = lambda fs, s: "<author><persName>" + "".join(f"<forename>{f}</forename>" for f in fs) + f"<surname>{s}</surname></persName></author>"
     ann, bo = person(["Ann", "B."], "Lee"), person(["Bo"], "Li")
-    t = lambda a, n: _xml_text(F.substr("text", F.lit(a), F.lit(n)))
+    t = _xml_text(F.col("text"))
     xml = F.concat(
-        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), t(1, 60), F.lit(f"</title>{ann}</titleStmt><sourceDesc><biblStruct><analytic>{ann}"),
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), "source", F.lit(f"</title>{ann}</titleStmt><sourceDesc><biblStruct><analytic>{ann}"),
         F.when(F.col("doc_id") % 3 == 0, bo).otherwise(""), F.lit("</analytic></biblStruct></sourceDesc></fileDesc><profileDesc><textClass><keywords><term>kw"), (F.col("doc_id") % 5).cast("string"),
-        F.lit("</term><term>common</term><term> common </term></keywords></textClass><abstract><p>"), t(61, 300), F.lit("</p></abstract></profileDesc></teiHeader><text><body><div><head>Intro</head><p>"),
-        t(361, 200), F.lit("</p><p>more</p></div><div><p>untitled</p></div><div></div></body><back><listBibl><biblStruct><analytic><title>Ref "), i,
+        F.lit("</term><term>common</term><term> common </term></keywords></textClass><abstract><p>"), t, F.lit("</p></abstract></profileDesc></teiHeader><text><body><div><head>Intro</head><p>"),
+        t, F.lit("</p><p>more</p></div><div><p>untitled</p></div><div></div></body><back><listBibl><biblStruct><analytic><title>Ref "), i,
         F.lit('</title></analytic><monogr><imprint><date when="2001-05"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>'))
     p = M.parse_tei(documents(spark, d).select("doc_id", xml.alias("xml")))
     ref = F.col("references")[0]
@@ -145,18 +142,24 @@ def _(spark, d):
                     F.size("sections").cast("bigint").alias("n_sections"), F.concat(ref["title"], F.lit("/"), ref["year"]).alias("reference"))
 
 
+def _word_index(docs):
+    """doc_id and the inverted index (word to positions) of the whole text."""
+    words = F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")
+    w = docs.select("doc_id", F.posexplode(words).alias("p", "w")).where("w <> ''")
+    one = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
+    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+
+
 def _payloads(spark, d):
     i = F.col("doc_id")
-    docs = documents(spark, d).select("doc_id", F.left("text", F.lit(60)).alias("title"), F.substr("text", F.lit(61), F.lit(120)).alias("body"))
+    docs = documents(spark, d).select("doc_id", F.col("text").alias("title"), F.col("text").alias("body")).join(_word_index(documents(spark, d)), "doc_id", "left")
     year = (1990 + i % 30).cast("int")
     parts = lambda y: F.struct(F.array(F.array(y, F.lit(3))).alias("date-parts"))
     cross = F.to_json(F.struct(
         F.array("title").alias("title"), F.array(F.struct(F.lit("Ann").alias("given"), F.lit("Lee").alias("family")), F.struct(F.lit("").alias("given"), F.lit("Group").alias("family"))).alias("author"),
         F.array(F.lit("Journal &amp; Co")).alias("container-title"), F.concat(F.lit("<jats:p>"), "body", F.lit("</jats:p>")).alias("abstract"), F.concat(F.lit("10.1/"), i.cast("string")).alias("DOI"),
         F.when(i % 3 == 0, parts(year)).alias("published-print"), F.when(i % 3 != 2, parts(year + 1)).alias("published-online"), parts(year + 2).alias("issued")))
-    words = F.filter(F.split(F.regexp_replace("body", "\\s+", " "), " "), lambda w: w != "")
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("k"), F.transform(F.filter(F.transform(words, lambda x, n: F.struct(x.alias("x"), n.alias("n"))),
-                               lambda s: s["x"] == w), lambda s: s["n"]).alias("v"))))
+    index = F.coalesce("m", F.create_map().cast("map<string,array<int>>"))
     alex = F.to_json(F.struct(
         F.col("title").alias("title"), F.array(F.struct(F.struct(F.lit("Ann Lee").alias("display_name")).alias("author")), F.struct(F.struct(F.lit(None).cast("string").alias("display_name")).alias("author"))).alias("authorships"),
         year.alias("publication_year"), F.when(i % 2 == 0, F.struct(F.struct(F.lit("Venue A").alias("display_name")).alias("source"))).alias("primary_location"),
@@ -168,7 +171,7 @@ def _payloads(spark, d):
 
 
 _tag = lambda x: sql_collapse(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
-CANDS = f"""WITH b AS (SELECT doc_id, substring(text, 1, 60) AS t, substring(text, 61, 120) AS body, 1990 + doc_id % 30 AS y FROM documents),
+CANDS = f"""WITH b AS (SELECT doc_id, text AS t, text AS body, 1990 + doc_id % 30 AS y FROM documents),
    c AS (SELECT doc_id, 'crossref' AS provider, {_tag('t')} AS title, 'Ann Lee|Group' AS authors, CAST(CASE doc_id % 3 WHEN 0 THEN y WHEN 1 THEN y + 1 ELSE y + 2 END AS VARCHAR) AS year, 'Journal & Co' AS venue, {_tag('body')} AS abstract, concat('10.1/', doc_id) AS doi FROM b
      UNION ALL SELECT doc_id, 'openalex', {_tag('t')}, 'Ann Lee', CAST(y AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 'Venue A' ELSE 'Host B' END, trim(regexp_replace(body, '\\s+', ' ', 'g')), concat('10.1/', doc_id) FROM b
      UNION ALL SELECT doc_id, 'arxiv', {_tag('t')}, 'Ann Lee|Bo Li', CAST(y AS VARCHAR), 'arXiv', {_tag('body')}, '' FROM b)"""
@@ -192,10 +195,7 @@ def _(spark, d):
 @query("in11_rebuilt_abstracts", "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_hash FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def _(spark, d):
     """Inverted indexes are built from whole texts (one map per document), then turned back."""
-    words = F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")
-    w = documents(spark, d).select("doc_id", F.posexplode(words).alias("p", "w")).where("w <> ''")
-    one = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    index = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    index = _word_index(documents(spark, d))
     return index.select("doc_id", F.sha2(M.abstract_from_index(F.col("m")), 256).alias("text_hash"))
 
 
@@ -216,7 +216,7 @@ def _notes(spark, d):
     none = F.array().cast("array<string>")
     lists = F.when(i % 4 == 0, none).otherwise(F.array("source", "lang"))
     rec = documents(spark, d).select(
-        "doc_id", F.trim(F.regexp_replace(F.left("text", F.lit(60)), "\\s+", " ")).alias("title"), F.when(i % 2 == 0, F.array(F.lit("Ann Lee"), F.lit("Bo Li"))).otherwise(none).alias("authors"),
+        "doc_id", F.trim(F.regexp_replace("source", "\\s+", " ")).alias("title"), F.when(i % 2 == 0, F.array(F.lit("Ann Lee"), F.lit("Bo Li"))).otherwise(none).alias("authors"),
         F.when(i % 3 == 0, "").otherwise((1990 + i % 30).cast("string")).alias("year"), F.lit(None).cast("string").alias("venue"), F.col("text").alias("abstract"),
         F.lit("").alias("problem"), F.col("source").alias("motivation"), F.col("lang").alias("method_summary"), F.lit(None).cast("string").alias("experiment_summary"),
         lists.alias("innovation_points"), lists.alias("limitations"), none.alias("inspirations"))
@@ -224,7 +224,7 @@ def _notes(spark, d):
 
 
 _known = lambda x: f"CASE WHEN {x} = '' THEN '暂无' ELSE {x} END"
-NOTE_SQL = f"""WITH r AS (SELECT doc_id, CASE WHEN {_head(1, 60)} = '' THEN '未知' ELSE {_head(1, 60)} END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Ann Lee、Bo Li' ELSE '未知' END AS a,
+NOTE_SQL = f"""WITH r AS (SELECT doc_id, CASE WHEN {sql_collapse('source')} = '' THEN '未知' ELSE {sql_collapse('source')} END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Ann Lee、Bo Li' ELSE '未知' END AS a,
      CASE WHEN doc_id % 3 = 0 THEN '未知' ELSE CAST(1990 + doc_id % 30 AS VARCHAR) END AS y, {_known('text')} AS text, lang, source,
      CASE WHEN doc_id % 4 = 0 THEN '- 暂无' ELSE concat('- ', source, chr(10), '- ', lang) END AS l FROM documents)
    SELECT doc_id, sha256(replace(concat('# 论文精读笔记~~## 1. 基本信息~~- 标题：', title, '~- 作者：', a, '~- 年份：', y, '~- 会议/期刊：未知~~### 摘要~~', replace(text, '~', chr(1)), '~~## 2. 论文解决的问题~~暂无~~## 3. 背景与动机~~', source,

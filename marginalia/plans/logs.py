@@ -392,17 +392,24 @@ def _(spark, d):
     return c.select("conv_id", "turn", reason.alias("reason"))
 
 
-@query("hp4_field_pages", EV + """, f AS (SELECT session_id AS request_id, session_id, seq, 0 AS fi, 'content' AS path, coalesce(content, '') AS v FROM session_events_v UNION ALL SELECT session_id, session_id, seq, 1, 'event_type', event_type FROM session_events_v),
-   b AS (SELECT *, coalesce(sum(length(v) + length(path) + 32) OVER (PARTITION BY request_id ORDER BY seq, fi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
+# Requests of five kinds: the whole log from its first field or from its second, too wide, too small a cap, beyond the log.
+@query("hp4_field_pages", EV + """, req AS (SELECT session_id, max(seq) AS n, session_id % 5 AS kind FROM session_events_v GROUP BY 1),
+   f AS (SELECT session_id AS request_id, seq, 0 AS fi, 'content' AS path, coalesce(content, '') AS v FROM session_events_v UNION ALL SELECT session_id, seq, 1, 'event_type', event_type FROM session_events_v),
+   ok AS (SELECT session_id AS request_id, kind FROM req WHERE kind IN (0, 1) AND n <= 100),
+   b AS (SELECT f.*, coalesce(sum(length(v) + length(path) + 32) OVER (PARTITION BY request_id ORDER BY seq, fi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f JOIN ok USING (request_id) WHERE kind = 0 OR seq > 1 OR fi > 0),
    w AS (SELECT *, length(v) + length(path) + 32 <= 1000 - before AS whole FROM b), g AS (SELECT *, coalesce(max(NOT whole) OVER (PARTITION BY request_id ORDER BY seq, fi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS cut FROM w)
-   SELECT request_id, seq, CAST(fi AS BIGINT) AS field_index, path, whole, CAST(CASE WHEN whole THEN length(v) ELSE greatest(0, 1000 - before - length(path) - 32) END AS BIGINT) AS shown_chars FROM g WHERE NOT cut""")
+   SELECT request_id, NULL AS error, seq, CAST(fi AS BIGINT) AS field_index, path, whole, CAST(CASE WHEN whole THEN length(v) ELSE greatest(0, 1000 - before - length(path) - 32) END AS BIGINT) AS shown_chars FROM g WHERE NOT cut
+   UNION ALL SELECT session_id, CASE WHEN kind IN (2, 3) OR n > 100 AND kind <> 4 OR n + 1 > 100 THEN 'history_read_invalid_range_or_limit' ELSE 'history_reference_unavailable' END, NULL, NULL, NULL, NULL, NULL FROM req WHERE kind > 1 OR n > 100""")
 def _(spark, d):
     e = session_events(spark, d)
     two = F.array(F.struct(F.lit(0).alias("field_index"), F.lit("content").alias("path"), F.coalesce("content", F.lit("")).alias("value")),
                   F.struct(F.lit(1).alias("field_index"), F.lit("event_type").alias("path"), F.col("event_type").alias("value")))
     fields = e.select("session_id", "seq", F.explode(two).alias("f")).select("session_id", "seq", F.col("f.field_index").cast("bigint").alias("field_index"), "f.path", "f.value")
-    req = e.groupBy("session_id").agg(F.max("seq").alias("end_seq")).select(F.col("session_id").alias("request_id"), "session_id", F.lit(1).cast("bigint").alias("start_seq"), "end_seq", F.lit(1000).alias("max_chars"))
-    return H.page_fields(req, fields).select("request_id", "seq", "field_index", "path", "whole", "shown_chars")
+    kind, one = F.col("session_id") % 5, F.lit(1).cast("bigint")
+    req = e.groupBy("session_id").agg(F.max("seq").alias("n")).select(
+        F.col("session_id").alias("request_id"), "session_id", one.alias("start_seq"), F.when(kind == 2, F.col("n") + 200).when(kind == 4, F.col("n") + 1).otherwise(F.col("n")).alias("end_seq"),
+        F.when(kind == 3, 100).otherwise(1000).alias("max_chars"), F.when(kind == 1, one).otherwise(F.lit(0).cast("bigint")).alias("field_index"))
+    return H.page_fields(req, fields).select("request_id", "error", "seq", "field_index", "path", "whole", "shown_chars")
 
 
 @query("hp5_result_order", TR + f""", c AS (SELECT session_id, turn_id, {CALL_ID} AS id, min(trace_seq) AS cs FROM trace_events_v WHERE event_type = 'tool/call_debug' GROUP BY 1, 2, 3),
@@ -434,8 +441,8 @@ def _(spark, d):
     return h.select("call_id", "status", "facts", F.size("evidence_refs").cast("bigint").alias("refs_kept"), "refs_omitted")
 
 
-@query("me1_memory_entries", f"""WITH e AS (SELECT doc_id AS ord, CASE doc_id % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'theme' WHEN 2 THEN 'finding' ELSE 'other' END AS category, {sql_collapse("concat(CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, ' ', substring(text, 1, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 520 END))")} AS entry FROM documents),
-   st AS (SELECT DISTINCT lower({sql_collapse("concat(lang, ' ', substring(text, 1, 4))")}) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+@query("me1_memory_entries", f"""WITH e AS (SELECT doc_id AS ord, CASE doc_id % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'theme' WHEN 2 THEN 'finding' ELSE 'other' END AS category, {sql_collapse("concat(CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, ' ', CASE WHEN doc_id % 3 = 0 THEN source ELSE text END)")} AS entry FROM documents),
+   st AS (SELECT DISTINCT lower({sql_collapse("concat(lang, ' ', source)")}) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
    f AS (SELECT lower(entry) AS k, min(ord) AS o FROM e WHERE category <> 'other' AND length(entry) BETWEEN 1 AND 500 GROUP BY 1)
    SELECT ord, category, entry, CASE WHEN category = 'other' THEN 'unknown_category' WHEN length(entry) NOT BETWEEN 1 AND 500 THEN 'bad_length' WHEN st.k IS NOT NULL OR ord > f.o THEN 'duplicate' ELSE 'added' END AS outcome FROM e LEFT JOIN st ON st.k = lower(entry) LEFT JOIN f ON f.k = lower(entry)""")
 def _(spark, d):
@@ -443,8 +450,8 @@ def _(spark, d):
     docs = documents(spark, d)
     lang = F.when(i % 2 == 0, F.upper("lang")).otherwise(F.col("lang"))
     e = docs.select(i.alias("ord"), F.when(i % 4 == 0, "paper").when(i % 4 == 1, "theme").when(i % 4 == 2, "finding").otherwise("other").alias("category"),
-                    F.concat(lang, F.lit("  "), F.left("text", F.when(i % 3 == 0, 4).otherwise(520))).alias("entry"))
-    store = docs.join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi").select(F.lit("theme").alias("category"), F.concat("lang", F.lit(" "), F.left("text", F.lit(4))).alias("entry"))
+                    F.concat(lang, F.lit("  "), F.when(i % 3 == 0, F.col("source")).otherwise(F.col("text"))).alias("entry"))
+    store = docs.join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi").select(F.lit("theme").alias("category"), F.concat("lang", F.lit(" "), "source").alias("entry"))
     return H.append_memory(store, e)
 
 

@@ -135,13 +135,13 @@ def _(spark, d):
     return best.select("doc_id", "provider", "pos", "confidence")
 
 
-FIELD_SQL = "unnest(['title', 'authors', 'year', 'venue', 'abstract']) AS field, unnest([substring(text, 1, doc_id % 20), CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Ann' END, CAST(1890 + doc_id % 300 AS VARCHAR), source, substring(text, 1, doc_id % 60)]) AS value"
+FIELD_SQL = "unnest(['title', 'authors', 'year', 'venue', 'abstract']) AS field, unnest([CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN source ELSE text END, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Ann' END, CAST(1890 + doc_id % 300 AS VARCHAR), source, CASE WHEN doc_id % 6 = 0 THEN lang ELSE text END]) AS value"
 
 
 def _long(spark, d):
     i = F.col("doc_id")
     f = lambda n, v: F.struct(F.lit(n).alias("field"), v.alias("value"))
-    rows = F.array(f("title", F.left("text", (i % 20).cast("int"))), f("authors", F.when(i % 3 == 0, "").otherwise("Ann")), f("year", _s((1890 + i % 300).cast("int"))), f("venue", F.col("source")), f("abstract", F.left("text", (i % 60).cast("int"))))
+    rows = F.array(f("title", F.when(i % 5 == 0, "").when(i % 5 == 1, F.col("source")).otherwise(F.col("text"))), f("authors", F.when(i % 3 == 0, "").otherwise("Ann")), f("year", _s((1890 + i % 300).cast("int"))), f("venue", F.col("source")), f("abstract", F.when(i % 6 == 0, F.col("lang")).otherwise(F.col("text"))))
     return documents(spark, d).select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
 
 
@@ -169,14 +169,14 @@ def _(spark, d):
     return M.fill_missing(fields, best).drop("provider")
 
 
-@query("md11_accepted_picks", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:4]) AS t, generate_subscripts(string_split(text, chr(10))[1:4], 1) - 1 AS idx FROM documents), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
+@query("md11_accepted_picks", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
    p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN string_split(text, chr(10))[1] WHEN 1 THEN 'made up' WHEN 2 THEN string_split(text, chr(10))[2] ELSE string_split(text, chr(10))[1] END AS t, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN 1 ELSE NULL END AS idx, (doc_id % 10) AS c10 FROM documents)
    , q AS (SELECT doc_id, trim(coalesce(t, '')) AS t, idx, c10 FROM p)
    SELECT q.doc_id, CASE WHEN ok THEN q.t END AS title, ok AS accepted FROM (SELECT q.*, coalesce(CASE WHEN q.idx IS NOT NULL AND q.idx < n THEN q.t = (SELECT l.t FROM l WHERE l.doc_id = q.doc_id AND l.idx = q.idx) ELSE EXISTS (SELECT 1 FROM l WHERE l.doc_id = q.doc_id AND l.t = q.t) END, false)
       AND c10 >= 5 AND q.t <> '' AS ok FROM q JOIN n USING (doc_id)) q""")
 def _(spark, d):
     i = F.col("doc_id")
-    docs = documents(spark, d).select("doc_id", F.slice(F.split("text", "\n"), 1, 4).alias("l"))
+    docs = documents(spark, d).select("doc_id", F.split("text", "\n").alias("l"))
     cand = docs.select("doc_id", F.posexplode("l").alias("idx", "text"))
     picks = docs.select("doc_id", F.when(i % 4 == 1, "made up").when(i % 4 == 2, F.get("l", F.lit(1))).otherwise(F.get("l", F.lit(0))).alias("pick_title"),
                         F.when(i % 4 == 0, 0).when(i % 4 == 3, 1).cast("int").alias("pick_index"), ((i % 10) / 10.0).alias("pick_confidence"))

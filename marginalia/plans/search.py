@@ -221,13 +221,13 @@ def _rungs_sql(cap: int) -> str:
       caps AS (SELECT request_id, rung, coalesce(l.items, 0) AS items, coalesce(l.chars, 0) AS chars FROM pick LEFT JOIN ladder l USING (rung))"""
 
 
-# A bundle per group of six neighbouring documents: their first eight chunks each.
-ITEMS = f"""{with_views(extra=DOC_CHUNKS)}, items AS MATERIALIZED (SELECT CAST(floor(doc_id / 6) AS BIGINT) AS request_id, doc_id, idx + 1 AS item_no, txt FROM chunk WHERE idx < 8), """
+# A bundle per group of six neighbouring documents: all their chunks.
+ITEMS = f"""{with_views(extra=DOC_CHUNKS)}, items AS MATERIALIZED (SELECT CAST(floor(doc_id / 6) AS BIGINT) AS request_id, doc_id, idx + 1 AS item_no, txt FROM chunk), """
 
 
 def _items(spark, d):
     c = C.chunk_documents(documents(spark, d))
-    return c.where("idx < 8").select(F.floor(F.col("doc_id") / 6).cast("bigint").alias("request_id"), "doc_id", (F.col("idx") + 1).alias("item_no"), "text")
+    return c.select(F.floor(F.col("doc_id") / 6).cast("bigint").alias("request_id"), "doc_id", (F.col("idx") + 1).alias("item_no"), "text")
 
 
 @query("rt10_capped_bundles", ITEMS + _rungs_sql(12000) + """ SELECT k.request_id, CAST(k.rung AS BIGINT) AS rung, i.doc_id, CAST(sum(CASE WHEN i.item_no <= k.items THEN 1 ELSE 0 END) AS BIGINT) AS shown,

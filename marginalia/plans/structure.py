@@ -80,33 +80,33 @@ def _(spark, d):
     return h.select("doc_id", F.explode(nxt).alias("h")).select("doc_id", "h.*")
 
 
-# Chinese papers with the abstract on its heading line: text parts of the given documents.
-INLINE = """SELECT doc_id, concat('题目', chr(10), CASE WHEN doc_id % 4 = 3 THEN '正文' ELSE concat('摘要：', replace(substring(text, 1, CASE doc_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 900 ELSE 2600 END), chr(10), ' ')) END, chr(10),
-   CASE WHEN doc_id % 4 = 2 THEN '' ELSE concat('关键词：甲；乙', chr(10)) END, CASE WHEN doc_id % 4 = 2 THEN 'x' ELSE '一、引言' END, chr(10), substring(text, 1, 50)) AS raw_text FROM documents"""
+# Chinese papers with the abstract on its heading line: the texts of the given documents.
+INLINE = """SELECT doc_id, concat('题目', chr(10), CASE WHEN doc_id % 4 = 3 THEN '正文' ELSE concat('摘要：', replace(CASE doc_id % 4 WHEN 0 THEN source ELSE text END, chr(10), ' ')) END, chr(10),
+   CASE WHEN doc_id % 4 = 2 THEN '' ELSE concat('关键词：甲；乙', chr(10)) END, CASE WHEN doc_id % 4 = 2 THEN 'x' ELSE '一、引言' END, chr(10), text) AS raw_text FROM documents"""
 
 
 @query("ds4_inline_abstract", f"""WITH p AS ({INLINE}), b AS (SELECT doc_id, raw_text, doc_id % 4 AS m, strpos(raw_text, '摘要：') + 2 AS st,
     CASE WHEN doc_id % 4 = 2 THEN least(length(raw_text), strpos(raw_text, '摘要：') + 2 + 2000) ELSE strpos(raw_text, concat(chr(10), '关键词')) END AS en FROM p WHERE doc_id % 4 <> 3),
   c AS (SELECT *, {sql_strip('substring(raw_text, st + 1, en - st)')} AS body FROM b)
-  SELECT doc_id, '摘要' AS title, sha256(body) AS content_hash, length(body) AS n, CAST(st AS BIGINT) AS start_char, CAST(en AS BIGINT) AS end_char,
+  SELECT doc_id, '摘要' AS title, sha256(substring(body, 1, 2000)) AS content_hash, least(length(body), 2000) AS n, CAST(st AS BIGINT) AS start_char, CAST(CASE WHEN length(body) > 2000 THEN st + 2000 ELSE en END AS BIGINT) AS end_char,
     CAST(CASE WHEN length(body) < 30 THEN 65 ELSE 95 END AS BIGINT) AS confidence FROM c WHERE body <> ''""")
 def _(spark, d):
     i, m, nl = F.col("doc_id"), F.col("doc_id") % 4, F.lit("\n")
-    head = F.replace(F.left("text", F.when(m == 0, 12).when(m == 1, 900).otherwise(2600)), nl, F.lit(" "))
+    head = F.replace(F.when(m == 0, F.col("source")).otherwise(F.col("text")), nl, F.lit(" "))
     raw = F.concat(F.lit("题目\n"), F.when(m == 3, "正文").otherwise(F.concat(F.lit("摘要："), head)), nl, F.when(m == 2, "").otherwise("关键词：甲；乙\n"),
-                   F.when(m == 2, "x").otherwise("一、引言"), nl, F.left("text", F.lit(50)))
+                   F.when(m == 2, "x").otherwise("一、引言"), nl, F.col("text"))
     p = documents(spark, d).select("doc_id", raw.alias("raw_text"))
     a = p.select("doc_id", H.inline_abstract(F.col("raw_text")).alias("a")).where("a IS NOT NULL")
     return a.select("doc_id", "a.title", F.sha2("a.content", 256).alias("content_hash"), F.length("a.content").cast("bigint").alias("n"), "a.start_char", "a.end_char", "a.confidence")
 
 
-# The alternate extraction offers a third of the original text for some (document, section) pairs.
-ALT = f"""alt AS (SELECT doc_id, s.section, substring(text, s.k * 40 + 1, 200) AS alt_content FROM documents,
+# The alternate extraction offers the sixth of the original text that a section has by its number, for some (document, section) pairs.
+ALT = f"""alt AS (SELECT doc_id, s.section, substring(text, CAST(floor(n_chars / 6.0) AS INT) * s.k + 1, CAST(floor(n_chars / 6.0) AS INT)) AS alt_content FROM documents,
    (SELECT unnest([{sql_list(K.SECTION_KEYS)}]) AS section, unnest([0, 1, 2, 3, 4, 5]) AS k) s WHERE (doc_id + s.k) % 3 = 0)"""
 
 
 @query("ds5_merged_sections", with_views("papers_v", extra=SECTIONS_SQL + ", " + ALT) + f""", m AS (
-   SELECT s.doc_id, s.section, s.source, s.start_char, s.end_char, p.raw_text, {sql_strip('s.content')} AS r, {sql_strip("coalesce(a.alt_content, '')")} AS a, substring(d.text, 1, 300) AS e
+   SELECT s.doc_id, s.section, s.source, s.start_char, s.end_char, p.raw_text, {sql_strip('s.content')} AS r, {sql_strip("coalesce(a.alt_content, '')")} AS a, d.text AS e
    FROM sections s LEFT JOIN alt a USING (doc_id, section) JOIN papers_v p USING (doc_id) JOIN documents d USING (doc_id)),
   c AS (SELECT *, CASE WHEN r <> '' AND section <> 'abstract' AND length(r) < 150 AND length(a) > length(r) THEN 'corrected' WHEN r <> '' THEN 'rule' WHEN a <> '' THEN 'filled'
       WHEN section = 'abstract' AND e <> '' THEN 'abstract' ELSE 'missing' END AS choice FROM m),
@@ -117,10 +117,11 @@ ALT = f"""alt AS (SELECT doc_id, s.section, substring(text, s.k * 40 + 1, 200) A
 def _(spark, d):
     docs = documents(spark, d)
     keys = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("k")) for k, s in enumerate(K.SECTION_KEYS)])
-    alt = docs.select("doc_id", "text", F.explode(keys).alias("s")).where((F.col("doc_id") + F.col("s.k")) % 3 == 0).select(
-        "doc_id", "s.section", F.substr("text", F.col("s.k") * 40 + 1, F.lit(200)).alias("alt_content"))
+    sixth = F.floor(F.col("n_chars") / 6.0).cast("int")
+    alt = docs.select("doc_id", "text", "n_chars", F.explode(keys).alias("s")).where((F.col("doc_id") + F.col("s.k")) % 3 == 0).select(
+        "doc_id", "s.section", F.substr("text", sixth * F.col("s.k") + 1, sixth).alias("alt_content"))
     p = papers(spark, d)
-    base = p.select("doc_id", "raw_text").join(docs.select("doc_id", F.left("text", F.lit(300)).alias("existing_abstract")), "doc_id")
+    base = p.select("doc_id", "raw_text").join(docs.select("doc_id", F.col("text").alias("existing_abstract")), "doc_id")
     m = H.merge_sections(H.extract_sections(p), alt, base)
     return m.select("doc_id", "section", "choice", F.sha2("content", 256).alias("content_hash"), "length", "source", "start_char", "end_char")
 

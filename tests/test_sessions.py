@@ -150,3 +150,39 @@ def test_binary_files_and_session_files(spark, tmp_path):
     heads, links = I.import_sessions(p, empty.select("session_id"), empty)
     assert [r.session_id for r in heads.collect()] == ["s1"] and {r.paper_id for r in links.collect()} == {"p", "q"}
     assert I.import_sessions(p, heads, links)[1].count() == 0
+
+
+def test_pages_reassemble_the_log(spark):
+    fields = [(1, s, f, p, v) for s in range(1, 6) for f, (p, v) in enumerate([("a.text", "x" * (s * 211)), ("ref.chunk_id", "c_" + str(s) * 40), ("b", "é" * 33)])]
+    df = spark.createDataFrame(fields, "session_id int, seq long, field_index long, path string, value string")
+    seq, field, offset, got = 1, 0, 0, {}
+    for _ in range(40):
+        req = spark.createDataFrame([(9, 1, seq, 5, 512, field, offset)], "request_id int, session_id int, start_seq long, end_seq long, max_chars int, field_index long, offset long")
+        rows = H.page_fields(req, df).orderBy("seq", "field_index").collect()
+        assert rows[0].error is None
+        for r in rows:
+            value = next(v for _, s, f, _, v in fields if (s, f) == (r.seq, r.field_index))
+            got[r.seq, r.field_index] = got.get((r.seq, r.field_index), "") + value[r.offset:r.offset + r.shown_chars]
+            assert r.path != "ref.chunk_id" or r.shown_chars in (0, len(value))
+        last = rows[-1]
+        if last.whole:
+            break
+        seq, field, offset = last.seq, last.field_index, last.next_offset
+    assert got == {(s, f): v for _, s, f, _, v in fields}
+
+
+def test_refused_pages_say_why(spark):
+    df = spark.createDataFrame([(1, s, 0, "p", "v" * 10) for s in range(1, 151)], "session_id int, seq long, field_index long, path string, value string")
+    asked = [(1, 1, 1, 150, 1000, 0, 0), (2, 1, 5, 4, 1000, 0, 0), (3, 1, 1, 5, 100, 0, 0), (4, 1, 149, 160, 1000, 0, 0), (5, 1, 1, 5, 1000, 1, 0), (6, 1, 1, 5, 1000, 0, 11), (7, 1, 51, 150, 4000, 0, 10), (8, 2, 1, 1, 1000, 0, 0)]
+    req = spark.createDataFrame(asked, "request_id int, session_id int, start_seq long, end_seq long, max_chars int, field_index long, offset long")
+    got = {r.request_id: r.error for r in H.page_fields(req, df).select("request_id", "error").distinct().collect()}
+    wide, gone = "history_read_invalid_range_or_limit", "history_reference_unavailable"
+    assert got == {1: wide, 2: wide, 3: wide, 4: gone, 5: "history_read_invalid_field_index", 6: "history_read_invalid_offset", 7: None, 8: gone}
+    ended = df.where("seq < 3").select("session_id", "seq")
+    assert H.page_fields(req.where("request_id = 7"), df, ended).first().error == gone
+
+
+def test_active_documents_by_iso_time(spark):
+    rows = [(1, "2024-05-01T10:00:00.5Z", "b"), (1, "2024-05-01T10:00:00.5Z", "a"), (1, "2023-01-01T00:00:00Z", "z"), (1, "soon", "q"), (1, None, "n"), (2, "2024-05-01T10:00:00Z", "a")]
+    got = S.active_documents(spark.createDataFrame(rows, "session_id int, added_at string, doc_id string")).where("session_id = 1").orderBy("position").collect()
+    assert [r.doc_id for r in got] == ["n", "q", "z", "a", "b"] and [r.position for r in got] == [1, 2, 3, 4, 5]
