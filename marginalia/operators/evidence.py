@@ -43,22 +43,35 @@ def versioned_chunks(docs: DataFrame, id_col: str = "doc_id", size: int = K.CHUN
     return c.withColumn("chunk_id", F.concat(F.lit("c_"), F.sha2(ident, 256)))
 
 
-def read_back(requests: DataFrame, chunks: DataFrame, limit: int = K.READ_CAP) -> DataFrame:
-    """RT-8 / JN-9: slice of a referenced chunk, or a distinct error.
+REFERENCE = ["doc_id", "parser", "cache_version", "chunk_id"]
 
-    ``requests``: request_id, doc_id, parser, cache_version, chunk_id, offset, max_chars.
+
+def referenced_chunks(references: DataFrame, chunks: DataFrame) -> DataFrame:
+    """JN-9: every reference (doc_id, parser, cache_version, chunk_id and further columns) with ``chunk``, the struct
+    (section, start_char, end_char, text) it names, or null.
+
+    Chunks nobody refers to leave first, so the texts of the others are exchanged at most once.  Rows of one
+    reference in ``chunks`` are equal by construction; the first is taken.
+    """
+    asked = references.select(*REFERENCE).distinct()
+    hit = chunks.join(asked, REFERENCE, "left_semi").groupBy(*REFERENCE).agg(F.min(F.struct("section", "start_char", "end_char", "text")).alias("chunk"))
+    return references.join(hit, REFERENCE, "left")
+
+
+def read_back(requests: DataFrame, chunks: DataFrame, limit: int = K.READ_CAP, versions: DataFrame | None = None) -> DataFrame:
+    """RT-8: slice of a referenced chunk, or a distinct error.
+
+    ``requests``: request_id, doc_id, parser, cache_version, chunk_id, offset, max_chars; ``versions``: the current
+    (doc_id, parser, cache_version), by default all versions that ``chunks`` stores.
     """
-    key = ["doc_id", "parser", "cache_version", "chunk_id"]
-    now = chunks.groupBy("doc_id", "parser").agg(F.first("cache_version").alias("_now"))
-    # Chunks nobody asked for leave first; the texts of the others are exchanged at most once.
-    hit = chunks.join(requests.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.first(F.struct("section", "start_char", "end_char", "text")).alias("_c"))
-    j = requests.join(now, ["doc_id", "parser"], "left").join(hit, key, "left")
+    current = (chunks if versions is None else versions).select(*REFERENCE[:3]).distinct().withColumn("_now", F.lit(True))
+    j = referenced_chunks(requests.join(current, REFERENCE[:3], "left"), chunks).withColumnRenamed("chunk", "_c")
     n = F.length("_c.text")
     error = (
         F.when(~T.valid_ref(F.col("doc_id").cast("string"), F.col("parser"), F.col("cache_version"), F.col("chunk_id")), "invalid_reference")
         .when(~F.coalesce(F.col("max_chars").between(1, limit), F.lit(False)), "invalid_max_chars")
         .when(~F.coalesce(F.col("offset") >= 0, F.lit(False)), "invalid_offset")
-        .when(F.col("_now").isNull() | (F.col("_now") != F.col("cache_version")), "stale_evidence_reference")
+        .when(F.col("_now").isNull(), "stale_evidence_reference")
         .when(F.col("_c").isNull(), "evidence_not_found").when(F.col("offset") >= n, "offset_outside_chunk")
     )
     j = j.withColumn("error", error)

@@ -187,19 +187,29 @@ READ_SQL = PAPER_WITH + VERSIONED + """,
     CASE WHEN doc_id % 10 IN (0, 5, 6, 8, 9) AND off < length(txt) THEN length(txt) END AS total_chars FROM rd"""
 
 
-@query("rt8_read_back", READ_SQL)
-def _(spark, d):
-    c = _versioned(spark, d)
+def _read_requests(c):
     i, zero = F.col("doc_id") % 10, "0" * 64
-    req = c.select("doc_id", "parser", "cache_version", "chunk_id").distinct().select(
+    return c.select("doc_id", "parser", "cache_version", "chunk_id").distinct().select(
         F.concat(F.col("doc_id").cast("string"), F.lit("/"), "chunk_id").alias("request_id"), "doc_id", "parser",
         F.when(i == 1, f"sha256:{zero}").otherwise(F.col("cache_version")).alias("cache_version"),
         F.when(i == 2, f"c_{zero}").when(i == 3, "bad").otherwise(F.col("chunk_id")).alias("chunk_id"),
         F.when(i == 4, -1).when(i == 5, 5000).when(i == 6, 0).otherwise(100).alias("offset"), F.when(i == 7, 9000).otherwise(500).alias("max_chars"))
-    r = E.read_back(req, c)
+
+
+@query("rt8_read_back", READ_SQL)
+def _(spark, d):
+    c = _versioned(spark, d)
+    r = E.read_back(_read_requests(c), c)
     return r.select("request_id", "error", F.sha2("text", 256).alias("text_hash"), "next_offset", "total_chars")
 
 
+@query("jn9_referenced_chunks", READ_SQL[:READ_SQL.index("  SELECT request_id")] + """  SELECT request_id, sha256(CASE WHEN doc_id % 10 NOT IN (1, 2, 3) THEN txt END) AS text_hash, CASE WHEN doc_id % 10 NOT IN (1, 2, 3) THEN section END AS section FROM rd""")
+def _(spark, d):
+    c = _versioned(spark, d)
+    r = E.referenced_chunks(_read_requests(c), c)
+    return r.select("request_id", F.sha2("chunk.text", 256).alias("text_hash"), "chunk.section")
+
+
 # Evidence of a source's documents, in order, with copies: equal text counts as equal when unversioned.
 @query("rt9_unique_evidence", f"""{with_views(extra=DOC_CHUNKS)}, e AS (SELECT d.source, c.doc_id, c.txt, c.idx, d.doc_id * 1000 + c.idx AS pos FROM chunk c JOIN documents d USING (doc_id))
    SELECT source, min(pos) AS pos, sha256(txt) AS text_hash FROM e GROUP BY source, txt""")
