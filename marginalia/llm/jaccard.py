@@ -5,6 +5,8 @@ frequent ones last), and two sets that link must share a shingle among the first
 
 * Block skipping: the list of a shingle is cut into blocks of sets of similar size.  A set that holds the shingle
   at position i cannot link with sets beyond a size that i determines, so it visits only the blocks below.
+* Counting in prefixes: prefixes are longer than one common shingle needs, so two sets that link share many there;
+  pairs that share too few are dropped before the sets are read.
 * Answers from a similar set: each block has a leader, the set with most frequent shingles.  A set is compared
   with one leader first.  Sets that link with it are done among themselves; for the rest, the known overlaps with
   a common leader bound the overlap of two sets from above and below, so most pairs are decided without reading
@@ -167,6 +169,19 @@ _SIZES_AND_POSITIONS = "4 * least(a_n, b_n) >= 3 * greatest(a_n, b_n) AND 7 * le
 _CAN_REACH = "7 * (hits + least(a_n - a_pos, b_n - b_pos) - 1) >= 3 * (a_n + b_n)"
 
 
+def by_prefixes(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs whose prefixes have enough in common.
+
+    Take the set whose prefix ends first in the global order.  What two sets share up to there lies in both
+    prefixes, and behind it are no more than the other shingles of that set.
+    """
+    left = prefixes.select(F.col("sid").alias("a"), F.col("prefix").alias("_pa"))
+    right = prefixes.select(F.col("sid").alias("b"), F.col("prefix").alias("_pb"))
+    behind = "greatest((3 * a_n + 3) div 4, (3 * b_n + 3) div 4) - 1"
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(7 * (F.size(F.array_intersect("_pa", "_pb")) + F.expr(behind)) >= 3 * (F.col("a_n") + F.col("b_n"))).drop("_pa", "_pb")
+
+
 def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Pairs (a, b, a_n, b_n) with ``common``, the number of shingles both sets hold.
 
@@ -234,12 +249,13 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ties = rows.where("n > 0").join(copies, "doc_id").join(classes.select("sid", "rep"), "sid").where("doc_id = rep").select("doc_id").distinct()
     again = named.join(F.broadcast(ties) if copies.count() <= BROADCAST_IDS else ties, "doc_id")  # ids that are a copy in one row and stand for a class in another
     all_entries = materialize(single.unionByName(again).mapInArrow(_scan_prefixes(seed, heavy), _ENTRY_SCHEMA), "near-prefixes")
-    # A pair meets in the first seventh of its smaller set, so a token that nobody has there joins nothing.
-    shared = materialize(all_entries.groupBy("token").agg(F.count("*").alias("sets"), F.bool_or(F.expr("7 * pos <= n")).alias("early"))
-                         .where("sets > 1 AND early").select("token"), "near-shared")
+    shared = materialize(all_entries.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token"), "near-shared")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
     entries = materialize(all_entries.join(shared, "token").distinct(), "near-entries")
 
+    # The shared part of each prefix, for counting what two prefixes have in common.
+    prefixes = materialize(entries.groupBy("sid").agg(F.collect_list("token").alias("prefix")), "near-prefix-sets")
+
     # Each set against one leader, if it can be near: this only spares work below, so a miss loses nothing.
     leaders = materialize(entries.groupBy("token", _class(F.col("n")).alias("cls")).agg(F.max(F.struct("core", "n", "sid", "pos")).alias("lead")), "near-leaders")
     met = (_probes(entries).join(leaders, ["token", "cls"])
@@ -247,7 +263,7 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
            .where(f"a <> b AND {_SIZES_AND_POSITIONS}"))
     best = (met.groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("hits"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos")).where(_CAN_REACH)
             .groupBy("a", "a_n").agg(F.max(F.struct("hits", "b_n", "b")).alias("to")).select("a", "a_n", F.col("to.b").alias("b"), F.col("to.b_n").alias("b_n")))
-    best = materialize(best, "near-best")
+    best = materialize(by_prefixes(best, prefixes), "near-best")
     known = materialize(overlaps(best, named, classes, seed), "near-known")
     first = known.where(F.col("common") >= _need("a_n", "b_n")).select("a", "b")
     comp = components(first.toDF("u", "v"), "near-first")
@@ -275,7 +291,7 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                          F.expr("IF(a_lead = b_lead, a_lead_common + b_lead_common - a_lead_n, 0)").alias("at_least"))
     counted = (pairs.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("hits"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.max("at_least").alias("at_least"))
                .where(_CAN_REACH))
-    counted = materialize(counted, "near-pairs")
+    counted = materialize(by_prefixes(counted, prefixes), "near-pairs")
     sure = counted.where(F.coalesce("at_least", F.lit(0)) >= _need("a_n", "b_n")).select("a", "b")
     asked = counted.where(F.coalesce("at_least", F.lit(0)) < _need("a_n", "b_n")).select("a", "b", "a_n", "b_n")
     second = overlaps(asked, named, classes, seed).where(F.col("common") >= _need("a_n", "b_n")).select("a", "b")
