@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,12 +57,12 @@ def lookup_decision(doi: Column, arxiv: Column, url: Column, title: Column, venu
     head = F.concat_ws("\n", null(doi), null(arxiv), null(url), null(title), null(F.left(raw, F.lit(3000))))
     given = lambda c: T.strip(F.coalesce(c, F.lit(""))) != ""
     reason = (
-        F.when(given(doi) | (T.extract_doi(head) != ""), "Chinese paper has DOI")
-        .when(given(arxiv) | (T.extract_arxiv(head) != ""), "Chinese paper has arXiv ID")
-        .when(F.coalesce(T.looks_english_title(title), F.lit(False)), "Chinese paper has clear English title")
-        .when(T.is_clear(venue) & T.is_clear(year), "Chinese paper has parser_meta venue and year")
+        F.when(given(doi) | (T.extract_doi(head) != ""), "zh_doi")
+        .when(given(arxiv) | (T.extract_arxiv(head) != ""), "zh_arxiv")
+        .when(F.coalesce(T.looks_english_title(title), F.lit(False)), "zh_english_title")
+        .when(T.is_clear(venue) & T.is_clear(year), "zh_venue_and_year")
     )
-    return reason.isNotNull(), F.coalesce(reason, F.lit("Chinese paper without DOI/arXiv ID/English title; skip external metadata lookup"))
+    return reason.isNotNull(), F.coalesce(reason, F.lit("zh_without_identifier"))
 
 
 def lookup_worklist(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -87,30 +88,33 @@ def lookup_worklist(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 # ---- matching -----------------------------------------------------------------------------
 
-@pandas_udf(DoubleType())
-def fuzzy_authors(ours: pd.Series, theirs: pd.Series) -> pd.Series:
-    """First-author and overlap score of two short name lists (already normalised); null stays null."""
-    def alike(a: str, b: str) -> bool:
-        return bool(a and b) and (a == b or SequenceMatcher(None, a, b).ratio() >= 0.82)
+def _alike(pair: tuple[str, str]) -> bool:
+    """Equal names, or a matcher ratio of at least 0.82; the ratio is at most twice the shorter length over both."""
+    short, both = min(map(len, pair)), sum(map(len, pair))
+    return short > 0 and 200 * short >= 82 * both and (pair[0] == pair[1] or SequenceMatcher(None, *pair).ratio() >= 0.82)
 
-    def score(a, b):
-        if a is None or b is None:
-            return None
-        hits = sum(any(alike(x, y) for y in b) for x in a) / len(a)
-        exact = len(set(a) & set(b)) / len(set(a))
-        return round(min(1.0, (0.6 if a[0] == b[0] or alike(a[0], b[0]) else 0.0) + max(exact, hits) * 0.4), 4)
 
-    return pd.Series([score(a, b) for a, b in zip(ours, theirs)], dtype="float64")
+@pandas_udf(DoubleType())
+def author_points(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+    """0.6 for alike first names and 0.4 times the share of our names that have a partner; null stays null."""
+    out = []
+    for a, b in zip(ours, theirs):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        partners = {name for name, other in product(set(a), set(b)) if _alike((name, other))}
+        share = max(sum(name in partners for name in a) / len(a), len(set(a).intersection(b)) / len(set(a)))
+        first = a[0] == b[0] or _alike((a[0], b[0]))
+        out.append(round(min(1.0, 0.6 * first + 0.4 * share), 4))
+    return pd.Series(out, dtype="float64")
 
 
 def author_score(ours: Column, theirs: Column) -> Column:
-    """MD-5: equal lists score 1 in the JVM; only the others go to Python."""
-    norm = lambda c: F.transform(F.filter(c, lambda x: T.strip(x) != ""), T.match_text)
-    a, b = norm(ours), norm(theirs)
+    """MD-5: equal lists score 1 and empty ones 0 in the JVM; only the others go to Python."""
+    a, b = (F.transform(F.filter(c, lambda x: T.strip(x) != ""), T.match_text) for c in (ours, theirs))
     empty = a.isNull() | b.isNull() | (F.size(a) == 0) | (F.size(b) == 0)
     hard = ~empty & (a != b)
-    fuzzy = fuzzy_authors(F.when(hard, a), F.when(hard, b))
-    return F.when(empty, F.lit(0.0)).when(hard, fuzzy).otherwise(F.lit(1.0))
+    return F.when(empty, F.lit(0.0)).when(hard, author_points(F.when(hard, a), F.when(hard, b))).otherwise(F.lit(1.0))
 
 
 def venue_score(ours: Column, theirs: Column) -> Column:
@@ -218,8 +222,8 @@ def fill_missing(fields: DataFrame, best: DataFrame, id_col: str = "doc_id", thr
     return j.select(
         id_col, "field", F.when(use, F.col("tool_value")).when(clear, F.col("value")).alias("value"),
         F.when(use, "tool").when(clear, F.col("source")).otherwise("default").alias("source"), F.when(use, F.col("provider")).alias("provider"),
-        F.when(clear, "Existing value is clear; web result not used")
-        .when(~use, "Web result missing or confidence is below threshold").alias("not_used_reason"))
+        F.when(clear, "existing_value_is_clear")
+        .when(~use, "missing_or_low_confidence").alias("not_used_reason"))
 
 
 def accept_picks(picks: DataFrame, candidates: DataFrame, id_col: str = "doc_id", threshold: float = 0.45) -> DataFrame:

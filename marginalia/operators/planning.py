@@ -77,9 +77,9 @@ def lookup_policy(language: Column, has_doi: Column, has_arxiv: Column, english:
     titled = (language == "en") & (F.coalesce(title, F.lit("")) != "")
     use = F.when(blocked, False).when(titled, True).otherwise(has_doi | has_arxiv)
     tools = F.when(blocked, arr()).when(titled | has_arxiv, arr("arxiv", "crossref", "openalex")).when(has_doi, arr("crossref", "openalex")).otherwise(arr())
-    reason = F.when(blocked, "Chinese paper without DOI/arXiv ID/English title") \
-        .when(titled, "English paper has a title; external metadata lookup may help fill venue/year") \
-        .otherwise("External lookup is recommended only when strong identifiers are present")
+    reason = F.when(blocked, "zh_without_identifier") \
+        .when(titled, "en_title") \
+        .otherwise("only_with_identifier")
     return use, tools, reason
 
 

@@ -62,9 +62,9 @@ DEC = """dec AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN '10.1/x' ELSE '' E
 
 
 @query("md3_lookup_decision", f"""WITH {DEC}, h AS (SELECT *, concat_ws(chr(10), nullif(doi, ''), arx, nullif(url, ''), title, nullif(substring(text, 1, 3000), '')) AS head FROM dec),
-   k AS (SELECT doc_id, CASE WHEN doi <> '' OR regexp_matches(head, '(?i)\\b10\\.\\d{{4,9}}/[-._;()/:A-Z0-9]+\\b') THEN 'Chinese paper has DOI' WHEN arx IS NOT NULL OR regexp_matches(head, '(?i)(?:arXiv[:\\s]*)?\\d{{4}}\\.\\d{{4,5}}') OR regexp_matches(head, '(?i)[a-z-]+(?:\\.[A-Z]{{2}})?/\\d{{7}}') THEN 'Chinese paper has arXiv ID'
-     WHEN doc_id % 8 = 3 THEN 'Chinese paper has clear English title' WHEN venue IS NOT NULL AND year IS NOT NULL THEN 'Chinese paper has parser_meta venue and year' END AS r FROM h)
-   SELECT doc_id, r IS NOT NULL AS lookup, coalesce(r, 'Chinese paper without DOI/arXiv ID/English title; skip external metadata lookup') AS reason FROM k""")
+   k AS (SELECT doc_id, CASE WHEN doi <> '' OR regexp_matches(head, '(?i)\\b10\\.\\d{{4,9}}/[-._;()/:A-Z0-9]+\\b') THEN 'zh_doi' WHEN arx IS NOT NULL OR regexp_matches(head, '(?i)(?:arXiv[:\\s]*)?\\d{{4}}\\.\\d{{4,5}}') OR regexp_matches(head, '(?i)[a-z-]+(?:\\.[A-Z]{{2}})?/\\d{{7}}') THEN 'zh_arxiv'
+     WHEN doc_id % 8 = 3 THEN 'zh_english_title' WHEN venue IS NOT NULL AND year IS NOT NULL THEN 'zh_venue_and_year' END AS r FROM h)
+   SELECT doc_id, r IS NOT NULL AS lookup, coalesce(r, 'zh_without_identifier') AS reason FROM k""")
 def _(spark, d):
     m = F.col("doc_id") % 8
     docs = documents(spark, d).select(
@@ -158,7 +158,7 @@ def _(spark, d):
 @query("md10_filled_fields", f"""WITH v AS (SELECT doc_id, {FIELD_SQL} FROM documents), o AS (SELECT doc_id, field, value, CASE WHEN doc_id % 2 = 0 AND field IN ('title', 'abstract') THEN 'parser' END AS have FROM v),
    k AS (SELECT *, doc_id % 4 <> 1 AND {_gate} AS good FROM o)
    SELECT doc_id, field, CASE WHEN have IS NOT NULL THEN 'an existing clear value' WHEN good THEN value END AS value, CASE WHEN have IS NOT NULL THEN 'parser' WHEN good THEN 'tool' ELSE 'default' END AS source,
-     CASE WHEN have IS NOT NULL THEN 'Existing value is clear; web result not used' WHEN NOT good THEN 'Web result missing or confidence is below threshold' END AS not_used_reason FROM k""")
+     CASE WHEN have IS NOT NULL THEN 'existing_value_is_clear' WHEN NOT good THEN 'missing_or_low_confidence' END AS not_used_reason FROM k""")
 def _(spark, d):
     i = F.col("doc_id")
     long = _long(spark, d)
