@@ -81,8 +81,9 @@ FOLD_TYPE = StructType([
 
 class FoldTurn(StatefulProcessor):
     """Runtime events of one turn to log events: text deltas become one message, tool results wait for the
-    step end and leave in call order, the turn closes once.  A turn that stays silent for IDLE_MS of event
-    time is closed by a timer."""
+    end of their step and leave in call order, the turn closes once.  An error or the end of the turn lets the
+    results of all steps out, step by step.  A turn that stays silent for IDLE_MS of event time is closed by a
+    timer, and IDLE_MS after its last event a closed turn leaves the state; until then its late events are dropped."""
 
     IDLE_MS = 600_000
 
@@ -91,22 +92,24 @@ class FoldTurn(StatefulProcessor):
         self.state = handle.getValueState("turn", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"n": 0, "text": [], "said": False, "order": [], "results": {}, "closed": False, "last": 0}
+        s = json.loads(self.state.get()[0]) if self.state.exists() else {"n": 0, "text": [], "said": False, "order": {}, "results": {}, "closed": False, "last": 0}
         out: list[tuple] = []
 
         def emit(kind: str, call: str | None = None, content: str | None = None) -> None:
             s["n"] += 1
             out.append((key[0], key[1], s["n"], kind, call, content))
 
-        def flush() -> None:
-            for call in s["order"] + [c for c in s["results"] if c not in s["order"]]:
-                if call in s["results"]:
-                    emit("tool/result", call, s["results"].pop(call))
-            s["order"] = []
+        def flush(steps: list[str]) -> None:
+            for step in steps:
+                results = s["results"].pop(step, {})
+                for call in dict.fromkeys([*s["order"].pop(step, []), *results]):
+                    if call in results:
+                        emit("tool/result", call, results[call])
 
         for r in pd.concat(list(rows)).sort_values("pos").itertuples():
             if s["closed"]:
                 break
+            step = str(r.step)
             s["last"] = max(s["last"], int(r.ts_ms))
             if r.kind == "final_delta":
                 s["text"].append(r.content or "")
@@ -115,28 +118,35 @@ class FoldTurn(StatefulProcessor):
                 emit("assistant/message", None, "".join(s["text"]))
                 s["text"] = []
             elif r.kind == "tool_call":
-                s["order"].append(r.tool_call_id)
+                s["order"].setdefault(step, []).append(r.tool_call_id)
                 emit("tool/call", r.tool_call_id)
             elif r.kind == "tool_result":
-                s["results"][r.tool_call_id] = r.content
-            elif r.kind in ("step_end", "error"):
-                flush()
-                emit("step/end" if r.kind == "step_end" else "error", None, r.content)
+                s["results"].setdefault(step, {})[r.tool_call_id] = r.content
+            elif r.kind == "step_end":
+                flush([step])
+                emit("step/end", None, r.content)
+            elif r.kind == "error":
+                flush(sorted({*s["order"], *s["results"]}, key=int))
+                emit("error", None, r.content)
             elif r.kind == "done":
-                flush()
+                flush(sorted({*s["order"], *s["results"]}, key=int))
                 emit("turn/end", None, r.content)
                 s["closed"] = True
         self.state.update((json.dumps(s),))
-        if not s["closed"]:
-            self.handle.registerTimer(s["last"] + self.IDLE_MS)
+        self.handle.registerTimer(s["last"] + self.IDLE_MS)
         yield pd.DataFrame(out, columns=[f.name for f in FOLD_TYPE])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"closed": True}
+        s = json.loads(self.state.get()[0]) if self.state.exists() else None
         # A later event moved the end of silence and has its own timer.
-        if not s["closed"] and s["last"] + self.IDLE_MS <= expiredTimerInfo.getExpiryTimeInMs():
-            s["closed"] = True
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if s and s["last"] + self.IDLE_MS <= now:
+            if s["closed"]:
+                self.state.clear()
+                return
+            s |= {"closed": True, "last": now}
             self.state.update((json.dumps(s),))
+            self.handle.registerTimer(now + self.IDLE_MS)
             yield pd.DataFrame([(key[0], key[1], s["n"] + 1, "turn/end", None, "error")], columns=[f.name for f in FOLD_TYPE])
 
     def close(self) -> None:
@@ -144,8 +154,10 @@ class FoldTurn(StatefulProcessor):
 
 
 def fold_stream(runtime: DataFrame, late: str = "5 minutes") -> DataFrame:
-    """ST-2: runtime events (session_id, turn_id, pos, kind, tool_call_id, content, ts) -> log events."""
-    timed = runtime.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
+    """ST-2: runtime events (session_id, turn_id, pos, kind, tool_call_id, content, ts, and the number of the model
+    step, 0 where that column is missing) -> log events."""
+    step = F.coalesce(F.col("step").cast("int"), F.lit(0)) if "step" in runtime.columns else F.lit(0)
+    timed = runtime.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts")).withColumn("step", step)
     return timed.groupBy("session_id", "turn_id").transformWithStateInPandas(
         statefulProcessor=FoldTurn(), outputStructType=FOLD_TYPE, outputMode="Append", timeMode="EventTime")
 

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 from difflib import SequenceMatcher
 
 import duckdb
@@ -68,6 +69,17 @@ def test_folded_stream_keeps_call_order_and_closes_silent_turns(spark, tmp_path)
     assert [(r.event_type, r.content) for r in out.where("session_id = 2").orderBy("position").collect()] == [("tool/call", None), ("turn/end", "error")]
 
 
+def test_interleaved_steps_keep_their_own_results(spark, tmp_path):
+    rows = [("tool_call", 1, "a"), ("tool_call", 2, "b"), ("tool_result", 2, "b"), ("tool_result", 1, "a"), ("step_end", 2, None), ("step_end", 1, None), ("tool_call", 3, "c"), ("tool_result", 3, "c"), ("done", 3, None)]
+    schema = "session_id bigint, turn_id string, pos bigint, kind string, step int, tool_call_id string, content string, ts timestamp"
+    for part, chunk in enumerate([rows[:2], rows[2:4], rows[4:6], rows[6:]]):
+        data = [(1, "t", part * 10 + i, k, s, c, c, datetime(2024, 1, 1, 0, 0, part)) for i, (k, s, c) in enumerate(chunk)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = J.run_to_table(J.fold_stream(J.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)), "t")
+    got = [(r.event_type, r.tool_call_id) for r in out.orderBy("position").collect()]
+    assert got == [("tool/call", "a"), ("tool/call", "b"), ("tool/result", "b"), ("step/end", None), ("tool/result", "a"), ("step/end", None), ("tool/call", "c"), ("tool/result", "c"), ("turn/end", None)]
+
+
 def test_registered_queries_and_oracles(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 150
