@@ -238,8 +238,8 @@ def link_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     raw = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows, classes, often, seed = _sets(raw)
     spark, named = docs.sparkSession, raw.where("doc_id IS NOT NULL")
-    top = often.orderBy(F.col("seen").desc(), "token").limit(HEAVY_TOKENS).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    top = often.orderBy(F.col("seen").desc(), "token").limit(HEAVY_TOKENS).select("token").toArrow()
+    tokens = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     ranks = np.arange(len(tokens), 0, -1).astype(np.uint64)  # most frequent last
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], ranks[order]))

@@ -136,7 +136,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
               .toDF("lang", "width", "gram", "n").groupBy("lang", "width", "gram").agg(F.sum("n").alias("n")))
     grams_ = materialize(grams_, "language-grams")
     totals = grams_.groupBy("lang", "width").agg(F.sum("n").alias("total"))
-    rows = grams_.join(F.broadcast(totals), ["lang", "width"]).where(F.col("n") >= LEAST_SHARE * F.col("total")).select("lang", "gram").toPandas()
+    rows = grams_.join(F.broadcast(totals), ["lang", "width"]).where(F.col("n") >= LEAST_SHARE * F.col("total")).select("lang", "gram").toArrow().to_pandas()
     return Model({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in rows.groupby("lang")})
 
 
