@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import LOWER, UPPER
+from marginalia.llm.common import LOWER, UPPER, fresh
 
 WINDOW = 13
 # ASCII characters that are not part of words: all but digits and letters.
@@ -133,5 +133,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     hit = by_document(rows, items, "key", "text", window)
     sizes = rows.select("key", F.size(_words("text")).alias("n_words")).join(hit, "key")
     bad = sizes.where(20 * covered(F.col("spans")) >= F.col("n_words")).select(F.col("key").alias("_bad")).distinct()
-    own = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    return own.join(bad, own["_key"] == bad["_bad"], "left_anti").drop("_key")
+    name = fresh(docs, "_key")
+    own = docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return own.join(bad, own[name] == bad["_bad"], "left_anti").drop(name)

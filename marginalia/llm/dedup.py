@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import fresh
 from marginalia.scale import materialize
 
 BLOCK_BYTES = 2048
@@ -128,9 +129,10 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns and types; one row of each group of equal texts."""
-    kept = name_documents(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS_SQL, " ").cast("binary"), 256))
-    met = keyed.join(kept, keyed["_sha"].eqNullSafe(kept["_sha"]) & keyed[id_col].cast("bigint").eqNullSafe(kept["_keep"]), "left_semi")
+    kept = name_documents(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha"))
+    sha, again = fresh(docs, "_sha"), fresh(docs, "_again")
+    keyed = docs.withColumn(sha, F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS_SQL, " ").cast("binary"), 256))
+    met = keyed.join(kept, keyed[sha].eqNullSafe(kept["_kept_sha"]) & keyed[id_col].cast("bigint").eqNullSafe(kept["_keep"]), "left_semi")
     # Repeated rows share id and text; one of them stays.
-    again = Window.partitionBy(id_col, "_sha").orderBy(F.lit(1))
-    return met.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns)
+    same = Window.partitionBy(id_col, sha).orderBy(F.lit(1))
+    return met.withColumn(again, F.row_number().over(same)).where(F.col(again) == 1).select(*docs.columns)

@@ -93,7 +93,8 @@ def assign_shards(df: DataFrame, dims: list[str], shards: int, tie: list[str], b
 
     Shards differ by one row at most.  Ties on the curve follow ``tie``; rows equal there too take neighbouring
     slots in either order.  Null dimensions fall into cell 0.  An empty table gives an empty result.  Columns of
-    ``df`` named curve, shard or slot are replaced, all others stay.
+    ``df`` named curve, shard or slot are replaced, all others stay; the names _rank, _one, _at and _range and
+    those that start with _s_, _b_ and _l_ are reserved.
     """
     df = df.drop("curve", "shard", "slot")
     cuts = bounds(df, dims, bits)
