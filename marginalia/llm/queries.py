@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm.common import read
+from marginalia.llm.secrets import RULES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +59,24 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
-@query("op9_secret_ledger")
+def _kind_sql(no: int, kind: str, pattern: str, least: int) -> str:
+    rx = "'" + pattern.replace("'", "''") + "'"
+    part = f"regexp_extract(m, {rx}, 2)" if kind == "assign" else "m"
+    return f"""SELECT r, {no} AS no, '{kind}' AS kind, m, g, i, length({part}) >= {least} AS ok FROM (
+      SELECT r, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM (
+        SELECT r, regexp_extract_all(t, {rx}) AS m, string_split_regex(t, {rx}) AS g FROM d WHERE regexp_matches(t, {rx})))"""
+
+
+SECRETS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join(_kind_sql(no, *rule) for no, rule in enumerate(RULES))}),
+p AS (SELECT *, CAST(sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS st FROM x WINDOW w AS (PARTITION BY r, no ORDER BY i)),
+s AS (SELECT r, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS k, count(*) FILTER (no = 2) AS h,
+        string_agg(concat(kind, ':', st, ':', st + length(m)), ',' ORDER BY st, no) AS spans FROM p WHERE ok GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)"""
+
+
+@query("op9_secret_ledger", SECRETS_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.secrets import document_secrets
     return document_secrets(read(spark, folder, "documents"))
