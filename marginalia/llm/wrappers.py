@@ -5,9 +5,10 @@ one host are aligned with each other: equal tags match, differing texts become t
 pages have become optional groups, and one against several becomes a repeated group.  Folding and alignment go on
 until one expression, without alternatives, covers all pages of the host: its wrapper.
 
-The wrapper counts what its slots held, over all pages: number of pages, characters, and characters in links.
-From these and the names of the elements, it marks the slots of the article once per host; each page is then read
-through the wrapper.
+Texts that stand on nearly all pages of a host are its template.  The wrapper counts what its slots held, over all
+pages: number of pages, characters, and characters of the template.  Slots with text of the pages' own mark the
+article once per host; names of elements decide outside of it only.  Each page is then read through the wrapper, and
+blocks that are all template are left out, but for headings over text of the page and labels in rows with such text.
 
 Streams of one host and shape are merged where they are scanned, so a host with a third of all pages sends a few
 small expressions to one task.
@@ -15,9 +16,11 @@ small expressions to one task.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +44,15 @@ NOT_NAMES = frozenset(("ad ads adv advert adverts advertisement advertising bann
                        "footer foot bottombar colophon sidebar aside rail widget widgets notice notices cookie cookies consent gdpr alert alerts announcement popup modal overlay comment comments "
                        "commentlist respond reply replies disqus discussion form search searchbox subscribe subscription newsletter signup login register share sharing social related recommended "
                        "recommendations copyright pagination pager toolbar contentinfo complementary").split())
+# Of these, words that are as well headings of an article: alone they do not refuse a section.
+WEAK_NAMES = frozenset("discussion form notice notices register share related reply replies respond alert alerts announcement promotion advertising recommendations consent copyright subscription".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# A text is template if this share of the host's pages has it.  Hosts with fewer pages, or with more copies than
+# different pages, show no template.
+TEMPLATE_SHARE, LEAST_PAGES = 0.8, 4
+SENT_CHARS = 16_000_000     # tables by host up to this size go to the tasks whole; larger ones are joined
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -124,10 +134,15 @@ def tree(page: str) -> Node:
     return root
 
 
-# Expressions are lists: ["t", fixed text or None, pages, characters] for a text place, and
+def text_key(words: str) -> int:
+    """64-bit name of a text without outer and double blanks."""
+    return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+# Expressions are lists: ["t", fixed text or None, pages, characters, characters of the template] for a text place, and
 # ["e", label, optional, repeated, parts, pages] for an element with its content.
 
-def expression(node: Node, many: int = 1) -> list:
+def expression(node: Node, many: int = 1, template: frozenset = frozenset()) -> list:
     """Expression of one element; neighbouring children of one shape fold into a repeated group."""
     parts: list = []
     for kid in node.kids:
@@ -135,9 +150,9 @@ def expression(node: Node, many: int = 1) -> list:
             words = _BLANKS.sub(" ", kid).strip()
             if not words:
                 continue
-            part = ["t", words if len(words) <= 80 else None, many, len(words) * many]
+            part = ["t", words if len(words) <= 80 else None, many, len(words) * many, len(words) * many if template and text_key(words) in template else 0]
         else:
-            part = expression(kid, many)
+            part = expression(kid, many, template)
         parts.append(part)
     return ["e", node.label, False, False, folded(parts), many]
 
@@ -162,7 +177,7 @@ def folded(parts: list) -> list:
 def merged(a: list, b: list) -> list:
     """One expression for what both stand for; both have the same shape."""
     if a[0] == "t":
-        return ["t", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3]]
+        return ["t", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4]]
     return ["e", a[1], a[2] or b[2], a[3] or b[3], aligned(a[4], b[4]), a[5] + b[5]]
 
 
@@ -231,69 +246,96 @@ def _kind(label: str) -> tuple[str, set[str], str]:
     return tag, {x.lower() for x in _SPLIT.split(re.sub(r"(class|id|role|itemprop)=", " ", names)) if x}, names
 
 
-def refused(label: str, inside: bool) -> bool:
-    """Whether an element is no part of an article by its tag or names."""
+def refused(label: str, inside: bool, named: bool = True) -> bool:
+    """Whether an element is no part of an article by its tag or, outside the article, by its names."""
     tag, names, raw = _kind(label)
     if tag in NOT_ARTICLE or re.search(r"(?:^|[ \[])hidden=|aria-hidden=true", raw):
         return True
     if tag == "header":
         return not inside
-    if tag in ("html", "body"):
+    if not named or tag in ("html", "body", "p") or tag in HEADING:
         return False
     if tag in ("article", "main") and not names & {"comment", "comments", "reply", "related", "ad", "ads", "sponsored", "promo"}:
         return False
-    return bool(names & NOT_NAMES)
+    return bool(names & (NOT_NAMES - WEAK_NAMES if tag == "section" else NOT_NAMES))
+
+
+def wholly_named(label: str) -> bool:
+    """Whether one name of an element, with all its words, is of what is not the article."""
+    tag, _, raw = _kind(label)
+    if tag == "p" or tag in HEADING:
+        return False
+    known = NOT_NAMES - WEAK_NAMES if tag == "section" else NOT_NAMES
+    names = [{x.lower() for x in _SPLIT.split(n) if x} for n in re.sub(r"(?:class|id|role|itemprop)=|\]$", " ", raw).split()]
+    return any(n and n <= known for n in names)
+
+
+def _links(node: Node, link: bool = False) -> tuple[int, int]:
+    """Characters of an element, and those in links."""
+    total = inside = 0
+    for kid in node.kids:
+        n, m = (len(kid.strip()), len(kid.strip()) * link) if isinstance(kid, str) else _links(kid, link or kid.tag == "a")
+        total, inside = total + n, inside + m
+    return total, inside
 
 
-def _mass(part: list, link: bool = False) -> tuple[float, float]:
-    """Characters of text places, and those in links, that are not refused."""
+def _mass(part: list, link: bool = False, named: bool = True) -> tuple[float, float]:
+    """Characters of text places that are no template, and those in links, that are not refused."""
     if part[0] == "t":
-        return part[3], part[3] * link
-    if refused(part[1], False):
+        own = part[3] - part[4]
+        return own, own * link
+    if refused(part[1], False, named):
         return 0, 0
     tag = part[1].partition("[")[0]
-    both = [_mass(p, link or tag == "a") for p in part[4]]
+    both = [_mass(p, link or tag == "a", named) for p in part[4]]
     return sum(x for x, _ in both), sum(y for _, y in both)
 
 
-def regions(wrapper: list) -> list[tuple[int, ...]]:
-    """Paths (child numbers) of the wrapper's parts that hold the article.
+def regions(wrapper: list) -> tuple[list[tuple[int, ...]], bool]:
+    """Paths (child numbers) of the wrapper's parts that hold the article, and whether the markup says so.
 
     An article element that is not refused, else main or an article body by name; else the deepest element that
-    holds nearly all text outside links.
+    holds nearly all text outside links.  Text is what the pages do not share.  Articles below an element that names
+    alone refuse count if they hold most of the text.
     """
-    found: dict[int, list] = {}
+    found: dict[tuple, list] = {}
 
-    def look(part, path):
-        if part[0] != "e" or (path and refused(part[1], False)):
+    def look(part, path, below):
+        if part[0] != "e" or (path and refused(part[1], False, False)):
             return
+        below = below or bool(path) and refused(part[1], False)
         tag, names, raw = _kind(part[1])
         rank = 0 if tag == "article" else 1 if tag == "main" or "role=main" in raw or "articleBody" in raw else None
         if rank is not None:
-            found.setdefault(rank, []).append(path)
+            found.setdefault((below, rank), []).append((path, part))
             if rank == 0:
                 return
         for k, p in enumerate(part[4]):
-            look(p, (*path, k))
-
-    look(wrapper, ())
-    if found:
-        return found[min(found)]
+            look(p, (*path, k), below)
+
+    look(wrapper, (), False)
+    for below, rank in sorted(found):
+        if not below or 2 * sum(_mass(p, False, False)[0] for _, p in found[below, rank]) > _mass(wrapper, False, False)[0]:
+            return [path for path, _ in found[below, rank]], True
+    # Where names refuse all text, they say nothing.
+    named = _mass(wrapper)[0] > 0
     part, path = wrapper, ()
     while True:
-        total = _mass(part)
-        best = max(((_mass(p), k) for k, p in enumerate(part[4]) if p[0] == "e"), default=None, key=lambda x: x[0][0] - x[0][1])
+        total = _mass(part, False, named)
+        best = max(((_mass(p, False, named), k) for k, p in enumerate(part[4]) if p[0] == "e"), default=None, key=lambda x: x[0][0] - x[0][1])
         if best is None or best[0][0] - best[0][1] < 0.9 * max(1, total[0] - total[1]) or _kind(part[4][best[1]][1])[0] in HEADING | {"p", "a", "b", "i", "em", "strong", "span"}:
-            return [path]
+            return [path], False
         part, path = part[4][best[1]], (*path, best[1])
 
 
-def article(page: str, wrapper: list) -> tuple[str, bool]:
+def article(page: str, wrapper: list, template: frozenset = frozenset()) -> tuple[str, bool]:
     """Text of the article's blocks, one per line, and whether the wrapper covered the page."""
     root = tree(page)
     chosen: set[int] = set()
+    above: set[int] = set()
     whole = True
-    wanted = set(regions(wrapper))
+    paths, declared = regions(wrapper)
+    wanted = set(paths)
     prefixes = {p[:k] for p in wanted for k in range(len(p) + 1)}
 
     def walk(node, part, path):
@@ -303,6 +345,7 @@ def article(page: str, wrapper: list) -> tuple[str, bool]:
             return
         if path not in prefixes:
             return
+        above.add(id(node))
         places = {id(p): k for k, p in enumerate(part[4])}
         read = _read(part[4], node)
         if read is None:
@@ -315,53 +358,131 @@ def article(page: str, wrapper: list) -> tuple[str, bool]:
     walk(root, wrapper, ())
     if not whole or not chosen:
         # Not covered, or without any of the host's article parts: the page's own expression has at least one.
-        return article(page, expression(root))[0], whole
-    blocks: list[str] = []
+        return article(page, expression(root, 1, template), template)[0], whole
+    # Text, level of a heading, whether all of it is template, table row, depth of what it has in common with the block before.
+    blocks: list[tuple[str, int, bool, int, int]] = []
+    lowest = 0
     line: list[str] = []
+    fixed: list[bool] = []
 
-    def flush():
+    def flush(level, row, depth):
+        nonlocal lowest
         text = _BLANKS.sub(" ", "".join(line)).strip()
         if text:
-            blocks.append(text)
+            blocks.append((text, level, bool(fixed) and all(fixed), row, min(lowest, depth)))
+            lowest = depth
         line.clear()
-
-    def collect(node, inside, headings):
+        fixed.clear()
+
+    def away(kid, here):
+        if id(kid) in chosen or id(kid) in above:
+            return False
+        if not here or refused(kid.label, True, False):
+            return refused(kid.label, here)
+        # Inside the article a name has to be backed: by the lack of markup for the article, or by links.
+        if not wholly_named(kid.label):
+            return False
+        total, linked = _links(kid)
+        return not declared or 2 * linked > total
+
+    def collect(node, inside, headings, level, row, depth):
+        nonlocal lowest
         for kid in node.kids:
             if isinstance(kid, str):
                 if inside and not headings:
                     line.append(kid)
+                    words = _BLANKS.sub(" ", kid).strip() if template else ""
+                    if words:
+                        fixed.append(text_key(words) in template)
                 continue
             here = inside or id(kid) in chosen
-            if refused(kid.label, here) and id(kid) not in chosen:
+            if away(kid, here):
                 continue
             block = kid.tag in BLOCK
             if block:
-                flush()
+                flush(level, row, depth)
             if kid.tag == "br":
                 line.append(" ")
+            below = int(kid.tag[1]) if kid.tag in HEADING else level
+            cells = id(kid) if kid.tag in ("tr", "dl") else row if not block or kid.tag in ("td", "th", "dt", "dd") else 0
             # Of a header inside the article only the headings are article text.
-            collect(kid, here, (headings or kid.tag == "header") and kid.tag not in HEADING)
+            collect(kid, here, (headings or kid.tag == "header") and kid.tag not in HEADING, below, cells, depth + 1)
             if block:
-                flush()
-
-    collect(root, id(root) in chosen, False)
-    flush()
-    return "\n".join(blocks), True
-
-
-def host_of(url: str | None) -> str:
-    m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+                flush(below, cells, depth + 1)
+            lowest = min(lowest, depth)
+
+    collect(root, id(root) in chosen, False, 0, 0, 0)
+    flush(0, 0, 0)
+    own = {row for _, _, same, row, _ in blocks if row and not same}
+    stay = [not same or row in own for _, _, same, row, _ in blocks]
+    for k in range(len(blocks) - 2, -1, -1):
+        if blocks[k][1] and not stay[k]:
+            # A shared heading stays over text that stays, in the element that it has in common with what comes next.
+            for j in range(k + 1, len(blocks)):
+                if blocks[j][4] < blocks[k + 1][4] or 0 < blocks[j][1] <= blocks[k][1]:
+                    break
+                if stay[j]:
+                    stay[k] = True
+                    break
+    kept = [block[0] for block, yes in zip(blocks, stay, strict=True) if yes]
+    if not kept and template:
+        return article(page, expression(root))[0], whole
+    return "\n".join(kept), True
 
 
-def _partial_wrappers(batches):
-    """One expression per host and batch: pages of one shape meet as they come."""
+def _seen(batches):
+    """On how many pages of its host a text stands, by batch; and of each page its longest text, as kind 1."""
     for batch in batches:
-        held: dict[str, list] = {}
-        for url, page in zip(batch.column(0), batch.column(1), strict=True):
-            host, one = host_of(url.as_py()), expression(tree(page.as_py() or ""))
-            held[host] = merged(held[host], one) if host in held else one
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
+        count: Counter = Counter()
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts, open_text = set(), ""
+            for kind, value, _ in (*tokens(page.as_py() or ""), ("close", "", "")):
+                if kind == "text":
+                    open_text += value
+                elif open_text:
+                    texts.add(_BLANKS.sub(" ", open_text).strip())
+                    open_text = ""
+            texts.discard("")
+            count.update((host, 0, text_key(t)) for t in texts)
+            count[host, 1, text_key(max(texts, key=lambda t: (len(t), t), default=""))] += 1
+        hosts, kinds, keys = zip(*count) if count else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(list(count.values()), pa.int64())], names=["host", "kind", "key", "n"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host and known (JSON list of the keys of its template texts), for hosts that show a template."""
+    seen = materialize(pages.select("host", "html").mapInArrow(_seen, "host string, kind int, key bigint, n bigint")
+                       .groupBy("host", "kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 1 or n >= {LEAST_PAGES}"), "seen")
+    hosts = seen.where("kind = 1").groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("different"))
+    hosts = hosts.where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("different") >= F.col("pages")))
+    same = seen.where("kind = 0").join(hosts, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("key"))).alias("known"))
+
+
+def _by_host(pages: DataFrame, table: DataFrame, name: str):
+    """Pages with the column ``name`` of a table by host, and a look-up instead of it where the table is small."""
+    size = table.agg(F.coalesce(F.sum(F.length("host") + F.length(name)), F.lit(0))).first()[0]
+    if size > SENT_CHARS:
+        return pages.join(table, "host", "left"), None
+    return pages.withColumn(name, F.lit(None).cast("string")), pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in table.select("host", name).collect()})
+
+
+class _Known:
+    """Values by host, from a row's own text or the look-up, parsed once while they are in use."""
+
+    def __init__(self, sent, parse):
+        self.sent, self.parse, self.held = sent.value if sent else None, parse, {}
+
+    def __call__(self, host: str, text: str | None):
+        if host not in self.held:
+            if len(self.held) > 200:
+                self.held.clear()
+            self.held[host] = self.parse(self.sent.get(host) if self.sent is not None else text)
+        return self.held[host]
+
+
+def _keys(text: str | None) -> frozenset:
+    return frozenset(json.loads(text)) if text else frozenset()
 
 
 def _merge_host(table):
@@ -372,9 +493,27 @@ def _merge_host(table):
     return pa.table({"host": [table["host"][0].as_py()], "wrapper": [json.dumps(out)]})
 
 
-def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def with_host(pages: DataFrame, url_col: str, html_col: str, *more) -> DataFrame:
+    host = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.lit("")))
+    return pages.select(*more, F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(host, F.lit("")).alias("host"))
+
+
+def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", known: DataFrame | None = None) -> DataFrame:
     """host and wrapper (the expression as JSON) for every host; pages without a host are one host."""
-    partial = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_partial_wrappers, "host string, wrapper string")
+    named = with_host(pages, url_col, html_col).select("host", "html")
+    met, sent = _by_host(named, templates(named) if known is None else known, "known")
+
+    def partial_wrappers(batches):
+        """One expression per host and batch: pages of one shape meet as they come."""
+        of = _Known(sent, _keys)
+        for batch in batches:
+            held: dict[str, list] = {}
+            for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                one = expression(tree(page.as_py() or ""), 1, of(host, text))
+                held[host] = merged(held[host], one) if host in held else one
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
+
+    partial = met.select("host", "html", "known").mapInArrow(partial_wrappers, "host string, wrapper string")
     # A host brings one expression per batch of its pages: a salted round first, so that few meet at the end.
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)).cast("int"))
     some = salted.groupBy("host", "salt").applyInArrow(_merge_host, "host string, wrapper string")
@@ -385,28 +524,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars, host, covered (whether the host's wrapper matched the page).
 
     A null html is empty and gives an empty text; a null url belongs to the host without name.  A page that its
-    wrapper does not cover, or that has no part of the host's article, is read by its own expression.  Repeated rows each get a row, other columns are
+    wrapper does not cover, or that has no part of the host's article, is read by its own expression; one that is
+    template only is read as if its host had none.  Repeated rows each get a row, other columns are
     ignored, an empty table gives an empty result.  Nothing is cut.
     """
-    wrappers = materialize(infer(pages, url_col, html_col), "wrappers")
-    raw = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.lit("")))
-    met = raw.withColumn("host", F.coalesce(host, F.lit(""))).join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    raw = with_host(pages, url_col, html_col, F.col(id_col).cast("bigint").alias("page_id"))
+    known = materialize(templates(raw), "templates")
+    wrappers = materialize(infer(pages, url_col, html_col, known), "wrappers")
+    met, sent_wrappers = _by_host(raw, wrappers, "wrapper")
+    met, sent_known = _by_host(met, known, "known")
 
     def rows(batches):
-        known: dict[str, list] = {}
+        wrapper_of, known_of = _Known(sent_wrappers, json.loads), _Known(sent_known, _keys)
         for batch in slices(batches, "html"):
             texts, covered = [], []
-            for page, wrapper in zip(batch.column(2), batch.column(4), strict=True):
-                key = wrapper.as_py()
-                if key not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    known[key] = json.loads(key)
-                text, ok = article(page.as_py() or "", known[key])
+            for page, host, wrapper, keys in zip(batch.column(2), *[batch.column(k).to_pylist() for k in (3, 4, 5)], strict=True):
+                text, ok = article(page.as_py() or "", wrapper_of(host, wrapper), known_of(host, keys))
                 texts.append(text)
                 covered.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(3), pa.array(covered)],
                                              names=["page_id", "url", "text", "n_chars", "host", "covered"])
 
-    return met.mapInArrow(rows, "page_id bigint, url string, text string, n_chars bigint, host string, covered boolean")
+    return met.select("page_id", "url", "html", "host", "wrapper", "known").mapInArrow(rows, "page_id bigint, url string, text string, n_chars bigint, host string, covered boolean")

@@ -83,3 +83,27 @@ def test_odd_pages(spark):
     assert by[1]["text"] == by[2]["text"] == "" and by[3]["text"] == "just text" and by[None]["text"] == "a\nb" and by[4]["text"] == "yes"
     assert by[6]["text"].count("\n") == 19_999 and by[8]["text"] == "z" and by[8]["host"] == "h"
     assert w.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_listed_words_do_not_cut_the_article_and_shared_text_is_left_out(spark):
+    r = random.Random(10)
+    say = lambda k: " ".join(word(r) for _ in range(30)) + f" no {k}"
+    rows, want = [], {}
+    for i in range(40):
+        a, b, c, d, e = (say(f"{i}-{k}") for k in range(5))
+        box = '<div class="box3"><h2>Get the paper</h2><p>Every week, for nothing.</p></div>'
+        side = '<div class="kasten"><p>' + "This text is the same on each page of the site. " * 3 + "</p></div>"
+        parts = f'<section id="discussion"><p>{b}</p></section><h2 id="related-work">Related work</h2><p class="form">{c}</p><div class="notice-period">{d}</div>{box}<table><tr><td>Weight<td>{i} kg</table>'
+        text = [f"Head {i}", *map(plain, (a, b)), "Related work", *map(plain, (c, d)), "Weight", f"{i} kg"]
+        if i % 4 == 0:
+            host, page_, lines = "declared", f"<body>{side}<article><h1>Head {i}</h1><p>{a}</p>{parts}</article>{side}", text
+        elif i % 4 == 1:
+            host, page_, lines = "bare", f"<body><div class=x><div class=y><h1>Head {i}</h1><p>{a}</p>{parts}</div>{side}</div>", text
+        elif i % 4 == 2:
+            host, page_, lines = "below", f'<body><div class="notice"><article><h1>Head {i}</h1><p>{e}</p></article></div>{side}', [f"Head {i}", plain(e)]
+        else:
+            host, page_, lines = "copies", "<body><article><h1>One</h1><p>the same page again</p></article>", ["One", "the same page again"]
+        rows.append((i, f"https://{host}.example/{i}", page_))
+        want[i] = "\n".join(lines)
+    for x in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect():
+        assert x["covered"] and x["text"] == want[x["page_id"]], (x["text"], want[x["page_id"]])
