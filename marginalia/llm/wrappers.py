@@ -10,8 +10,9 @@ pages: number of pages, characters, and characters of the template.  Slots with
 article once per host; names of elements decide outside of it only.  Each page is then read through the wrapper, and
 blocks that are all template are left out, but for headings over text of the page and labels in rows with such text.
 
-Streams of one host and shape are merged where they are scanned, so a host with a third of all pages sends a few
-small expressions to one task.
+Labels have the names that many pages of the host share; others, such as an id for each page, are one open name, so
+that a wrapper grows with the structure of its site and not with the number of its pages.  Streams of one host are
+merged where they are scanned, so a host with a third of all pages sends a few small expressions to one task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import html
 import json
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,10 +53,12 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A text is template if this share of the host's pages has it.  Hosts with fewer pages, or with more copies than
 # different pages, show no template.
 TEMPLATE_SHARE, LEAST_PAGES = 0.8, 4
+NAME_SHARE = 0.05           # names on fewer of the host's pages, or on one page, are an open name
 SENT_CHARS = 16_000_000     # tables by host up to this size go to the tasks whole; larger ones are joined
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_FIXED_NAME = re.compile(r"(?:aria-)?hidden=\w*|role=main|articleBody")   # names that have a meaning by themselves stay in labels
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _BLANKS = re.compile(r"\s+")
 
@@ -94,15 +98,36 @@ def tokens(page: str):
 class Node:
     """An element of a page: label, children (nodes and texts), tag."""
 
-    __slots__ = ("tag", "label", "kids")
+    __slots__ = ("tag", "label", "raw", "kids")
 
-    def __init__(self, tag: str, label: str):
-        self.tag, self.label, self.kids = tag, label, []
+    def __init__(self, tag: str, label: str, raw: str):
+        self.tag, self.label, self.raw, self.kids = tag, label, raw, []
 
 
-def tree(page: str) -> Node:
+def text_key(words: str) -> int:
+    """64-bit name of a text without outer and double blanks."""
+    return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Site(NamedTuple):
+    """What the pages of a host share: keys of template texts, and keys of usual names (None: all names count)."""
+
+    texts: frozenset = frozenset()
+    names: frozenset | None = None
+
+    def label(self, tag: str, names: str) -> str:
+        """Tag and names; names that are not usual together give way to one usual name and an open one."""
+        whole = tag + "[" + names + "]"
+        if not names or self.names is None or text_key(whole) in self.names:
+            return whole if names else tag
+        words = sorted(set(_FIXED_NAME.findall(names)))
+        return tag + "[" + " ".join([*words, *next(([n] for n in names.split() if text_key(tag + " " + n) in self.names), []), "*"]) + "]"
+
+
+def tree(page: str, site: Site = Site()) -> Node:
     """Tags matched as browsers do for what matters here: open paragraphs and items end where a new one starts."""
-    root = Node("", "")
+    root = Node("", "", "")
+    known: dict[tuple[str, str], str] = {}
     path = [root]
 
     def close(tags, barrier):
@@ -125,7 +150,9 @@ def tree(page: str) -> Node:
                 close(("p",), BARRIER)
             if value in CLOSES:
                 close(CLOSES[value], BARRIER - CLOSES[value])
-            node = Node(value, value + ("[" + names + "]" if names else ""))
+            if (value, names) not in known:
+                known[value, names] = site.label(value, names)
+            node = Node(value, known[value, names], value + ("[" + names + "]" if names else ""))
             path[-1].kids.append(node)
             if value not in VOID:
                 path.append(node)
@@ -134,11 +161,6 @@ def tree(page: str) -> Node:
     return root
 
 
-def text_key(words: str) -> int:
-    """64-bit name of a text without outer and double blanks."""
-    return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
 # Expressions are lists: ["t", fixed text or None, pages, characters, characters of the template] for a text place, and
 # ["e", label, optional, repeated, parts, pages] for an element with its content.
 
@@ -328,9 +350,9 @@ def regions(wrapper: list) -> tuple[list[tuple[int, ...]], bool]:
         part, path = part[4][best[1]], (*path, best[1])
 
 
-def article(page: str, wrapper: list, template: frozenset = frozenset()) -> tuple[str, bool]:
+def article(page: str, wrapper: list, site: Site = Site()) -> tuple[str, bool]:
     """Text of the article's blocks, one per line, and whether the wrapper covered the page."""
-    root = tree(page)
+    root, template = tree(page, site), site.texts
     chosen: set[int] = set()
     above: set[int] = set()
     whole = True
@@ -358,7 +380,7 @@ def article(page: str, wrapper: list, template: frozenset = frozenset()) -> tupl
     walk(root, wrapper, ())
     if not whole or not chosen:
         # Not covered, or without any of the host's article parts: the page's own expression has at least one.
-        return article(page, expression(root, 1, template), template)[0], whole
+        return article(page, expression(root, 1, template), site)[0], whole
     # Text, level of a heading, whether all of it is template, table row, depth of what it has in common with the block before.
     blocks: list[tuple[str, int, bool, int, int]] = []
     lowest = 0
@@ -377,10 +399,10 @@ def article(page: str, wrapper: list, template: frozenset = frozenset()) -> tupl
     def away(kid, here):
         if id(kid) in chosen or id(kid) in above:
             return False
-        if not here or refused(kid.label, True, False):
-            return refused(kid.label, here)
+        if not here or refused(kid.raw, True, False):
+            return refused(kid.raw, here)
         # Inside the article a name has to be backed: by the lack of markup for the article, or by links.
-        if not wholly_named(kid.label):
+        if not wholly_named(kid.raw):
             return False
         total, linked = _links(kid)
         return not declared or 2 * linked > total
@@ -426,37 +448,46 @@ def article(page: str, wrapper: list, template: frozenset = frozenset()) -> tupl
                     break
     kept = [block[0] for block, yes in zip(blocks, stay, strict=True) if yes]
     if not kept and template:
-        return article(page, expression(root))[0], whole
+        return article(page, expression(tree(page)))[0], whole
     return "\n".join(kept), True
 
 
 def _seen(batches):
-    """On how many pages of its host a text stands, by batch; and of each page its longest text, as kind 1."""
+    """On how many pages of its host a text stands, by batch; of each page its longest text, as kind 1; names, as kind 2."""
     for batch in batches:
         count: Counter = Counter()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            texts, open_text = set(), ""
-            for kind, value, _ in (*tokens(page.as_py() or ""), ("close", "", "")):
+            texts, names, open_text = set(), set(), ""
+            for kind, value, named in (*tokens(page.as_py() or ""), ("close", "", "")):
                 if kind == "text":
                     open_text += value
-                elif open_text:
+                    continue
+                if named:
+                    names.add(value + "[" + named + "]")
+                    names.update(value + " " + n for n in named.split())
+                if open_text:
                     texts.add(_BLANKS.sub(" ", open_text).strip())
                     open_text = ""
             texts.discard("")
             count.update((host, 0, text_key(t)) for t in texts)
+            count.update((host, 2, text_key(n)) for n in names)
             count[host, 1, text_key(max(texts, key=lambda t: (len(t), t), default=""))] += 1
         hosts, kinds, keys = zip(*count) if count else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(list(count.values()), pa.int64())], names=["host", "kind", "key", "n"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and known (JSON list of the keys of its template texts), for hosts that show a template."""
+    """host and known (keys of its template texts and of its usual names, as JSON), for hosts with enough pages."""
     seen = materialize(pages.select("host", "html").mapInArrow(_seen, "host string, kind int, key bigint, n bigint")
-                       .groupBy("host", "kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 1 or n >= {LEAST_PAGES}"), "seen")
+                       .groupBy("host", "kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 1 or n >= {LEAST_PAGES} or (kind = 2 and n >= 2)"), "seen")
     hosts = seen.where("kind = 1").groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("different"))
-    hosts = hosts.where((F.col("pages") >= LEAST_PAGES) & (2 * F.col("different") >= F.col("pages")))
-    same = seen.where("kind = 0").join(hosts, "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    return same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("key"))).alias("known"))
+    hosts = hosts.where(F.col("pages") >= LEAST_PAGES)
+    text = (F.col("kind") == 0) & (F.col("n") >= TEMPLATE_SHARE * F.col("pages")) & (2 * F.col("different") >= F.col("pages"))
+    name = (F.col("kind") == 2) & (F.col("n") >= NAME_SHARE * F.col("pages"))
+    same = seen.where("kind <> 1").join(hosts, "host").where(text | name).select("host", "kind", "key")
+    keys = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("key"))))
+    return hosts.select("host", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("bigint").alias("key")).unionByName(same) \
+        .groupBy("host").agg(F.to_json(F.struct(keys(0).alias("texts"), keys(2).alias("names"))).alias("known"))
 
 
 def _by_host(pages: DataFrame, table: DataFrame, name: str):
@@ -481,8 +512,8 @@ class _Known:
         return self.held[host]
 
 
-def _keys(text: str | None) -> frozenset:
-    return frozenset(json.loads(text)) if text else frozenset()
+def _site(text: str | None) -> Site:
+    return Site(*(frozenset(json.loads(text)[n]) for n in ("texts", "names"))) if text else Site()
 
 
 def _merge_host(table):
@@ -505,11 +536,12 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", known:
 
     def partial_wrappers(batches):
         """One expression per host and batch: pages of one shape meet as they come."""
-        of = _Known(sent, _keys)
+        of = _Known(sent, _site)
         for batch in batches:
             held: dict[str, list] = {}
             for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                one = expression(tree(page.as_py() or ""), 1, of(host, text))
+                site = of(host, text)
+                one = expression(tree(page.as_py() or "", site), 1, site.texts)
                 held[host] = merged(held[host], one) if host in held else one
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
 
@@ -535,7 +567,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     met, sent_known = _by_host(met, known, "known")
 
     def rows(batches):
-        wrapper_of, known_of = _Known(sent_wrappers, json.loads), _Known(sent_known, _keys)
+        wrapper_of, known_of = _Known(sent_wrappers, json.loads), _Known(sent_known, _site)
         for batch in slices(batches, "html"):
             texts, covered = [], []
             for page, host, wrapper, keys in zip(batch.column(2), *[batch.column(k).to_pylist() for k in (3, 4, 5)], strict=True):

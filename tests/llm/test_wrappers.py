@@ -107,3 +107,18 @@ def test_listed_words_do_not_cut_the_article_and_shared_text_is_left_out(spark):
         want[i] = "\n".join(lines)
     for x in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect():
         assert x["covered"] and x["text"] == want[x["page_id"]], (x["text"], want[x["page_id"]])
+
+
+def test_names_of_single_pages_do_not_grow_the_wrapper(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    for i in range(240):
+        text = " ".join(word(r) for _ in range(20)) + f" {i}"
+        slug = "".join(chr(97 + int(c)) for c in str(i))
+        rows.append((i, "https://one.example/", f'<div class=nav>go</div><article id="post-{i}" class="post {slug}-x"><h1 id="{slug}">Head {i}</h1><div class="body b{i}"><p id="p-{slug}">{text}</p></div></article><div class="foot">me</div>'))
+        want[i] = f"Head {i}\n{plain(text)}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    size = [len(w.infer(pages.where(f"page_id < {n}")).first()["wrapper"]) for n in (60, 240)]
+    assert size[1] < 1.2 * size[0] < 1200, size
+    for x in w.extract(pages).collect():
+        assert x["covered"] and x["text"] == want[x["page_id"]]
