@@ -1,9 +1,11 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A licence can be the whole text or a notice inside it, so the words of a text are compared in windows of a
-template's size, and in the whole text if its size allows.  A window of w bigrams and a template of t bigrams reach the
+A licence can be the whole text or a notice inside it, whole, with words put in, or in part, so the words of a text are
+compared in windows of all widths that can match.  A window of w bigrams and a template of t bigrams reach the
 least Dice coefficient D only if w lies within t D / (2 - D) and t (2 - D) / D, and if they share D (w + t) / 2
-bigrams; templates whose bounds no part of a text meets are left out before anything is compared.
+bigrams; templates whose bounds no part of a text meets are left out before anything is compared.  A window that starts
+or ends with a bigram that the template lacks is worse than the window without it, so only windows from one shared bigram
+to another are formed.
 """
 
 from __future__ import annotations
@@ -45,6 +47,18 @@ TEMPLATES = {
                         "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
                         "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
                         "GNU General Public License for more details.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+                        "Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that "
+                        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+                        "GNU General Public License for more details.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
+                         "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+                         "the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+                         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
+                         "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+                         "the GNU Affero General Public License for more details.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
            "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
            "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
@@ -62,6 +76,8 @@ TEMPLATES = {
                     "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
                     "with the distribution.",
 }
+TEMPLATES["BSD-3-Clause"] = (TEMPLATES["BSD-2-Clause"] + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                             "derived from this software without specific prior written permission.")
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -100,6 +116,34 @@ def _bag_windows(codes: np.ndarray, bag: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _spans(codes: np.ndarray, times: np.ndarray, least: float, size: int, shortest: int, longest: int) -> list[tuple[float, int, int]]:
+    """(Dice, width, start) of all windows from one shared bigram to another that reach the least coefficient."""
+    at = np.flatnonzero(codes >= 0)
+    hits = codes[at]
+    # A bigram counts in a window if the occurrence that uses up its number in the template lies before the window.
+    lag = np.full(len(at), -1)
+    order = np.argsort(hits, kind="stable")
+    number = times[hits[order]]
+    back = np.arange(len(order)) - number
+    same = (back >= 0) & (hits[order][np.maximum(back, 0)] == hits[order])
+    lag[order[same]] = order[back[same]]
+    reach = np.searchsorted(at, at + longest) - np.arange(len(at))
+    starts = np.flatnonzero(reach >= shortest)
+    found: list[tuple[float, int, int]] = []
+    step = max(1, 1_000_000 // max(1, int(reach.max(initial=1))))
+    for k in range(0, len(starts), step):
+        s = starts[k:k + step, None]
+        j = s + np.arange(int(reach[s].max()))
+        inside = j < s + reach[s]
+        j = np.minimum(j, len(at) - 1)
+        counts = inside & (lag[j] < s)
+        width = at[j] - at[s] + 1
+        score = 2 * np.cumsum(counts, axis=1) / (width + size)
+        row, col = np.nonzero(counts & (score >= least))
+        found += zip(score[row, col].tolist(), width[row, col].tolist(), at[s[row, 0]].tolist(), strict=True)
+    return found
+
+
 class Templates:
     """Bigrams of the templates, as bags, and all of them sorted for look-up."""
 
@@ -112,19 +156,24 @@ class Templates:
             self.bags.append(np.unique(sequence_hash(hashes, 2), return_counts=True))
         self.all = np.unique(np.concatenate([b[0] for b in self.bags])) if self.bags else np.zeros(0, np.uint64)
 
-    def matches(self, words: np.ndarray) -> list[tuple[str, int, int, float]]:
+    def matches(self, words: np.ndarray, all_widths: bool = False) -> list[tuple[str, int, int, float]]:
         """(template, first word, end, Dice) of the parts of one text that reach the least coefficient.
 
+        The parts are windows of all widths that can, or of a template's size and the whole text only.
         Of overlapping parts the better one stays, then the longer, then the earlier.
         """
         grams, found = sequence_hash(words, 2), []
         for name, (keys, times) in zip(self.names, self.bags, strict=True):
             size = int(times.sum())
-            shortest, longest = int(np.ceil(size * self.least / (2 - self.least))), int(size * (2 - self.least) / self.least)
+            shortest, longest = int(np.ceil(size * self.least / (2 - self.least) - 1e-9)), int(size * (2 - self.least) / self.least + 1e-9)
             if not size or len(grams) < shortest:
                 continue
             at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
             codes = np.where(keys[at] == grams, at, -1)
+            if all_widths:
+                if (codes >= 0).sum() >= shortest:
+                    found += [(*span, name) for span in _spans(codes, times, self.least, size, shortest, longest)]
+                continue
             if (codes >= 0).sum() < self.least * (min(size, len(grams)) + size) / 2:
                 continue
             widths = {min(size, len(grams))} | ({len(grams)} if shortest <= len(grams) <= longest else set())
@@ -133,10 +182,10 @@ class Templates:
                 score = 2 * shared / (width + size)
                 found += [(float(score[i]), width, int(i), name) for i in np.flatnonzero(score >= self.least)]
         kept: list[tuple[str, int, int, float]] = []
-        taken = np.zeros(len(words), bool)
+        taken = bytearray(len(words))
         for score, width, start, name in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-            if not taken[start:start + width + 1].any():
-                taken[start:start + width + 1] = True
+            if taken.find(1, start, start + width + 1) < 0:
+                taken[start:start + width + 1] = b"\1" * (width + 1)
                 kept.append((name, start, start + width + 1, score))
         return sorted(kept, key=lambda k: k[1])
 
@@ -162,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             some, at = sums_by_text(hit, counts) > 0, runs(counts)
             names, best, number, listed = [], [], [], []
             for i in range(len(counts)):
-                got = wanted.matches(hashes[at[i]:at[i] + counts[i]]) if some[i] else []
+                got = wanted.matches(hashes[at[i]:at[i] + counts[i]], True) if some[i] else []
                 top = min(got, key=lambda g: (-g[3], -(g[2] - g[1]), g[1]), default=None)
                 names.append(top[0] if top else None)
                 best.append(top[3] if top else 0.0)
