@@ -6,7 +6,8 @@ every text has one name.  A name stands for exactly one content at its level, so
 if and only if they are identical: no hash decides.
 
 Copies that meet in one batch of the scan travel as one group, so a text held by a third of all rows brings one
-row per batch to the naming, not one per copy.
+row per batch to the naming, not one per copy.  A block that different texts of one batch share goes to the naming
+once; its name comes back to them by the number that the block has in its batch.
 """
 
 from __future__ import annotations
@@ -41,18 +42,22 @@ def _fast_normalised(text: str | None) -> bytes:
 
 def _block_rows(block_bytes: int):
     def rows(batches):
-        made = TaskContext.get().partitionId() << 40
+        made = bids = TaskContext.get().partitionId() << 40
         for batch in batches:
             groups: dict[bytes, list] = {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 groups.setdefault(_fast_normalised(text), []).append(doc)
-            out: dict[str, list] = {k: [] for k in ("block", "gid", "idx", "n", "ids", "sha")}
-            held = 0
+            out: dict[str, list] = {k: [] for k in _BLOCKS.names}
+            held, numbers = 0, {}
             for text, ids in groups.items():
                 n = max(1, -(-len(text) // block_bytes))
                 ids.sort(key=lambda d: (d is None, d))
                 for i in range(n):
-                    out["block"].append(text[i * block_bytes:(i + 1) * block_bytes])
+                    block = text[i * block_bytes:(i + 1) * block_bytes]
+                    out["block"].append(None if block in numbers else block)
+                    if block not in numbers:
+                        numbers[block], bids = bids, bids + 1
+                    out["bid"].append(numbers[block])
                     out["gid"].append(made)
                     out["idx"].append(i)
                     out["n"].append(n)
@@ -62,13 +67,13 @@ def _block_rows(block_bytes: int):
                 made += 1
                 if held > 8_000_000:
                     yield _arrow(out)
-                    out, held = {k: [] for k in out}, 0
+                    out, held, numbers = {k: [] for k in out}, 0, {}
             yield _arrow(out)
     return rows
 
 
-_BLOCKS = pa.schema([("block", pa.binary()), ("gid", pa.int64()), ("idx", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("sha", pa.string())])
-_NAMED = pa.schema([("gid", pa.int64()), ("idx", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("ids", pa.list_(pa.int64())), ("sha", pa.string())])
+_BLOCKS = pa.schema([("block", pa.binary()), ("bid", pa.int64()), ("gid", pa.int64()), ("idx", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("sha", pa.string())])
+_NAMED = pa.schema([("bid", pa.int64()), ("name", pa.int64())])
 
 
 def _arrow(out: dict[str, list]) -> pa.RecordBatch:
@@ -85,7 +90,12 @@ def _name_sorted(batches):
             if block != last:
                 name, last = name + 1, block
             names.append(name)
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), pa.array(names, pa.int64()), batch.column(4), batch.column(5)], schema=_NAMED)
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.int64())], schema=_NAMED)
+
+
+def cut_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of all texts of (doc_id, text); ``block`` is null where the batch has brought this block before, under the same ``bid``."""
+    return docs.mapInArrow(_block_rows(block_bytes), "block binary, bid bigint, gid bigint, idx bigint, n bigint, ids array<bigint>, sha string")
 
 
 def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -97,10 +107,10 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cannot clash.
     """
     raw = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = raw.mapInArrow(_block_rows(block_bytes), "block binary, gid bigint, idx bigint, n bigint, ids array<bigint>, sha string")
-    named = materialize(
-        blocks.repartition("block").sortWithinPartitions("block")
-        .mapInArrow(_name_sorted, "gid bigint, idx bigint, n bigint, name bigint, ids array<bigint>, sha string"), "block-names")
+    blocks = materialize(cut_blocks(raw, block_bytes), "blocks")
+    names = (blocks.where("block IS NOT NULL").select("block", "bid").repartition("block").sortWithinPartitions("block")
+             .mapInArrow(_name_sorted, "bid bigint, name bigint"))
+    named = materialize(blocks.drop("block").join(names, "bid").drop("bid"), "block-names")
     groups = named.where("idx = 0").select("gid", "ids", "sha")
     done = [named.where("n = 1").select("gid", F.lit(0).alias("level"), "name")]
     current, level = named.where("n > 1").select("gid", "idx", "n", "name"), 0

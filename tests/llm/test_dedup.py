@@ -32,6 +32,15 @@ def test_groups_equal_brute_force(spark):
             assert out[d]["keep_id"] == min(ids) and out[d]["group_size"] == len(ids) and out[d]["kept"] == (d == min(ids))
 
 
+def test_a_block_shared_by_different_texts_goes_to_the_naming_once_per_batch(spark):
+    rows = [(i, "the head " + str(i % 250)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sent = dedup.cut_blocks(docs, 8).where("block = CAST('the head' AS BINARY)").count()
+    assert sent == 1
+    out = dedup.name_documents(docs, block_bytes=8).collect()
+    assert len(out) == 500 and all(x["keep_id"] == x["doc_id"] % 250 and x["group_size"] == 2 for x in out)
+
+
 def test_nulls_repeats_clashes_and_empty(spark):
     schema = "doc_id long, text string, name string, level int, kept string, _sha long"
     rows = [(None, "a", "n", 1, "k", 1), (2, "a", "n", 1, "k", 1), (2, "a", "n", 1, "k", 1), (None, None, None, None, None, None), (3, "b  c", "", 0, "", 0)]
