@@ -116,3 +116,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     from marginalia.llm.wrappers import extract
     return extract(read(spark, folder, "pages"))
+
+
+@query("op12_square_catchers")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from marginalia.llm.periodic import document_runs
+    return document_runs(read(spark, folder, "documents"))
