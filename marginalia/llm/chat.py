@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,12 +55,16 @@ class Template:
     def _pattern(self, slashes: str) -> str:
         return "|".join(f"(?<={re.escape(c[0])}){slashes}(?=\\\\*{re.escape(c[1:])})" for c in self.controls)
 
+    def _may_hold(self, text: Column) -> Column:
+        """A plain search for first characters of control strings, which most texts do not have."""
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in sorted({c[0] for c in self.controls})])
+
     def escape(self, text: Column) -> Column:
         # An empty match right after the first character of a control string, with or without backslashes behind it.
-        return F.when(text.rlike(self._pattern("")), F.regexp_replace(text, self._pattern(""), r"\\")).otherwise(text)
+        return F.when(self._may_hold(text), F.regexp_replace(text, self._pattern(""), r"\\")).otherwise(text)
 
     def unescape(self, text: Column) -> Column:
-        return F.when(text.rlike(self._pattern(r"\\")), F.regexp_replace(text, self._pattern(r"\\"), "")).otherwise(text)
+        return F.when(self._may_hold(text), F.regexp_replace(text, self._pattern(r"\\"), "")).otherwise(text)
 
     def escape_role(self, role: Column) -> Column:
         return self.escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
