@@ -4,6 +4,10 @@ Row ``r`` of the filter table is a bit mask with one bit per language: bit l is
 hashes to r.  Looking up an n-gram is the AND of a few rows, and gives at once all languages that contain it.
 The bits are counted per language over a text, the count expected from false positives is taken off, and the
 highest corrected count decides.
+
+There are two such tables.  The wide one holds every n-gram that was seen in a language, so no language and no rare
+alphabet is lost; the narrow one holds a language's frequent n-grams once more, since in a large corpus almost every
+n-gram turns up somewhere in every language.  Corrected counts of both are added.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from marginalia.llm.vectors import GOLDEN, mix, sequence_hash, sums_by_text
 from marginalia.scale import materialize
 
 WIDTHS = (3, 4)
-LEAST_SHARE = 1e-4  # of a language's n-grams of one width; bounds the model to 1 / LEAST_SHARE n-grams per width
-BITS = 18
+FREQUENT_SHARE = 1e-4  # of a language's n-grams of one width, for the narrow table
+BITS, MOST_BITS = 18, 22  # rows of the narrow table, and at most of the wide one, as powers of two
 HASHES = 3
 UNKNOWN = "und"
 
@@ -87,11 +91,12 @@ class Model:
     def __init__(self, grams_of: dict[str, np.ndarray], bits: int = BITS, hashes: int = HASHES):
         self.languages, self.bits, self.hashes = sorted(grams_of), bits, hashes
         words = max(1, -(-len(self.languages) // 64))
-        self.table = np.zeros((words, 1 << bits), np.uint64)
+        # One byte a row is enough for eight languages.
+        self.table = np.zeros((words, 1 << bits), np.uint8 if len(self.languages) <= 8 else np.uint64)
         for i, lang in enumerate(self.languages):
             for at in self._places(grams_of[lang]):
-                self.table[i // 64][at] |= np.uint64(1 << (i % 64))
-        fill = [((self.table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.languages))]
+                self.table[i // 64][at] |= self.table.dtype.type(1 << (i % 64))
+        fill = [(self.table[i // 64] >> self.table.dtype.type(i % 64) & self.table.dtype.type(1)).mean() for i in range(len(self.languages))]
         self.false = np.array(fill, float) ** hashes
 
     @classmethod
@@ -111,52 +116,107 @@ class Model:
             out = self.table[word][at] if out is None else out & self.table[word][at]
         return out
 
+    @classmethod
+    def of_words(cls, languages: list[str], bits: int, words: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+        """A table from each language's filter, given as numbers of 64-bit words and their bits."""
+        model = cls({lang: np.zeros(0, np.uint64) for lang in languages}, bits)
+        for i, lang in enumerate(model.languages):
+            if lang in words:
+                packed = np.zeros((1 << bits) // 64, np.uint64)
+                packed[words[lang][0]] = words[lang][1]
+                plane = np.unpackbits(packed.view(np.uint8), bitorder="little")
+                model.table[i // 64] |= plane.astype(model.table.dtype) << model.table.dtype.type(i % 64)
+                model.false[i] = plane.mean() ** model.hashes
+        return model
+
+    def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a filter that n-grams touch, and the bits they set there."""
+        places = np.unique(np.concatenate(list(self._places(keys))))
+        word, start = np.unique(places >> 6, return_index=True)
+        return word, np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), start)
+
+    def corrected(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Number of known n-grams per text and language, less the expected false positives."""
+        out = np.zeros((len(sizes), len(self.languages)))
+        for word in range(len(self.table)):
+            masks = self.contains(keys, word)
+            for i in range(64 * word, min(64 * word + 64, len(self.languages))):
+                hits = sums_by_text((masks >> masks.dtype.type(i % 64) & masks.dtype.type(1)).astype(np.int64), sizes)
+                out[:, i] = (hits - sizes * self.false[i]) / (1 - self.false[i]) if self.false[i] < 1 else 0
+        return out
+
+
+class Tables:
+    """The wide and the narrow table of the same languages."""
+
+    def __init__(self, tables: list[Model]):
+        self.tables, self.languages = tables, tables[0].languages
+
     def counts(self, texts: list[str]) -> np.ndarray:
-        """Corrected number of known n-grams per text and language."""
         out = np.zeros((len(texts), len(self.languages)))
         for width in WIDTHS:
             keys, sizes = grams(texts, width)
-            for word in range(len(self.table)):
-                masks = self.contains(keys, word)
-                for i in range(64 * word, min(64 * word + 64, len(self.languages))):
-                    hits = sums_by_text(((masks >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64), sizes)
-                    out[:, i] += (hits - sizes * self.false[i]) / (1 - self.false[i]) if self.false[i] < 1 else 0
+            for table in self.tables:
+                out += np.maximum(table.corrected(keys, sizes), 0)
         return out
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Filters from all rows with a language.
+def _filter_words(bits: int):
+    def rows(batches):
+        table = Model({}, bits)
+        for batch in batches:
+            langs, grams_ = np.asarray(batch["lang"].to_pylist(), object), batch["gram"].to_numpy().view(np.uint64)
+            for lang in dict.fromkeys(langs):
+                word, mask = table.words(grams_[langs == lang])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), pa.array(word, pa.int64()), pa.array(mask.view(np.int64))], ["lang", "word", "mask"])
+    return rows
+
+
+def _table(kept: DataFrame, languages: list[str], bits: int) -> Model:
+    """Tasks set bits for their n-grams, words of 64 bits are OR-ed by exchange, and finished filters reach the driver."""
+    words = kept.select("lang", "gram").mapInArrow(_filter_words(bits), "lang string, word bigint, mask bigint")
+    rows = words.groupBy("lang", "word").agg(F.bit_or("mask").alias("mask")).toArrow().to_pandas()
+    return Model.of_words(languages, bits, {lang: (part["word"].to_numpy(), part["mask"].to_numpy(np.int64).view(np.uint64)) for lang, part in rows.groupby("lang")})
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Tables:
+    """Tables from all rows with a language; every n-gram that was seen is in them.
 
-    N-grams are counted in the tasks and summed by exchange; those with at least LEAST_SHARE of a language's
-    n-grams reach the driver, which bounds the model whatever the size of the corpus.
+    N-grams are counted in the tasks and summed by exchange.  The driver gets the filters only: at most
+    2 ** MOST_BITS bits for each language, whatever the size of the corpus.  A filter that would need more gives more
+    false positives, which the correction takes off.  A language is learned if any of its texts has an n-gram.
     """
     counted = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
         _gram_counts, "lang string, width int, keys array<bigint>, counts array<bigint>")
     grams_ = (counted.select("lang", "width", F.inline(F.arrays_zip(F.col("keys").alias("gram"), F.col("counts").alias("n"))))
               .toDF("lang", "width", "gram", "n").groupBy("lang", "width", "gram").agg(F.sum("n").alias("n")))
     grams_ = materialize(grams_, "language-grams")
-    totals = grams_.groupBy("lang", "width").agg(F.sum("n").alias("total"))
-    rows = grams_.join(F.broadcast(totals), ["lang", "width"]).where(F.col("n") >= LEAST_SHARE * F.col("total")).select("lang", "gram").toArrow().to_pandas()
-    return Model({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in rows.groupby("lang")})
+    totals = grams_.groupBy("lang", "width").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+    sizes = totals.groupBy("lang").agg(F.sum("distinct").alias("distinct")).collect()  # one row for each language
+    languages = [r["lang"] for r in sizes]
+    # Half of the bits set, where the largest language has the room.
+    bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(1 + HASHES * max((r["distinct"] for r in sizes), default=1) / np.log(2))))))
+    frequent = grams_.join(F.broadcast(totals), ["lang", "width"]).where(F.col("n") >= FREQUENT_SHARE * F.col("total"))
+    return Tables([_table(grams_, languages, bits), _table(frequent, languages, BITS)])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row.
 
     The score is the winner's part of all corrected counts.  A null text, one without a letter, or any text when
     no language was learned, gives ``und`` and 0.  When no n-gram is known, the first learned language is given
     with score 0; ties go to the smaller name.  Repeated rows each get a row; other columns are ignored.
     """
-    # Plain arrays, bounded by LEAST_SHARE and BITS.
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    # Plain arrays, bounded by the number of languages and MOST_BITS.
+    shared = docs.sparkSession.sparkContext.broadcast([vars(t) for t in model.tables])
 
     def rows(batches):
-        known = Model.of(shared.value)
+        known = Tables([Model.of(parts) for parts in shared.value])
         for batch in slices(batches, "text", 1_000_000):
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             letters = [any(map(str.isalpha, t)) for t in texts]
             if known.languages:
-                counts = np.maximum(known.counts(texts), 0)
+                counts = known.counts(texts)
                 best, total = counts.argmax(axis=1), counts.sum(axis=1)
                 score = np.where(total > 0, counts[np.arange(len(texts)), best] / np.where(total > 0, total, 1), 0.0)
                 langs = [known.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]

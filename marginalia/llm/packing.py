@@ -14,6 +14,8 @@ pieces of that length.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 
 import numpy as np
@@ -94,9 +96,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 class _Words(dict):
     """Token ids (as little-endian bytes) of text parts; the rules never merge across a single space."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, added: dict[str, int]):
         super().__init__()
         self.encode = encode
+        self.added = {text: number.to_bytes(4, "little") for text, number in added.items()}
+        # Longest first, as one token's text may begin another's.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     def __missing__(self, word: str) -> bytes:
         ids = np.asarray(self.encode(word), dtype="<u4").tobytes()
@@ -108,6 +113,15 @@ class _Words(dict):
 _MADE: dict[str, _Words] = {}
 
 
+def _added(path: str) -> dict[str, int]:
+    """Tokens that the vocabulary file takes out of a text before its rules, wherever their text stands."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what surrounds them are not known here")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def _words_of(vocabulary: str) -> _Words:
     if vocabulary not in _MADE:
         import public_tokenizers
@@ -115,16 +129,22 @@ def _words_of(vocabulary: str) -> _Words:
         path = public_tokenizers.path(vocabulary)
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _MADE[vocabulary] = _Words(encoding.encode_ordinary)
+        _MADE[vocabulary] = _Words(encoding.encode_ordinary, _added(public_tokenizers.path(vocabulary.rpartition(".")[0] + ".json")))
     return _MADE[vocabulary]
 
 
 def token_bytes(text: str, words: _Words, blanks) -> bytes:
     """Ids of a text as little-endian 32-bit numbers.
 
-    A space between two characters that are not blank always starts a new part for the tokenizer, so a text
-    without neighbouring blanks is looked up word by word.  Any other text is encoded whole.
+    Added tokens are cut out first.  A space between two characters that are not blank always starts a new part for the
+    tokenizer, so a text without neighbouring blanks is looked up word by word.  Any other text is encoded whole.
     """
+    if words.split and any(token in text for token in words.added):
+        return b"".join(words.added[part] if at % 2 else _plain_bytes(part, words, blanks) for at, part in enumerate(words.split(text)))
+    return _plain_bytes(text, words, blanks)
+
+
+def _plain_bytes(text: str, words: _Words, blanks) -> bytes:
     if blanks(text):
         return np.asarray(words.encode(text), dtype="<u4").tobytes()
     first, *rest = text.split(" ")
@@ -135,7 +155,6 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
     tail = end_id.to_bytes(4, "little")
 
     def rows(batches):
-        import re
         blanks = re.compile(r"\s\s").search
         task, ranks = TaskContext.get().partitionId(), {}
         words = _words_of(vocabulary)

@@ -53,7 +53,7 @@ def test_bit_slices_hold_all_languages():
 def test_language_held_out_and_odd_inputs(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     both = language.document_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").select("lang", "lang_pred").collect()
-    assert np.mean([r["lang"] == r["lang_pred"] for r in both]) > 0.95
+    assert np.mean([r["lang"] == r["lang_pred"] for r in both]) > 0.99
     model = language.learn(docs.limit(200))
     odd = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(ODD)] + [(None, "the", 1.0), (3, "12", 1.0)], "doc_id long, text string, score double")
     out = language.predict(odd, model).collect()
@@ -64,6 +64,26 @@ def test_language_held_out_and_odd_inputs(spark):
     assert language.predict(odd.where("false"), model).count() == 0
 
 
+def test_languages_of_rare_characters_are_learned(spark):
+    rng = np.random.default_rng(4)
+    han = lambda: "".join(map(chr, rng.integers(0x4E00, 0x9F00, 30)))
+    latin = lambda: " ".join(rng.choice(["the", "of", "and", "to", "in"], 20))
+    rows = [(i, "zh" if i % 2 else "en", han() if i % 2 else latin()) for i in range(800)] + [(900, "xx", "q"), (901, "ga", "agus")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    model = language.learn(docs)
+    assert model.languages == ["en", "ga", "zh"]  # one letter has no n-gram
+    for text, lang, word in ((r[2], r[1], 0) for r in rows[:40]):
+        for width in language.WIDTHS:
+            keys, _ = language.grams([text], width)
+            bits = model.tables[0].contains(keys, word)
+            assert (bits >> model.languages.index(lang) & 1).all()
+    out = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert all(out[d] == lang for d, lang, _ in rows if d != 900)
+    # Half of the characters of a new text are enough.
+    new = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9F00, 3))) + rows[2 * i + 1][2][:9]) for i in range(100)]
+    assert {r["lang_pred"] for r in language.predict(spark.createDataFrame(new, "doc_id long, text string"), model).collect()} == {"zh"}
+
+
 def test_fold_is_the_checksum_of_the_text(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").withColumn("m", fold_remainder("doc_id", 5)).collect()
     assert all(r["m"] == crc_text(r["doc_id"]) % 5 for r in rows)

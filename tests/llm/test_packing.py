@@ -58,9 +58,9 @@ def test_pieces_tile_documents_and_sequences(spark):
     r = random.Random(4)
     make = lambda n: "".join(r.choice(["ab", " the", "  ", "\n", " é", "12", ".", " x", "\t", "don't", "\x1c", "　"]) for _ in range(n))
     rows = [(i, make(r.choice([0, 3, 50, 400, 3000]))) for i in range(60)] + [(100, None), (100, None), (None, "x"), (101, " a b "), (102, "a \n b"), (103, "<|endoftext|>")]
+    rows += [(104 + i, make(3).join(["", "<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|> a", "<|endoftext|"][:i + 2])) for i in range(5)]
     out = packing.pack(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, task int").repartition(3)).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     pieces, seqs = collections.defaultdict(list), collections.defaultdict(list)
     for p in out:
         pieces[p["doc_id"]].append(p)
