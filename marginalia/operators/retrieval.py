@@ -2,48 +2,30 @@
 
 The score of a chunk is the shared token count over the query's token count, plus 1 when the chunk
 contains the query text.  Frequent words would pair every query with every chunk, so the top k is found
-exactly with less work:
+exactly with less work, from the stored index of ``token_index``:
 
 1. Equal chunk texts are scored once; per text only the first ``MAX_TOP_K`` chunk ids can ever be shown.
-2. The rarest tokens of a query give a few texts whose exact scores bound the k-th best from below.
-3. A text can reach that bound only if it holds one of the query's rarer tokens (the rest together are too
-   light), so only postings of those tokens are joined.  Texts that contain the whole query also contain
-   its rarest inner token, which gives the candidates for the phrase bonus.
-4. A candidate whose score so far plus everything its query has left cannot reach the bound is dropped;
-   only the others get their exact score from the postings.
+2. Maximum counts bound what a block of neighbouring texts can reach for a query, without its texts being read.
+3. The few blocks with the highest bounds are scored; their k-th best overlap is what a text must reach.
+4. Blocks whose bound is lower are skipped, the others are scored.
+5. Texts that contain the whole query also contain its rarest inner token, which gives the candidates for the phrase
+   bonus; they come before all others.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
-from marginalia.scale import first_rows, materialize, settle
-
-SEED_POSTINGS = 5_000  # per query, how many postings of its rarest tokens the first bound may read
-
-
-def distinct_texts(chunks: DataFrame) -> DataFrame:
-    """text_id, text: one row per distinct chunk text.  Texts leave the map side once per distinct text."""
-    hashed = chunks.select(F.sha2("text", 256).alias("text_id"), "text")
-    return hashed.groupBy("text_id").agg(F.first("text").alias("text"))
-
-
-def text_owners(chunks: DataFrame, keys: list[str], k: int = K.MAX_TOP_K) -> DataFrame:
-    """First k chunk ids of every text (per key): a group of copies never needs more."""
-    ids = chunks.select(F.sha2("text", 256).alias("text_id"), *keys, "chunk_id", *[c for c in ("doc_id",) if c not in keys])
-    return first_rows(ids, ["text_id", *keys], [F.col("chunk_id")], k, "_copy").drop("_copy")
+from marginalia.operators import token_index
+from marginalia.operators.token_index import TokenIndex
+from marginalia.scale import first_rows, materialize, settle, shared_folder
 
-
-def postings(texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """RT-1: text_id, token, n; of ``asked`` tokens only when given, which then leave out the others before
-    the count.  Tokens of a text sit in one row, so counting combines before the exchange."""
-    bag = texts.select("text_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    if asked is not None:
-        bag = bag.join(asked, "token", "left_semi")
-    return bag.groupBy("text_id", "token").agg(F.count("*").alias("n"))
+SEED_BLOCKS = 24  # per query, how many blocks give the first bound
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -59,101 +41,104 @@ def query_bags(queries: DataFrame) -> DataFrame:
     return bag.groupBy("query_id", "total", "token").agg(F.count("*").alias("qn"))
 
 
-def _exact(pairs: DataFrame, bags: DataFrame, index: DataFrame) -> DataFrame:
-    """Exact overlap of (query_id, text_id) pairs from the postings."""
-    wide = pairs.join(bags.select("query_id", "total", "token", "qn"), "query_id").join(index, ["text_id", "token"])
-    return wide.groupBy("query_id", "text_id").agg(F.first("total").alias("total"), F.sum(F.least("qn", "n")).alias("overlap"))
-
-
-def candidates(queries: DataFrame, texts: DataFrame, k: int, phrase: bool = True) -> DataFrame:
-    """query_id, text_id, overlap, total, phrase: a set that surely holds the k best texts of every query."""
-    bags = query_bags(queries)
-    # Only postings of asked tokens matter; they are written once because four joins read them.
-    # Written first, so that its size is known when the join with every token of the corpus is planned.
-    asked = materialize(bags.select("token").distinct(), "asked-tokens")
-    index = materialize(postings(texts, asked), "postings")
-    freq = index.groupBy("token").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("query_id").orderBy("df", "token")
-    ranked = bags.join(freq, "token").select(
-        "*", F.row_number().over(w).alias("rk"), F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("read"),
-        F.sum("qn").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"))
-    ranked = materialize(ranked, "query-tokens")
-
-    def partial(tokens: DataFrame) -> DataFrame:
-        return tokens.join(index, "token").groupBy("query_id", "text_id").agg(F.sum(F.least("qn", "n")).alias("part"))
-
-    seeds = partial(ranked.where((F.col("rk") == 1) | (F.col("read") <= SEED_POSTINGS)).select("query_id", "token", "qn"))
-    seeds = first_rows(seeds, ["query_id"], [F.col("part").desc(), F.col("text_id")], k, "_s").select("query_id", "text_id")
-    bound = _exact(seeds, ranked, index).groupBy("query_id").agg(F.count("*").alias("c"), F.min("overlap").alias("low"))
-    bound = bound.select("query_id", F.when(F.col("c") >= k, F.col("low")).otherwise(1).alias("bound"))
-
-    # One row per query; three branches read it.
-    bound = materialize(bound, "bounds")
-    cut = ranked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(1)))
-    # Reading tokens until two thirds of the bound are left makes every unread text miss it, and asks a read
-    # text to have shown the other third already: few texts stay for the exact count.
-    limit = F.col("bound") - F.floor(F.col("bound") / 3)
-    needed = cut.where(F.col("rest") >= limit)
-    # What the tokens that were not read could still add to any text of the query.
-    slack = cut.groupBy("query_id").agg(F.first("bound").alias("bound"),
-                                        F.coalesce(F.max(F.when(F.col("rest") < limit, F.col("rest"))), F.lit(0)).alias("slack"))
-    alive = partial(needed.select("query_id", "token", "qn")).join(slack, "query_id").where(F.col("part") + F.col("slack") >= F.col("bound"))
-    pairs = alive.select("query_id", "text_id")
+def block_bounds(bags: DataFrame, index: TokenIndex) -> DataFrame:
+    """query_id, range, block, upper: what no text of the block can exceed.  Reads counts only, no texts' entries."""
+    met = bags.select("query_id", "token", "qn").join(index.blocks().select("token", "range", "block", "max_n"), "token")
+    return met.groupBy("query_id", "range", "block").agg(F.sum(F.least("qn", "max_n")).alias("upper"))
+
+
+def overlaps(bags: DataFrame, index: TokenIndex, wanted: DataFrame) -> DataFrame:
+    """query_id, text_no, overlap, total of the texts of the wanted (query_id, range, block).
+
+    All tokens of a block lie in one bucket, so the sum needs no exchange beside those of the joins.
+    """
+    met = bags.join(index.blocks().select("token", "range", "block", "entries"), "token").join(wanted, ["query_id", "range", "block"], "left_semi")
+    text_no, n = token_index.entry()
+    rows = met.select("query_id", "total", "range", "block", "qn", F.explode("entries").alias("entry")).select(
+        "query_id", "total", "range", "qn", text_no.alias("text_no"), n.alias("n"))
+    out = rows.groupBy("query_id", "range", "text_no").agg(F.sum(F.least("qn", "n")).alias("overlap"), F.first("total").alias("total")).drop("range")
+    living = index.living_texts()
+    return out if living is None else out.join(living, "text_no", "left_semi")
+
+
+def bounds(bags: DataFrame, index: TokenIndex, k: int) -> tuple[DataFrame, DataFrame]:
+    """Upper bounds of all blocks, and per query the overlap that k texts are known to reach."""
+    upper = materialize(block_bounds(bags, index), "block-bounds")
+    seeds = first_rows(upper, ["query_id"], [F.col("upper").desc(), F.col("block")], SEED_BLOCKS, "_s").drop("_s")
+    best = first_rows(overlaps(bags, index, seeds), ["query_id"], [F.col("overlap").desc(), F.col("text_no")], k, "_s")
+    low = best.groupBy("query_id").agg(F.count("*").alias("c"), F.min("overlap").alias("low"))
+    return upper, low.select("query_id", F.when(F.col("c") >= k, F.col("low")).otherwise(1).alias("bound"))
+
+
+def candidates(queries: DataFrame, index: TokenIndex, k: int, phrase: bool = True) -> DataFrame:
+    """query_id, text_no, overlap, total, phrase: a set that surely holds the k best texts of every query."""
+    # One row per query token and one per query; several joins read them.
+    bags = materialize(query_bags(queries), "query-tokens")
+    upper, low = bounds(bags, index, k)
+    low = materialize(low, "bounds")
+    alive = upper.join(low, "query_id").where(F.col("upper") >= F.col("bound")).select("query_id", "range", "block")
     if not phrase:
-        return _exact(pairs, ranked, index).withColumn("phrase", F.lit(False))
-    hits = materialize(phrase_hits(queries, texts, ranked, index), "phrase-hits")
-    scored = _exact(pairs.unionByName(hits).distinct(), ranked, index)
-    return scored.join(hits.withColumn("phrase", F.lit(True)), ["query_id", "text_id"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+        return overlaps(bags, index, alive).join(low, "query_id").where(F.col("overlap") >= F.col("bound")).drop("bound").withColumn("phrase", F.lit(False))
+    # Texts with the whole query count whatever their block's bound is.
+    hits = materialize(phrase_hits(queries, bags, index), "phrase-hits")
+    block = F.floor(F.col("text_no") / token_index.BLOCK_TEXTS).cast("bigint")
+    places = hits.select("query_id", F.floor(block / token_index.RANGE_BLOCKS).cast("bigint").alias("range"), block.alias("block"))
+    scored = overlaps(bags, index, alive.unionByName(places).distinct()).join(low, "query_id", "left")
+    marked = scored.join(hits.withColumn("phrase", F.lit(True)), ["query_id", "text_no"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+    return marked.where(F.col("phrase") | (F.col("overlap") >= F.col("bound"))).drop("bound")
 
 
-def _phrase_pairs(queries: DataFrame, ranked: DataFrame, index: DataFrame) -> DataFrame:
+def _phrase_pairs(queries: DataFrame, bags: DataFrame, index: TokenIndex) -> DataFrame:
     """Texts that hold the query's rarest inner token (or any token of a query of one or two).
 
     Inner tokens are delimited inside the query itself, so a text with the whole query has them as tokens.
     """
+    blocks = index.blocks()
     toks = queries.select("query_id", T.tokens(T.strip(F.col("query"))).alias("toks"))
     inner = F.when(F.size("toks") > 2, F.slice("toks", F.lit(2), F.size("toks") - 2)).otherwise(F.col("toks"))
     inner = toks.select("query_id", (F.size("toks") > 2).alias("long"), F.explode(F.array_distinct(inner)).alias("token"))
+    asked = bags.select("token").distinct()
+    freq = blocks.select("token", "n_texts").join(asked, "token", "left_semi").groupBy("token").agg(F.sum("n_texts").alias("df"))
     # A token no text holds has no postings: then no text contains the phrase.
-    known = inner.join(ranked.select("query_id", "token", "df"), ["query_id", "token"], "left")
-    known = known.withColumn("df", F.coalesce("df", F.lit(0)))
+    known = inner.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = known.where("long").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
     short = known.where("NOT long").select("query_id", "token")
-    return rare.unionByName(short).join(index.select("token", "text_id"), "token").select("query_id", "text_id").distinct()
+    met = rare.unionByName(short).join(blocks.select("token", "block", "entries"), "token")
+    return met.select("query_id", "block", F.explode("entries").alias("entry")).select("query_id", token_index.entry()[0].alias("text_no")).distinct()
 
 
-def phrase_hits(queries: DataFrame, texts: DataFrame, ranked: DataFrame, index: DataFrame) -> DataFrame:
-    """RT-3: (query_id, text_id) whose text contains the query, case ignored."""
-    pairs = _phrase_pairs(queries, ranked, index)
+def phrase_hits(queries: DataFrame, bags: DataFrame, index: TokenIndex) -> DataFrame:
+    """RT-3: (query_id, text_no) whose text contains the query, case ignored."""
+    pairs = _phrase_pairs(queries, bags, index)
     q = queries.select("query_id", F.lower(T.strip(F.col("query"))).alias("needle"))
-    return pairs.join(texts, "text_id").join(q, "query_id").where(F.contains(F.lower("text"), F.col("needle"))).select("query_id", "text_id")
+    hits = pairs.join(index.texts(), "text_no").join(q, "query_id").where(F.contains(F.lower("text"), F.col("needle"))).select("query_id", "text_no")
+    living = index.living_texts()
+    return hits if living is None else hits.join(living, "text_no", "left_semi")
 
 
-def phrase_matches(queries: DataFrame, texts: DataFrame) -> DataFrame:
+def phrase_matches(queries: DataFrame, index: TokenIndex) -> DataFrame:
     """RT-3 on its own."""
-    bags = query_bags(queries)
-    # Written first, so that its size is known when the join with every token of the corpus is planned.
-    asked = materialize(bags.select("token").distinct(), "asked-tokens")
-    index = materialize(postings(texts, asked), "postings")
-    ranked = bags.join(index.groupBy("token").agg(F.count("*").alias("df")), "token")
-    return phrase_hits(queries, texts, ranked, index)
+    return phrase_hits(queries, query_bags(queries), index)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K, phrase: bool = True) -> DataFrame:
+def retrieve(queries: DataFrame, source: DataFrame | TokenIndex, k: int = K.TOP_K, phrase: bool = True) -> DataFrame:
     """RT-2 .. RT-4: the k best chunks of every query by (score desc, chunk_id asc).
 
-    ``queries``: query_id, query; ``chunks``: doc_id, chunk_id, text.
+    ``queries``: query_id, query; ``source``: a stored index, or chunks (doc_id, chunk_id, text), which get one.
     """
     if not 1 <= k <= K.MAX_TOP_K:
         raise ValueError(f"k must be between 1 and {K.MAX_TOP_K}")
-    texts = materialize(distinct_texts(chunks), "texts")
-    scored = candidates(queries, texts, k, phrase)
+    index = source
+    if not isinstance(source, TokenIndex):
+        index = token_index.of_chunks(source, f"{shared_folder(source.sparkSession).rstrip('/')}/marginalia/token-index-{uuid.uuid4().hex}")
+    scored = materialize(candidates(queries, index, k, phrase), "scored")
     # More than k texts are never shown, and of each text its first k chunks; ties need whole score groups,
-    # so texts are cut by score rank only after the owners' ids have joined.
-    owned = scored.join(text_owners(chunks, [], k), "text_id")
+    # so texts are cut by score only after the owners' ids have joined.
+    owners = index.owners().join(scored.select("text_no").distinct(), "text_no", "left_semi")
+    owned = scored.join(first_rows(owners, ["text_no"], [F.col("chunk_id")], k, "_copy").drop("_copy"), "text_no")
     best = first_rows(owned, ["query_id"], [F.col("phrase").desc(), F.col("overlap").desc(), F.col("chunk_id")], k)
     score = F.col("overlap") / F.col("total") + F.when(F.col("phrase"), 1.0).otherwise(0.0)
-    return best.select("query_id", "rank", "doc_id", "chunk_id", "text_id", "overlap", "total", "phrase", F.round(score, 4).alias("score"))
+    return best.select("query_id", "rank", "doc_id", "chunk_id", "text_no", "overlap", "total", "phrase", F.round(score, 4).alias("score"))
 
 
 def retrieve_scoped(requests: DataFrame, chunks: DataFrame, k: int = K.TOP_K) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from marginalia.operators import chunks as C
 from marginalia.operators import evidence as E
 from marginalia.operators import quality as Q
 from marginalia.operators import retrieval as R
+from marginalia.operators import token_index
 from marginalia.plans.base import documents, papers, query, sql_strip, table, with_views
 from marginalia.plans.structure import SECTIONS_SQL
-from marginalia.scale import materialize
+from marginalia.scale import materialize, shared_folder
 
 TOKEN_SQL = "regexp_extract_all(lower({0}), '[a-z0-9_\\x{{131}}\\x{{17f}}]+|[\\x{{4e00}}-\\x{{9fff}}]')"
 
@@ -54,6 +57,13 @@ def _(spark, d):
     return R.token_counts(documents(spark, d), "doc_id")
 
 
+@query("sk3_token_index", f"""{with_views(extra=DOC_CHUNKS)}, t AS (SELECT txt, unnest({TOKEN_SQL.format('txt')}) AS token FROM (SELECT DISTINCT txt FROM chunk)),
+  p AS (SELECT txt, token, count(*) AS n FROM t GROUP BY 1, 2) SELECT token, count(*) AS n_texts, max(n) AS max_n FROM p GROUP BY token""")
+def _(spark, d):
+    blocks = _index(spark, d).blocks()
+    return blocks.groupBy("token").agg(F.sum("n_texts").alias("n_texts"), F.max("max_n").cast("bigint").alias("max_n"))
+
+
 RANK_SQL = DOC_CHUNKS + f""",
  ct AS (SELECT doc_id, idx, token, count(*) AS n FROM (SELECT doc_id, idx, unnest({TOKEN_SQL.format('txt')}) AS token FROM chunk) GROUP BY 1, 2, 3),
  q AS (SELECT item_id AS query_id, {sql_strip('text')} AS query FROM benchmark),
@@ -68,9 +78,10 @@ def _queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _chunks(spark, d):
-    # Chunks feed the index, the phrase test and the owners; they are written once.
-    return materialize(C.chunk_documents(documents(spark, d)).select("doc_id", "chunk_id", "text"), "chunks")
+def _index(spark, d):
+    """The stored index of a folder's documents; the first query builds it, later ones find it as it is."""
+    name = hashlib.sha256(d.rstrip("/").encode()).hexdigest()[:24]
+    return token_index.refresh(documents(spark, d).select("doc_id", "text"), f"{shared_folder(spark).rstrip('/')}/marginalia/token-index-{name}", C.chunk_documents)
 
 
 def _top(k: int, order: str) -> str:
@@ -80,25 +91,24 @@ def _top(k: int, order: str) -> str:
 
 @query("rt2_overlap_ranking", _top(8, "overlap DESC, chunk_id"))
 def _(spark, d):
-    return R.retrieve(_queries(spark, d), _chunks(spark, d), 8, phrase=False).select("query_id", "rank", "chunk_id", "overlap", "total")
+    return R.retrieve(_queries(spark, d), _index(spark, d), 8, phrase=False).select("query_id", "rank", "chunk_id", "overlap", "total")
 
 
 @query("rt3_phrase_matches", with_views(extra=RANK_SQL) + "SELECT query_id, count(*) AS n_chunks FROM sc WHERE phrase GROUP BY query_id")
 def _(spark, d):
-    c = _chunks(spark, d)
-    hits = R.phrase_matches(_queries(spark, d), R.distinct_texts(c))
-    copies = c.groupBy(F.sha2("text", 256).alias("text_id")).agg(F.count("*").alias("n"))
-    return hits.join(copies, "text_id").groupBy("query_id").agg(F.sum("n").alias("n_chunks"))
+    index = _index(spark, d)
+    hits = R.phrase_matches(_queries(spark, d), index)
+    return hits.join(index.owners(), "text_no").groupBy("query_id").agg(F.count("*").alias("n_chunks"))
 
 
 @query("rt4_top_chunks", _top(3, "phrase DESC, overlap DESC, chunk_id"))
 def _(spark, d):
-    return R.retrieve(_queries(spark, d), _chunks(spark, d), 3).select("query_id", "rank", "chunk_id", "overlap", "total", "phrase")
+    return R.retrieve(_queries(spark, d), _index(spark, d), 3).select("query_id", "rank", "chunk_id", "overlap", "total", "phrase")
 
 
 @query("tk1_top_eight", _top(8, "phrase DESC, overlap DESC, chunk_id"))
 def _(spark, d):
-    return R.retrieve(_queries(spark, d), _chunks(spark, d), 8).select("query_id", "rank", "chunk_id", "overlap", "total", "phrase")
+    return R.retrieve(_queries(spark, d), _index(spark, d), 8).select("query_id", "rank", "chunk_id", "overlap", "total", "phrase")
 
 
 # ---- scoped retrieval, bundles and evidence over sectioned papers -----------------------------
