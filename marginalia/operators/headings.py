@@ -102,15 +102,23 @@ def with_headings(docs: DataFrame, text_col: str, name: str = "_heads") -> DataF
     hits = F.filter(F.flatten(F.transform("_likely", spans)), lambda h: h["m"].isNotNull())
     staged = staged.withColumn("_hits", hits)
 
-    def finish(h: Column) -> Column:
-        start = F.aggregate(F.slice(lines, F.lit(1), h["i"]), F.lit(0).cast("bigint"), lambda acc, l: acc + F.length(l) + 1)
+    # Offsets in one walk: hits come by line, and each step adds the lines since the hit before.
+    def placed(s: Column, h: Column) -> Column:
+        here = F.aggregate(F.slice(lines, s["line"] + 1, h["i"] - s["line"]), s["at"], lambda acc, l: acc + F.length(l) + 1)
+        return F.transform(F.array(here), lambda at: F.struct(h["i"].alias("line"), at.alias("at"), F.array_append(s["starts"], at).alias("starts")))[0]
+
+    nowhere = F.struct(F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    staged = staged.withColumn("_starts", F.aggregate("_hits", nowhere, placed, lambda s: s["starts"]))
+
+    def finish(h: Column, no: Column) -> Column:
+        start = F.get("_starts", no)
         title = T.strip(h["line"])
         section, source = h["m"]["section"], h["m"]["source"]
         return F.struct(start.alias("start"), (start + F.length(h["line"])).alias("end"), title.alias("title"),
                         section.alias("section"), source.alias("source"), confidence(title, section, source).alias("confidence"))
 
     heads = F.array_sort(F.filter(F.transform("_hits", finish), lambda h: plausible(h["title"], h["source"])))
-    return settle(staged.withColumn(name, heads).drop("_lines", "_solid", "_likely", "_hits"))
+    return settle(staged.withColumn(name, heads).drop("_lines", "_solid", "_likely", "_hits", "_starts"))
 
 
 _spaced = sorted({w for t in (K.ZH_ALIASES, K.EN_ALIASES) for ws in t.values() for w in ws if " " in w})
