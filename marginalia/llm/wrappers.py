@@ -56,43 +56,85 @@ TEMPLATE_SHARE, LEAST_PAGES = 0.8, 4
 NAME_SHARE = 0.05           # names on fewer of the host's pages, or on one page, are an open name
 SENT_CHARS = 16_000_000     # tables by host up to this size go to the tasks whole; larger ones are joined
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+MOST_DEPTH = 128            # elements nested deeper stand on this level, as browsers limit the depth of a page too
+
+_START = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+_NO_TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?]))(?P<tag>(?!))?")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _FIXED_NAME = re.compile(r"(?:aria-)?hidden=\w*|role=main|articleBody")   # names that have a meaning by themselves stay in labels
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _BLANKS = re.compile(r"\s+")
 
 
+class _TagEnds:
+    """Ends of tags in one page, in time linear in its length whatever quotes are left open.
+
+    A tag ends at the first ``>`` outside quotes, or at the first ``>`` at all where there is none.  Places from which
+    a search outside quotes once failed are remembered, so no stretch of the page is searched twice in vain.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def after(self, at: int) -> int:
+        """Index of the closing ``>`` for attributes that begin at ``at``; -1 if the tag is never closed."""
+        if at > self.last[">"]:
+            return -1
+        walked, here = [], at
+        while here not in self.dead:
+            m = _QUOTE_OR_END.search(self.page, here)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.last[m[0]]:
+                break
+            here = self.page.index(m[0], m.start() + 1) + 1
+            walked.append(here)
+        self.dead.update(walked)
+        return self.page.index(">", at)
+
+
 def tokens(page: str):
     """("open", tag, names), ("close", tag, "") and ("text", characters, "") in page order."""
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            break
-        if m.start() > at:
-            yield "text", html.unescape(page[at:m.start()]), ""
-        at = m.end()
-        if m["cdata"] is not None:
-            yield "text", m["cdata"], ""
+    at, size, begun, ends, start = 0, len(page), 0, _TagEnds(page), _START
+    while m := start.search(page, at):
+        if m["tag"]:
+            stop = ends.after(m.end())
+            if stop < 0:
+                at, start = m.start() + 1, _NO_TAG  # text, like all later tags: no tag ends behind here
+                continue
+            past = stop + 1
+        else:
+            mark = "-->" if m["comment"] else "]]>" if m["cdata"] else ">"
+            stop = page.find(mark, m.end())
+            stop = size if stop < 0 else stop
+            past = min(size, stop + len(mark))
+        if m.start() > begun:
+            yield "text", html.unescape(page[begun:m.start()]), ""
+        at = begun = past
+        if m["cdata"]:
+            yield "text", page[m.end():stop], ""
         elif m["tag"]:
             tag = m["tag"].lower()
             if m["end"]:
                 yield "close", tag, ""
                 continue
-            attrs = m["attrs"]
+            attrs = page[m.end():stop]
             names = ""
             if attrs:
                 parts = [f"{n[0].lower()}={n[1] or n[2] or n[3]}" for n in _NAME.findall(attrs)]
                 names = " ".join(sorted(parts))
             yield "open", tag, names
             if tag in RAW and not attrs.rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                yield "text", html.unescape(page[at:stop.start()]) if tag in ("title", "textarea") else "", ""
+                over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+                yield "text", html.unescape(page[at:over.start()]) if tag in ("title", "textarea") else "", ""
                 yield "close", tag, ""
-                at = stop.end()
-    if at < size:
-        yield "text", html.unescape(page[at:]), ""
+                at = begun = over.end()
+    if begun < size:
+        yield "text", html.unescape(page[begun:]), ""
 
 
 class Node:
@@ -141,6 +183,9 @@ def tree(page: str, site: Site = Site()) -> Node:
     for kind, value, names in tokens(page):
         if kind == "text":
             kids = path[-1].kids
+            if len(path) > MOST_DEPTH:
+                level = path[MOST_DEPTH - 1].kids
+                kids = kids if level[-1] is path[-1] else level  # page order goes before depth
             if kids and isinstance(kids[-1], str):
                 kids[-1] += value
             else:
@@ -153,7 +198,7 @@ def tree(page: str, site: Site = Site()) -> Node:
             if (value, names) not in known:
                 known[value, names] = site.label(value, names)
             node = Node(value, known[value, names], value + ("[" + names + "]" if names else ""))
-            path[-1].kids.append(node)
+            path[min(len(path), MOST_DEPTH) - 1].kids.append(node)
             if value not in VOID:
                 path.append(node)
         elif value not in VOID:

@@ -1,6 +1,8 @@
+import time
 import random
 import re
 
+from marginalia.llm import wrappers as W
 from marginalia.llm import wrappers as w
 
 TOP = '<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><script>var t="</p><article>no</article>";</script></head><body>'
@@ -122,3 +124,41 @@ def test_names_of_single_pages_do_not_grow_the_wrapper(spark):
     assert size[1] < 1.2 * size[0] < 1200, size
     for x in w.extract(pages).collect():
         assert x["covered"] and x["text"] == want[x["page_id"]]
+
+
+OLD_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+
+
+def test_scanner_cuts_like_the_pattern():
+    r = random.Random(3)
+    parts = ["<a", "<p ", "</p", ">", '"', "'", "x=", " ", "text", "<!--", "-->", "<![CDATA[", "]]>", "<!d", "<?x", "<", "/", "b"]
+    for _ in range(4000):
+        page = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        want, at = [], 0
+        for m in OLD_TOKEN.finditer(page):
+            if m.start() > at:
+                want.append(("text", page[at:m.start()]))
+            at = m.end()
+            if m["cdata"] is not None:
+                want.append(("text", m["cdata"]))
+            elif m["tag"]:
+                want.append(("close" if m["end"] else "open", m["tag"].lower()))
+        if at < len(page):
+            want.append(("text", page[at:]))
+        assert [t[:2] for t in W.tokens(page)] == want, page
+
+
+def test_deep_and_broken_pages_are_read_whole_and_quickly(spark):
+    deep = "".join(f"<div>d{i} " for i in range(10_000)) + "".join(f"e{i} </div>" for i in range(10_000))
+    pages = ["<article>" + deep + "</article>", '<a href="x ' * 90_000, "<a href='x \"" * 60_000 + ">", "<p>" + "<b>x" * 20_000, "</div>" * 20_000 + "<p>end</p>"]
+    began = time.time()
+    for page in pages:
+        for _ in W.tokens(page):
+            pass
+        W.tree(page)
+    assert time.time() - began < 20
+    rows = [(i, f"http://h{i}.example/a", page) for i, page in enumerate(pages)]
+    out = {x["page_id"]: x["text"] for x in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert out[0].split() == [f"d{i}" for i in range(10_000)] + [f"e{i}" for i in range(10_000)]
+    assert out[4] == "end"
