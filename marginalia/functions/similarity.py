@@ -22,11 +22,22 @@ def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
+AUTOJUNK = 200  # fixed value: from this length of the second string on the matcher leaves out frequent characters
+
+
 def similarity(left: Column, right: Column) -> Column:
-    """Similarity of lower-cased, collapsed strings in [0, 1]."""
+    """Similarity of lower-cased, collapsed strings in [0, 1].
+
+    Where one string holds the other, all of the shorter one is matched; where they share no character, nothing is.
+    Both ratios are known without the matcher, so such pairs stay in the JVM.
+    """
     a = collapse(F.lower(F.coalesce(left, F.lit(""))))
     b = collapse(F.lower(F.coalesce(right, F.lit(""))))
-    hard = (a != b) & (a != "") & (b != "")
+    x, y = F.char_length(a), F.char_length(b)
+    some = (a != "") & (b != "")
+    inside = some & (y < AUTOJUNK) & (F.contains(a, b) | F.contains(b, a))
+    apart = some & (F.translate(a, b, "") == a)
+    hard = some & (a != b) & ~inside & ~apart
     # The function sees NULL for rows that need no work.
     ratio = matcher_ratio(F.when(hard, a), F.when(hard, b))
-    return F.when(hard, ratio).when((a == b) & (a != ""), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(hard, ratio).when(some & (a == b), F.lit(1.0)).when(inside, 2.0 * F.least(x, y) / (x + y)).otherwise(F.lit(0.0))

@@ -24,7 +24,9 @@ def _wall(c: str):
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-@query("st1_numbered_stream", "SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id FROM events")
+# Rows that the watermark has not passed are not numbered yet.
+@query("st1_numbered_stream", """SELECT session_id, seq, event_id FROM (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, ts FROM events)
+   WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 300000""")
 def _(spark, d):
     e = _events(spark, d).select(F.col("user_id").alias("session_id"), "event_id", "ts")
     return J.run_to_table(J.number_stream(e), "numbered")
@@ -40,16 +42,28 @@ def _(spark, d):
     return J.run_to_table(J.fold_stream(e), "folded")
 
 
+def _fragments(events):
+    t, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    return events.select(
+        "user_id", F.substring(_wall("ts"), 1, 10).alias("call_day"), F.col("event_id").alias("pos"), (k.cast("bigint") % 3).alias("idx"),
+        F.when(t == "view", F.concat(F.lit("id"), F.col("event_id").cast("string"))).otherwise("").alias("id"), F.when(t == "click", F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string"))).otherwise("").alias("name"),
+        F.when(t != "error", k).alias("args"), "ts")
+
+
 @query("st3_merged_calls", """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS call_day, event_id AS pos, CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS idx, CASE WHEN event_type = 'view' THEN concat('id', event_id) ELSE '' END AS id, CASE WHEN event_type = 'click' THEN concat('f', user_id % 4) ELSE '' END AS name,
      CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS args FROM events)
    SELECT user_id, call_day, idx, coalesce(arg_max(id, pos) FILTER (id <> ''), concat('call_', idx + 1)) AS call_id, arg_max(name, pos) FILTER (name <> '') AS name, coalesce(nullif(string_agg(coalesce(args, ''), '' ORDER BY pos), ''), '{}') AS arguments FROM d GROUP BY 1, 2, 3 HAVING count(*) FILTER (name <> '') > 0""")
 def _(spark, d):
-    t, k = F.col("event_type"), F.get_json_object("props", "$.k")
-    x = table(spark, d, "events").select(
-        "user_id", F.col("ts").cast("date").cast("string").alias("call_day"), F.col("event_id").alias("pos"), (k.cast("bigint") % 3).alias("idx"),
-        F.when(t == "view", F.concat(F.lit("id"), F.col("event_id").cast("string"))).otherwise("").alias("id"), F.when(t == "click", F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string"))).otherwise("").alias("name"),
-        F.when(t != "error", k).alias("args"))
-    return J.merge_call_fragments(x, ["user_id", "call_day"])
+    return J.merge_call_fragments(_fragments(table(spark, d, "events")), ["user_id", "call_day"])
+
+
+# A day's calls are put out when the watermark is a day behind their last fragment.
+@query("st3_call_stream", """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS call_day, event_id AS pos, CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS idx, CASE WHEN event_type = 'view' THEN concat('id', event_id) ELSE '' END AS id, CASE WHEN event_type = 'click' THEN concat('f', user_id % 4) ELSE '' END AS name,
+     CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS args, ts FROM events)
+   SELECT user_id, call_day, idx, coalesce(arg_max(id, pos) FILTER (id <> ''), concat('call_', idx + 1)) AS call_id, arg_max(name, pos) FILTER (name <> '') AS name, coalesce(nullif(string_agg(coalesce(args, ''), '' ORDER BY pos), ''), '{}') AS arguments FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, call_day) AS last FROM d) GROUP BY 1, 2, 3 HAVING count(*) FILTER (name <> '') > 0
+     AND bool_and(epoch_ms(last) + 86400000 <= (SELECT max(epoch_ms(ts)) FROM events) - 300000)""")
+def _(spark, d):
+    return J.run_to_table(J.merge_fragment_stream(_fragments(_events(spark, d)), ["user_id", "call_day"], "1 day"), "calls")
 
 
 SESS = lambda keys, gap: f"""o AS (SELECT {keys}, ts, event_type, ts - lag(ts) OVER (PARTITION BY {keys} ORDER BY ts) > INTERVAL '{gap}' AS brk FROM e),

@@ -50,26 +50,50 @@ SEQ_TYPE = StructType([StructField("session_id", LongType()), StructField("seq",
 
 
 class SequenceEvents(StatefulProcessor):
-    """Next number of each session in a state value; rows of a batch are numbered by (ts, event_id)."""
+    """Numbers in event-time order, whatever order the events arrive in.
+
+    Rows wait in a list state until the watermark has passed them, since an earlier row may still come before; then a
+    timer numbers them by (ts, event_id).  State per session: the last number, and the rows of the lateness allowed.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("seq", LongType())]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("ts_us", LongType()), StructField("event_id", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            self.waiting.appendList(list(zip(batch["ts_us"].tolist(), batch["event_id"].tolist())))
+            low = int(batch["ts_us"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        yield pd.DataFrame({f.name: [] for f in SEQ_TYPE}, dtype="int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [event_id for ts_us, event_id in held if ts_us // 1000 < passed]
+        rest = held[len(ready):]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
         at = self.last.get()[0] if self.last.exists() else 0
-        # One micro-batch of one session; its size is bounded by the source's rate limit.
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        self.last.update((at + len(batch),))
-        yield pd.DataFrame({"session_id": key[0], "seq": range(at + 1, at + 1 + len(batch)), "event_id": batch["event_id"].to_numpy()})
+        self.last.update((at + len(ready),))
+        yield pd.DataFrame({"session_id": [key[0]] * len(ready), "seq": range(at + 1, at + 1 + len(ready)), "event_id": ready}, columns=[f.name for f in SEQ_TYPE])
 
     def close(self) -> None:
         pass
 
 
-def number_stream(events: DataFrame) -> DataFrame:
-    """ST-1: events (session_id, event_id, ts) -> session_id, seq, event_id."""
-    return events.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SequenceEvents(), outputStructType=SEQ_TYPE, outputMode="Append", timeMode="None")
+def number_stream(events: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """ST-1: events (session_id, event_id, ts) -> session_id, seq, event_id, for events that the watermark has passed."""
+    timed = events.withWatermark("ts", late).withColumn("ts_us", F.unix_micros("ts"))
+    return timed.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=SequenceEvents(), outputStructType=SEQ_TYPE, outputMode="Append", timeMode="EventTime")
 
 
 # ---- ST-2 -----------------------------------------------------------------------------------
@@ -180,6 +204,87 @@ def merge_call_fragments(deltas: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.nullif("arguments", F.lit("")), F.lit("{}")).alias("arguments"))
 
 
+CALL_FIELDS = [StructField("idx", LongType()), StructField("call_id", StringType()), StructField("name", StringType()), StructField("arguments", StringType())]
+
+
+class MergeFragments(StatefulProcessor):
+    """Calls of one response from fragments in any order.
+
+    A map state holds per call index the id and name seen last with their positions; a list state holds the pieces of
+    the arguments, to which a batch only appends.  A response that stays silent for ``idle_ms`` of event
+    time is put out and leaves the state, ended or not.
+    """
+
+    def __init__(self, idle_ms: int, names: list[str]):
+        self.idle_ms, self.names = idle_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        index, text = StructField("idx", LongType()), StringType()
+        self.calls = handle.getMapState("calls", StructType([index]), StructType([
+            StructField("call_id", text), StructField("id_pos", LongType()), StructField("name", text), StructField("name_pos", LongType())]))
+        self.pieces = handle.getListState("pieces", StructType([index, StructField("pos", LongType()), StructField("args", text)]))
+        self.last = handle.getValueState("last", StructType([StructField("ts_ms", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else 0
+        met: dict[int, tuple] = {}
+        pieces = []
+        for batch in rows:
+            for r in batch.itertuples():
+                index, pos = int(r.idx), int(r.pos)
+                call_id, id_pos, name, name_pos = met.get(index, ("", -1, "", -1))
+                if r.id and pos > id_pos:
+                    call_id, id_pos = r.id, pos
+                if r.name_ and pos > name_pos:
+                    name, name_pos = r.name_, pos
+                met[index] = (call_id, id_pos, name, name_pos)
+                if r.args:
+                    pieces.append((index, pos, r.args))
+                last = max(last, int(r.ts_ms))
+        for index, new in met.items():
+            if self.calls.containsKey((index,)):
+                old = self.calls.getValue((index,))
+                new = (*(old[:2] if old[1] > new[1] else new[:2]), *(old[2:] if old[3] > new[3] else new[2:]))
+            self.calls.updateValue((index,), new)
+        if pieces:
+            self.pieces.appendList(pieces)
+        self.last.update((last,))
+        self.handle.registerTimer(last + self.idle_ms)
+        yield pd.DataFrame([], columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A later fragment moved the end of silence and has its own timer.
+        if not self.last.exists() or self.last.get()[0] + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
+            return
+        parts: dict[int, list[tuple[int, str]]] = {}
+        for index, pos, args in self.pieces.get() if self.pieces.exists() else ():
+            parts.setdefault(index, []).append((pos, args))
+        out = []
+        for (index,), (call_id, _, name, _) in sorted(self.calls.iterator()):
+            if name:
+                out.append((*key, index, call_id or f"call_{index + 1}", name, "".join(a for _, a in sorted(parts.get(index, []))) or "{}"))
+        for state in (self.calls, self.pieces, self.last):
+            state.clear()
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def merge_fragment_stream(deltas: DataFrame, keys: list[str], idle: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
+    """ST-3 (stream): as ``merge_call_fragments``, for fragments with an event time ``ts``.
+
+    A response is put out once it has been silent for ``idle``; what comes after that silence is another response.
+    """
+    amount, unit = idle.split()
+    idle_ms = int(amount) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+    timed = deltas.withWatermark("ts", late).select(*keys, "pos", "idx", "id", F.col("name").alias("name_"), "args", "ts", F.unix_millis("ts").alias("ts_ms"))
+    kind = StructType([*[deltas.schema[k] for k in keys], *CALL_FIELDS])
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=MergeFragments(idle_ms, kind.names), outputStructType=kind, outputMode="Append", timeMode="EventTime")
+
+
 # ---- ST-4 .. ST-7 ----------------------------------------------------------------------------
 
 def silent_turns(events: DataFrame, gap: str = "10 minutes", late: str = "5 minutes") -> DataFrame:

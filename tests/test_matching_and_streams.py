@@ -1,7 +1,7 @@
 import pytest
 from marginalia.operators import title_join as TJ
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 import duckdb
@@ -118,3 +118,45 @@ def test_registered_queries_and_oracles(spark):
     for sql in o.values():
         duckdb.extract_statements(sql)
     assert entry.entry(spark).columns == ["query_id", "rank", "chunk_id", "overlap", "total", "phrase"]
+
+
+def four_files(spark, rows, schema, folder, r):
+    """The rows dealt to four files, each shuffled; event times go over the borders by less than the lateness."""
+    rows = sorted(rows, key=lambda x: x[-1].timestamp() + r.uniform(0, 200))
+    n = -(-len(rows) // 4)
+    for at in range(0, len(rows), n):
+        part = rows[at:at + n]
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_stream_numbers_by_event_time(spark, tmp_path):
+    r = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [(r.randrange(3), i, start + timedelta(seconds=r.randrange(4000))) for i in range(400)] + [(9, 999, start + timedelta(days=1))]
+    four_files(spark, rows, "session_id long, event_id long, ts timestamp", str(tmp_path / "in"), r)
+    stream = J.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "session_id long, event_id long, ts timestamp").schema, 1)
+    got = {(x.session_id, x.seq, x.event_id) for x in J.run_to_table(J.number_stream(stream), "n").collect()}
+    want = set()
+    for session in range(3):
+        mine = sorted((ts, e) for s, e, ts in rows if s == session)
+        want |= {(session, i + 1, e) for i, (_, e) in enumerate(mine)}
+    assert got == want
+
+
+def test_fragment_stream_equals_its_batch_twin(spark, tmp_path):
+    r = random.Random(5)
+    start = datetime(2024, 1, 1)
+    rows = []
+    for k in range(20):
+        at = k * 200
+        for pos in range(r.randrange(1, 30)):
+            at += r.randrange(3)
+            rows.append((f"s{k}", pos, r.randrange(3), r.choice(["", "", f"id{pos}"]), r.choice([None, "", f"f{pos}"]), r.choice([None, "", '{"a', "é", str(pos)]), start + timedelta(seconds=at)))
+    rows.append(("end", 0, 0, "x", "y", "z", start + timedelta(days=1)))
+    schema = "k string, pos long, idx long, id string, name string, args string, ts timestamp"
+    four_files(spark, rows, schema, str(tmp_path / "in"), r)
+    stream = J.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    got = sorted(tuple(x) for x in J.run_to_table(J.merge_fragment_stream(stream, ["k"], "10 minutes"), "c").collect())
+    batch = J.merge_call_fragments(spark.createDataFrame(rows, schema).where("k <> 'end'"), ["k"])
+    assert got == sorted(tuple(x) for x in batch.select("k", "idx", "call_id", "name", "arguments").collect()) and len(got) > 20
