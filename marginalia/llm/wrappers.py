@@ -59,6 +59,8 @@ SENT_CHARS = 16_000_000     # tables by host up to this size go to the tasks who
 MOST_DEPTH = 128            # elements nested deeper stand on this level, as browsers limit the depth of a page too
 
 _START = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+# The usual tag in one match, without a step back; once a tag fails here, the rest of its page is read by _START.
+_USUAL = re.compile(_START.pattern[:-1] + r"""(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?P<close>>)?)""")
 _NO_TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?]))(?P<tag>(?!))?")
 _QUOTE_OR_END = re.compile(r"[\"'>]")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -99,10 +101,15 @@ class _TagEnds:
 
 def tokens(page: str):
     """("open", tag, names), ("close", tag, "") and ("text", characters, "") in page order."""
-    at, size, begun, ends, start = 0, len(page), 0, _TagEnds(page), _START
+    at, size, begun, ends, start = 0, len(page), 0, None, _USUAL
     while m := start.search(page, at):
         if m["tag"]:
-            stop = ends.after(m.end())
+            if start is _USUAL and m["close"]:
+                stop = m.end() - 1
+            else:
+                if ends is None:
+                    ends, start = _TagEnds(page), _START
+                stop = ends.after(m.end("tag"))
             if stop < 0:
                 at, start = m.start() + 1, _NO_TAG  # text, like all later tags: no tag ends behind here
                 continue
@@ -122,7 +129,7 @@ def tokens(page: str):
             if m["end"]:
                 yield "close", tag, ""
                 continue
-            attrs = page[m.end():stop]
+            attrs = page[m.end("tag"):stop]
             names = ""
             if attrs:
                 parts = [f"{n[0].lower()}={n[1] or n[2] or n[3]}" for n in _NAME.findall(attrs)]
