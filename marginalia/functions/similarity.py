@@ -36,7 +36,7 @@ def similarity(left: Column, right: Column) -> Column:
     x, y = F.char_length(a), F.char_length(b)
     some = (a != "") & (b != "")
     inside = some & (y < AUTOJUNK) & (F.contains(a, b) | F.contains(b, a))
-    apart = some & (F.translate(a, b, "") == a)
+    apart = some & (F.call_function("translate", a, b, F.lit("")) == a)
     hard = some & (a != b) & ~inside & ~apart
     # The function sees NULL for rows that need no work.
     ratio = matcher_ratio(F.when(hard, a), F.when(hard, b))

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from marginalia.functions import similarity as S
 from marginalia.functions import text as T
 from marginalia.functions.json_tables import json_leaves, safe_json, usage_counts
 from marginalia.functions.registry import register_all
@@ -112,3 +113,16 @@ def test_usage_counts_walk_four_levels_and_take_numbers_only(spark):
 def test_leaves_open_any_depth(spark):
     df = spark.createDataFrame([(1, '{"a":' * 6 + "1" + "}" * 6), (2, '{"b":[[[[[[7]]]]]]}')], "id int, j string")
     assert {(r.path, r.value) for r in json_leaves(df, ["id"], "j", depth=1).collect()} == {("a.a.a.a.a.a", "1"), ("b.0.0.0.0.0.0", "7")}
+
+
+def test_similarity_equals_the_matcher(spark):
+    from difflib import SequenceMatcher
+    import random
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcé xyz") for _ in range(n)).strip()
+    rows = [(word(r.randrange(0, 12)), word(r.randrange(0, 12))) for _ in range(300)]
+    rows += [("abc", "xabcx" * 60), ("ab " * 90, "ab"), ("abc", "xyz"), ("aaa", "a"), (None, "a"), ("", ""), ("A  b", "a b")]
+    out = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for x in out:
+        a, b = (" ".join((t or "").lower().split()) for t in (x.a, x.b))
+        assert abs(x.s - (SequenceMatcher(None, a, b).ratio() if a and b else 0.0)) < 1e-12, (a, b)
