@@ -163,24 +163,25 @@ def _(spark, d):
     return hits.select("request_id", "doc_id", "parser", "chunk_id", "rank", "overlap", "total", "phrase")
 
 
-# A bundle asks for a document, its two followers, itself again, and an id that may not exist.
-BUNDLE_SQL = """WITH req AS (SELECT doc_id AS request_id, unnest([doc_id, doc_id + 1, doc_id, doc_id + 7, -1 - doc_id]) AS want, unnest([0, 1, 2, 3, 4]) AS p FROM documents),
-  f AS (SELECT request_id, want, min(p) AS p FROM req GROUP BY 1, 2),
-  j AS (SELECT f.*, l.doc_id IS NOT NULL AS success, coalesce(l.quality + 1, 0) AS chunks FROM f LEFT JOIN labels l ON l.doc_id = f.want)
-  SELECT request_id, CAST(want AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY request_id ORDER BY p) AS position, success, CAST(chunks AS BIGINT) AS chunks,
-    CASE WHEN bool_and(success) OVER (PARTITION BY request_id) THEN 'success' WHEN bool_or(success) OVER (PARTITION BY request_id) THEN 'partial' ELSE 'error' END AS status FROM j"""
+# A bundle asks a document, its two followers, itself again, and an id that does not exist, for the words of the first.
+BUNDLE_SQL = PAPER_WITH + VERSIONED + ASK + """,
+  mreq AS (SELECT request_id, unnest([doc_id, doc_id + 1, doc_id, doc_id + 7, -1 - doc_id]) AS want, unnest([0, 1, 2, 3, 4]) AS p FROM req),
+  fm AS (SELECT request_id, want, min(p) AS p FROM mreq GROUP BY 1, 2),
+  found AS (SELECT DISTINCT f.request_id, f.want, v.parser, v.chunk_id FROM fm f JOIN vt v ON v.doc_id = f.want JOIN rt ON rt.request_id = f.request_id AND rt.token = v.token),
+  nm AS (SELECT request_id, want, CAST(sum(c) AS BIGINT) AS chunks FROM (SELECT request_id, want, parser, least(count(*), 3) AS c FROM found GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  jm AS (SELECT f.*, d.doc_id IS NOT NULL AS success, coalesce(n.chunks, 0) AS chunks FROM fm f LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id = f.want LEFT JOIN nm n ON n.request_id = f.request_id AND n.want = f.want)
+  SELECT request_id, CAST(want AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY request_id ORDER BY p) AS position, success, chunks,
+    CASE WHEN bool_and(success) OVER (PARTITION BY request_id) THEN 'success' WHEN bool_or(success) OVER (PARTITION BY request_id) THEN 'partial' ELSE 'error' END AS status FROM jm"""
 
 
 @query("rt6_multi_document", BUNDLE_SQL)
 def _(spark, d):
     i = F.col("doc_id")
-    ids = F.array(*[x.cast("string") for x in (i, i + 1, i, i + 7, -1 - i)])
-    req = documents(spark, d).select(i.alias("request_id"), ids.alias("doc_ids"))
-    labels = table(spark, d, "labels")
-    want = req.select("request_id", F.explode(F.array_distinct("doc_ids")).alias("doc_id"))
-    # Labelled documents are the available ones; quality + 1 chunks each stand in for retrieved evidence.
-    hits = want.join(labels.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("quality"))).alias("n")), "doc_id")
-    return R.multi_document(req, hits, labels)
+    wanted = _requests(spark, d).select("request_id", "query", F.array(i, i + 1, i, i + 7, -1 - i).alias("ids"))
+    each = wanted.select("request_id", "query", F.explode(F.array_distinct("ids")).alias("doc_id"))
+    hits = R.retrieve_scoped(each, _versioned(spark, d), 3)
+    req = wanted.select("request_id", F.transform("ids", lambda x: x.cast("string")).alias("doc_ids"))
+    return R.multi_document(req, hits, documents(spark, d).select("doc_id"))
 
 
 READ_SQL = PAPER_WITH + VERSIONED + """,
