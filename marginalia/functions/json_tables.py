@@ -53,6 +53,12 @@ def json_leaves(df: DataFrame, keys: list[str], json_col: str, depth: int = 4) -
     return rows.select(*keys, "n.path", F.expr("coalesce(try_cast(n.v AS string), to_json(n.v))").alias("value"))
 
 
+def json_text(text: Column) -> Column:
+    """A string as JSON, with its quotes."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _redacted(text: str) -> str:
     for pattern, put in K.REDACTIONS:
         text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), text)

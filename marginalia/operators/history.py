@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as K
 from marginalia.functions import text as T
+from marginalia.functions.json_tables import json_text
 from marginalia.operators.sessions import TURN, first_user_message
 from marginalia.scale import block_of, materialize, number_rows, running
 
-FAILED_PREFIX = "失败旧轮次曾输出的文本（不是成功完成的回答）：\n"
-UNCONFIRMED_PREFIX = "旧轮次中以下工具调用没有已保存的结果，执行状态未确认："
-
-
 def closed_turns(events: DataFrame) -> DataFrame:
     """Turns with an end: first seq, end seq (the first end) and its status."""
     end = F.when(F.col("event_type") == "turn/end", F.col("seq"))
@@ -22,46 +19,81 @@ def closed_turns(events: DataFrame) -> DataFrame:
         .where("end_seq IS NOT NULL")
 
 
-def turn_messages(events: DataFrame) -> DataFrame:
-    """HP-1: ordered chat messages of ended turns as rows (session_id, turn_id, ord_seq, ord_kind, ord_call, role, content).
+CALLS = "array<struct<id:string,name:string,arguments:string>>"
+PAYLOAD = ["name", "arguments", "history_result", "summary", "error"]
+
+
+def history_messages(events: DataFrame) -> DataFrame:
+    """HP-1: ordered chat messages of ended turns with all that they carry.
+
+    ``events``: session_id, seq, turn_id, event_type, tool_call_id, status, content, and as far as the log has them
+    name and arguments (JSON) of a call, history_result (JSON) or summary of a result, error (JSON) of an error event.
+
+    Rows: session_id, turn_id, ord_seq, ord_kind, ord_call (the order inside the turn), role, content, tool_calls
+    ARRAY<STRUCT<id, name, arguments>> of an assistant row that calls, tool_call_id, name and status of a tool row.
 
-    Calls wait until the next message, step end or result; then the confirmed ones become one assistant
-    row and one tool row each, the others one note.  A failed turn is labelled and closed by a note.
+    Calls wait until the next message, step end or result; then the confirmed ones become one assistant row and one
+    tool row each, the names of the others one note.  A tool row holds the stored result, else a short record of tool,
+    status and summary.  A failed turn is labelled and closed by a note with its errors.  Calls without id or name are
+    left out; in a log without a name column a call has its id as name.
     """
-    e = events.where("event_type <> 'context/checkpoint'").join(closed_turns(events), TURN).where("seq <= end_seq")
+    e = events.where("event_type <> 'context/checkpoint'")
+    for c in PAYLOAD:
+        if c not in e.columns:
+            e = e.withColumn(c, F.col("tool_call_id") if c == "name" else F.lit(None).cast("string"))
+    e = e.join(closed_turns(events), TURN).where("seq <= end_seq")
     flush = F.col("event_type").isin("user/message", "assistant/message", "step/end", "tool/result")
-    last = F.lit(1 << 60).cast("bigint")
+    last, zero = F.lit(1 << 60).cast("bigint"), F.lit(0).cast("bigint")
     e = running(e, TURN, ["seq"], block_of("seq"), {"_flush": ("last", F.when(flush, F.col("seq")), False)}, descending=True)
     # Five kinds of rows are made from these events.
     e = materialize(e, "turn-events")
-    base = [*TURN, "turn_status"]
-    said = e.where(F.col("event_type").isin("user/message", "assistant/message") & F.col("content").isNotNull())
+
+    def rows(df, seq, kind, call, role, content, **more):
+        given = {"tool_calls": F.lit(None).cast(CALLS), "tool_call_id": F.lit(None).cast("string"), "name": F.lit(None).cast("string"), "status": F.lit(None).cast("string"), **more}
+        return df.select(*TURN, seq.alias("ord_seq"), F.lit(kind).alias("ord_kind"), call.alias("ord_call"), role.alias("role"), content.alias("content"),
+                         *[c.alias(n) for n, c in given.items()])
+
+    user = F.col("event_type") == "user/message"
     failed = (F.col("event_type") == "assistant/message") & (F.col("turn_status") != "success")
-    said = said.select(*TURN, F.col("seq").alias("ord_seq"), F.lit(9).alias("ord_kind"), F.lit(0).cast("bigint").alias("ord_call"),
-                       F.when(F.col("event_type") == "user/message", "user").otherwise("assistant").alias("role"),
-                       F.when(failed, F.concat(F.lit(FAILED_PREFIX), "content")).otherwise(F.col("content")).alias("content"))
-    calls = e.where("event_type = 'tool/call' AND tool_call_id IS NOT NULL").select(
-        *base, "tool_call_id", F.col("seq").alias("call_seq"), F.coalesce("_flush", last).alias("flush_seq"))
-    results = e.where("event_type = 'tool/result'").groupBy(*TURN, "tool_call_id").agg(
-        F.max_by(F.coalesce("status", F.lit("success")), "seq").alias("result_status"))
+    said = rows(e.where(F.col("event_type").isin("user/message", "assistant/message") & F.col("content").isNotNull()), F.col("seq"), 9, zero,
+                F.when(user, "user").otherwise("assistant"), F.when(failed, F.concat(F.lit(K.FAILED_PREFIX), "content")).otherwise(F.col("content")))
+    calls = e.where("event_type = 'tool/call' AND tool_call_id <> '' AND name <> ''").select(
+        *TURN, "tool_call_id", "name", F.coalesce("arguments", F.lit("{}")).alias("arguments"), F.col("seq").alias("call_seq"), F.coalesce("_flush", last).alias("flush_seq"))
+    results = e.where("event_type = 'tool/result'").groupBy(*TURN, "tool_call_id").agg(F.max_by(F.struct("status", "history_result", "summary"), "seq").alias("r"))
     c = calls.join(results, [*TURN, "tool_call_id"], "left")
+    done = F.col("r").isNotNull()
     # One flush holds the calls of one model step, which the runtime bounds (10 side by side).
-    ids = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("call_seq", "tool_call_id")))), lambda x: x["tool_call_id"]), ",")
-    done = F.col("result_status").isNotNull()
-    g = c.groupBy(*TURN, "flush_seq").agg(ids(done).alias("paired"), ids(~done).alias("open"))
-    zero = F.lit(0).cast("bigint")
-    heads = g.where("paired <> ''").select(*TURN, F.col("flush_seq").alias("ord_seq"), F.lit(0).alias("ord_kind"), zero.alias("ord_call"),
-                                           F.lit("assistant").alias("role"), F.concat(F.lit("calls:"), "paired").alias("content"))
-    tools = c.where(done).select(*TURN, F.col("flush_seq").alias("ord_seq"), F.lit(1).alias("ord_kind"), F.col("call_seq").alias("ord_call"),
-                                 F.lit("tool").alias("role"), F.concat("tool_call_id", F.lit(":"), "result_status").alias("content"))
-    notes = g.where("open <> ''").select(*TURN, F.col("flush_seq").alias("ord_seq"), F.lit(2).alias("ord_kind"), zero.alias("ord_call"),
-                                         F.lit("assistant").alias("role"), F.concat(F.lit(UNCONFIRMED_PREFIX), "open").alias("content"))
-    errors = e.where("turn_status <> 'success'").groupBy(*TURN).agg(F.count_if(F.col("event_type") == "error").alias("n"))
-    closing = errors.select(*TURN, last.alias("ord_seq"), F.lit(10).alias("ord_kind"), zero.alias("ord_call"), F.lit("assistant").alias("role"),
-                            F.concat(F.lit("该旧轮次已结束但失败/中断，未完成用户目标。错误记录："), F.col("n").cast("string")).alias("content"))
+    call = F.struct("call_seq", F.col("tool_call_id").alias("id"), "name", "arguments")
+    g = c.groupBy(*TURN, "flush_seq").agg(F.array_sort(F.collect_list(F.when(done, call))).alias("paired"), F.array_sort(F.collect_list(F.when(~done, call))).alias("open"))
+    at, one = F.col("flush_seq"), F.lit("assistant")
+    heads = rows(g.where(F.size("paired") > 0), at, 0, zero, one, F.lit(""), tool_calls=F.transform("paired", lambda x: F.struct(x["id"], x["name"], x["arguments"])).cast(CALLS))
+    record = F.concat(F.lit('{"tool": '), json_text(F.col("name")), F.lit(', "status": '), json_text(F.coalesce("r.status", F.lit("error"))),
+                      F.lit(', "summary": '), json_text(F.coalesce("r.summary", F.lit(""))), F.lit("}"))
+    tools = rows(c.where(done), at, 1, F.col("call_seq"), F.lit("tool"), F.coalesce("r.history_result", record),
+                 tool_call_id=F.col("tool_call_id"), name=F.col("name"), status=F.col("r.status"))
+    open_calls = F.transform("open", lambda x: F.struct(x["id"], x["name"], x["arguments"])).cast(CALLS)
+    names = F.array_join(F.transform("open", lambda x: json_text(x["name"])), ", ")
+    # The open calls stay with the note, since their names alone do not say which they were.
+    notes = rows(g.where(F.size("open") > 0), at, 2, zero, one, F.concat(F.lit(K.UNCONFIRMED_PREFIX + "["), names, F.lit("]")), tool_calls=open_calls)
+    error = F.when(F.col("event_type") == "error", F.struct("seq", F.coalesce("error", F.lit("{}")).alias("error")))
+    errors = e.where("turn_status <> 'success'").groupBy(*TURN).agg(F.array_sort(F.collect_list(error)).alias("errors"))
+    listed = F.array_join(F.transform("errors", lambda x: x["error"]), ", ")
+    closing = rows(errors, last, 10, zero, one, F.concat(F.lit(K.CLOSING_PREFIX + "["), listed, F.lit("]")), status=F.size("errors").cast("string"))
     return said.unionByName(heads).unionByName(tools).unionByName(notes).unionByName(closing)
 
 
+def turn_messages(events: DataFrame) -> DataFrame:
+    """HP-1, short form: ``history_messages`` with ids and states in place of the payload (session_id, turn_id, ord_seq,
+    ord_kind, ord_call, role, content)."""
+    kind = F.col("ord_kind")
+    ids = F.array_join(F.transform("tool_calls", lambda x: x["id"]), ",")
+    short = (
+        F.when(kind == 0, F.concat(F.lit("calls:"), ids)).when(kind == 1, F.concat("tool_call_id", F.lit(":"), F.coalesce("status", F.lit("success"))))
+        .when(kind == 2, F.concat(F.lit(K.UNCONFIRMED_PREFIX), ids)).when(kind == 10, F.concat(F.lit(K.CLOSED_SHORT), "status")).otherwise(F.col("content"))
+    )
+    return history_messages(events).select(*TURN, "ord_seq", "ord_kind", "ord_call", "role", short.alias("content"))
+
+
 def history_before(turns: DataFrame, cutoffs: DataFrame, accepted: DataFrame) -> DataFrame:
     """HP-2: ended turns that lie before the cutoff turn and after the accepted checkpoint.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia import constants as K
+from marginalia.functions.json_tables import json_text
 from marginalia.operators import headings as DH
 from marginalia.operators import history as H
 from marginalia.operators import quality as Q
@@ -366,6 +367,58 @@ def _(spark, d):
     return m.select("session_id", "turn_id", "ord_seq", F.col("ord_kind").cast("bigint").alias("ord_kind"), "role", "content")
 
 
+# The log with its payload: every call twice (the second under another id), results of both in reverse order in even
+# sessions and of the first only in odd ones, errors in place of the starts of failed turns.  What was said last gives
+# arguments, summaries and errors, so quotes, line ends and all scripts of the texts come through.
+PAYLOAD_SQL = """ev AS (SELECT *, last_value(content IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS said FROM session_events_v),
+  pe AS (SELECT session_id, seq * 4 + k AS seq, turn_id, CASE WHEN event_type = 'turn/start' AND session_id % 11 = 0 THEN 'error' ELSE event_type END AS event_type, content, said,
+      CASE WHEN event_type = 'tool/result' AND session_id % 7 = 0 THEN NULL WHEN event_type = 'tool/result' THEN 'success' ELSE status END AS status,
+      CASE WHEN tool_call_id IS NOT NULL THEN concat(tool_call_id, CASE WHEN (event_type = 'tool/call' AND k = 1) OR (event_type = 'tool/result' AND session_id % 2 = 0 AND k = 0) THEN 'b' ELSE '' END) END AS id,
+      CASE session_id % 5 WHEN 0 THEN 'retrieve "context"' WHEN 1 THEN 'parse_pages' WHEN 2 THEN '' WHEN 3 THEN 'save_note' END AS name
+    FROM ev, (VALUES (0), (1)) t(k) WHERE k = 0 OR event_type = 'tool/call' OR (event_type = 'tool/result' AND session_id % 2 = 0)),
+  cl AS (SELECT session_id, turn_id, min(seq) FILTER (event_type = 'turn/end') AS end_seq, arg_min(status, seq) FILTER (event_type = 'turn/end') AS st FROM pe GROUP BY 1, 2 HAVING end_seq IS NOT NULL),
+  e AS (SELECT pe.*, st FROM pe JOIN cl USING (session_id, turn_id) WHERE seq <= end_seq),
+  k AS (SELECT c.*, (SELECT min(f.seq) FROM e f WHERE f.session_id = c.session_id AND f.turn_id = c.turn_id AND f.seq > c.seq AND f.event_type IN ('user/message', 'assistant/message', 'tool/result')) AS fs,
+      r.id IS NOT NULL AS done, r.status AS rs, r.said AS rsaid FROM e c LEFT JOIN e r ON r.session_id = c.session_id AND r.turn_id = c.turn_id AND r.id = c.id AND r.event_type = 'tool/result'
+    WHERE c.event_type = 'tool/call' AND c.name <> ''),
+  full_msg AS (SELECT session_id, turn_id, seq AS ord_seq, 9 AS ord_kind, 0 AS ord_call, CASE event_type WHEN 'user/message' THEN 'user' ELSE 'assistant' END AS role,
+      CASE WHEN event_type = 'assistant/message' AND st <> 'success' THEN concat('失败旧轮次曾输出的文本（不是成功完成的回答）：', chr(10), content) ELSE content END AS content, NULL AS calls, NULL AS call_id, NULL AS name
+      FROM e WHERE event_type IN ('user/message', 'assistant/message') AND content IS NOT NULL
+    UNION ALL SELECT session_id, turn_id, fs, 0, 0, 'assistant', '', string_agg(concat(id, '|', name, '|{"query": ', CAST(to_json(said) AS VARCHAR), '}'), ';' ORDER BY seq), NULL, NULL FROM k WHERE done GROUP BY 1, 2, 3
+    UNION ALL SELECT session_id, turn_id, fs, 1, seq, 'tool', CASE WHEN session_id % 4 = 0 THEN concat('{"chars": ', length(rsaid), ', "text": ', CAST(to_json(rsaid) AS VARCHAR), '}')
+        ELSE concat('{"tool": ', CAST(to_json(name) AS VARCHAR), ', "status": "', coalesce(rs, 'error'), '", "summary": ', CAST(to_json(rsaid) AS VARCHAR), '}') END, NULL, id, name FROM k WHERE done
+    UNION ALL SELECT session_id, turn_id, fs, 2, 0, 'assistant', concat('旧轮次中以下工具调用没有已保存的结果，执行状态未确认：[', string_agg(CAST(to_json(name) AS VARCHAR), ', ' ORDER BY seq), ']'),
+        string_agg(concat(id, '|', name, '|{"query": ', CAST(to_json(said) AS VARCHAR), '}'), ';' ORDER BY seq), NULL, NULL FROM k WHERE NOT done GROUP BY 1, 2, 3
+    UNION ALL SELECT session_id, turn_id, 1152921504606846976, 10, 0, 'assistant', concat('该旧轮次已结束但失败/中断，未完成用户目标。工具结果仅表示当时已确认的执行事实。错误记录：[',
+        coalesce(string_agg(CASE WHEN event_type = 'error' THEN concat('{"message": ', CAST(to_json(said) AS VARCHAR), '}') END, ', ' ORDER BY seq), ''), ']'), NULL, NULL, NULL FROM e WHERE st <> 'success' GROUP BY 1, 2)"""
+
+
+def _payload_events(spark, d):
+    e = running(session_events(spark, d), ["session_id"], ["seq"], block_of("seq"), {"said": ("last", "content", True)})
+    s, kind, zero_one = F.col("session_id"), F.col("event_type"), F.array(F.lit(0), F.lit(1))
+    call, result = kind == "tool/call", kind == "tool/result"
+    e = e.withColumn("k", F.explode(F.when(call | (result & (s % 2 == 0)), zero_one).otherwise(F.array(F.lit(0)))))
+    other = (call & (F.col("k") == 1)) | (result & (s % 2 == 0) & (F.col("k") == 0))
+    text = json_text(F.col("said"))
+    error = (kind == "turn/start") & (s % 11 == 0)
+    return e.select(
+        "session_id", (F.col("seq") * 4 + F.col("k")).alias("seq"), "turn_id", F.when(error, "error").otherwise(kind).alias("event_type"), "content",
+        F.when(result, F.when(s % 7 != 0, "success")).otherwise(F.col("status")).alias("status"), F.concat("tool_call_id", F.when(other, "b").otherwise("")).alias("tool_call_id"),
+        F.when(call, F.when(s % 5 == 0, 'retrieve "context"').when(s % 5 == 1, "parse_pages").when(s % 5 == 2, "").when(s % 5 == 3, "save_note")).alias("name"),
+        F.when(call, F.concat(F.lit('{"query": '), text, F.lit("}"))).alias("arguments"), F.when(result, F.col("said")).alias("summary"),
+        F.when(result & (s % 4 == 0), F.concat(F.lit('{"chars": '), F.length("said").cast("string"), F.lit(', "text": '), text, F.lit("}"))).alias("history_result"),
+        F.when(error, F.concat(F.lit('{"message": '), text, F.lit("}"))).alias("error"))
+
+
+@query("hp1_model_history", with_views("session_events_v", extra=PAYLOAD_SQL)
+       + "SELECT session_id, turn_id, ord_seq, CAST(ord_kind AS BIGINT) AS ord_kind, CAST(ord_call AS BIGINT) AS ord_call, role, content, calls, call_id, name FROM full_msg")
+def _(spark, d):
+    m = H.history_messages(_payload_events(spark, d))
+    calls = F.array_join(F.transform("tool_calls", lambda c: F.concat(c["id"], F.lit("|"), c["name"], F.lit("|"), c["arguments"])), ";")
+    return m.select("session_id", "turn_id", "ord_seq", F.col("ord_kind").cast("bigint").alias("ord_kind"), "ord_call", "role", "content",
+                    calls.alias("calls"), F.col("tool_call_id").alias("call_id"), "name")
+
+
 @query("hp2_history_window", with_views("session_events_v", extra=MSG + """, cut AS (SELECT session_id, max(start_seq) AS cutoff FROM cl GROUP BY 1), acc AS (SELECT session_id, min(end_seq) AS covered FROM cl WHERE session_id % 2 = 0 GROUP BY 1)""")
        + "SELECT cl.session_id, cl.turn_id, cl.start_seq, cl.end_seq FROM cl JOIN cut USING (session_id) LEFT JOIN acc USING (session_id) WHERE end_seq < cutoff AND end_seq > coalesce(covered, 0)")
 def _(spark, d):

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from marginalia.operators import budget as B
@@ -40,6 +42,32 @@ def test_messages_of_a_turn(spark):
     assert failed[-2].content.startswith("失败旧轮次") and failed[-1].content.startswith("该旧轮次")
 
 
+def test_history_keeps_the_payload(spark):
+    rows = [
+        (1, "user/message", None, None, 'ask "x"', None, None, None, None, None),
+        (2, "tool/call", "a", None, None, "find", '{"q": 1}', None, None, None),
+        (3, "tool/call", "b", None, None, 'r"ead', None, None, None, None),
+        (4, "tool/call", "c", None, None, "open", "{}", None, None, None),
+        (5, "tool/call", "", None, None, "find", "{}", None, None, None),
+        (6, "tool/call", "d", None, None, "", "{}", None, None, None),
+        (7, "tool/result", "b", None, None, None, None, None, "line\nend", None),
+        (8, "tool/result", "a", "success", None, None, None, '{"n": 2}', "s", None),
+        (9, "error", None, None, None, None, None, None, None, '{"code": "E1"}'),
+        (10, "error", None, None, None, None, None, None, None, None),
+        (11, "assistant/message", None, None, None, None, None, None, None, None),
+        (12, "turn/end", None, "error", None, None, None, None, None, None),
+        (13, "user/message", None, None, "after the end", None, None, None, None, None),
+    ]
+    e = spark.createDataFrame([("s", "t", *r) for r in rows], "session_id string, turn_id string, seq bigint, event_type string, tool_call_id string, status string, content string, "
+                              "name string, arguments string, history_result string, summary string, error string")
+    m = H.history_messages(e).orderBy("ord_seq", "ord_kind", "ord_call").collect()
+    assert [(r.role, r.tool_call_id, r.name) for r in m] == [("user", None, None), ("assistant", None, None), ("tool", "a", "find"), ("tool", "b", 'r"ead'), ("assistant", None, None), ("assistant", None, None)]
+    assert [tuple(c) for c in m[1].tool_calls] == [("a", "find", '{"q": 1}'), ("b", 'r"ead', "{}")] and m[1].content == ""
+    assert m[2].content == '{"n": 2}' and json.loads(m[3].content) == {"tool": 'r"ead', "status": "error", "summary": "line\nend"}
+    assert m[4].content.endswith('：["open"]') and m[5].content.endswith('错误记录：[{"code": "E1"}, {}]')
+    assert H.history_messages(e.limit(0)).count() == 0
+
+
 def test_fifo_pairs_against_a_queue(spark):
     import random
     rnd = random.Random(5)
