@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from marginalia.operators import bundles as B
 from marginalia.operators import chunks as C
 from marginalia.operators import evidence as E
 from marginalia.operators import quality as Q
@@ -262,3 +263,36 @@ def _(spark, d):
     zero = F.lit(0).cast("bigint")
     return cov.join(chars, ["request_id", "doc_id"], "left").join(caps.select("request_id", "rung"), "request_id").select(
         "request_id", "rung", "doc_id", "shown", "chunks", F.coalesce("shown_chars", zero).alias("shown_chars"))
+
+
+# The same bundles as JSON under three caps, with every document of the group and its text as a note.  The oracle builds the whole
+# text of every rung and takes the first that fits.
+ENCODED_SQL = ITEMS + """
+  ask AS (SELECT CAST(floor(doc_id / 6) AS BIGINT) AS request_id, doc_id, CASE WHEN doc_id % 10 = 3 THEN 'error' ELSE 'success' END AS status, text AS note FROM documents),
+  ladder(rung, items, chars) AS (VALUES (1, 8, 2000), (2, 8, 1000), (3, 8, 500), (4, 8, 250), (5, 4, 2000), (6, 4, 1000), (7, 4, 500), (8, 4, 250), (9, 2, 2000), (10, 2, 1000), (11, 2, 500), (12, 2, 250),
+    (13, 1, 2000), (14, 1, 1000), (15, 1, 500), (16, 1, 250), (17, 1, 100), (18, 1, 32), (19, 0, 2000), (20, 0, 1000), (21, 0, 500), (22, 0, 250), (23, 0, 100), (24, 0, 32)),
+  many AS (SELECT doc_id, count(*) AS n FROM items GROUP BY 1),
+  cj AS (SELECT doc_id, rung, string_agg(concat('{"chunk_id":"k', item_no, '","text":', CAST(to_json(substring(txt, 1, chars)) AS VARCHAR), CASE WHEN length(txt) > chars THEN concat(',"text_truncated":true,"next_offset":', chars) ELSE '' END, '}'), ',' ORDER BY item_no) AS cs,
+      count(*) AS shown, bool_or(length(txt) > chars) AS cut FROM items JOIN ladder ON item_no <= ladder.items GROUP BY 1, 2),
+  dj AS (SELECT a.*, rung, coalesce(n, 0) AS n, coalesce(cs, '') AS cs, coalesce(shown, 0) AS shown, coalesce(cut, false) AS cut, least(chars, 500) AS w, coalesce(length(note) > least(chars, 500), false) AS ncut
+      FROM ask a CROSS JOIN ladder LEFT JOIN many USING (doc_id) LEFT JOIN cj USING (doc_id, rung)),
+  dk AS (SELECT *, (n > shown OR cut OR ncut) AS om FROM dj),
+  papers AS (SELECT request_id, rung, bool_or(om) AS om, CASE WHEN bool_and(status = 'success') THEN 'success' WHEN bool_or(status = 'success') THEN 'partial' ELSE 'error' END AS state,
+      string_agg(concat('{"paper_id":"', doc_id, '","status":"', status, '","note":', coalesce(CAST(to_json(substring(note, 1, w)) AS VARCHAR), 'null'), ',"note_truncated":', ncut, ',"chunks":[', cs, '],"omitted_chunks":', n - shown,
+        ',"omitted_chunk_range":', CASE WHEN n > shown THEN concat('[', shown, ',', n, ']') ELSE 'null' END,
+        ',"coverage":"', CASE WHEN shown = 0 THEN 'none' WHEN n > shown OR cut THEN 'partial' ELSE 'complete_returned_chunks' END, '","omitted":', om, '}'), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS body,
+      string_agg(concat('{"paper_id":"', doc_id, '","status":"', status, '","omitted":true,"coverage":"none"}'), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS facts FROM dk GROUP BY 1, 2),
+  full_text AS (SELECT request_id, rung, concat('{"status":"', state, '","papers":[', body, '],"omitted":', om, ',"readback":{"tool":"read_paper_chunk","arguments":["paper_id","parser","cache_version","chunk_id"],"optional":["offset","max_chars"]}}') AS j FROM papers
+    UNION ALL SELECT request_id, 99, concat('{"status":"', state, '","papers":[', facts, '],"omitted":true,"readback":{"tool":"read_paper_chunk","arguments":["paper_id","parser","cache_version","chunk_id"],"optional":["offset","max_chars"]},"note":"Evidence omitted by total result budget; do not claim it was read."}') FROM papers WHERE rung = 1),
+  best AS (SELECT CASE request_id % 3 WHEN 0 THEN 12000 WHEN 1 THEN 4096 ELSE 1100 END AS cap, request_id, min(rung) AS rung FROM full_text WHERE length(j) <= cap GROUP BY 1, 2)
+  SELECT CAST(cap AS BIGINT) AS cap, request_id, CAST(CASE rung WHEN 99 THEN 0 ELSE rung END AS BIGINT) AS rung, length(j) AS size, sha256(j) AS encoded_hash FROM best JOIN full_text USING (request_id, rung)"""
+
+
+@query("rt10_encoded_bundles", ENCODED_SQL)
+def _(spark, d):
+    rows = materialize(_items(spark, d).withColumn("chunk_id", F.concat(F.lit("k"), F.col("item_no").cast("string"))), "bundle-items")
+    i = F.col("doc_id")
+    asked = documents(spark, d).select(F.floor(i / 6).cast("bigint").alias("request_id"), "doc_id", F.when(i % 10 == 3, "error").otherwise("success").alias("status"), F.col("text").alias("note"))
+    cap = F.when(F.col("request_id") % 3 == 0, 12000).when(F.col("request_id") % 3 == 1, 4096).otherwise(1100)
+    best = B.encode_bundles(rows, cap, asked).where("rung >= 0")
+    return best.select(cap.cast("bigint").alias("cap"), "request_id", "rung", "size", F.sha2("encoded", 256).alias("encoded_hash"))

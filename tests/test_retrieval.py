@@ -1,11 +1,13 @@
 """Retrieval against a plain scan, and evidence round trips."""
 
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators import bundles as BU
 from marginalia.operators import evidence as E
 from marginalia.operators import retrieval as R
 
@@ -107,3 +109,53 @@ def test_bundles_fit_the_cap_and_treat_documents_alike(spark):
         assert shown.where("truncated AND next_offset IS NULL").count() == 0
     s = spark.createDataFrame([("x" * 300, 5)], "t string, o int").select(E.shrink(F.col("t"), F.col("o")).alias("s")).first().s
     assert len(s.text) == 256 and s.next_offset == 261 and s.truncated
+
+
+def test_encoded_bundles_take_the_first_rung_that_fits(spark):
+    import random
+    rnd = random.Random(4)
+    texts = lambda: "".join(rnd.choice('ab "\\\n\u00e9\u4e2d\U0001f600\x01') for _ in range(rnd.choice([0, 5, 40, 300, 1500, 2600])))
+    rows, asked = [], []
+    for request in range(12):
+        for doc in range(1 + request % 5 * 3):
+            asked.append((request, f"p{doc}", "error" if (request + doc) % 4 == 0 else "success", rnd.choice([None, "", texts()])))
+            rows += [(request, f"p{doc}", n, rnd.choice([texts(), None]), "grobid", f"c{n}") for n in range(1, 1 + rnd.choice([0, 1, 2, 5, 11]))]
+    asked += [(99, f"p{doc}", "success", None) for doc in range(300)]
+    df = spark.createDataFrame(rows, "request_id int, doc_id string, item_no int, text string, parser string, chunk_id string")
+    docs = spark.createDataFrame(asked, "request_id int, doc_id string, status string, note string")
+    cap = F.when(F.col("request_id") % 3 == 0, 12000).when(F.col("request_id") % 3 == 1, 4096).otherwise(1500)
+    got = {r.request_id: r for r in BU.encode_bundles(df, cap, docs).collect()}
+
+    def plain(request, items, chars, facts=False):
+        papers = []
+        for _, doc, status, note in sorted(a for a in asked if a[0] == request):
+            mine = sorted(r for r in rows if r[:2] == (request, doc))
+            if facts:
+                papers.append({"paper_id": doc, "status": status, "omitted": True, "coverage": "none"})
+                continue
+            shown = []
+            for r in mine[:items]:
+                text = r[3] or ""
+                shown.append({"parser": r[4], "chunk_id": r[5], "text": text[:chars], **({"text_truncated": True, "next_offset": chars} if len(text) > chars else {})})
+            less, cut, width = len(mine) > len(shown), any("next_offset" in c for c in shown), min(chars, 500)
+            note_cut = note is not None and len(note) > width
+            papers.append({"paper_id": doc, "status": status, "note": note if note is None else note[:width], "note_truncated": note_cut, "chunks": shown, "omitted_chunks": len(mine) - len(shown),
+                           "omitted_chunk_range": [len(shown), len(mine)] if less else None,
+                           "coverage": "none" if not shown else "partial" if less or cut else "complete_returned_chunks", "omitted": less or cut or note_cut})
+        good = [p["status"] == "success" for p in papers]
+        out = {"status": "success" if all(good) else "partial" if any(good) else "error", "papers": papers, "omitted": facts or any(p["omitted"] for p in papers), "readback": json.loads(BU.READBACK)}
+        return json.dumps(out | ({"note": BU.FACTS_NOTE} if facts else {}), ensure_ascii=False, separators=(",", ":"))
+
+    rungs = set()
+    for request in {a[0] for a in asked}:
+        most = [12000, 4096, 1500][request % 3]
+        tries = [(n + 1, plain(request, i, c)) for n, (i, c) in enumerate(E.LADDER)] + [(0, plain(request, 0, 0, True)), (-1, None)]
+        rung, text = next((n, t) for n, t in tries if t is None or len(t) <= most)
+        r = got[request]
+        rungs.add(r.rung)
+        assert r.rung == rung and (r.encoded is None) == (rung == -1), request
+        if text is not None:
+            assert json.loads(r.encoded) == json.loads(text) and len(r.encoded) == r.size <= most
+    assert 0 in rungs or -1 in rungs
+    assert len(got) == 13 and got[99].rung == -1
+    assert BU.encode_bundles(df.limit(0), 4096).count() == 0
