@@ -1,18 +1,16 @@
-"""PR-10 / UD-4: leaves of JSON values as rows."""
+"""JSON values: leaves as rows (PR-10, UD-4), bounded walks (PR-9, PR-11)."""
 
 from __future__ import annotations
 
 import json
-import re
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
-from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marginalia import constants as K
+from marginalia.functions import text as T
 
 LEAF_TYPE = StructType([StructField("path", StringType()), StructField("value", StringType())])
 
@@ -59,67 +57,98 @@ def json_text(text: Column) -> Column:
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _redacted(text: str) -> str:
-    for pattern, put in K.REDACTIONS:
-        text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), text)
-    return text
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _walk(value, depth: int, text_limit: int, items: int, most: int):
+def _members(v: Column, kind: Column, items: int) -> Column:
+    """First entries of a container as (key, v), with null keys in a list; null for other values."""
+    obj, arr = F.slice(F.map_entries(v.try_cast("map<string,variant>")), 1, items), F.slice(v.try_cast("array<variant>"), 1, items)
+    return (
+        F.when(F.startswith(kind, F.lit("OBJECT")), F.transform(obj, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"))))
+        .when(F.startswith(kind, F.lit("ARRAY")), F.transform(arr, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("v"))))
+    )
+
+
+def _reference(v: Column) -> tuple[Column, Column]:
+    """Is an object an evidence reference, and what of it stays: its names and its ranges."""
+    at = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    names = [at(n, "string") for n in K.EVIDENCE_NAMES]
+    whole = lambda n: (F.schema_of_variant(at(n, "variant")) == "BIGINT") & (at(n, "bigint") >= 0)
+    parts = [F.concat(F.lit(f'"{n}":'), json_text(c)) for n, c in zip(K.EVIDENCE_NAMES, names)]
+    parts += [F.when(whole(n), F.concat(F.lit(f'"{n}":'), at(n, "string"))) for n in ("offset", "shown_chars", "max_chars")]
+    return T.valid_ref(*names), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _clean(text: Column, limit: int) -> Column:
+    return _let(T.redact(text), lambda t: json_text(T.bounded(t, limit)))
+
+
+def _masked(v: Column, depth: int, text_limit: int, items: int, most: int, references: bool) -> Column:
     if depth >= most:
-        return "[truncated]"
-    if isinstance(value, str):
-        clean = _redacted(value)
-        return clean if len(clean) <= text_limit else clean[:text_limit] + "…"
-    if isinstance(value, dict):
-        hidden = lambda k: any(part in k.lower() for part in K.SENSITIVE_KEY_PARTS)
-        return {k: "[redacted]" if hidden(k) else _walk(v, depth + 1, text_limit, items, most) for k, v in islice(value.items(), items)}
-    if isinstance(value, list):
-        return [_walk(v, depth + 1, text_limit, items, most) for v in value[:items]]
-    return value
-
-
-def safe_json(text: Column, text_limit: int = 2000, items: int = 100, most: int = 8) -> Column:
+        return F.lit('"[truncated]"')
+
+    def by_kind(kind: Column) -> Column:
+        def member(e: Column) -> Column:
+            hidden = F.coalesce(F.lower(e["key"]).rlike("|".join(K.SENSITIVE_KEY_PARTS)), F.lit(False))
+            name = F.when(e["key"].isNull(), "").otherwise(F.concat(json_text(e["key"]), F.lit(":")))
+            return F.concat(name, F.when(hidden, '"[redacted]"').otherwise(_masked(e["v"], depth + 1, text_limit, items, most, references)))
+
+        # The members stand here once: named twice, eight levels would be an expression of 256 copies.
+        is_object, members = F.startswith(kind, F.lit("OBJECT")), _members(v, kind, items)
+        inner = F.array_join(F.transform(members, member), ",")
+        value = F.concat(F.when(is_object, "{").otherwise("["), inner, F.when(is_object, "}").otherwise("]"))
+        text = _clean(v.try_cast("string"), text_limit)
+        out = F.when(kind == "STRING", text).when(is_object | F.startswith(kind, F.lit("ARRAY")), value).otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+        if not references:
+            return out
+        is_ref, kept = _reference(v)
+        return F.when(is_object & is_ref, kept).otherwise(out)
+
+    return _let(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), by_kind)
+
+
+def safe_json(text: Column, text_limit: int = 2000, items: int = 100, most: int = 8, references: bool = False) -> Column:
     """PR-9: JSON with secrets hidden at every level, texts redacted and bounded, ``items`` entries per container.
 
-    Values deeper than ``most`` levels read "[truncated]".  What is no JSON is treated as one string.  SQL has no
-    recursion over open depth, so this is a small Arrow-fed function.
+    Values deeper than ``most`` levels read "[truncated]"; keys come in order of name, and the first ``items`` of that
+    order stay.  With ``references``, an evidence reference keeps its names and ranges whole, and nothing else.  What is
+    no JSON (or has a key twice in one object) is treated as one string; null stays null.  Depth is bounded, so the walk
+    is one SQL expression: it needs no Python worker and runs on streams.
     """
-    @pandas_udf(StringType())
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else json.dumps(_walk(_parsed(t), 0, text_limit, items, most), ensure_ascii=False, separators=(",", ":")))
-    return run(text)
-
-
-def _parsed(text: str):
-    try:
-        return json.loads(text)
-    except ValueError:
-        return text
-
-
-def _counters(value, path: str, depth: int, items: int, most: int) -> dict[str, float]:
-    out: dict[str, float] = {}
-    if not isinstance(value, dict) or depth >= most:
-        return out
-    for k, v in islice(value.items(), items):
-        if re.fullmatch("[a-z_]+", k) and k.endswith(("tokens", "tokens_details")):
-            if type(v) in (int, float):
-                out[path + k] = float(v)
-            else:
-                out |= _counters(v, f"{path}{k}.", depth + 1, items, most)
-    return out
+    plain = _clean(text, text_limit)
+    walked = _let(F.try_parse_json(text), lambda v: F.when(v.isNull(), plain).otherwise(_masked(v, 0, text_limit, items, most, references)))
+    return F.when(text.isNotNull(), walked)
+
+
+COUNTERS = "array<struct<key:string,value:double>>"
+
+
+def _counters(v: Column, path: Column, depth: int, items: int, most: int) -> Column:
+    if depth >= most:
+        return F.array().cast(COUNTERS)
+
+    def member(e: Column) -> Column:
+        name = F.concat(path, e["key"])
+        number = F.struct(name.alias("key"), e["v"].try_cast("double").alias("value"))
+        is_number = F.schema_of_variant(e["v"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        counted = F.when(is_number, F.array(number)).otherwise(_counters(e["v"], F.concat(name, F.lit(".")), depth + 1, items, most))
+        return F.when(e["key"].rlike("^[a-z_]*tokens(_details)?\\z"), counted).otherwise(F.array().cast(COUNTERS))
+
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    entries = F.when(F.startswith(kind, F.lit("OBJECT")), _members(v, kind, items)).otherwise(F.array())
+    return F.flatten(F.transform(entries, member))
 
 
 def usage_counts(text: Column, items: int = 50, most: int = 4) -> Column:
     """PR-11: numeric '*tokens' and '*tokens_details' counters down to ``most`` levels, nested names joined by dots.
 
-    Numbers in quotes and truth values are no counters; ``items`` entries of a level are looked at.
+    Numbers in quotes and truth values are no counters; ``items`` entries of a level, in order of name, are looked at.
+    What is no JSON has no counters; null stays null.
     """
-    @pandas_udf(MapType(StringType(), DoubleType()))
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else _counters(_parsed(t), "", 0, items, most))
-    return run(text)
+    found = _let(F.try_parse_json(text), lambda v: F.map_from_entries(F.coalesce(_counters(v, F.lit(""), 0, items, most), F.array().cast(COUNTERS))))
+    return F.when(text.isNotNull(), found)
 
 
 @udtf(returnType=LEAF_TYPE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
+from marginalia.functions.json_tables import json_text
 from marginalia.plans.base import query, table
 from marginalia.plans.texts import REDACT_SQL
 from marginalia.streaming import jobs as J
@@ -104,3 +105,21 @@ def _(spark, d):
 def _(spark, d):
     s = J.read_stream(spark, f"{d}/documents*.parquet", DOCUMENTS)
     return J.run_to_table(J.redacted(s, "text"), "redacted").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+# Values nested in the stream: the text stands open, under a hidden key, in a list and beside a reference; one value is too deep.
+BOUNDED_SQL = f"coalesce(CAST(to_json(CASE WHEN length({REDACT_SQL}) > 2000 THEN concat(substring({REDACT_SQL}, 1, 2000), '…') ELSE {REDACT_SQL} END) AS VARCHAR), 'null')"
+HEX = "c0ffee00" * 8
+
+
+@query("st7_redacted_values", f"""WITH b AS (SELECT doc_id, {BOUNDED_SQL} AS t FROM documents)
+  SELECT doc_id, sha256(concat('{{"flag":true,"n":', doc_id, ',"none":null,"note":', t, ',"ref":{{"paper_id":"p', doc_id, '","parser":"grobid","cache_version":"sha256:{HEX}","chunk_id":"c_{HEX}","offset":3}},',
+    '"user":{{"API_Token":"[redacted]","list":[', t, ',{{"deep":{{"deeper":{{"deepest":"[truncated]"}}}}}}]}}}}')) AS data_hash FROM b""")
+def _(spark, d):
+    s = J.read_stream(spark, f"{d}/documents*.parquet", DOCUMENTS)
+    i, t = F.col("doc_id").cast("string"), json_text(F.col("text"))
+    ref = F.concat(F.lit('{"text":'), t, F.lit(',"paper_id":"p'), i, F.lit(f'","parser":"grobid","cache_version":"sha256:{HEX}","chunk_id":"c_{HEX}","offset":3,"max_chars":"x"}}'))
+    data = F.concat(F.lit('{"note":'), t, F.lit(',"user":{"list":['), t, F.lit(',{"deep":{"deeper":{"deepest":{"x":1}}}}],"API_Token":'), t, F.lit('},"ref":'), ref,
+                    F.lit(',"n":'), i, F.lit(',"none":null,"flag":true}'))
+    kept = J.redacted_values(s.select("doc_id", data.alias("data")))
+    return J.run_to_table(kept, "redacted-values").select("doc_id", F.sha2("data", 256).alias("data_hash"))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from marginalia.functions import text as T
+from marginalia.functions.json_tables import safe_json
 from marginalia.operators.sessions import TURN
 from marginalia.scale import shared_folder
 
@@ -316,3 +317,9 @@ def drop_redelivered(events: DataFrame, late: str = "10 minutes", keys: list[str
 def redacted(events: DataFrame, text_col: str = "content", limit: int = 2000) -> DataFrame:
     """ST-7: stateless redaction and bounding before an append sink; works on streams and tables."""
     return events.withColumn(text_col, T.bounded(T.redact(F.col(text_col)), limit))
+
+
+def redacted_values(events: DataFrame, json_col: str = "data", limit: int = 2000, items: int = 50, most: int = 6) -> DataFrame:
+    """ST-7: stateless redaction of nested JSON values by key and by text, with depth, item and text limits; evidence
+    references stay whole.  Works on streams and tables, without a Python worker."""
+    return events.withColumn(json_col, safe_json(F.col(json_col), limit, items, most, references=True))

@@ -104,6 +104,41 @@ def test_secrets_hide_at_every_level(spark):
     assert got[2].startswith("no json") and got[3] is None
 
 
+def test_nested_values_against_a_recursive_walk(spark):
+    import random
+    import re
+    from marginalia import constants as K
+    rnd = random.Random(11)
+
+    def made(depth):
+        kind = rnd.randrange(6 if depth < 8 else 4)
+        if kind == 0:
+            return rnd.choice([None, True, False, 0, -7, 12345678901])
+        if kind < 4:
+            return rnd.choice(["", 'q"uote\\', "password: hunter2 and more", "bearer abc.def", "\u4e2d" * 9, "sk-abcdefghijk"])
+        if kind == 4:
+            return [made(depth + 1) for _ in range(rnd.randrange(6))]
+        return {rnd.choice("abcdefgh") + rnd.choice(["", "Token", " secret"]): made(depth + 1) for _ in range(rnd.randrange(6))}
+
+    def walk(v, depth):
+        if depth >= 5:
+            return "[truncated]"
+        if isinstance(v, str):
+            for pattern, put in K.REDACTIONS:
+                v = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), v)
+            return v if len(v) <= 7 else v[:7] + "…"
+        if isinstance(v, dict):
+            return {k: "[redacted]" if any(p in k.lower() for p in K.SENSITIVE_KEY_PARTS) else walk(x, depth + 1) for k, x in sorted(v.items())[:4]}
+        return [walk(x, depth + 1) for x in v[:4]] if isinstance(v, list) else v
+
+    values = [made(0) for _ in range(60)] + [made(5) for _ in range(5)] + [[[], {}, None], {}]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string")
+    out = df.select("i", safe_json(F.col("j"), 7, 4, 5).alias("s"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        assert r.s == json.dumps(walk(values[r.i], 0), ensure_ascii=False, separators=(",", ":")), values[r.i]
+
+
 def test_usage_counts_walk_four_levels_and_take_numbers_only(spark):
     u = {"prompt_tokens": 5, "api_token": "x", "n_tokens": "12", "b_tokens": True, "prompt_tokens_details": {"cached_tokens": 3, "n": 1, "x_tokens": {"y_tokens": {"z_tokens": 2, "d_tokens": {"e_tokens": 1}}}}}
     m = spark.createDataFrame([(json.dumps(u),)], "u string").select(usage_counts(F.col("u")).alias("m")).first().m
