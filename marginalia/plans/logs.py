@@ -10,6 +10,7 @@ from marginalia.operators import headings as DH
 from marginalia.operators import history as H
 from marginalia.operators import quality as Q
 from marginalia.operators import sessions as S
+from marginalia.operators import summaries as SU
 from marginalia.plans.base import documents, papers, query, session_events, sql_collapse, sql_list, sql_strip, table, trace_events, with_views
 from marginalia.plans.search import ASK, PAPER_WITH, VERSIONED, _requests, _versioned
 from marginalia.plans.structure import SECTIONS_WITH
@@ -219,6 +220,44 @@ def _(spark, d):
                     F.size(F.filter("v", lambda x: x["truncated"])).cast("bigint").alias("n_truncated"), "missing")
 
 
+# Documents with a title but for every fourth, one author where the source is known, sections by rule with pages of two, and the numbered
+# entries after the last heading of references.
+AG4_SQL = SECTIONS_WITH.rstrip() + """,
+  tail AS (SELECT doc_id, CASE WHEN contains(raw_text, concat(chr(10), 'References', chr(10))) THEN string_split(raw_text, concat(chr(10), 'References', chr(10)))[-1] END AS t FROM papers_v),
+  piece2 AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\\[[0-9]+\\] ')) AS x, generate_subscripts(regexp_split_to_array(t, '\\[[0-9]+\\] '), 1) AS pos FROM tail WHERE t IS NOT NULL),
+  refs AS (SELECT doc_id, count(*) AS n, string_agg(concat(pos, '|', string_split(x, '.')[1], '|', nullif(regexp_extract(x, '(19|20)[0-9][0-9]'), ''), '|', length(x) > 800, '|', sha256(substring(x, 1, 800))), ';' ORDER BY pos) AS list FROM piece2 WHERE x <> '' GROUP BY 1),
+  numbered AS (SELECT *, list_position([{keys}], section) AS pos FROM sections WHERE content <> ''),
+  secs AS (SELECT doc_id, count(*) AS n, string_agg(concat(pos, '|', section, '|1|', (pos + 1) // 2, '|', (pos + 1) // 2 + 1, '|', source, '|', length(content) > 1200, '|', sha256(substring(content, 1, 1200))), ';' ORDER BY pos) AS list,
+      max(CASE WHEN section = 'abstract' THEN content END) AS abstract FROM numbered GROUP BY 1)
+  SELECT p.doc_id, coalesce(s.n, 0) AS n_sections, coalesce(s.list, '') AS sections, coalesce(r.n, 0) AS n_references, coalesce(r.list, '') AS refs, CAST(length(p.raw_text) // 3000 + 1 AS BIGINT) AS page_count,
+    CASE WHEN length(p.raw_text) < 3000 THEN 'one page' ELSE '' END AS warnings,
+    concat_ws(',', CASE WHEN p.doc_id % 4 = 0 THEN 'title' END, CASE WHEN d.source IS NULL THEN 'authors' END, CASE WHEN coalesce(s.abstract, '') = '' THEN 'abstract' END, CASE WHEN s.n IS NULL THEN 'sections' END) AS missing
+  FROM papers_v p JOIN documents d USING (doc_id) LEFT JOIN secs s USING (doc_id) LEFT JOIN refs r USING (doc_id)""".replace("{keys}", sql_list(K.SECTION_KEYS))
+
+
+@query("ag4_full_summary", AG4_SQL)
+def _(spark, d):
+    p, i = papers(spark, d), F.col("doc_id")
+    found = DH.extract_sections(p).where("content <> ''")
+    pos = F.array_position(F.array(*[F.lit(k) for k in K.SECTION_KEYS]), F.col("section"))
+    page = F.floor((pos + 1) / 2)
+    sections = found.select("doc_id", pos.alias("pos"), F.col("content").alias("text"), F.col("section").alias("title"), F.lit(1).alias("level"), page.alias("page_start"), (page + 1).alias("page_end"), "source")
+    tail = F.substring_index("raw_text", "\nReferences\n", -1)
+    entries = p.where(F.contains("raw_text", F.lit("\nReferences\n"))).select("doc_id", F.posexplode(F.split(tail, "\\[[0-9]+\\] ")).alias("pos", "text")).where("text <> ''")
+    year = F.nullif(F.regexp_extract("text", "(19|20)[0-9][0-9]", 0), F.lit(""))
+    references = entries.select("doc_id", (F.col("pos") + 1).alias("pos"), "text", F.substring_index("text", ".", 1).alias("title"), year.alias("year"))
+    abstract = found.where("section = 'abstract'").select("doc_id", F.col("content").alias("abstract"))
+    n = F.length("raw_text")
+    docs = p.select("doc_id", F.when(i % 4 != 0, "a title").alias("title"), (F.floor(n / 3000) + 1).alias("page_count"), F.when(n < 3000, F.array(F.lit("one page"))).alias("warnings"))
+    docs = docs.join(documents(spark, d).select("doc_id", F.when(F.col("source").isNotNull(), F.array("source")).alias("authors")), "doc_id").join(abstract, "doc_id", "left")
+    m = SU.document_summaries(docs, sections, references)
+    bar = lambda *xs: F.concat(*[y for n, x in enumerate(xs) for y in ([F.lit("|")] if n else []) + [F.coalesce(x.cast("string"), F.lit(""))]])
+    tell = lambda c, *names: F.array_join(F.transform(c, lambda x: bar(x["pos"], *[x[k] for k in names], x["truncated"], F.sha2(x["preview"], 256))), ";")
+    return m.select("doc_id", F.size("sections").cast("bigint").alias("n_sections"), tell("sections", "title", "level", "page_start", "page_end", "source").alias("sections"),
+                    F.size("references").cast("bigint").alias("n_references"), tell("references", "title", "year").alias("refs"), "page_count",
+                    F.array_join("warnings", ",").alias("warnings"), F.array_join("missing_fields", ",").alias("missing"))
+
+
 @query("ag5_section_lengths", SECTIONS_WITH + "SELECT doc_id, " + ", ".join(f"max(CASE WHEN section = '{k}' THEN length END) AS len_{k}" for k in K.SECTION_KEYS) + " FROM sections GROUP BY doc_id")
 def _(spark, d):
     w = Q.wide_sections(papers(spark, d))

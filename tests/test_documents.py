@@ -113,3 +113,19 @@ def test_layout_titles_and_authors(spark):
     titles = spark.createDataFrame([(1, "基于深度网络的图像")], "doc_id int, title string")
     lines = spark.createDataFrame([(1, 0, "基于深度网络的图像"), (1, 1, "某某大学"), (1, 2, "张三，李四"), (1, 3, "摘要：x"), (1, 4, "王五")], "doc_id int, pos int, text string")
     assert L.first_page_authors(lines, titles).first().authors == ["张三", "李四"]
+
+
+def test_summaries_say_what_is_cut_and_missing(spark):
+    from marginalia.operators.summaries import document_summaries
+    docs = spark.createDataFrame([(1, "T", ["A"], "abs", 3, ["w"], True), (2, "", [], None, None, None, None), (3, "T", None, "", 1, [], False)],
+                                 "doc_id int, title string, authors array<string>, abstract string, page_count int, warnings array<string>, cached boolean")
+    sections = spark.createDataFrame([(1, 2, "b" * 1201, "Two", 2), (1, 1, "a" * 1200, "One", None), (3, 1, None, None, 1), (9, 1, "x", "no such document", 1)], "doc_id int, pos int, text string, title string, level int")
+    refs = spark.createDataFrame([(1, 2, "r" * 801, "R", ["X"], "2020"), (1, 1, "r" * 800, None, None, None)], "doc_id int, pos int, text string, title string, authors array<string>, year string")
+    m = {r.doc_id: r for r in document_summaries(docs, sections, refs).collect()}
+    assert sorted(m) == [1, 2, 3]
+    assert [(s.title, s.level, len(s.preview), s.truncated) for s in m[1].sections] == [("One", 1, 1200, False), ("Two", 2, 1200, True)]
+    assert [(r.title, r.authors, r.year, len(r.preview), r.truncated) for r in m[1].references] == [("", [], None, 800, False), ("R", ["X"], "2020", 800, True)]
+    assert m[1].missing_fields == [] and m[1].warnings == ["w"] and m[1].cached
+    assert m[2].missing_fields == ["title", "authors", "abstract", "sections"] and m[2].sections == [] and m[2].references == [] and m[2].page_count == 0
+    assert m[3].missing_fields == ["authors", "abstract"] and m[3].sections[0].preview == ""
+    assert document_summaries(docs.limit(0), sections, refs).count() == 0
