@@ -93,19 +93,19 @@ def assign_shards(df: DataFrame, dims: list[str], shards: int, tie: list[str], b
 
     Shards differ by one row at most.  Ties on the curve follow ``tie``; rows equal there too take neighbouring
     slots in either order.  Null dimensions fall into cell 0.  An empty table gives an empty result.  Columns of
-    ``df`` named curve, shard or slot are replaced, all others stay; the names _rank, _one, _at and _range and
-    those that start with _s_, _b_ and _l_ are reserved.
+    ``df`` named curve, shard or slot are replaced, all others stay, whatever their names: a row travels as one value.
     """
     df = df.drop("curve", "shard", "slot")
     cuts = bounds(df, dims, bits)
-    placed = df.withColumn("curve", hilbert([quantised(c, cuts[c], bits) for c in dims], bits)).withColumn("_one", F.lit(1))
-    out, totals = ranked(placed, ["curve", *tie], {"_rank": "_one"}, "shard-order")
+    curve = hilbert([quantised(c, cuts[c], bits) for c in dims], bits)
+    ties = [F.col(f"`{c}`").alias(f"tie{n}") for n, c in enumerate(tie)]
+    placed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), curve.alias("curve"), F.lit(1).alias("one"), *ties)
+    out, totals = ranked(placed, ["curve", *[f"tie{n}" for n in range(len(tie))]], {"rank": "one"}, "shard-order")
     rows = max(1, totals.first()[0])
     # Long division stays exact: rank * shards / rows in integers.
-    shard = F.expr(f"(_rank * {shards}L) div {rows}L")
+    shard = F.expr(f"(rank * {shards}L) div {rows}L")
     start = F.expr(f"(shard * {rows}L + {shards - 1}L) div {shards}L")
-    return (out.withColumn("shard", shard).withColumn("slot", (F.col("_rank") - start).cast("bigint"))
-            .withColumn("shard", F.col("shard").cast("int")).drop("_rank", "_one"))
+    return out.withColumn("shard", shard).withColumn("slot", (F.col("rank") - start).cast("bigint")).select("row.*", "curve", F.col("shard").cast("int").alias("shard"), "slot")
 
 
 def manifest(sharded: DataFrame, dims: list[str]) -> DataFrame:

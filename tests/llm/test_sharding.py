@@ -34,6 +34,28 @@ def test_empty_and_few_rows(spark):
     assert [(r["size"], r["shard"], r["slot"]) for r in one] == [(1, 0, 0)]
 
 
+def test_order_against_a_plain_sort_with_clashing_names(spark):
+    import random
+    import zlib
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, *range(9)]), rnd.choice(["a", "b", None]), "long " * rnd.choice([0, 1, 40000]) + rnd.choice(["", "é", "x"]), i, i, i, i, i) for i in range(203)]
+    names = ["a.b", "_s_x", "text", "_rank", "_one", "row", "rank", "one"]
+    docs = spark.createDataFrame(rows, "`a.b` int, `_s_x` string, text string, `_rank` int, `_one` int, row int, rank int, one int").withColumn("slot", F.lit("old"))
+    out = sharding.assign_shards(docs, ["a.b", "_s_x"], 7, ["_rank"])
+    assert out.columns == [*names, "curve", "shard", "slot"]
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(r[:8] for r in got if r[0] is not None and r[1]) == sorted(r for r in rows if r[0] is not None and r[1]) and len(got) == len(rows)
+    placed = [(rank * 7 // 203, r) for rank, r in enumerate(sorted(got, key=lambda r: (r[8], r[3])))]
+    slots: dict = {}
+    for shard, r in placed:
+        assert (r[9], r[10]) == (shard, slots.setdefault(shard, 0))
+        slots[shard] += 1
+    texts = spark.createDataFrame([(i, r[2], "en", "s", 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, _rank int")
+    for r in sharding.document_shards(texts).collect():
+        text = rows[r["doc_id"]][2].encode()
+        assert (r["text_crc32"], r["size"]) == (zlib.crc32(text), len(text) + 1)
+
+
 def test_manifest_and_files(spark, tmp_path):
     docs = spark.range(400).select(F.col("id").alias("a"), (F.col("id") % 20).alias("b"))
     out = sharding.assign_shards(docs, ["a", "b"], 8, ["a"])
