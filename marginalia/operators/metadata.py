@@ -261,9 +261,12 @@ def match_corpus(docs: DataFrame, candidates: DataFrame, k: int = 1, permille: i
     def titles(df: DataFrame, id_col: str) -> DataFrame:
         return df.select(id_col, T.collapse(T.match_text(F.col("title"))).alias("t"), T.normalize_doi(F.coalesce("doi", F.lit(""))).alias("doi"))
 
-    d, c = titles(docs, "doc_id"), titles(candidates, "cand_id")
+    d, c = materialize(titles(docs, "doc_id"), "corpus-titles"), materialize(titles(candidates, "cand_id"), "candidate-titles")
     reps = first_rows(c.where("t <> ''"), ["t"], [F.col("cand_id")], k, "_rep").select("t", "cand_id")
-    scored = similar_titles(d, c, permille)
+    # A title that k candidates carry themselves has its best: nothing is more alike than an equal title.
+    full = reps.groupBy("t").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("t")
+    equal = d.where("t <> ''").select("t").distinct().join(full, "t", "left_semi").select(F.col("t").alias("our"), F.col("t").alias("their"), F.lit(1.0).alias("similarity"))
+    scored = equal.unionByName(similar_titles(d.join(full, "t", "left_anti"), c, permille))
     best = first_rows(scored, ["our"], [F.col("similarity").desc(), F.col("their")], k, "_rk").select("our", "their", "similarity")
     by_title = d.join(best, d["t"] == best["our"]).join(reps, F.col("their") == reps["t"]).select(
         "doc_id", "cand_id", "similarity", F.lit(False).alias("by_doi"))

@@ -55,10 +55,14 @@ def letter_counts(t: Column) -> Column:
     return F.array(*counts, F.char_length(F.translate(t, LETTERS, "")))
 
 
+def common_letters(counts_a: Column, counts_b: Column) -> Column:
+    """How many characters both can have in common, by their letter counts."""
+    return sum((F.least(F.get(counts_a, F.lit(i)), F.get(counts_b, F.lit(i))) for i in range(1, len(LETTERS) + 1)), F.least(F.get(counts_a, F.lit(0)), F.get(counts_b, F.lit(0))))
+
+
 def letter_bound(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
     """No ratio is larger: letters that both strings have, over both lengths."""
-    both = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return 2.0 * both / F.greatest(F.char_length(a) + F.char_length(b), F.lit(1))
+    return 2.0 * common_letters(counts_a, counts_b) / F.greatest(F.char_length(a) + F.char_length(b), F.lit(1))
 
 
 def _prefix_size(n: Column, permille: int) -> Column:
@@ -91,39 +95,47 @@ def _deletions(t: Column, most: int) -> Column:
 
 
 def plausible_pairs(ours: DataFrame, theirs: DataFrame, permille: int) -> DataFrame:
-    """our, their: pairs of different titles (column t, distinct) that the bounds do not refuse."""
+    """our, their: pairs of different titles (column t, distinct) that the bounds do not refuse.
+
+    Titles travel as numbers; each carries its letter counts, so a pair that cannot reach the threshold is refused
+    where it is met, before any exchange of pairs.
+    """
     sides = ours.select("t", F.lit(1).alias("o"), F.lit(0).alias("h")).unionByName(theirs.select("t", F.lit(0).alias("o"), F.lit(1).alias("h")))
     titles = sides.where("t <> ''").groupBy("t").agg(F.max("o").alias("o"), F.max("h").alias("h"))
-    titles = materialize(titles.withColumn("n", F.char_length("t")).withColumn("counts", letter_counts(F.col("t"))), "titles")
+    titles = titles.withColumn("n", F.char_length("t")).withColumn("counts", letter_counts(F.col("t"))).withColumn("take", _prefix_size(F.char_length("t"), permille)).withColumn("id", F.monotonically_increasing_id())
+    titles = materialize(titles, "titles")
 
     at = F.explode(F.sequence(F.lit(1), F.col("n") - Q + 1))
-    grams = titles.where(F.col("n") >= Q).select("t", "o", "h", "n", at.alias("p")).select("t", "o", "h", "n", F.substring("t", F.col("p"), F.lit(Q)).alias("gram"))
-    counted = grams.groupBy("t", "o", "h", "n", "gram").agg(F.count("*").cast("int").alias("c"))
-    numbered = materialize(counted.select("t", "o", "h", "n", "gram", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("no")), "title-grams")
-    df = numbered.groupBy("gram", "no").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("t").orderBy("df", "gram", "no"))
-    prefix = numbered.join(df, ["gram", "no"]).withColumn("rk", order).where(F.col("rk") <= _prefix_size(F.col("n"), permille))
-    prefix = materialize(prefix.select("t", "o", "h", "n", "gram", "no"), "title-prefixes")
+    grams = titles.where(F.col("n") >= Q).select("id", "o", "h", "take", "t", at.alias("p")).select("id", "o", "h", "take", F.substring("t", F.col("p"), F.lit(Q)).alias("gram"))
+    counted = grams.groupBy("id", "o", "h", "take", "gram").agg(F.count("*").cast("int").alias("c"))
+    numbered = materialize(counted.select("id", "o", "h", "take", "gram", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("no")), "title-grams")
+    # Grams that one side alone has make no pair, and stand first in the order.
+    df = numbered.groupBy("gram", "no").agg((F.sum("o") * F.sum("h")).alias("df"))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram", "no"))
+    prefix = numbered.join(df, ["gram", "no"]).withColumn("rk", order).where("rk <= take AND df > 0")
+    prefix = materialize(prefix.select("id", "o", "h", "gram", "no").join(titles.select("id", "n", "counts"), "id"), "title-prefixes")
 
     def fits(a: str, b: str) -> Column:
         total = F.col(a) + F.col(b)
         return 2000 * F.least(a, b) >= permille * total
 
-    o = prefix.where("o = 1").select(F.col("t").alias("our"), F.col("n").alias("n1"), "gram", "no")
-    h = prefix.where("h = 1").select(F.col("t").alias("their"), F.col("n").alias("n2"), "gram", "no")
-    long = o.join(h, ["gram", "no"]).where((F.col("our") != F.col("their")) & fits("n1", "n2")).select("our", "their")
+    def likely() -> Column:
+        return common_letters(F.col("c1"), F.col("c2")) * 2000 >= permille * (F.col("n1") + F.col("n2"))
+
+    o = prefix.where("o = 1").select(F.col("id").alias("our"), F.col("n").alias("n1"), F.col("counts").alias("c1"), "gram", "no")
+    h = prefix.where("h = 1").select(F.col("id").alias("their"), F.col("n").alias("n2"), F.col("counts").alias("c2"), "gram", "no")
+    long = o.join(h, ["gram", "no"]).where((F.col("our") != F.col("their")) & fits("n1", "n2") & likely()).select("our", "their")
 
     most = short_total(permille)
-    cut = titles.where(F.col("n") <= most * (2000 - permille) // 2000 + 1).select("t", "o", "h", F.inline(_deletions(F.col("t"), unmatched(most, permille)))).where("string <> ''")
-    a = cut.where("o = 1").select(F.col("t").alias("our"), F.col("deleted").alias("d1"), "string")
-    b = cut.where("h = 1").select(F.col("t").alias("their"), F.col("deleted").alias("d2"), "string")
+    cut = titles.where(F.col("n") <= most * (2000 - permille) // 2000 + 1).select("id", "o", "h", F.inline(_deletions(F.col("t"), unmatched(most, permille)))).where("string <> ''")
+    a = cut.where("o = 1").select(F.col("id").alias("our"), F.col("deleted").alias("d1"), "string")
+    b = cut.where("h = 1").select(F.col("id").alias("their"), F.col("deleted").alias("d2"), "string")
     short = a.join(b, "string").where((F.col("our") != F.col("their")) & (F.col("d1") + F.col("d2") <= unmatched(most, permille))).select("our", "their")
 
-    pairs = long.unionByName(short).groupBy("our", "their").agg(F.count("*").alias("_n"))
-    left, right = titles.select(F.col("t").alias("our"), F.col("counts").alias("c1")), titles.select(F.col("t").alias("their"), F.col("counts").alias("c2"))
-    bounded = pairs.join(left, "our").join(right, "their")
-    ok = letter_bound(F.col("our"), F.col("their"), F.col("c1"), F.col("c2")) >= permille / 1000 - 1e-9
-    return bounded.where(ok).select("our", "their")
+    pairs = materialize(long.unionByName(short).distinct(), "title-pair-ids")
+    left = titles.select(F.col("id").alias("our"), F.col("t").alias("our_t"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
+    right = titles.select(F.col("id").alias("their"), F.col("t").alias("their_t"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
+    return pairs.join(left, "our").join(right, "their").where(likely()).select(F.col("our_t").alias("our"), F.col("their_t").alias("their"))
 
 
 def similar_titles(ours: DataFrame, theirs: DataFrame, permille: int) -> DataFrame:

@@ -52,6 +52,17 @@ def test_corpus_match_collapses_copies(spark):
     assert all(got[i] == (11, False) for i in range(30)) and got[100] == (90, False) and got[101] == (91, True)
 
 
+def test_corpus_match_seeks_near_titles_only_where_they_can_show(spark, monkeypatch):
+    asked = []
+    real = M.similar_titles
+    monkeypatch.setattr(M, "similar_titles", lambda ours, theirs, permille: asked.append({x.t for x in ours.collect()}) or real(ours, theirs, permille))
+    docs = spark.createDataFrame([(1, "exact title here", ""), (2, "near title heres", "")], "doc_id int, title string, doi string")
+    cands = spark.createDataFrame([(10, "exact title here", ""), (11, "exact title herd", ""), (12, "near title here", "")], "cand_id int, title string, doi string")
+    one, two = ({(x.doc_id, x.cand_id) for x in M.match_corpus(docs, cands, k).collect()} for k in (1, 2))
+    assert one == {(1, 10), (2, 12)} and two == {(1, 10), (1, 11), (2, 12)}
+    assert asked == [{"near title heres"}, {"exact title here", "near title heres"}]
+
+
 @pytest.mark.parametrize("permille", [900, 940])
 def test_title_join_loses_no_pair(spark, permille):
     r = random.Random(permille)
