@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from marginalia.functions import text as T
 from marginalia.functions.json_tables import safe_json
 from marginalia.operators.sessions import TURN
-from marginalia.scale import shared_folder
+from marginalia.scale import settle, shared_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -205,85 +205,29 @@ def merge_call_fragments(deltas: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.nullif("arguments", F.lit("")), F.lit("{}")).alias("arguments"))
 
 
-CALL_FIELDS = [StructField("idx", LongType()), StructField("call_id", StringType()), StructField("name", StringType()), StructField("arguments", StringType())]
-
-
-class MergeFragments(StatefulProcessor):
-    """Calls of one response from fragments in any order.
-
-    A map state holds per call index the id and name seen last with their positions; a list state holds the pieces of
-    the arguments, to which a batch only appends.  A response that stays silent for ``idle_ms`` of event
-    time is put out and leaves the state, ended or not.
-    """
-
-    def __init__(self, idle_ms: int, names: list[str]):
-        self.idle_ms, self.names = idle_ms, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        index, text = StructField("idx", LongType()), StringType()
-        self.calls = handle.getMapState("calls", StructType([index]), StructType([
-            StructField("call_id", text), StructField("id_pos", LongType()), StructField("name", text), StructField("name_pos", LongType())]))
-        self.pieces = handle.getListState("pieces", StructType([index, StructField("pos", LongType()), StructField("args", text)]))
-        self.last = handle.getValueState("last", StructType([StructField("ts_ms", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else 0
-        met: dict[int, tuple] = {}
-        pieces = []
-        for batch in rows:
-            for r in batch.itertuples():
-                index, pos = int(r.idx), int(r.pos)
-                call_id, id_pos, name, name_pos = met.get(index, ("", -1, "", -1))
-                if r.id and pos > id_pos:
-                    call_id, id_pos = r.id, pos
-                if r.name_ and pos > name_pos:
-                    name, name_pos = r.name_, pos
-                met[index] = (call_id, id_pos, name, name_pos)
-                if r.args:
-                    pieces.append((index, pos, r.args))
-                last = max(last, int(r.ts_ms))
-        for index, new in met.items():
-            if self.calls.containsKey((index,)):
-                old = self.calls.getValue((index,))
-                new = (*(old[:2] if old[1] > new[1] else new[:2]), *(old[2:] if old[3] > new[3] else new[2:]))
-            self.calls.updateValue((index,), new)
-        if pieces:
-            self.pieces.appendList(pieces)
-        self.last.update((last,))
-        self.handle.registerTimer(last + self.idle_ms)
-        yield pd.DataFrame([], columns=self.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A later fragment moved the end of silence and has its own timer.
-        if not self.last.exists() or self.last.get()[0] + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
-            return
-        parts: dict[int, list[tuple[int, str]]] = {}
-        for index, pos, args in self.pieces.get() if self.pieces.exists() else ():
-            parts.setdefault(index, []).append((pos, args))
-        out = []
-        for (index,), (call_id, _, name, _) in sorted(self.calls.iterator()):
-            if name:
-                out.append((*key, index, call_id or f"call_{index + 1}", name, "".join(a for _, a in sorted(parts.get(index, []))) or "{}"))
-        for state in (self.calls, self.pieces, self.last):
-            state.clear()
-        yield pd.DataFrame(out, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
 def merge_fragment_stream(deltas: DataFrame, keys: list[str], idle: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
     """ST-3 (stream): as ``merge_call_fragments``, for fragments with an event time ``ts``.
 
     A response is put out once it has been silent for ``idle``; what comes after that silence is another response.
+    A session window holds the fragments of a response; they are cut into calls when it leaves the state.  No Python
+    worker and no call per response.
     """
-    amount, unit = idle.split()
-    idle_ms = int(amount) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
-    timed = deltas.withWatermark("ts", late).select(*keys, "pos", "idx", "id", F.col("name").alias("name_"), "args", "ts", F.unix_millis("ts").alias("ts_ms"))
-    kind = StructType([*[deltas.schema[k] for k in keys], *CALL_FIELDS])
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=MergeFragments(idle_ms, kind.names), outputStructType=kind, outputMode="Append", timeMode="EventTime")
+    # Watermarks count milliseconds.
+    timed = deltas.withColumn("ts", F.date_trunc("millisecond", "ts")).withWatermark("ts", late)
+    fragment = F.struct("idx", "pos", F.coalesce("args", F.lit("")).alias("args"), "id", "name")
+    whole = timed.groupBy(*keys, F.session_window("ts", idle).alias("_w")).agg(F.sort_array(F.collect_list(fragment)).alias("_f"))
+    f, none = F.col("_f"), F.lit(None).cast("string")
+    # Places where another call begins; each call is a slice of the sorted fragments.
+    first = F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: (i == 0) | ~F.get(f, i)["idx"].eqNullSafe(F.get(f, i - 1)["idx"]))
+    whole = settle(whole.select(*keys, "_f", first.alias("_at")))
+    at = F.col("_at")
+    cut = F.transform(at, lambda i, k: F.slice(f, i + 1, F.coalesce(F.get(at, k + 1), F.size(f)) - i))
+    last = lambda c: F.aggregate("_c", none, lambda s, x: F.coalesce(F.nullif(x[c], F.lit("")), s))
+    calls = whole.select(*keys, F.explode(cut).alias("_c")).select(
+        *keys, F.get("_c", F.lit(0))["idx"].alias("idx"), last("id").alias("call_id"), last("name").alias("name"), F.array_join(F.col("_c.args"), "").alias("arguments"))
+    return settle(calls).where("name IS NOT NULL").select(
+        *keys, "idx", F.coalesce("call_id", F.concat(F.lit("call_"), (F.col("idx") + 1).cast("string"))).alias("call_id"), "name",
+        F.coalesce(F.nullif("arguments", F.lit("")), F.lit("{}")).alias("arguments"))
 
 
 # ---- ST-4 .. ST-7 ----------------------------------------------------------------------------

@@ -171,3 +171,8 @@ def test_fragment_stream_equals_its_batch_twin(spark, tmp_path):
     got = sorted(tuple(x) for x in J.run_to_table(J.merge_fragment_stream(stream, ["k"], "10 minutes"), "c").collect())
     batch = J.merge_call_fragments(spark.createDataFrame(rows, schema).where("k <> 'end'"), ["k"])
     assert got == sorted(tuple(x) for x in batch.select("k", "idx", "call_id", "name", "arguments").collect()) and len(got) > 20
+
+
+def test_fragment_stream_needs_no_python_worker(spark, tmp_path):
+    deltas = J.read_stream(spark, str(tmp_path), spark.createDataFrame([], "k string, pos long, idx long, id string, name string, args string, ts timestamp").schema)
+    assert "InPa" not in J.merge_fragment_stream(deltas, ["k"])._jdf.queryExecution().toString()
