@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -104,87 +105,93 @@ FOLD_TYPE = StructType([
     StructField("event_type", StringType()), StructField("tool_call_id", StringType()), StructField("content", StringType())])
 
 
-class FoldTurn(StatefulProcessor):
-    """Runtime events of one turn to log events: text deltas become one message, tool results wait for the
-    end of their step and leave in call order, the turn closes once.  An error or the end of the turn lets the
-    results of all steps out, step by step.  A turn that stays silent for IDLE_MS of event time is closed by a
-    timer, and IDLE_MS after its last event a closed turn leaves the state; until then its late events are dropped."""
-
-    IDLE_MS = 600_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("turn", StructType([StructField("json", StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"n": 0, "text": [], "said": False, "order": {}, "results": {}, "closed": False, "last": 0}
-        out: list[tuple] = []
-
-        def emit(kind: str, call: str | None = None, content: str | None = None) -> None:
-            s["n"] += 1
-            out.append((key[0], key[1], s["n"], kind, call, content))
-
-        def flush(steps: list[str]) -> None:
-            for step in steps:
-                results = s["results"].pop(step, {})
-                for call in dict.fromkeys([*s["order"].pop(step, []), *results]):
-                    if call in results:
-                        emit("tool/result", call, results[call])
-
-        for r in pd.concat(list(rows)).sort_values("pos").itertuples():
-            if s["closed"]:
-                break
-            step = str(r.step)
-            s["last"] = max(s["last"], int(r.ts_ms))
-            if r.kind == "final_delta":
-                s["text"].append(r.content or "")
-            elif r.kind == "final_end" and not s["said"]:
-                s["said"] = True
-                emit("assistant/message", None, "".join(s["text"]))
-                s["text"] = []
-            elif r.kind == "tool_call":
-                s["order"].setdefault(step, []).append(r.tool_call_id)
-                emit("tool/call", r.tool_call_id)
-            elif r.kind == "tool_result":
-                s["results"].setdefault(step, {})[r.tool_call_id] = r.content
-            elif r.kind == "step_end":
-                flush([step])
-                emit("step/end", None, r.content)
-            elif r.kind == "error":
-                flush(sorted({*s["order"], *s["results"]}, key=int))
-                emit("error", None, r.content)
-            elif r.kind == "done":
-                flush(sorted({*s["order"], *s["results"]}, key=int))
-                emit("turn/end", None, r.content)
-                s["closed"] = True
-        self.state.update((json.dumps(s),))
-        self.handle.registerTimer(s["last"] + self.IDLE_MS)
-        yield pd.DataFrame(out, columns=[f.name for f in FOLD_TYPE])
+FOLD_STATE = StructType([StructField("json", StringType())])
+IDLE_MS = 600_000
+BUCKETS = 4096  # groups of turns; more of them make each state smaller
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else None
-        # A later event moved the end of silence and has its own timer.
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if s and s["last"] + self.IDLE_MS <= now:
-            if s["closed"]:
-                self.state.clear()
-                return
-            s |= {"closed": True, "last": now}
-            self.state.update((json.dumps(s),))
-            self.handle.registerTimer(now + self.IDLE_MS)
-            yield pd.DataFrame([(key[0], key[1], s["n"] + 1, "turn/end", None, "error")], columns=[f.name for f in FOLD_TYPE])
 
-    def close(self) -> None:
-        pass
+def _fold_turn(turn: tuple, s: dict, events: list[tuple]) -> Iterator[tuple]:
+    """Runtime events of one turn to log events: text deltas become one message, tool results wait for the
+    end of their step and leave in call order, the turn closes once.  An error or the end of the turn lets the
+    results of all steps out, step by step."""
+    def emit(kind: str, call: str | None = None, content: str | None = None) -> tuple:
+        s["n"] += 1
+        return (*turn, s["n"], kind, call, content)
+
+    def flush(steps: list[str]) -> Iterator[tuple]:
+        for step in steps:
+            results = s["results"].pop(step, {})
+            for call in dict.fromkeys([*s["order"].pop(step, []), *results]):
+                if call in results:
+                    yield emit("tool/result", call, results[call])
+
+    for _, step_no, kind, call, content, ts_ms in sorted(events, key=lambda e: e[0]):
+        if s["closed"]:
+            return
+        step = str(step_no)
+        s["last"] = max(s["last"], ts_ms)
+        if kind == "final_delta":
+            s["text"].append(content or "")
+        elif kind == "final_end" and not s["said"]:
+            s["said"] = True
+            yield emit("assistant/message", None, "".join(s["text"]))
+            s["text"] = []
+        elif kind == "tool_call":
+            s["order"].setdefault(step, []).append(call)
+            yield emit("tool/call", call)
+        elif kind == "tool_result":
+            s["results"].setdefault(step, {})[call] = content
+        elif kind == "step_end":
+            yield from flush([step])
+            yield emit("step/end", None, content)
+        elif kind == "error":
+            yield from flush(sorted({*s["order"], *s["results"]}, key=int))
+            yield emit("error", None, content)
+        elif kind == "done":
+            yield from flush(sorted({*s["order"], *s["results"]}, key=int))
+            yield emit("turn/end", None, content)
+            s["closed"] = True
+
+
+def _fold_bucket(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Folds the turns of one bucket.  A turn that stays silent for IDLE_MS of event time is closed by a timeout, and
+    IDLE_MS after its last event a closed turn leaves the state; until then its late events are dropped.
+
+    A call to Python and to the state store costs far more than the events of a turn, so turns share both.
+    """
+    turns = {(session, turn): s for session, turn, s in json.loads(state.get[0])} if state.exists else {}
+    met: dict[tuple, list[tuple]] = {}
+    for batch in () if state.hasTimedOut else rows:
+        for session, turn, *event in zip(*(batch[c].tolist() for c in ("session", "turn_id", "pos", "step", "kind", "tool_call_id", "content", "ts_ms"))):
+            met.setdefault((None if session is None else int(session), turn), []).append(event)
+    out: list[tuple] = []
+    for turn, events in met.items():
+        s = turns.setdefault(turn, {"n": 0, "text": [], "said": False, "order": {}, "results": {}, "closed": False, "last": 0})
+        out += _fold_turn(turn, s, events)
+    passed = state.getCurrentWatermarkMs()
+    for turn, s in [*turns.items()]:
+        if not s["closed"] and s["last"] + IDLE_MS <= passed:
+            s |= {"closed": True, "last": s["last"] + IDLE_MS}
+            out.append((*turn, s["n"] + 1, "turn/end", None, "error"))
+        if s["closed"] and s["last"] + IDLE_MS <= passed:
+            del turns[turn]
+    if turns:
+        state.update((json.dumps([[*turn, s] for turn, s in turns.items()]),))
+        state.setTimeoutTimestamp(min(s["last"] for s in turns.values()) + IDLE_MS)
+    elif state.exists:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=FOLD_TYPE.names)
 
 
 def fold_stream(runtime: DataFrame, late: str = "5 minutes") -> DataFrame:
     """ST-2: runtime events (session_id, turn_id, pos, kind, tool_call_id, content, ts, and the number of the model
     step, 0 where that column is missing) -> log events."""
     step = F.coalesce(F.col("step").cast("int"), F.lit(0)) if "step" in runtime.columns else F.lit(0)
-    timed = runtime.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts")).withColumn("step", step)
-    return timed.groupBy("session_id", "turn_id").transformWithStateInPandas(
-        statefulProcessor=FoldTurn(), outputStructType=FOLD_TYPE, outputMode="Append", timeMode="EventTime")
+    timed = runtime.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("session_id", "turn_id"), F.lit(BUCKETS)).alias("bucket"), F.col("session_id").cast("string").alias("session"), "turn_id",
+        "pos", step.alias("step"), "kind", "tool_call_id", "content", "ts", F.unix_millis("ts").alias("ts_ms"))
+    return timed.groupBy("bucket").applyInPandasWithState(_fold_bucket, FOLD_TYPE, FOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- ST-3 -----------------------------------------------------------------------------------

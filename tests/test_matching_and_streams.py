@@ -176,3 +176,20 @@ def test_fragment_stream_equals_its_batch_twin(spark, tmp_path):
 def test_fragment_stream_needs_no_python_worker(spark, tmp_path):
     deltas = J.read_stream(spark, str(tmp_path), spark.createDataFrame([], "k string, pos long, idx long, id string, name string, args string, ts timestamp").schema)
     assert "InPa" not in J.merge_fragment_stream(deltas, ["k"])._jdf.queryExecution().toString()
+
+
+def test_stream_states_are_not_asked_turn_by_turn(spark, tmp_path, monkeypatch):
+    """Turns of one bucket share a call to Python."""
+    monkeypatch.setattr(J, "BUCKETS", 2)
+    start = datetime(2024, 1, 1)
+    rows = [(s, f"t{t}", 3 * t + i, k, f"c{t}", str(t), start + timedelta(seconds=i)) for s in range(4) for t in range(5) for i, k in enumerate(["tool_call", "tool_result", "step_end"])]
+    rows.append((9, "end", 0, "final_end", None, None, start + timedelta(days=1)))
+    schema = "session_id long, turn_id string, pos long, kind string, tool_call_id string, content string, ts timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    folded = J.fold_stream(J.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema))
+    got = {(x.session_id, x.turn_id, x.position, x.event_type, x.tool_call_id, x.content) for x in J.run_to_table(folded, "t").collect()}
+    want = {(s, f"t{t}", p, k, c and f"c{t}", x) for s in range(4) for t in range(5)
+            for p, k, c, x in [(1, "tool/call", True, None), (2, "tool/result", True, str(t)), (3, "step/end", None, str(t)), (4, "turn/end", None, "error")]}
+    assert got == want | {(9, "end", 1, "assistant/message", None, "")}
+    plan = folded._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "[bucket" in plan
