@@ -142,32 +142,23 @@ def _(spark, d):
                     F.size("sections").cast("bigint").alias("n_sections"), F.concat(ref["title"], F.lit("/"), ref["year"]).alias("reference"))
 
 
-def _word_index(docs):
-    """doc_id and the inverted index (word to positions) of the whole text."""
-    words = F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")
-    w = docs.select("doc_id", F.posexplode(words).alias("p", "w")).where("w <> ''")
-    one = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-
-
 def _payloads(spark, d):
     i = F.col("doc_id")
-    docs = documents(spark, d).select("doc_id", F.col("text").alias("title"), F.col("text").alias("body")).join(_word_index(documents(spark, d)), "doc_id", "left")
+    docs = documents(spark, d).select("doc_id", F.col("text").alias("title"), F.col("text").alias("body"))
     year = (1990 + i % 30).cast("int")
     parts = lambda y: F.struct(F.array(F.array(y, F.lit(3))).alias("date-parts"))
     cross = F.to_json(F.struct(
         F.array("title").alias("title"), F.array(F.struct(F.lit("Ann").alias("given"), F.lit("Lee").alias("family")), F.struct(F.lit("").alias("given"), F.lit("Group").alias("family"))).alias("author"),
         F.array(F.lit("Journal &amp; Co")).alias("container-title"), F.concat(F.lit("<jats:p>"), "body", F.lit("</jats:p>")).alias("abstract"), F.concat(F.lit("10.1/"), i.cast("string")).alias("DOI"),
         F.when(i % 3 == 0, parts(year)).alias("published-print"), F.when(i % 3 != 2, parts(year + 1)).alias("published-online"), parts(year + 2).alias("issued")))
-    index = F.coalesce("m", F.create_map().cast("map<string,array<int>>"))
     alex = F.to_json(F.struct(
         F.col("title").alias("title"), F.array(F.struct(F.struct(F.lit("Ann Lee").alias("display_name")).alias("author")), F.struct(F.struct(F.lit(None).cast("string").alias("display_name")).alias("author"))).alias("authorships"),
         year.alias("publication_year"), F.when(i % 2 == 0, F.struct(F.struct(F.lit("Venue A").alias("display_name")).alias("source"))).alias("primary_location"),
-        F.struct(F.lit("Host B").alias("display_name")).alias("host_venue"), index.alias("abstract_inverted_index"), F.concat(F.lit("https://doi.org/10.1/"), i.cast("string")).alias("doi"), F.lit("W1").alias("id")))
+        F.struct(F.lit("Host B").alias("display_name")).alias("host_venue"), F.col("m").alias("abstract_inverted_index"), F.concat(F.lit("https://doi.org/10.1/"), i.cast("string")).alias("doi"), F.lit("W1").alias("id")))
     atom = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401.0"), (1000 + i % 9000).cast("string"), F.lit("</id><published>"), year.cast("string"), F.lit("-01-02T00:00:00Z</published><title>"), _xml_text(F.col("title")),
                     F.lit("</title><summary>"), _xml_text(F.col("body")), F.lit("</summary><author><name>Ann Lee</name></author><author><name>Bo Li</name></author></entry>"))
     pos = lambda n: F.lit(n).alias("pos")
-    return (docs.select("doc_id", pos(1), cross.alias("json")), docs.select("doc_id", pos(2), alex.alias("json")), docs.select("doc_id", pos(3), atom.alias("xml")))
+    return (docs.select("doc_id", pos(1), cross.alias("json")), M.word_index(docs, "body").select("doc_id", pos(2), alex.alias("json")), docs.select("doc_id", pos(3), atom.alias("xml")))
 
 
 _tag = lambda x: sql_collapse(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
@@ -195,7 +186,7 @@ def _(spark, d):
 @query("in11_rebuilt_abstracts", "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_hash FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def _(spark, d):
     """Inverted indexes are built from whole texts (one map per document), then turned back."""
-    index = _word_index(documents(spark, d))
+    index = M.word_index(documents(spark, d).select("doc_id", "text")).where(F.size("m") > 0)
     return index.select("doc_id", F.sha2(M.abstract_from_index(F.col("m")), 256).alias("text_hash"))
 
 

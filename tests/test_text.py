@@ -161,3 +161,17 @@ def test_similarity_equals_the_matcher(spark):
     for x in out:
         a, b = (" ".join((t or "").lower().split()) for t in (x.a, x.b))
         assert abs(x.s - (SequenceMatcher(None, a, b).ratio() if a and b else 0.0)) < 1e-12, (a, b)
+
+
+def test_word_index_is_built_inside_the_row(spark):
+    from marginalia.sources import markup as M
+    texts = {1: " b a\tb  c b ", 2: "", 3: None, 4: "one", 5: "é e é B b"}
+    got = M.word_index(spark.createDataFrame(list(texts.items()), "doc_id int, text string"))
+    want = {}
+    for i, t in texts.items():
+        want[i] = {}
+        for p, w in enumerate((t or "").split()):
+            want[i].setdefault(w, []).append(p)
+    rows = got.select("doc_id", "m", M.abstract_from_index(F.col("m")).alias("back")).collect()
+    assert {r.doc_id: r.m for r in rows} == want and {r.doc_id: r.back for r in rows} == {i: " ".join((t or "").split()) for i, t in texts.items()}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
