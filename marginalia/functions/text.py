@@ -12,7 +12,10 @@ from marginalia import constants as K
 
 # White space as a language runtime with Unicode strings trims it.
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-WS = "[" + "".join(f"\\u{ord(c):04x}" for c in WS_CHARS) + "]"
+# The pattern engine tests a class of single characters below 256 in one step, but all others one after another for every
+# character of a text; the range before them answers for nearly all.
+_LOW, _HIGH = ("".join(f"\\u{ord(c):04x}" for c in WS_CHARS if (ord(c) < 256) == low) for low in (True, False))
+WS = f"[{_LOW}[\\u1680-\\u3000&&[{_HIGH}]]]"
 
 
 def strip(c: Column) -> Column:

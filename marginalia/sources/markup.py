@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.scale import settle
 
 # Namespaces are ignored by the reader; names are local.
 PERSON = "struct<persName:struct<forename:array<string>,surname:array<string>>>"
@@ -81,25 +83,37 @@ ATOM_SCHEMA = "title string, author array<struct<name:string>>, published string
 CANDIDATE = ["doc_id", "provider", "pos", "title", "authors", "year", "venue", "abstract", "doi", "url"]
 
 
+@F.arrow_udf("map<string,array<int>>")
+def _index_of(texts: pa.Array) -> pa.Array:
+    """Per text, which is split at blanks, the map from its words to their positions."""
+    keys, places, key_ends, place_ends = [pa.array([], pa.string())], array("i"), array("i", [0]), array("i", [0])
+    for text in texts:
+        at: dict[str, list[int]] = {}
+        for i, word in enumerate(text.as_py().split(" ")):
+            if word:
+                at.setdefault(word, []).append(i)
+        keys.append(pa.array(list(at), pa.string()))
+        for ps in at.values():
+            places.extend(ps)
+            place_ends.append(len(places))
+        key_ends.append(len(place_ends) - 1)
+    ints = lambda a: pa.array(memoryview(a), pa.int32())
+    return pa.MapArray.from_arrays(ints(key_ends), pa.concat_arrays(keys), pa.ListArray.from_arrays(ints(place_ends), ints(places)))
+
+
 def word_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and column m, the inverted index (word to positions) of the whole text; texts without words get an empty one.
 
-    The words of a text are sorted and cut where another begins, inside the row: no word leaves it.
+    The index is one value of its row: no word leaves it.
     """
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\\s+", " ")), " ")
-    found = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: x["w"] != "")
-    s, at = F.col("_words"), F.col("_at")
-    rows = settle(docs.withColumn("_words", F.array_sort(found)))
-    first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"])))
-    rows = settle(rows.withColumn("_at", first))
-    entry = lambda i, k: F.struct(F.get(s, i)["w"].alias("w"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i), lambda x: x["p"]).alias("ps"))
-    return settle(rows.withColumn("m", F.map_from_entries(F.transform(at, entry))).drop("_words", "_at"))
+    spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\\s+", " "))
+    return docs.withColumn("m", _index_of(spaced))
 
 
 def abstract_from_index(index: Column) -> Column:
     """IN-11: words put back at their positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.coalesce(F.trim(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")), F.lit(""))
+    return F.coalesce(F.trim(F.array_join(F.sort_array(pairs)["w"], " ")), F.lit(""))
 
 
 def crossref(payloads: DataFrame) -> DataFrame:
