@@ -3,7 +3,7 @@
 The index is a folder.  Every run that finds new document versions adds one segment; a run that finds none writes
 nothing.  A segment holds
 
-* ``texts``: each distinct chunk text once with its tokens, numbered so that texts with alike words are neighbours,
+* ``texts``: each distinct chunk text once, numbered so that texts with alike words are neighbours,
 * ``owners``: which document and chunk has which text,
 * ``blocks``: for every token and block of ``BLOCK_TEXTS`` neighbouring texts the texts that have it, how often, and
   the largest of these counts; a table in buckets of text ranges, sorted by token,
@@ -18,17 +18,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.scale import settle
 
 FORMAT = 2  # of the stored tables; an index of another format is not read
 PLACE_BITS = 6
@@ -163,18 +162,18 @@ def _write_segment(spark: SparkSession, path: str, number: int, docs: DataFrame,
     chunk(docs).select("doc_id", "chunk_id", F.sha2("text", 256).alias("text_id"), "text").write.parquet(f"{base}/chunks")
     chunks = spark.read.parquet(f"{base}/chunks")
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Neighbours by the smallest token hash: texts that share words tend to share it.
-    texts = chunks.groupBy("text_id").agg(F.first("text").alias("text"))
-    texts = settle(texts.withColumn("tokens", T.tokens(F.col("text"))))
-    texts = texts.withColumn("near", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t))))
-    # Texts of one frequent word may be many, so they are dealt out by their own names too.
-    placed = texts.repartition(tasks, "near", F.pmod(F.xxhash64("text_id"), F.lit(8))).sortWithinPartitions("near", "text_id").select(
-        (F.monotonically_increasing_id() + (number << SEGMENT_BITS)).alias("text_no"), "text_id", "text", "tokens")
+    # Neighbours by the smallest token hash: texts that share words tend to share it.  Texts of one frequent word may be many, so
+    # they are dealt out by their own names too.  Copies have the same place, so one exchange brings them together and orders them.
+    near = F.array_min(F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t)))
+    dealt = chunks.select("text_id", "text", near.alias("near"), F.pmod(F.xxhash64("text_id"), F.lit(8)).alias("deal")).repartition(tasks, "near", "deal")
+    texts = dealt.groupBy("near", "deal", "text_id").agg(F.first("text").alias("text"))
+    placed = texts.sortWithinPartitions("near", "text_id").select(
+        (F.monotonically_increasing_id() + (number << SEGMENT_BITS)).alias("text_no"), "text_id", "text")
     placed.write.parquet(f"{base}/texts")  # the numbers count as they are stored
     numbered = spark.read.parquet(f"{base}/texts")
     chunks.join(numbered.select("text_no", "text_id"), "text_id").join(fresh, "doc_id", "left").select(
         "text_no", "doc_id", "version", "chunk_id").write.parquet(f"{base}/owners")
-    blocks = numbered.select("text_no", "tokens").mapInArrow(_blocks, _BLOCK_DDL)
+    blocks = numbered.select("text_no", T.tokens(F.col("text")).alias("tokens")).mapInArrow(_blocks, _BLOCK_DDL)
     blocks.repartition(BUCKETS, "range").sortWithinPartitions("token", "block").write.bucketBy(BUCKETS, "range").sortBy("token") \
         .option("path", f"{base}/blocks").saveAsTable(_table_name(segment))
     fresh.write.parquet(f"{base}/docs")
@@ -183,22 +182,38 @@ def _write_segment(spark: SparkSession, path: str, number: int, docs: DataFrame,
 
 def _blocks(batches):
     """Rows of numbered texts, which come in order, to (token, block) rows; a block cut by two readers gives two."""
-    schema = pa.schema([("token", pa.string()), ("range", pa.int64()), ("block", pa.int64()), ("n_texts", pa.int32()), ("max_n", pa.int32()), ("entries", pa.list_(pa.int32()))])
-    at, held = None, {}
-
-    def rows():
-        lists = list(held.values())
-        return pa.RecordBatch.from_arrays([
-            pa.array(list(held), pa.string()), pa.array([at // RANGE_BLOCKS] * len(lists), pa.int64()), pa.array([at] * len(lists), pa.int64()),
-            pa.array([len(e) for e in lists], pa.int32()), pa.array([max(e) >> PLACE_BITS for e in lists], pa.int32()), pa.array(lists, pa.list_(pa.int32()))], schema=schema)
-
+    rest = None
     for batch in batches:
-        for no, tokens in zip(batch["text_no"].to_pylist(), batch["tokens"].to_pylist()):
-            if no // BLOCK_TEXTS != at:
-                if held:
-                    yield rows()
-                at, held = no // BLOCK_TEXTS, {}
-            for token, n in Counter(tokens).items():
-                held.setdefault(token, []).append(n << PLACE_BITS | no % BLOCK_TEXTS)
-    if held:
-        yield rows()
+        table = pa.Table.from_batches([batch])
+        table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+        block = table["text_no"].to_numpy() // BLOCK_TEXTS
+        whole = int(np.searchsorted(block, block[-1])) if len(block) else 0
+        yield from _block_rows(table.slice(0, whole))
+        rest = table.slice(whole)  # the last block may go on in the next batch
+    if rest is not None:
+        yield from _block_rows(rest)
+
+
+def _block_rows(texts: pa.Table):
+    """The rows of whole blocks: tokens count by (block, token, place), which one sorted number names."""
+    if not texts.num_rows:
+        return
+    texts = texts.combine_chunks()
+    numbers, lists = texts["text_no"].to_numpy(), texts["tokens"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    words = lists.flatten().dictionary_encode()
+    width = len(words.dictionary)
+    if not width:
+        return
+    owner = np.repeat(numbers, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    first = numbers[0] // BLOCK_TEXTS
+    name = ((owner // BLOCK_TEXTS - first) * width + words.indices.to_numpy()) * BLOCK_TEXTS + owner % BLOCK_TEXTS
+    name, count = np.unique(name, return_counts=True)
+    row = name // BLOCK_TEXTS
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    block, ends = row[start] // width + first, np.append(start, len(row))
+    entries = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(count << PLACE_BITS | name % BLOCK_TEXTS, pa.int32()))
+    yield pa.RecordBatch.from_arrays([
+        words.dictionary.take(pa.array(row[start] % width)), pa.array(block // RANGE_BLOCKS, pa.int64()), pa.array(block, pa.int64()),
+        pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(count, start), pa.int32()), entries],
+        names=["token", "range", "block", "n_texts", "max_n", "entries"])
