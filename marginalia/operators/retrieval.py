@@ -8,7 +8,7 @@ exactly with less work, from the stored index of ``token_index``:
 2. Maximum counts bound what a block of neighbouring texts can reach for a query, without its texts being read.
 3. The few blocks with the highest bounds are scored; their k-th best overlap is what a text must reach.
 4. Blocks whose bound is lower are skipped, the others are scored.
-5. Texts that contain the whole query also contain its rarest inner token, which gives the candidates for the phrase
+5. Texts that contain the whole query also contain its rarest inner tokens, which give the candidates for the phrase
    bonus; they come before all others.
 """
 
@@ -26,6 +26,7 @@ from marginalia.operators.token_index import TokenIndex
 from marginalia.scale import first_rows, materialize, settle, shared_folder
 
 SEED_BLOCKS = 24  # per query, how many blocks give the first bound
+RARE_TOKENS = 4   # per query, how many of its rarest inner tokens a text must hold before it is read for the phrase
 
 
 def token_counts(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -64,7 +65,8 @@ def overlaps(bags: DataFrame, index: TokenIndex, wanted: DataFrame) -> DataFrame
 def bounds(bags: DataFrame, index: TokenIndex, k: int) -> tuple[DataFrame, DataFrame]:
     """Upper bounds of all blocks, and per query the overlap that k texts are known to reach."""
     upper = materialize(block_bounds(bags, index), "block-bounds")
-    seeds = first_rows(upper, ["query_id"], [F.col("upper").desc(), F.col("block")], SEED_BLOCKS, "_s").drop("_s")
+    # Small sides of joins with the index are stored first: their measured size spares the index an exchange.
+    seeds = materialize(first_rows(upper, ["query_id"], [F.col("upper").desc(), F.col("block")], SEED_BLOCKS, "_s").drop("_s"), "seeds")
     best = first_rows(overlaps(bags, index, seeds), ["query_id"], [F.col("overlap").desc(), F.col("text_no")], k, "_s")
     low = best.groupBy("query_id").agg(F.count("*").alias("c"), F.min("overlap").alias("low"))
     return upper, low.select("query_id", F.when(F.col("c") >= k, F.col("low")).otherwise(1).alias("bound"))
@@ -78,18 +80,18 @@ def candidates(queries: DataFrame, index: TokenIndex, k: int, phrase: bool = Tru
     low = materialize(low, "bounds")
     alive = upper.join(low, "query_id").where(F.col("upper") >= F.col("bound")).select("query_id", "range", "block")
     if not phrase:
-        return overlaps(bags, index, alive).join(low, "query_id").where(F.col("overlap") >= F.col("bound")).drop("bound").withColumn("phrase", F.lit(False))
+        return overlaps(bags, index, materialize(alive, "alive")).join(low, "query_id").where(F.col("overlap") >= F.col("bound")).drop("bound").withColumn("phrase", F.lit(False))
     # Texts with the whole query count whatever their block's bound is.
     hits = materialize(phrase_hits(queries, bags, index), "phrase-hits")
     block = F.floor(F.col("text_no") / token_index.BLOCK_TEXTS).cast("bigint")
     places = hits.select("query_id", F.floor(block / token_index.RANGE_BLOCKS).cast("bigint").alias("range"), block.alias("block"))
-    scored = overlaps(bags, index, alive.unionByName(places).distinct()).join(low, "query_id", "left")
+    scored = overlaps(bags, index, materialize(alive.unionByName(places).distinct(), "alive")).join(low, "query_id", "left")
     marked = scored.join(hits.withColumn("phrase", F.lit(True)), ["query_id", "text_no"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
     return marked.where(F.col("phrase") | (F.col("overlap") >= F.col("bound"))).drop("bound")
 
 
 def _phrase_pairs(queries: DataFrame, bags: DataFrame, index: TokenIndex) -> DataFrame:
-    """Texts that hold the query's rarest inner token (or any token of a query of one or two).
+    """Texts that hold the query's rarest inner tokens (or any token of a query of one or two).
 
     Inner tokens are delimited inside the query itself, so a text with the whole query has them as tokens.
     """
@@ -101,15 +103,21 @@ def _phrase_pairs(queries: DataFrame, bags: DataFrame, index: TokenIndex) -> Dat
     freq = blocks.select("token", "n_texts").join(asked, "token", "left_semi").groupBy("token").agg(F.sum("n_texts").alias("df"))
     # A token no text holds has no postings: then no text contains the phrase.
     known = inner.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = known.where("long").groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    short = known.where("NOT long").select("query_id", "token")
-    met = rare.unionByName(short).join(blocks.select("token", "block", "entries"), "token")
-    return met.select("query_id", "block", F.explode("entries").alias("entry")).select("query_id", token_index.entry()[0].alias("text_no")).distinct()
+    # The text must hold every one of the rarest tokens; all entries of a block lie in one bucket, so they meet without an exchange.
+    order = Window.partitionBy("query_id").orderBy("df", "token")
+    rare = known.where("long").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= RARE_TOKENS).select("query_id", "long", "token")
+    asked = rare.unionByName(known.where("NOT long").select("query_id", "long", "token"))
+    per = Window.partitionBy("query_id")
+    asked = materialize(asked.select("query_id", "token", F.when(F.col("long"), F.count("*").over(per)).otherwise(1).alias("need")), "phrase-tokens")
+    met = asked.join(blocks.select("token", "range", "block", "entries"), "token")
+    held = met.select("query_id", "need", "range", "block", F.explode("entries").alias("entry")).select(
+        "query_id", "need", "range", token_index.entry()[0].alias("text_no"), F.lit(1).alias("one"))
+    return held.groupBy("query_id", "range", "text_no").agg(F.count("one").alias("n"), F.first("need").alias("need")).where("n >= need").select("query_id", "text_no")
 
 
 def phrase_hits(queries: DataFrame, bags: DataFrame, index: TokenIndex) -> DataFrame:
     """RT-3: (query_id, text_no) whose text contains the query, case ignored."""
-    pairs = _phrase_pairs(queries, bags, index)
+    pairs = materialize(_phrase_pairs(queries, bags, index), "phrase-pairs")
     q = queries.select("query_id", F.lower(T.strip(F.col("query"))).alias("needle"))
     hits = pairs.join(index.texts(), "text_no").join(q, "query_id").where(F.contains(F.lower("text"), F.col("needle"))).select("query_id", "text_no")
     living = index.living_texts()
