@@ -158,14 +158,16 @@ def retrieve_scoped(requests: DataFrame, chunks: DataFrame, k: int = K.TOP_K) ->
     key = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), T.strip(F.col("query"))), 256)
     asked = requests.withColumn("query_id", key)
     q = asked.groupBy("query_id", "doc_id").agg(F.first(T.strip(F.col("query"))).alias("query"))
-    bag = query_bags(q.select("query_id", "query")).groupBy("query_id", "total").agg(F.map_from_entries(F.collect_list(F.struct("token", "qn"))).alias("bag"))
-    # A query's bag is small (2000 characters at most), so overlap is counted inside the row: no token leaves it.
-    pairs = q.join(bag, "query_id").join(chunks.select("doc_id", "parser", "chunk_id", "text"), "doc_id")
-    pairs = settle(pairs.withColumn("_toks", T.tokens(F.col("text"))).withColumn("_keys", F.map_keys("bag")))
-    pairs = settle(pairs.withColumn("_hits", F.filter("_toks", lambda t: F.array_contains(F.col("_keys"), t))).drop("_toks", "_keys"))
-    overlap = F.aggregate(F.map_entries("bag"), F.lit(0).cast("bigint"), lambda acc, e: acc + F.least(
-        e["value"], F.size(F.filter("_hits", lambda t: t == e["key"])).cast("bigint")))
-    scored = settle(pairs.select("query_id", "doc_id", "parser", "chunk_id", "total", overlap.alias("overlap"),
+    # A query's bag is small (2000 characters at most), so it is made and overlap is counted inside the row: no token leaves it.
+    # Every word that both have counts once; words that the query has more than once count on as far as the text has them.
+    times = lambda words, w: F.size(words) - F.size(F.array_remove(words, w))
+    q = settle(q.withColumn("_q", T.tokens(F.col("query")))).where("size(_q) > 0")
+    more = F.filter(F.transform(F.array_distinct("_q"), lambda w: F.struct(w.alias("w"), times(F.col("_q"), w).alias("n"))), lambda e: e["n"] > 1)
+    q = settle(q.select("query_id", "doc_id", "query", F.size("_q").cast("bigint").alias("total"), F.array_distinct("_q").alias("_words"), more.alias("_more")))
+    pairs = settle(q.join(chunks.select("doc_id", "parser", "chunk_id", "text"), "doc_id").withColumn("_toks", T.tokens(F.col("text"))))
+    overlap = F.size(F.array_intersect("_toks", "_words")) + F.aggregate("_more", F.lit(0), lambda acc, e: acc + F.greatest(
+        F.least(e["n"], times(F.col("_toks"), e["w"])) - 1, F.lit(0)))
+    scored = settle(pairs.select("query_id", "doc_id", "parser", "chunk_id", "total", overlap.cast("bigint").alias("overlap"),
                                  F.contains(F.lower("text"), F.lower("query")).alias("phrase"))).where("overlap > 0")
     best = first_rows(scored, ["query_id", "doc_id", "parser"], [F.col("phrase").desc(), F.col("overlap").desc(), F.col("chunk_id")], k)
     return asked.select("request_id", "query_id").join(best, "query_id").drop("query_id")
