@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as K
 from marginalia.functions.json_tables import json_text
 from marginalia.operators.evidence import LADDER
+from marginalia.scale import materialize
 
 # Notes of a bundle.
 READBACK = '{"tool":"read_paper_chunk","arguments":["paper_id","parser","cache_version","chunk_id"],"optional":["offset","max_chars"]}'
@@ -86,7 +87,8 @@ def encode_bundles(rows: DataFrame, cap: int | Column = K.RESULT_CAP, docs: Data
     if docs is None:
         per = per.withColumn("status", F.lit("success")).withColumn("note", F.lit(None).cast("string"))
     else:
-        asked = docs.select("request_id", F.col("doc_id").cast("string").alias("doc_id"), "status", "note").groupBy(*keys).agg(
+        # No rung shows more than 500 characters of a note; one more tells that it is cut.
+        asked = docs.select("request_id", F.col("doc_id").cast("string").alias("doc_id"), "status", F.left("note", F.lit(501)).alias("note")).groupBy(*keys).agg(
             F.min(F.struct("status", "note")).alias("_d")).select(*keys, "_d.status", "_d.note")
         per = asked.join(per, keys, "left").withColumn("n", F.coalesce("n", zero))
     # One expression for all rungs: its text is long, and 24 copies of it would not be compiled.
@@ -115,6 +117,7 @@ def encode_bundles(rows: DataFrame, cap: int | Column = K.RESULT_CAP, docs: Data
     on = F.col("rung") > 0
     chosen = whole.select("request_id", "state", "rung", F.when(on, F.get(ladder, at)["items"]).otherwise(0).alias("items"), F.when(on, F.get(ladder, at)["chars"]).otherwise(0).alias("chars"),
                           F.when(on, F.get("_sizes", at)).otherwise(F.col("_facts")).alias("size"))
+    chosen = materialize(chosen, "bundle-rungs")  # read three times; the sizes of all rungs are added up once
     # A document has at most eight chunks here, and a request no more documents than fit the cap.
     narrow = chosen.where("rung >= 0").select("request_id", "rung", "items", "chars")
     part = r.join(narrow, "request_id").where("item_no <= items").withColumn("_c", _chunk(r.columns, F.col("chars")))
