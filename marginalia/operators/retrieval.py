@@ -15,8 +15,9 @@ exactly with less work, from the stored index of ``token_index``:
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import constants as K
@@ -26,6 +27,7 @@ from marginalia.operators.token_index import TokenIndex
 from marginalia.scale import first_rows, materialize, settle, shared_folder
 
 SEED_BLOCKS = 24  # per query, how many blocks give the first bound
+SLOTS = 1024      # places for queries in a range's row of wanted blocks; two queries in one place only cost time
 RARE_TOKENS = 4   # per query, how many of its rarest inner tokens a text must hold before it is read for the phrase
 
 
@@ -48,16 +50,41 @@ def block_bounds(bags: DataFrame, index: TokenIndex) -> DataFrame:
     return met.groupBy("query_id", "range", "block").agg(F.sum(F.least("qn", "max_n")).alias("upper"))
 
 
+def _slot(query_id: str = "query_id") -> Column:
+    return F.pmod(F.xxhash64(query_id), F.lit(SLOTS)).cast("int")
+
+
+def block_masks(wanted: DataFrame) -> DataFrame:
+    """range, masks of the wanted (query_id, range, block): in the place of a query's slot, one bit for each block of the range.
+
+    One row of bounded size per range, however many pairs of query and block there are.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(block % {token_index.RANGE_BLOCKS} AS int))")
+    per = wanted.groupBy("range", _slot().alias("slot")).agg(F.bit_or(bit).alias("mask"))
+    rows = per.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("slot", "mask"))).alias("_m"))
+    return rows.select("range", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint"))).alias("masks"))
+
+
 def overlaps(bags: DataFrame, index: TokenIndex, wanted: DataFrame) -> DataFrame:
-    """query_id, text_no, overlap, total of the texts of the wanted (query_id, range, block).
+    """query_id, text_no, overlap, total of the texts of the wanted (query_id, range, block); queries that share a slot
+    also get each other's blocks.
 
-    All tokens of a block lie in one bucket, so the sum needs no exchange beside those of the joins.
+    All tokens of a block lie in one bucket, and what is wanted of a range is one row in the same bucket.  So entries
+    are never exchanged, neither for the join nor for the sum, however large the index and the wanted pairs are.
     """
-    met = bags.join(index.blocks().select("token", "range", "block", "entries"), "token").join(wanted, ["query_id", "range", "block"], "left_semi")
+    masks = token_index.store_by_range(block_masks(wanted), "wanted_blocks")
+    slotted = bags.withColumn("slot", _slot())
     text_no, n = token_index.entry()
-    rows = met.select("query_id", "total", "range", "block", "qn", F.explode("entries").alias("entry")).select(
-        "query_id", "total", "range", "qn", text_no.alias("text_no"), n.alias("n"))
-    out = rows.groupBy("query_id", "range", "text_no").agg(F.sum(F.least("qn", "n")).alias("overlap"), F.first("total").alias("total")).drop("range")
+    asked = F.expr(f"(shiftright(masks[slot], cast(block % {token_index.RANGE_BLOCKS} AS int)) & 1) = 1")
+
+    def of(blocks: DataFrame) -> DataFrame:
+        # The masks of a bucket are few against its entries: they are the side that is looked up, nothing is sorted.
+        met = slotted.join(blocks.select("token", "range", "block", "entries"), "token").join(masks.hint("shuffle_hash"), "range").where(asked)
+        rows = met.select("query_id", "total", "range", "block", "qn", F.explode("entries").alias("entry")).select(
+            "query_id", "total", "range", "qn", text_no.alias("text_no"), n.alias("n"))
+        return rows.groupBy("query_id", "range", "text_no").agg(F.sum(F.least("qn", "n")).alias("overlap"), F.first("total").alias("total")).drop("range")
+
+    out = reduce(DataFrame.unionByName, map(of, index.block_tables()))
     living = index.living_texts()
     return out if living is None else out.join(living, "text_no", "left_semi")
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.scale import shared_folder
 
 FORMAT = 2  # of the stored tables; an index of another format is not read
 PLACE_BITS = 6
@@ -69,13 +70,17 @@ class TokenIndex:
 
     def blocks(self) -> DataFrame:
         """token, range, block, n_texts, max_n, entries; ``entry`` reads an entry."""
+        return reduce(DataFrame.unionByName, self.block_tables())
+
+    def block_tables(self) -> list[DataFrame]:
+        """The blocks of each segment, in buckets of ranges; a text is in one segment only."""
         def table(segment: str) -> DataFrame:
             name = _table_name(segment)
             if not self.spark.catalog.tableExists(name):
                 self.spark.sql(f"CREATE TABLE {name} ({_BLOCK_DDL}) USING parquet CLUSTERED BY (range) SORTED BY (token) INTO {BUCKETS} BUCKETS "
                                f"LOCATION '{self.path}/segments/{segment}/blocks'")
             return self.spark.table(name)
-        return reduce(DataFrame.unionByName, map(table, self.segments))
+        return [table(s) for s in self.segments]
 
 
 def entry(block: str = "block", col: str = "entry") -> tuple[Column, Column]:
@@ -84,6 +89,14 @@ def entry(block: str = "block", col: str = "entry") -> tuple[Column, Column]:
     return F.col(block) * BLOCK_TEXTS + e.bitwiseAND(BLOCK_TEXTS - 1), F.shiftright(e, PLACE_BITS)
 
 
+def store_by_range(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame in the buckets of the blocks and read it back: a join on ``range`` then moves neither side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(BUCKETS, "range").write.bucketBy(BUCKETS, "range").option("path", f"{shared_folder(spark).rstrip('/')}/marginalia/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def _table_name(segment: str) -> str:
     return f"token_blocks_{segment}"
 
@@ -164,7 +177,9 @@ def _write_segment(spark: SparkSession, path: str, number: int, docs: DataFrame,
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Neighbours by the smallest token hash: texts that share words tend to share it.  Texts of one frequent word may be many, so
     # they are dealt out by their own names too.  Copies have the same place, so one exchange brings them together and orders them.
-    near = F.array_min(F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t)))
+    # Words between blanks serve for that, and cost less than tokens; only texts with CJK characters have few of them.
+    words = F.when(F.col("text").rlike(r"[\u4e00-\u9fff]"), T.tokens(F.col("text"))).otherwise(F.split(F.lower("text"), " "))
+    near = F.array_min(F.transform(words, lambda t: F.xxhash64(t)))
     dealt = chunks.select("text_id", "text", near.alias("near"), F.pmod(F.xxhash64("text_id"), F.lit(8)).alias("deal")).repartition(tasks, "near", "deal")
     texts = dealt.groupBy("near", "deal", "text_id").agg(F.first("text").alias("text"))
     placed = texts.sortWithinPartitions("near", "text_id").select(
