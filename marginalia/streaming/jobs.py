@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from marginalia.functions import text as T
@@ -51,51 +50,42 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 SEQ_TYPE = StructType([StructField("session_id", LongType()), StructField("seq", LongType()), StructField("event_id", LongType())])
 
 
-class SequenceEvents(StatefulProcessor):
-    """Numbers in event-time order, whatever order the events arrive in.
+BUCKETS = 4096  # groups of sessions or turns; more of them make each state smaller
+SEQ_STATE = StructType([StructField("json", StringType())])
 
-    Rows wait in a list state until the watermark has passed them, since an earlier row may still come before; then a
-    timer numbers them by (ts, event_id).  State per session: the last number, and the rows of the lateness allowed.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("seq", LongType())]))
-        self.waiting = handle.getListState("waiting", StructType([StructField("ts_us", LongType()), StructField("event_id", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            self.waiting.appendList(list(zip(batch["ts_us"].tolist(), batch["event_id"].tolist())))
-            low = int(batch["ts_us"].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        yield pd.DataFrame({f.name: [] for f in SEQ_TYPE}, dtype="int64")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [event_id for ts_us, event_id in held if ts_us // 1000 < passed]
-        rest = held[len(ready):]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        at = self.last.get()[0] if self.last.exists() else 0
-        self.last.update((at + len(ready),))
-        yield pd.DataFrame({"session_id": [key[0]] * len(ready), "seq": range(at + 1, at + 1 + len(ready)), "event_id": ready}, columns=[f.name for f in SEQ_TYPE])
-
-    def close(self) -> None:
-        pass
+def _number_bucket(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Numbers in event-time order, whatever order the events arrive in, for the sessions of one bucket.
+
+    Rows wait in the state until the watermark has passed them, since an earlier row may still come before; then they
+    are numbered by (ts, event_id).  State: the last number of each session, and the rows of the lateness allowed.
+    A call to Python and to the state store costs far more than the rows of a session, so sessions share both.
+    """
+    last, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+    last = dict(last)
+    for batch in () if state.hasTimedOut else rows:
+        sessions = [None if s is None else int(s) for s in batch["session"].tolist()]
+        waiting += zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), sessions)
+    passed, ready, rest = state.getCurrentWatermarkMs(), [], []
+    for row in waiting:
+        (ready if row[0] // 1000 < passed else rest).append(row)
+    out = []
+    for _, event_id, session in sorted(ready, key=lambda r: r[:2]):
+        last[session] = last.get(session, 0) + 1
+        out.append((session, last[session], event_id))
+    state.update((json.dumps([[*last.items()], rest]),))
+    if rest:
+        state.setTimeoutTimestamp(min(r[0] for r in rest) // 1000 + 1)
+    if out:
+        yield pd.DataFrame({f.name: pd.array(c, dtype="Int64") for f, c in zip(SEQ_TYPE, zip(*out))})
 
 
 def number_stream(events: DataFrame, late: str = "5 minutes") -> DataFrame:
     """ST-1: events (session_id, event_id, ts) -> session_id, seq, event_id, for events that the watermark has passed."""
-    timed = events.withWatermark("ts", late).withColumn("ts_us", F.unix_micros("ts"))
-    return timed.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SequenceEvents(), outputStructType=SEQ_TYPE, outputMode="Append", timeMode="EventTime")
+    timed = events.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).alias("bucket"), F.col("session_id").cast("string").alias("session"), "event_id", "ts",
+        F.unix_micros("ts").alias("ts_us"))
+    return timed.groupBy("bucket").applyInPandasWithState(_number_bucket, SEQ_TYPE, SEQ_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- ST-2 -----------------------------------------------------------------------------------
@@ -107,7 +97,6 @@ FOLD_TYPE = StructType([
 
 FOLD_STATE = StructType([StructField("json", StringType())])
 IDLE_MS = 600_000
-BUCKETS = 4096  # groups of turns; more of them make each state smaller
 
 
 def _fold_turn(turn: tuple, s: dict, events: list[tuple]) -> Iterator[tuple]:
