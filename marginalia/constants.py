@@ -118,6 +118,8 @@ REDACTIONS = [
     ("(?i)\\bbearer\\s+[a-z0-9._-]+", "Bearer <redacted>"),
     ("\\bsk-[a-zA-Z0-9_-]{8,}\\b", "<redacted-api-key>"),
 ]
+# No pattern matches a text without one of these.
+REDACTION_WORDS = ["apikey", "api key", "api_key", "api-key", "authorization", "secret", "token", "password", "credential", "bearer", "sk-"]
 
 # --- fixed values: provider errors that mean too long a context ---------------------
 OVERFLOW_PROVIDERS = ["deepseek", "openai_compatible"]

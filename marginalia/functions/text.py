@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,11 +138,29 @@ def looks_english_title(c: Column) -> Column:
     return ~has_cjk(s) & (F.length(F.regexp_replace(s, "[^A-Za-z]", "")) >= 8) & (F.length(s) >= 12)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# Characters beyond ASCII that equal an ASCII letter once case is ignored in Unicode: long s, Kelvin, I with a dot, i without one.
+FOLDED = "\u017f\u212a\u0130\u0131"
+
+
+def mentions(c: Column, words: list[str]) -> Column:
+    """May a pattern that needs one of these lower-case words, case ignored, match?  Words are sought far faster than
+    patterns, so what cannot match is not given to them.  A text with a character of FOLDED may always match."""
+    return let(F.lower(c), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])) | c.rlike(f"[{FOLDED}]")
+
+
 def redact(c: Column) -> Column:
     """PR-8: quoted values, bare values, bearer tokens, key-shaped strings, in that order."""
-    for pattern, put in K.REDACTIONS:
-        c = F.regexp_replace(c, pattern.replace("(?i)", "(?iu)") if K.SECRET_NAMES in pattern else pattern, put)
-    return c
+    def cleaned(t: Column) -> Column:
+        for pattern, put in K.REDACTIONS:
+            t = F.regexp_replace(t, pattern.replace("(?i)", "(?iu)") if K.SECRET_NAMES in pattern else pattern, put)
+        return t
+    # What is put in holds none of these words, so a text without them passes all patterns unchanged.
+    return let(c, lambda t: F.when(mentions(t, K.REDACTION_WORDS), cleaned(t)).otherwise(t))
 
 
 def bounded(c: Column, limit: int) -> Column:
