@@ -57,11 +57,6 @@ def json_text(text: Column) -> Column:
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _members(v: Column, kind: Column, items: int) -> Column:
     """First entries of a container as (key, v), with null keys in a list; null for other values."""
     obj, arr = F.slice(F.map_entries(v.try_cast("map<string,variant>")), 1, items), F.slice(v.try_cast("array<variant>"), 1, items)
@@ -82,7 +77,7 @@ def _reference(v: Column) -> tuple[Column, Column]:
 
 
 def _clean(text: Column, limit: int) -> Column:
-    return _let(T.redact(text), lambda t: json_text(T.bounded(t, limit)))
+    return T.let(T.redact(text), lambda t: json_text(T.bounded(t, limit)))
 
 
 def _masked(v: Column, depth: int, text_limit: int, items: int, most: int, references: bool) -> Column:
@@ -106,7 +101,7 @@ def _masked(v: Column, depth: int, text_limit: int, items: int, most: int, refer
         is_ref, kept = _reference(v)
         return F.when(is_object & is_ref, kept).otherwise(out)
 
-    return _let(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), by_kind)
+    return T.let(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), by_kind)
 
 
 def safe_json(text: Column, text_limit: int = 2000, items: int = 100, most: int = 8, references: bool = False) -> Column:
@@ -118,36 +113,40 @@ def safe_json(text: Column, text_limit: int = 2000, items: int = 100, most: int
     is one SQL expression: it needs no Python worker and runs on streams.
     """
     plain = _clean(text, text_limit)
-    walked = _let(F.try_parse_json(text), lambda v: F.when(v.isNull(), plain).otherwise(_masked(v, 0, text_limit, items, most, references)))
+    walked = T.let(F.try_parse_json(text), lambda v: F.when(v.isNull(), plain).otherwise(_masked(v, 0, text_limit, items, most, references)))
     return F.when(text.isNotNull(), walked)
 
 
 COUNTERS = "array<struct<key:string,value:double>>"
 
 
-def _counters(v: Column, path: Column, depth: int, items: int, most: int) -> Column:
-    if depth >= most:
-        return F.array().cast(COUNTERS)
-
+def _counters(entries: Column, path: Column, depth: int, items: int, most: int) -> Column:
+    """Counters among the entries (key, value) of an object and below it."""
     def member(e: Column) -> Column:
         name = F.concat(path, e["key"])
-        number = F.struct(name.alias("key"), e["v"].try_cast("double").alias("value"))
-        is_number = F.schema_of_variant(e["v"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        counted = F.when(is_number, F.array(number)).otherwise(_counters(e["v"], F.concat(name, F.lit(".")), depth + 1, items, most))
+        number = F.array(F.struct(name.alias("key"), e["value"].try_cast("double").alias("value")))
+        # The schema of a value is asked for single values only: of an object it would be made for all that is below.
+        number = F.when(F.schema_of_variant(e["value"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number).otherwise(F.array().cast(COUNTERS))
+        below = F.array().cast(COUNTERS) if depth + 1 >= most else None
+        counted = T.let(_entries(e["value"], items), lambda inner: F.when(
+            inner.isNotNull(), below if below is not None else _counters(inner, F.concat(name, F.lit(".")), depth + 1, items, most)).otherwise(number))
         return F.when(e["key"].rlike("^[a-z_]*tokens(_details)?\\z"), counted).otherwise(F.array().cast(COUNTERS))
 
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    entries = F.when(F.startswith(kind, F.lit("OBJECT")), _members(v, kind, items)).otherwise(F.array())
     return F.flatten(F.transform(entries, member))
 
 
+def _entries(v: Column, items: int) -> Column:
+    """First entries of an object; null for any other value."""
+    return F.slice(F.map_entries(v.try_cast("map<string,variant>")), 1, items)
+
+
 def usage_counts(text: Column, items: int = 50, most: int = 4) -> Column:
     """PR-11: numeric '*tokens' and '*tokens_details' counters down to ``most`` levels, nested names joined by dots.
 
     Numbers in quotes and truth values are no counters; ``items`` entries of a level, in order of name, are looked at.
     What is no JSON has no counters; null stays null.
     """
-    found = _let(F.try_parse_json(text), lambda v: F.map_from_entries(F.coalesce(_counters(v, F.lit(""), 0, items, most), F.array().cast(COUNTERS))))
+    found = T.let(_entries(F.try_parse_json(text), items), lambda top: F.map_from_entries(F.coalesce(_counters(top, F.lit(""), 0, items, most), F.array().cast(COUNTERS))))
     return F.when(text.isNotNull(), found)
 
 

@@ -10,6 +10,7 @@ from marginalia.functions.json_tables import json_leaves, safe_json, usage_count
 from marginalia.functions.registry import register_all
 from marginalia.functions.similarity import similarity
 from marginalia.plans.base import documents, query, sql_collapse, sql_list, sql_strip, table
+from marginalia.sources.files import read_table
 
 # Values of many kinds: unclear marks, short and long texts.
 VALUE_SQL = """CASE doc_id % 9 WHEN 0 THEN '未明确提及' WHEN 1 THEN concat(' ', source, ' ') WHEN 2 THEN 'N/A' WHEN 3 THEN '  ' WHEN 4 THEN 'NULL' WHEN 5 THEN NULL ELSE text END"""
@@ -125,7 +126,7 @@ def _(spark, d):
 def _(spark, d):
     u = F.concat(F.lit('{"prompt_tokens":'), F.col("user_id").cast("string"), F.lit(',"api_token":"x","model":"m","completion_tokens":"12","flag_tokens":true,"prompt_tokens_details":{"cached_tokens":'),
                  F.get_json_object("props", "$.k"), F.lit(',"note":"y","audio_tokens_details":{"x_tokens":{"y_tokens":7}}}}'))
-    c = table(spark, d, "events").select("event_id", usage_counts(u).alias("c"))
+    c = read_table(spark, d, "events", spread=True).select("event_id", usage_counts(u).alias("c"))
     n = lambda key, name: F.try_element_at("c", F.lit(key)).cast("bigint").alias(name)
     return c.select("event_id", n("prompt_tokens", "prompt_tokens"), n("prompt_tokens_details.cached_tokens", "cached_tokens"),
                     n("prompt_tokens_details.audio_tokens_details.x_tokens.y_tokens", "deep_tokens"), F.size("c").cast("bigint").alias("n_counters"))
