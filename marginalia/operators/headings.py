@@ -152,10 +152,12 @@ def inline_abstract(raw: Column) -> Column:
     n = F.length(full)
     warning = F.when(n < 30, "abstract is very short; rule confidence is low").when(
         n > 2000, "abstract is longer than 2000 chars and was truncated").otherwise("")
-    return F.when((at > 0) & (n > 0), F.struct(
+    found = F.when((at > 0) & (n > 0), F.struct(
         F.left(full, F.lit(2000)).alias("content"), T.strip(title).alias("title"), F.lit("rule_zh").alias("source"),
         begin.alias("start_char"), F.when(n > 2000, begin + 2000).otherwise(end).alias("end_char"),
         F.when(n < 30, 65).otherwise(95).cast("bigint").alias("confidence"), warning.alias("warning")))
+    # The patterns above go over the text again and again; without this character none of them can match.
+    return F.when(F.contains(raw, F.lit("摘")), found)
 
 
 def is_short(section: Column, content: Column) -> Column:
