@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -153,6 +154,21 @@ def mentions(c: Column, words: list[str]) -> Column:
     return let(F.lower(c), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])) | c.rlike(f"[{FOLDED}]")
 
 
+def ahead(pattern: str) -> str:
+    """Alternatives of literal beginnings, case ignored, behind a test of the next two characters.
+
+    The pattern engine folds case for every alternative at every character of a text; the two classes, in which case is
+    not ignored, answer for nearly all of them in one step each.
+    """
+    starts = [re.match(r"(?:\\b)?(\\\[|\w)(\w?)", a) for a in pattern.split("|")]
+    def one_of(chars: set[str]) -> str:
+        low = "".join(sorted({f"\\u{ord(x):04x}" for c in chars for x in (c, c.lower(), c.upper()) if ord(x) < 256}))
+        high = "".join(sorted({f"\\u{ord(c):04x}" for c in (*chars, *FOLDED) if ord(c) > 255}))
+        return f"[{low}[\\u0130-\\u9fff&&[{high}]]]"
+    first, second = one_of({m[1][-1] for m in starts}), {m[2] for m in starts}
+    return rf"(?-iuU:(?={first}{'' if '' in second else one_of(second)}))(?:{pattern})"
+
+
 def redact(c: Column) -> Column:
     """PR-8: quoted values, bare values, bearer tokens, key-shaped strings, in that order."""
     def cleaned(t: Column) -> Column:

@@ -87,16 +87,19 @@ def with_headings(docs: DataFrame, text_col: str, name: str = "_heads") -> DataF
     # Lines that look like a heading, or like the start of an alias that goes on in the next lines, are kept.
     # Lines of blanks only lie between the words of an alias like any other white space.
     indexed = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("line")))
-    staged = staged.withColumn("_solid", F.filter(indexed, lambda x: T.strip(x["line"]) != ""))
+    staged = staged.withColumn("_solid", F.filter(indexed, lambda x: F.ltrim(x["line"], F.lit(T.WS_CHARS)) != ""))
     numbered = F.transform("_solid", lambda x, s: F.struct(s.alias("s"), x["i"].alias("i"), x["line"].alias("line")))
-    likely = F.filter(numbered, lambda x: x["line"].rlike(ZH_LINE) | x["line"].rlike(EN_LINE) | x["line"].rlike(OPEN_LINE))
+    def heads(l: Column) -> Column:
+        return F.left(l, F.lit(2 * FRONT)).rlike(FRONT_LINE) & (l.rlike(ZH_LINE) | l.rlike(EN_LINE) | l.rlike(OPEN_LINE))
+    likely = F.transform(F.filter(numbered, lambda x: heads(x["line"])), lambda x: F.struct(
+        x["s"].alias("s"), x["i"].alias("i"), x["line"].alias("line"), x["line"].rlike(OPEN_LINE).alias("open")))
     staged = staged.withColumn("_likely", likely)
 
     def spans(x: Column) -> Column:
         def out(t: Column) -> Column:
             return F.struct(x["i"].alias("i"), t.alias("line"), _match(t).alias("m"))
         tails = [F.get("_solid", x["s"] + k)["i"] for k in range(1, MOST_WORDS)]
-        joined = [F.when(x["line"].rlike(OPEN_LINE) & j.isNotNull(), F.array_join(F.slice(lines, x["i"] + 1, F.coalesce(j, x["i"]) - x["i"] + 1), "\n")) for j in tails]
+        joined = [F.when(x["open"] & j.isNotNull(), F.array_join(F.slice(lines, x["i"] + 1, F.coalesce(j, x["i"]) - x["i"] + 1), "\n")) for j in tails]
         return F.array(out(x["line"]), *[out(t) for t in joined])
 
     hits = F.filter(F.flatten(F.transform("_likely", spans)), lambda h: h["m"].isNotNull())
@@ -126,6 +129,12 @@ _starts = sorted({" ".join(w.split(" ")[:i]) for w in _spaced for i in range(1,
 MOST_WORDS = max(len(w.split(" ")) for w in _spaced)
 OPEN_LINE = rf"(?iU)^{BLANK}(?:{NUMBER}{BLANK})?(?:{'|'.join(w.replace(' ', chr(92) + 's+') for w in _starts)})\s*\z"
 
+# What a line must begin with to match one of the three: a heading's first characters after its number, or a number and blanks
+# that fill the front.  Lines are long as a rule, and only their beginning is turned into a string for this test.
+FRONT = 32
+_firsts = sorted({re.escape(w[:3] if w.isascii() else w[0]) for t in (K.ZH_ALIASES, K.EN_ALIASES) for ws in t.values() for w in ws})
+FRONT_LINE = rf"(?iU)^(?:{BLANK}(?:{NUMBER}{BLANK})?(?:{'|'.join(_firsts)})|[ \t　\p{{Nd}}.．、IVXLCDM一二三四五六七八九十百第章节（(）)]{{{FRONT}}})"
+
 
 def find_headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """DS-1/DS-2: one row per heading, in reading order."""

@@ -11,7 +11,8 @@ from marginalia.functions.similarity import similarity
 from marginalia.operators import headings as H
 from marginalia.scale import settle
 
-REFERENCE_CUT = T.java(r"参考文献|\bReferences\b|\bBibliography\b")
+REFERENCE_CUT = T.java(T.ahead(r"参考文献|\bReferences\b|\bBibliography\b"))
+REFERENCE_MARK = T.java(T.ahead("|".join(K.REFERENCE_PATTERNS)))
 
 
 def _count(text: Column, pattern: str, flags: str) -> Column:
@@ -23,7 +24,7 @@ def references_polluted(text: Column) -> Column:
     n = F.length(text)
     half = F.substr(text, (F.floor(n / 2) + 1).cast("int"))
     kinds = sum((F.when(half.rlike(T.java(p)), 1).otherwise(0) for p in K.REFERENCE_PATTERNS), F.lit(0))
-    return (n >= 80) & ((kinds >= 2) | (_count(half, K.REFERENCE_PATTERNS[3], "U") >= 2))
+    return (n >= 80) & half.rlike(REFERENCE_MARK) & ((kinds >= 2) | (_count(half, K.REFERENCE_PATTERNS[3], "U") >= 2))
 
 
 def score_sections(sections: DataFrame, id_col: str = "doc_id", language_col: str = "paper_language",
@@ -38,11 +39,11 @@ def score_sections(sections: DataFrame, id_col: str = "doc_id", language_col: st
     tests = {
         "_missing": c.isin(K.UNCLEAR_SECTION_VALUES),
         "_refs": major & references_polluted(c),
-        "_kw": (name == "abstract") & c.rlike(T.java(K.KEYWORD_MARKERS)),
-        "_intro": (name == "abstract") & (F.length(c) >= 300) & c.rlike(T.java(K.INTRO_MARKERS)),
-        "_tail": (name == "conclusion") & c.rlike(T.java(K.CONCLUSION_MARKERS)),
-        "_result": name.isin("method", "experiments") & c.rlike(T.java(K.RESULT_TERMS)),
-        "_method": (name == "experiments") & c.rlike(T.java(K.METHOD_TERMS)),
+        "_kw": (name == "abstract") & c.rlike(T.java(T.ahead(K.KEYWORD_MARKERS))),
+        "_intro": (name == "abstract") & (F.length(c) >= 300) & c.rlike(T.java(T.ahead(K.INTRO_MARKERS))),
+        "_tail": (name == "conclusion") & c.rlike(T.java(T.ahead(K.CONCLUSION_MARKERS))),
+        "_result": name.isin("method", "experiments") & c.rlike(T.java(T.ahead(K.RESULT_TERMS))),
+        "_method": (name == "experiments") & c.rlike(T.java(T.ahead(K.METHOD_TERMS))),
         "_multi": headings >= 2,
         "_nosource": major & F.coalesce(source_col, F.lit("")).isin("", "missing"),
     }

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from marginalia import constants as K
+from marginalia.functions import text as T
 from marginalia.operators import blocks as B
 from marginalia.operators import chunks as C
 from marginalia.operators import headings as H
@@ -146,3 +148,27 @@ def test_chunk_windows_are_sought_backwards():
             want.append((start, end))
             start = len(text) if end == len(text) else max(end - overlap, start + 1)
         assert list(spans(text, size, overlap)) == want
+
+
+def test_patterns_behind_a_front_test_find_what_the_plain_ones_find(spark):
+    """Case, folded letters, word ends and one-character texts; the front tests may only drop what cannot match."""
+    words = ["References", "REFERENCES", "referencesx", "reſultſ", "Keywords", "ındex termıs", "İNDEX TERMS", "关  键 词", "关键\n词", "参考文献", "[ 12 ]", "[]", "doi", "Doix",
+             "ablation", "EVALUATION", "Experimental Results", "对比实验", "网络结构", "frameworK", "Model", "models", "附录", "Acknowledgement", "İntroduction", "绪论", "r", "", "é", "致"]
+    texts = [f"{a}{w}{b}" for w in words for a in ("", "x", "é ", "\n", "see ") for b in ("", "y", " z", "。")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = [K.KEYWORD_MARKERS, K.INTRO_MARKERS, K.CONCLUSION_MARKERS, K.RESULT_TERMS, K.METHOD_TERMS, "|".join(K.REFERENCE_PATTERNS)]
+    rows = df.select("t", *[F.struct(F.col("t").rlike(T.java(p)), F.col("t").rlike(T.java(T.ahead(p)))) for p in patterns]).collect()
+    assert all(a == b for r in rows for a, b in r[1:])
+    assert all(any(r[k + 1][0] for r in rows) and not all(r[k + 1][0] for r in rows) for k in range(len(patterns)))
+
+
+def test_front_of_a_line_decides_only_what_no_pattern_matches(spark):
+    """Long lines are dropped by their beginning; long numbers, blanks and aliases in all forms are not."""
+    aliases = [w for t in (K.ZH_ALIASES, K.EN_ALIASES) for ws in t.values() for w in ws]
+    numbers = ["", "1. ", "1.2.3 ", "IV. ", "xii ", "第三章 ", "（二）", "1." * 40 + "1 ", " " * 50, "\t1 　", "٣. ", "三、", "i" * 40 + " "]
+    lines = [n + w + e for n in numbers for w in aliases + ["Related", "İndex", "diſcussion", "frameworK", "word"] for e in ("", " : ", "x" * 100)]
+    found = spark.createDataFrame([(x,) for x in lines], "l string").select(
+        "l", (F.col("l").rlike(H.ZH_LINE) | F.col("l").rlike(H.EN_LINE) | F.col("l").rlike(H.OPEN_LINE)).alias("plain"),
+        F.left("l", F.lit(2 * H.FRONT)).rlike(H.FRONT_LINE).alias("front")).collect()
+    assert sum(r.plain for r in found) > 1000 and not [r.l for r in found if r.plain and not r.front]
+    assert sum(not r.front for r in found) > 20
