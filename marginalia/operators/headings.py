@@ -203,7 +203,7 @@ def with_sections(docs: DataFrame, text_col: str, name: str = "_parts") -> DataF
 
 def extract_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", keep: list[str] = ()) -> DataFrame:
     """DS-3/DS-4: long table, six rows per document; a missing section has empty content."""
-    parts = with_sections(docs.select(id_col, text_col, *keep), text_col).select(id_col, *keep, F.col("_parts").alias("parts"))
+    parts = with_sections(docs.select(id_col, text_col, *[k for k in keep if k != text_col]), text_col).select(id_col, *keep, F.col("_parts").alias("parts"))
     return fold_sections(parts, id_col, list(keep))
 
 

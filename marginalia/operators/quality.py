@@ -139,36 +139,64 @@ def abstract_from_raw(raw: Column) -> Column:
         begin.alias("start_char"), F.when(F.length(full) > 2000, begin + 2000).otherwise(end).alias("end_char")))
 
 
-def repair(evaluated: DataFrame, rules: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """DS-11: one repair pass over documents that need it; action is kept, truncated, recopied or rebounded."""
+def fresh_abstract(scored: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """Scored sections that carry the raw text -> the same with the re-bounded abstract, where its bounds are in doubt, in its place."""
+    doubt = (F.col("section") == "abstract") & F.array_contains("issues", "abstract_boundary_issue")
+    return scored.withColumn("fresh", F.when(doubt, abstract_from_raw(F.col(text_col)))).drop(text_col)
+
+
+def repair(evaluated: DataFrame, rules: DataFrame | None = None, docs: DataFrame | None = None, id_col: str = "doc_id",
+           text_col: str = "raw_text", kept_texts: bool = True) -> DataFrame:
+    """DS-11: one repair pass over documents that need it; action is kept, truncated, recopied or rebounded.
+
+    Without ``rules`` the sections are the rule's own, and without ``docs`` they have the column fresh of ``fresh_abstract``; then no
+    text needs a partner, and what a document's other sections say arrives as one narrow row.  ``evaluated`` is read more than once:
+    store it first.  With ``kept_texts`` off, only changed sections have a content.
+    """
     needed = repair_reasons(evaluated, id_col).select(id_col, "needs_repair")
-    # The raw text travels only for documents whose abstract must be re-bounded.
-    suspects = evaluated.where((F.col("section") == "abstract") & F.array_contains("issues", "abstract_boundary_issue")).select(id_col)
-    fresh = docs.select(id_col, text_col).join(suspects, id_col, "left_semi").select(
-        id_col, F.lit("abstract").alias("section"), abstract_from_raw(F.col(text_col)).alias("fresh"))
-    rule = rules.select(id_col, "section", F.col("content").alias("rule_text"))
-    j = evaluated.join(needed, id_col).join(rule, [id_col, "section"], "left").join(fresh, [id_col, "section"], "left")
+    if rules is None:
+        j = evaluated.withColumn("rule_text", F.col("content"))
+    else:
+        j = evaluated.join(rules.select(id_col, "section", F.col("content").alias("rule_text")), [id_col, "section"], "left")
+    if docs is not None:
+        # The raw text travels only for documents whose abstract must be re-bounded.
+        suspects = evaluated.where((F.col("section") == "abstract") & F.array_contains("issues", "abstract_boundary_issue")).select(id_col)
+        fresh = docs.select(id_col, text_col).join(suspects, id_col, "left_semi").select(
+            id_col, F.lit("abstract").alias("section"), abstract_from_raw(F.col(text_col)).alias("fresh"))
+        j = j.join(fresh, [id_col, "section"], "left")
     name, issues, text = F.col("section"), F.col("issues"), F.coalesce("content", F.lit(""))
     has = lambda *xs: F.arrays_overlap(issues, F.array(*[F.lit(x) for x in xs]))
-    at = F.regexp_instr(text, F.lit(REFERENCE_CUT))
-    j = j.withColumn("_cut", F.when(at > 0, T.strip(F.left(text, at - 1))))
-    can_cut = name.isin("method", "experiments", "conclusion") & has("references_pollution", "conclusion_pollution") & \
-        (F.length("_cut") > 0) & (F.length("_cut") < F.length(T.strip(text)))
+    # The text is searched for a cut only where one may be made.
+    cuttable = name.isin("method", "experiments", "conclusion") & has("references_pollution", "conclusion_pollution")
+    at = F.when(cuttable, F.regexp_instr(text, F.lit(REFERENCE_CUT)))
+    j = j.withColumn("_at", at).withColumn("_cut", F.when(F.col("_at") > 0, T.strip(F.left(text, F.col("_at") - 1))))
+    can_cut = cuttable & (F.length("_cut") > 0) & (F.length("_cut") < F.length(T.strip(text)))
     bad = F.when(name.isin("method", "experiments"), (F.col("score") < 45) | has("missing", "missing_or_too_short", "meta_source_missing")) \
         .when(name == "conclusion", (F.col("score") < 40) | has("missing", "missing_or_too_short", "meta_source_missing",
                                                              "references_pollution", "conclusion_pollution")).otherwise(False)
     copied = T.strip(F.coalesce("rule_text", F.lit("")))
-    action = (
-        F.when(~F.col("needs_repair"), "kept").when(F.coalesce(can_cut, F.lit(False)), "truncated")
-        .when(bad & (copied != ""), "recopied").when((name == "abstract") & F.col("fresh").isNotNull(), "rebounded").otherwise("kept")
+    # What would be done is settled before documents meet, so a row travels with the text that it keeps and the one it may get, if any.
+    change = (
+        F.when(F.coalesce(can_cut, F.lit(False)), F.struct(F.lit("truncated").alias("action"), F.col("_cut").alias("content")))
+        .when(bad & (copied != ""), F.struct(F.lit("recopied").alias("action"), copied.alias("content")))
+        .when((name == "abstract") & F.col("fresh").isNotNull(), F.struct(F.lit("rebounded").alias("action"), F.col("fresh.content").alias("content")))
     )
-    j = j.withColumn("action", action)
-    done = F.col("action")
+    kept = text if kept_texts else F.lit(None).cast("string")
+    j = settle(j.select(id_col, "section", "paper_language", F.col("score").alias("score_before"), kept.alias("content"), "source", change.alias("_change")))
+    j = j.join(needed, id_col)
+    done = F.col("needs_repair") & F.col("_change").isNotNull()
     return j.select(
-        id_col, "section", "paper_language", done.alias("action"), F.col("score").alias("score_before"),
-        F.when(done == "truncated", F.col("_cut")).when(done == "recopied", copied).when(done == "rebounded", F.col("fresh.content"))
-        .otherwise(text).alias("content"),
-        F.when(done == "kept", F.col("source")).otherwise("rule_repair").alias("source"))
+        id_col, "section", "paper_language", F.when(done, F.col("_change.action")).otherwise("kept").alias("action"), "score_before",
+        F.when(done, F.col("_change.content")).otherwise(F.col("content")).alias("content"),
+        F.when(done, F.lit("rule_repair")).otherwise(F.col("source")).alias("source"))
+
+
+def rescored(repaired: DataFrame) -> DataFrame:
+    """DS-11: the score after repair; what was kept keeps its score, so its text is not read again."""
+    kept = F.col("action") == "kept"
+    work = repaired.withColumn("content", F.when(~kept, F.col("content")))
+    scored = score_sections(work).drop("content", "issues", "warnings", "clean_length")
+    return scored.withColumn("score", F.when(kept, F.col("score_before")).otherwise(F.col("score")))
 
 
 def unresolved(rescored: DataFrame) -> DataFrame:

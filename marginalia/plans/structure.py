@@ -198,6 +198,12 @@ def _(spark, d):
     return Q.duplicate_sections(Q.wide_sections(papers(spark, d)))
 
 
+def _repaired(spark, d, kept_texts=True):
+    """Sections are scored once, with their document's raw text at hand, and stored; repair reads what it needs of them."""
+    sections = H.extract_sections(papers(spark, d), keep=["paper_language", "raw_text"])
+    return Q.repair(Q.evaluate(materialize(Q.fresh_abstract(Q.score_sections(sections)), "scored")), kept_texts=kept_texts)
+
+
 @query("ds11_repaired_sections", SECTIONS_WITH.rstrip() + EVAL_SQL + f""", nd AS (SELECT doc_id, bool_or(len(blocking) > 0) AS needs FROM evb GROUP BY 1),
   ab AS (SELECT doc_id, {sql_strip('regexp_replace(regexp_extract(raw_text, $$(?ims)^[ 	　]*(?:摘\\s*要|内容摘要|中文摘要|Abstract)[ 	　]*[:：]?[ 	　]*(.*)$$, 1), $$(?ims)^[ 	　]*(?:关\\s*键\\s*词|关键字|Keywords|Index Terms|引言|绪论|Introduction)[ 	　]*[:：.。．\\-]?.*$$, $$$$)')} AS fresh FROM papers_v WHERE doc_id IN (SELECT doc_id FROM evb WHERE section = 'abstract' AND (kw OR intro))),
   k AS (SELECT e.*, needs, regexp_extract(content, $$(?is)^(.*?)(?:参考文献|\\bReferences\\b|\\bBibliography\\b)$$, 1) AS cutx, regexp_matches(content, $$(?i)参考文献|\\bReferences\\b|\\bBibliography\\b$$) AS hasref FROM evb e JOIN nd USING (doc_id)),
@@ -205,18 +211,13 @@ def _(spark, d):
       WHEN c <> '' AND ((section IN ('method', 'experiments') AND (score < 45 OR miss OR short OR nosrc)) OR (section = 'conclusion' AND (score < 40 OR miss OR short OR nosrc OR refs OR tail))) THEN 'recopied' ELSE 'kept' END AS action FROM k)
   SELECT doc_id, section, action, score AS score_before, sha256(CASE action WHEN 'truncated' THEN {sql_strip('cutx')} WHEN 'recopied' THEN c ELSE content END) AS content_hash FROM a WHERE section <> 'abstract'""")
 def _(spark, d):
-    p = papers(spark, d)
-    s = materialize(H.extract_sections(p, keep=["paper_language"]), "sections")
-    r = Q.repair(Q.evaluate(Q.score_sections(s)), s, p).where("section <> 'abstract'")
+    r = _repaired(spark, d).where("section <> 'abstract'")
     return r.select("doc_id", "section", "action", "score_before", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("ds11_unresolved_sections")
 def _(spark, d):
-    p = papers(spark, d)
-    s = materialize(H.extract_sections(p, keep=["paper_language"]), "sections")
-    r = Q.repair(Q.evaluate(Q.score_sections(s)), s, p)
-    return Q.unresolved(Q.score_sections(r)).select("doc_id", "section", "score", "score_before", "action")
+    return Q.unresolved(Q.rescored(_repaired(spark, d, kept_texts=False))).select("doc_id", "section", "score", "score_before", "action")
 
 
 # ---- plans -----------------------------------------------------------------------------------

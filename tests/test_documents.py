@@ -172,3 +172,20 @@ def test_front_of_a_line_decides_only_what_no_pattern_matches(spark):
         F.left("l", F.lit(2 * H.FRONT)).rlike(H.FRONT_LINE).alias("front")).collect()
     assert sum(r.plain for r in found) > 1000 and not [r.l for r in found if r.plain and not r.front]
     assert sum(not r.front for r in found) > 20
+
+
+def test_repair_of_stored_scores_equals_repair_by_joins(spark):
+    """Scored once, with own texts and abstracts in the row; kept sections keep their score unread."""
+    long = "word " * 80
+    texts = [EN, ZH, f"Abstract\n{long}\nKeywords: x\n1 Introduction\n{long}\n2 Method\n{long}[1] a [2] b References\n3 Experiments\nshort\nConclusion\n{long} Appendix A",
+             f"Abstract\n{long}\nThe Introduction says {long}\n1 Introduction\n{long * 3}\n2 Method\n{long * 4}\n3 Experiments\n{long * 4}\nConclusion\n{long * 2}", "nothing"]
+    df = spark.createDataFrame([(i, "zh" if i % 2 else "en", t) for i, t in enumerate(texts)], "doc_id int, paper_language string, raw_text string").cache()
+    s = H.extract_sections(df, keep=["paper_language"]).cache()
+    by_joins = Q.repair(Q.evaluate(Q.score_sections(s)), s, df)
+    stored = Q.evaluate(Q.fresh_abstract(Q.score_sections(H.extract_sections(df, keep=["paper_language", "raw_text"])))).cache()
+    in_rows = Q.repair(stored)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert rows(by_joins) == rows(in_rows.select(*by_joins.columns))
+    assert {"kept", "truncated", "recopied", "rebounded"} == {r.action for r in in_rows.select("action").collect()}
+    narrow = Q.rescored(Q.repair(stored, kept_texts=False)).select("doc_id", "section", "score", "action")
+    assert rows(Q.score_sections(by_joins).select("doc_id", "section", "score", "action")) == rows(narrow)
