@@ -25,9 +25,14 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WS_CHARS))
 
 
+def runs(space: str) -> str:
+    """Runs of white space but the lone blank, for replacement by one."""
+    return f"{space}(?:{space}+|(?<! ))"
+
+
 def collapse(c: Column) -> Column:
-    """PR-2: runs of white space become one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    """PR-2: runs of white space become one blank, ends trimmed.  A lone blank stays as it is: nearly all runs are one."""
+    return F.trim(F.regexp_replace(c, runs(WS), " "))
 
 
 def java(pattern: str, flags: str = "iU") -> str:

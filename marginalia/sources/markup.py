@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from array import array
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,20 +85,25 @@ CANDIDATE = ["doc_id", "provider", "pos", "title", "authors", "year", "venue", "
 
 @F.arrow_udf("map<string,array<int>>")
 def _index_of(texts: pa.Array) -> pa.Array:
-    """Per text, which is split at blanks, the map from its words to their positions."""
-    keys, places, key_ends, place_ends = [pa.array([], pa.string())], array("i"), array("i", [0]), array("i", [0])
-    for text in texts:
-        at: dict[str, list[int]] = {}
-        for i, word in enumerate(text.as_py().split(" ")):
-            if word:
-                at.setdefault(word, []).append(i)
-        keys.append(pa.array(list(at), pa.string()))
-        for ps in at.values():
-            places.extend(ps)
-            place_ends.append(len(places))
-        key_ends.append(len(place_ends) - 1)
-    ints = lambda a: pa.array(memoryview(a), pa.int32())
-    return pa.MapArray.from_arrays(ints(key_ends), pa.concat_arrays(keys), pa.ListArray.from_arrays(ints(place_ends), ints(places)))
+    """Per text, which is split at blanks, the map from its words to their positions.
+
+    All texts of a batch are done at once: equal words get one number, and one stable sort by text and number brings
+    the positions of a word together.
+    """
+    split = pc.split_pattern(texts, " ")
+    ends, words = split.offsets.to_numpy(), split.flatten()
+    row = np.repeat(np.arange(len(split)), np.diff(ends))
+    place = np.arange(len(words)) - (ends[:-1] - ends[0])[row]
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    key = row[full] * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    entries = np.searchsorted(key[first] // max(len(coded.dictionary), 1), np.arange(len(split) + 1))
+    ints = lambda a: pa.array(a.astype(np.int32))
+    places = pa.ListArray.from_arrays(ints(np.append(first, len(key))), ints(place[full][order]))
+    return pa.MapArray.from_arrays(ints(entries), coded.dictionary.take(coded.indices.take(pa.array(order[first]))), places)
 
 
 def word_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,7 +111,7 @@ def word_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The index is one value of its row: no word leaves it.
     """
-    spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\\s+", " "))
+    spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), T.runs("\\s"), " "))
     return docs.withColumn("m", _index_of(spaced))
 
 
@@ -116,38 +121,46 @@ def abstract_from_index(index: Column) -> Column:
     return F.coalesce(F.trim(F.array_join(F.sort_array(pairs)["w"], " ")), F.lit(""))
 
 
+def _fields(payloads: DataFrame, read: Column) -> DataFrame:
+    """The fields of parsed payloads as columns.  Each is named once here, so a query that needs one field has the others skipped
+    by the reader, while cleaning may name a column as often as it likes."""
+    kept = ["doc_id", "pos"]
+    j = payloads.select(*kept, read.alias("j"))
+    return j.select(*kept, "j.*")
+
+
 def crossref(payloads: DataFrame) -> DataFrame:
     """IN-10: doc_id, pos, json -> candidates.  Dates: print before online before issued."""
-    d = payloads.select("doc_id", "pos", F.from_json("json", CROSSREF_SCHEMA).alias("j"))
-    year = F.coalesce(*[F.get(F.get(F.col(f"j.`{k}`.`date-parts`"), F.lit(0)), F.lit(0)) for k in ("published-print", "published-online", "issued")])
+    d = _fields(payloads, F.from_json("json", CROSSREF_SCHEMA))
+    year = F.coalesce(*[F.get(F.get(F.col(f"`{k}`.`date-parts`"), F.lit(0)), F.lit(0)) for k in ("published-print", "published-online", "issued")])
     blank = lambda c: T.strip(F.coalesce(c, F.lit("")))
-    names = F.transform("j.author", lambda a: T.strip(F.concat_ws(" ", F.nullif(blank(a["given"]), F.lit("")), F.nullif(blank(a["family"]), F.lit("")))))
+    names = F.transform("author", lambda a: T.strip(F.concat_ws(" ", F.nullif(blank(a["given"]), F.lit("")), F.nullif(blank(a["family"]), F.lit("")))))
     text = lambda c: T.strip_markup(F.array_join(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != ""), " "))
-    return d.select("doc_id", F.lit("crossref").alias("provider"), "pos", text(F.col("j.title")).alias("title"),
+    return d.select("doc_id", F.lit("crossref").alias("provider"), "pos", text(F.col("title")).alias("title"),
                     F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n != "").alias("authors"), F.coalesce(year.cast("string"), F.lit("")).alias("year"),
-                    text(F.col("j.`container-title`")).alias("venue"), T.strip_markup(F.col("j.abstract")).alias("abstract"),
-                    F.coalesce("j.DOI", F.lit("")).alias("doi"), F.coalesce("j.URL", F.lit("")).alias("url"))
+                    text(F.col("`container-title`")).alias("venue"), T.strip_markup(F.col("abstract")).alias("abstract"),
+                    F.coalesce("DOI", F.lit("")).alias("doi"), F.coalesce("URL", F.lit("")).alias("url"))
 
 
 def openalex(payloads: DataFrame) -> DataFrame:
     """IN-10: doc_id, pos, json -> candidates; the host venue stands in for a missing source."""
-    d = payloads.select("doc_id", "pos", F.from_json("json", OPENALEX_SCHEMA).alias("j"))
-    names = F.filter(F.transform("j.authorships", lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))), lambda n: n != "")
-    venue = F.coalesce(F.nullif("j.primary_location.source.display_name", F.lit("")), "j.host_venue.display_name", F.lit(""))
-    return d.select("doc_id", F.lit("openalex").alias("provider"), "pos", T.strip_markup(F.col("j.title")).alias("title"),
-                    F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.coalesce(F.col("j.publication_year").cast("string"), F.lit("")).alias("year"),
-                    T.strip_markup(venue).alias("venue"), abstract_from_index(F.col("j.abstract_inverted_index")).alias("abstract"),
-                    F.replace(F.coalesce("j.doi", F.lit("")), F.lit("https://doi.org/"), F.lit("")).alias("doi"), F.coalesce("j.id", F.lit("")).alias("url"))
+    d = _fields(payloads, F.from_json("json", OPENALEX_SCHEMA))
+    names = F.filter(F.transform("authorships", lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))), lambda n: n != "")
+    venue = F.coalesce(F.nullif("primary_location.source.display_name", F.lit("")), "host_venue.display_name", F.lit(""))
+    return d.select("doc_id", F.lit("openalex").alias("provider"), "pos", T.strip_markup(F.col("title")).alias("title"),
+                    F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.coalesce(F.col("publication_year").cast("string"), F.lit("")).alias("year"),
+                    T.strip_markup(venue).alias("venue"), abstract_from_index(F.col("abstract_inverted_index")).alias("abstract"),
+                    F.replace(F.coalesce("doi", F.lit("")), F.lit("https://doi.org/"), F.lit("")).alias("doi"), F.coalesce("id", F.lit("")).alias("url"))
 
 
 def arxiv(payloads: DataFrame) -> DataFrame:
     """IN-10: doc_id, pos, xml (one Atom entry) -> candidates."""
-    d = payloads.select("doc_id", "pos", F.from_xml(F.col("xml"), ATOM_SCHEMA).alias("j"))
-    names = F.transform("j.author", lambda a: T.strip_markup(a["name"]))
-    return d.select("doc_id", F.lit("arxiv").alias("provider"), "pos", T.strip_markup(F.col("j.title")).alias("title"),
-                    F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.left(T.strip_markup(F.col("j.published")), F.lit(4)).alias("year"),
-                    F.lit("arXiv").alias("venue"), T.strip_markup(F.col("j.summary")).alias("abstract"), T.strip_markup(F.col("j.doi")).alias("doi"),
-                    T.strip_markup(F.col("j.id")).alias("url"))
+    d = _fields(payloads, F.from_xml(F.col("xml"), ATOM_SCHEMA))
+    names = F.transform("author", lambda a: T.strip_markup(a["name"]))
+    return d.select("doc_id", F.lit("arxiv").alias("provider"), "pos", T.strip_markup(F.col("title")).alias("title"),
+                    F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.left(T.strip_markup(F.col("published")), F.lit(4)).alias("year"),
+                    F.lit("arXiv").alias("venue"), T.strip_markup(F.col("summary")).alias("abstract"), T.strip_markup(F.col("doi")).alias("doi"),
+                    T.strip_markup(F.col("id")).alias("url"))
 
 
 def all_candidates(*providers: DataFrame) -> DataFrame:

@@ -229,3 +229,24 @@ def test_usage_counts_of_odd_members(spark):
     u = '{"a_tokens":{"b_tokens":2.5,"c_tokens":[1],"d_tokens":"{\\"e_tokens\\":1}","f_tokens":null,"g_tokens":{}},"h_tokens":-1}'
     rows = spark.createDataFrame([(u,), ("[1]",), ("7",), ("x",), (None,)], "u string").select(usage_counts(F.col("u")).alias("m")).collect()
     assert [r.m for r in rows] == [{"a_tokens.b_tokens": 2.5, "h_tokens": -1.0}, {}, {}, {}, None]
+
+
+def test_word_index_of_a_batch_keeps_texts_apart(spark):
+    """Equal words of different texts, repeated words, texts without words and odd white space."""
+    from marginalia.sources import markup as M
+    texts = ["b a b", "", "  ", "a　b  a\n\tc\ta", None, "one", "é  é x", "a b a b a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = {r.i: r.m for r in M.word_index(df).collect()}
+    for i, t in enumerate(texts):
+        want = {}
+        for n, w in enumerate(x for x in re.split(r"[ \t\n\x0b\f\r]+", t or "") if x):
+            want.setdefault(w, []).append(n)
+        assert got[i] == want, t
+
+
+def test_lone_blanks_are_no_runs(spark):
+    texts = ["a b  c\td\n e 　f  g", " ", "\t", "a\tb", "  a ", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim(F.regexp_replace("t", T.WS + "+", " "))
+    assert all(r[0] == r[1] for r in df.select(T.collapse(F.col("t")), plain).collect())
+    assert [r[0] for r in df.select(F.regexp_count("t", F.lit(T.runs(T.WS)))).collect()] == [5, 0, 1, 1, 1, 0]
